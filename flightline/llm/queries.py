@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bloom_cascade, warc
+from . import bloom_cascade, decontaminate, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_spaced_seeds": decontaminate.op1_spaced_seeds,
         "op4_warc_revisits": warc.op4_warc_revisits,
         "op6_bloom_cascade": bloom_cascade.op6_bloom_cascade,
     }
