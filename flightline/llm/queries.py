@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bloom_cascade, decontaminate, warc
+from . import bloom_cascade, decontaminate, prefix_counts, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_spaced_seeds": decontaminate.op1_spaced_seeds,
         "op4_warc_revisits": warc.op4_warc_revisits,
         "op6_bloom_cascade": bloom_cascade.op6_bloom_cascade,
+        "op8_prefix_counts": prefix_counts.op8_prefix_counts,
     }
 
 
