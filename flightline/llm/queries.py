@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bloom_cascade, decontaminate, prefix_counts, warc
+from . import bloom_cascade, decontaminate, packing, prefix_counts, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_warc_revisits": warc.op4_warc_revisits,
         "op6_bloom_cascade": bloom_cascade.op6_bloom_cascade,
         "op8_prefix_counts": prefix_counts.op8_prefix_counts,
+        "op10_configuration_packing": packing.op10_configuration_packing,
     }
 
 
