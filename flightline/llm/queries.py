@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bloom_cascade, decontaminate, divergence, packing, prefix_counts, warc
+from . import bloom_cascade, decontaminate, divergence, packing, prefix_counts, simhash, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_spaced_seeds": decontaminate.op1_spaced_seeds,
         "op2_distribution_divergence": divergence.op2_distribution_divergence,
+        "op3_generalised_pigeonhole": simhash.op3_generalised_pigeonhole,
         "op4_warc_revisits": warc.op4_warc_revisits,
         "op6_bloom_cascade": bloom_cascade.op6_bloom_cascade,
         "op8_prefix_counts": prefix_counts.op8_prefix_counts,
