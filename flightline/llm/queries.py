@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bloom_cascade, decontaminate, divergence, packing, prefix_counts, simhash, warc
+from . import bloom_cascade, decontaminate, divergence, packing, prefix_counts, simhash, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_generalised_pigeonhole": simhash.op3_generalised_pigeonhole,
         "op4_warc_revisits": warc.op4_warc_revisits,
         "op6_bloom_cascade": bloom_cascade.op6_bloom_cascade,
+        "op7_pattern_grammar": toxicity.op7_pattern_grammar,
         "op8_prefix_counts": prefix_counts.op8_prefix_counts,
         "op10_configuration_packing": packing.op10_configuration_packing,
     }
