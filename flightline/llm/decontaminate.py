@@ -29,13 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel
+from .bitmap import build_bitmap, held
 from .storage import stored
 
 #: Positions that count, relative to the seed's first token.
 MASKS: tuple[tuple[int, ...], ...] = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
 MASK_SPAN = max(places[-1] for places in MASKS) + 1
 FILTER_BITS = 1 << 24
-CHUNK_BITS = 1 << 15
 PUNCTUATION = np.zeros(256, bool)
 PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
@@ -115,22 +115,6 @@ def item_seeds(tokens: DataFrame) -> DataFrame:
     return tokens.mapInArrow(scan, "seed long, item_id long, item_at int")
 
 
-def seed_filter(seeds: DataFrame) -> np.ndarray:
-    """A bitmap of ``FILTER_BITS`` cells that holds every seed; made in chunks, so what reaches the driver is bounded."""
-
-    def chunk_of(pdf):
-        cells = np.zeros(CHUNK_BITS, bool)
-        cells[pdf["cell"].to_numpy() % CHUNK_BITS] = True
-        return pdf.iloc[:1][["chunk"]].assign(bits=[np.packbits(cells).tobytes()])
-
-    cell = F.pmod(F.col("seed"), F.lit(FILTER_BITS)).cast("int")
-    cells = seeds.select(cell.alias("cell")).distinct().withColumn("chunk", F.floor(F.col("cell") / CHUNK_BITS).cast("int"))
-    bitmap = np.zeros((FILTER_BITS // CHUNK_BITS, CHUNK_BITS // 8), np.uint8)
-    for row in cells.groupBy("chunk").applyInPandas(chunk_of, "chunk int, bits binary").toLocalIterator():
-        bitmap[row["chunk"]] = np.frombuffer(row["bits"], np.uint8)
-    return bitmap.ravel()
-
-
 def candidate_regions(documents: DataFrame, bitmap, window: int) -> DataFrame:
     """Scan ``(doc_id, text)``; each run of seeds that pass the bitmap gives one row.
 
@@ -146,8 +130,7 @@ def candidate_regions(documents: DataFrame, bitmap, window: int) -> DataFrame:
             for texts in kernel.text_slices(batch.column(1)):
                 tokens, doc = tokens_of(texts)
                 seed, at, _ = seeds_of(tokens, doc)
-                cell = (seed.view(np.int64) % FILTER_BITS).astype(np.int64)
-                hit = np.flatnonzero((cells[cell >> 3] >> (7 - (cell & 7)).astype(np.uint8)) & 1)
+                hit = np.flatnonzero(held(cells, seed.view(np.int64)))
                 if not len(hit):
                     continue
                 hit = hit[np.argsort(at[hit], kind="stable")]
@@ -196,7 +179,7 @@ def contaminated_spans(documents: DataFrame, benchmark: DataFrame, *, id_column:
     docs = documents.select(documents[id_column].cast("long").alias("doc_id"), documents[text_column].alias("text"))
     items = stored(item_tokens(benchmark.select(benchmark[item_column].cast("long").alias("item_id"), benchmark[item_text_column].alias("text"))), "decontaminate-items")
     seeds = item_seeds(items).distinct()
-    bitmap = spark.sparkContext.broadcast(seed_filter(seeds))
+    bitmap = spark.sparkContext.broadcast(build_bitmap(seeds.select("seed"), FILTER_BITS))
     regions = stored(candidate_regions(docs, bitmap, window).withColumn("region_id", F.expr("uuid()")), "decontaminate-regions")
     hits = regions.select("region_id", F.explode(F.arrays_zip("seeds", "places")).alias("hit")).select("region_id", F.col("hit.seeds").alias("seed"), F.col("hit.places").alias("place"))
     pairs = hits.join(seeds, "seed").groupBy("region_id", "item_id", (F.col("place") - F.col("item_at")).alias("diagonal")).count().drop("count")

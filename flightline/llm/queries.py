@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bloom_cascade, decontaminate, divergence, packing, prefix_counts, simhash, toxicity, warc
+from . import bloom_cascade, decontaminate, divergence, packing, prefix_counts, repeats, simhash, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_bloom_cascade": bloom_cascade.op6_bloom_cascade,
         "op7_pattern_grammar": toxicity.op7_pattern_grammar,
         "op8_prefix_counts": prefix_counts.op8_prefix_counts,
+        "op9_phrase_automata": repeats.op9_phrase_automata,
         "op10_configuration_packing": packing.op10_configuration_packing,
     }
 
@@ -26,4 +27,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_warc_revisits": warc.ORACLE_SQL,
         "op6_bloom_cascade": bloom_cascade.ORACLE_SQL,
+        "op9_phrase_automata": repeats.ORACLE_SQL,
     }
