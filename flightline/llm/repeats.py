@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernel
 from .bitmap import build_bitmap, held
@@ -342,6 +343,43 @@ def deduplicate(documents: DataFrame, *, id_column: str = "doc_id", text_column:
     return keyed.mapInArrow(untouched, schema).unionByName(lost.mapInArrow(cut, schema))
 
 
+def remove_repeats(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The documents with their columns; texts that lose words become their kept words, joined by blanks, the others stay as they are."""
+    docs = documents.select(F.coalesce(documents[id_column].cast("long"), F.lit(int(LAST_ID))).alias("doc_id"), documents[text_column].alias("text"))
+    work = stored(removals(docs), "repeats-removals").select(F.col("doc_id").alias("_repeats_id"), F.col("text_hash").alias("_repeats_hash"), F.col("whole").alias("_repeats_whole"), F.col("starts").alias("_repeats_starts"))
+    names = documents.columns
+    at_text = names.index(text_column)
+
+    def keyed(batches):
+        for batch in batches:
+            hashes = [text_hashes(texts).view(np.int64) for texts in kernel.text_slices(batch.column(at_text))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(hashes) if hashes else np.zeros(0, np.int64))], [*names, "_repeats_key"])
+
+    def cut(batches):
+        for batch in batches:
+            whole, starts = batch.column("_repeats_whole").to_pylist(), batch.column("_repeats_starts")
+            out = batch.column(at_text).to_pylist()
+            for texts in kernel.text_slices(batch.column(at_text)):
+                rows = [k for k in range(len(texts)) if whole[texts.first_row + k] is not None]
+                if not rows:
+                    continue
+                words = kernel.split_words(texts)
+                bounds = words.firsts()
+                for k in rows:
+                    row, n = texts.first_row + k, int(bounds[k + 1] - bounds[k])
+                    gone = np.full(n, n >= WINDOW) if whole[row] else kernel.covered(starts[row].values.to_numpy().astype(np.int64), WINDOW, n)
+                    if gone.any():
+                        out[row] = _cut(words, k, bounds, gone)[2].decode("utf-8")
+            columns = [batch.column(c) for c in range(len(names))]
+            columns[at_text] = pa.array(out, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    with_key = documents.mapInArrow(keyed, T.StructType([*documents.schema.fields, T.StructField("_repeats_key", T.LongType())]))
+    own_id = F.coalesce(with_key[id_column].cast("long"), F.lit(int(LAST_ID)))
+    joined = with_key.join(work, (own_id == F.col("_repeats_id")) & (F.col("_repeats_key") == F.col("_repeats_hash")), "left")
+    return joined.mapInArrow(cut, documents.schema)
+
+
 def op9_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return deduplicate(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
