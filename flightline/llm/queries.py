@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bloom_cascade, decontaminate, divergence, packing, prefix_counts, repeats, simhash, toxicity, warc
+from . import bloom_cascade, decontaminate, divergence, katz, packing, prefix_counts, repeats, simhash, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_distribution_divergence": divergence.op2_distribution_divergence,
         "op3_generalised_pigeonhole": simhash.op3_generalised_pigeonhole,
         "op4_warc_revisits": warc.op4_warc_revisits,
+        "op5_katz_backoff": katz.op5_katz_backoff,
         "op6_bloom_cascade": bloom_cascade.op6_bloom_cascade,
         "op7_pattern_grammar": toxicity.op7_pattern_grammar,
         "op8_prefix_counts": prefix_counts.op8_prefix_counts,
