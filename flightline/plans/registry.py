@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from flightline.plans import label_queries, model_queries, series_queries
+from flightline.plans.book import Query
 
-from pyspark.sql import DataFrame, SparkSession
+BOOKS = (series_queries.BOOK, label_queries.BOOK, model_queries.BOOK)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {name: query for book in BOOKS for name, query in book.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for book in BOOKS for name, sql in book.sql.items()}
