@@ -121,7 +121,7 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
         return np.zeros(0, np.uint64)
     running = np.zeros(n + 1, np.uint64)
     np.cumsum(_BYTE_CODE[data] * _power("up", _BASE, n), out=running[1:])
-    h = (running[end] - running[start]) * _power("down", _BASE_INVERSE, n)[start]
+    h = (running[end] - running[start]) * _power("down", _BASE_INVERSE, n + 1)[start]
     return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
