@@ -1,3 +1,64 @@
-"""placeholder"""
-from flightline.plans.book import Book
+"""Queries that SQL cannot express, or that run as streams."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from flightline.functions import filters, metrics
+from flightline.operators import models, splitting
+from flightline.plans import label_queries, series_queries
+from flightline.plans.book import Book, r6, table
+from flightline.streaming import alerts
+
 BOOK = Book()
+
+
+def _folder(spark, name: str) -> str:
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@BOOK.enter()
+def iir_bandpass(spark, sf_dir):
+    """A user's held values through a band-pass filter (one sample a tick of half a second)."""
+    rows = series_queries.held(spark, sf_dir).where("h is not null").select("user_id", "k", "h")
+    return filters.filtered(rows, "user_id", ["k"], ["h"], 2.0, 0.15, 0.5).select("user_id", "k", r6(F.col("h_filtered")).alias("h_filtered"))
+
+
+@BOOK.enter()
+def gbt_scores(spark, sf_dir):
+    """Out-of-fold scores of 'finished' orders by boosted trees on their items' features."""
+    rows = label_queries.wide(spark, sf_dir).select("id", *label_queries.FEATURES, (F.col("o_orderstatus") == "F").cast("double").alias("label"))
+    folded = splitting.deal(rows, ["label"], ["id"], 3)
+    return models.out_of_fold(folded, label_queries.FEATURES, "label", 3, iterations=5).select("id", "fold", "label", "score")
+
+
+@BOOK.enter()
+def pca_embedding(spark, sf_dir):
+    return models.principal_axes(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), "embedding").select("vec_id", *[r6(F.col(c)).alias(c) for c in "xyz"])
+
+
+@BOOK.enter()
+def bootstrap_ci(spark, sf_dir):
+    """Interval of the Brier score of each priority's scores."""
+    rows = label_queries.scores(spark, sf_dir)
+    return metrics.bootstrap(rows, ["class"], [F.pow(F.col("p") - F.col("y"), 2), F.lit(1.0)], lambda s, n: s / n, replicates=200)
+
+
+@BOOK.enter("SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def streaming_window_counts(spark, sf_dir):
+    counts = alerts.windowed_counts(alerts.read_events(spark, sf_dir))
+    done = alerts.drained(counts, _folder(spark, "stream-counts"), "complete")
+    return done.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+@BOOK.enter(
+    f"""WITH {series_queries.BASE}, g AS (SELECT user_id, k, ts, last_value(v IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS g FROM s), c AS (SELECT *, CASE WHEN g IS NOT NULL THEN least(1.0, g / 200.0) END AS p FROM g), d AS (
+  SELECT *, p >= 0.3 AND lag(p) OVER (PARTITION BY user_id ORDER BY k) >= 0.3 AS hit FROM c) SELECT user_id, min(k) AS first_k, min(ts) AS first_ts FROM d WHERE hit GROUP BY user_id"""
+)
+def streaming_first_alert(spark, sf_dir):
+    """The strictly causal form: a leading gap stays open, as a stream cannot fill it from what has not come yet."""
+    found = alerts.drained(alerts.alerting(alerts.read_events(spark, sf_dir)), _folder(spark, "stream-alerts"), "append")
+    return found.select("user_id", "first_k", F.col("first_ts").cast("timestamp_ntz").alias("first_ts"))
