@@ -17,8 +17,9 @@ begins in a document with a smaller id; windows are those of the input.
    and streams its regions through it; what comes out is every occurrence of every passage.
 5. Occurrences go back to the documents that hold the region, and each text is cut once.
 
-A shard holds at most about ``SHARD_WINDOWS`` windows and ``SHARD_REGIONS`` regions; the number of
-shards grows with the corpus.
+A shard holds about ``SHARD_WINDOWS`` windows and ``SHARD_REGIONS`` regions (a busy anchor's at most
+``BUSY_REGIONS``); the number of shards grows with the corpus.  Shards are small because a state of
+the automaton looks through its successors one by one, and the first has one for every first word.
 
 Defined cases: null is the empty text; a text of fewer than ``window`` words loses nothing.  Rows
 with equal ids are one document each, neither before the other; a null id comes after all others.
@@ -42,7 +43,7 @@ from .storage import stored
 WINDOW, ANCHOR = 13, 6
 SPREAD = WINDOW - ANCHOR + 1
 MOST_BITS = 1 << 28
-SHARD_WINDOWS, SHARD_REGIONS = 40_000, 60_000
+SHARD_WINDOWS, SHARD_REGIONS, BUSY_REGIONS = 1_500, 3_000, 15_000
 LAST_ID = np.iinfo(np.int64).max
 
 
@@ -85,7 +86,7 @@ def recurring_anchors(documents: DataFrame) -> DataFrame:
                 words = kernel.split_words(texts)
                 anchor, at = anchors(kernel.word_hashes(words), words.doc)
                 first, _ = _runs(anchor, at, words.doc)
-                own = text_hashes(texts)[words.doc[at[first]]]
+                own = text_hashes(texts).view(np.int64)[words.doc[at[first]]]
                 order = np.lexsort((own, anchor[first]))
                 a, t = anchor[first][order], own[order]
                 new = np.ones(len(a), bool)
@@ -93,10 +94,10 @@ def recurring_anchors(documents: DataFrame) -> DataFrame:
                 start = np.flatnonzero(new)
                 if len(start):
                     stop = np.append(start[1:], len(a)) - 1
-                    yield pa.RecordBatch.from_arrays([pa.array(a[start].view(np.int64)), pa.array(t[start].view(np.int64)), pa.array(t[stop].view(np.int64))], ["anchor", "low", "high"])
+                    yield pa.RecordBatch.from_arrays([pa.array(a[start].view(np.int64)), pa.array(t[start]), pa.array(t[stop])], ["anchor", "low", "high"])
 
     seen = documents.mapInArrow(scan, "anchor long, low long, high long")
-    return seen.groupBy("anchor").agg(F.min("low").alias("low"), F.max("low").alias("low2"), F.min("high").alias("high2"), F.max("high").alias("high")).where("low <> high or low <> low2 or high <> high2").select("anchor")
+    return seen.groupBy("anchor").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("anchor")
 
 
 def regions_of(documents: DataFrame, bitmap) -> DataFrame:
@@ -190,14 +191,18 @@ def find_in_shard(flat: np.ndarray, size: np.ndarray, windows: np.ndarray, least
     for number, b in zip(chosen.tolist(), begin.tolist(), strict=True):
         automaton.add_word(tuple(as_list[b : b + WINDOW]), number)
     automaton.make_automaton()
-    spaced = np.zeros(len(flat) + len(size), np.int64)
-    start = np.cumsum(size + 1) - size - 1
-    spaced[np.arange(len(flat)) + np.repeat(np.arange(len(size)), size)] = flat
+    # Regions of which no window's hash is confirmed hold no passage; the others are streamed.
+    live = np.zeros(len(size), bool)
+    live[owner[known]] = True
+    stream, length = flat[np.repeat(live, size)], size[live]
+    spaced = np.zeros(len(stream) + len(length), np.int64)
+    start = np.cumsum(length + 1) - length - 1
+    spaced[np.arange(len(stream)) + np.repeat(np.arange(len(length)), length)] = stream
     found = list(automaton.iter(tuple(spaced.tolist())))
     end = np.fromiter((e for e, _ in found), np.int64, len(found))
     number = np.fromiter((n for _, n in found), np.int64, len(found))
-    region = np.searchsorted(start, end, "right") - 1
-    return region, end - WINDOW + 1 - start[region], least[number]
+    at = np.searchsorted(start, end, "right") - 1
+    return np.flatnonzero(live)[at], end - WINDOW + 1 - start[at], least[number]
 
 
 def occurrences(regions: DataFrame, confirmed: DataFrame) -> DataFrame:
@@ -205,7 +210,7 @@ def occurrences(regions: DataFrame, confirmed: DataFrame) -> DataFrame:
     n_windows, n_regions = confirmed.count(), regions.count()
     shards = max(1, -(-n_windows // SHARD_WINDOWS), -(-n_regions // SHARD_REGIONS))
     # Anchors with very many different regions get several shards; their windows go to each of them.
-    busy = regions.groupBy("anchor").count().where(F.col("count") > SHARD_REGIONS // 4).select("anchor", F.ceil(F.col("count") / (SHARD_REGIONS // 4)).cast("int").alias("salts"))
+    busy = regions.groupBy("anchor").count().where(F.col("count") > BUSY_REGIONS).select("anchor", F.ceil(F.col("count") / BUSY_REGIONS).cast("int").alias("salts"))
     salted = regions.join(busy, "anchor", "left").select("anchor", F.pmod("region", F.coalesce("salts", F.lit(1))).cast("int").alias("salt"), "region", "words")
     spread = confirmed.join(busy, "anchor", "left").select("anchor", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"), "window", "least")
     shard = F.pmod(F.xxhash64("anchor", "salt"), F.lit(shards)).cast("int")
@@ -252,12 +257,17 @@ def occurrences(regions: DataFrame, confirmed: DataFrame) -> DataFrame:
     return rows.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(search, "region long, places array<int>, least array<long>")
 
 
-def _cut(words: kernel.Words, k: int, bounds: np.ndarray, gone: np.ndarray) -> tuple[int, str, bytes]:
-    """Number of removed words of text ``k``, and the SHA-256 and the bytes of the kept ones, joined by blanks."""
-    a, b = bounds[k], bounds[k + 1]
-    keep = np.flatnonzero(~gone) + a
-    kept = b" ".join([words.data[s:e].tobytes() for s, e in zip(words.start[keep].tolist(), words.end[keep].tolist(), strict=True)]) if len(keep) else b""
-    return int(b - a - len(keep)), hashlib.sha256(kept).hexdigest(), kept
+def kept_texts(words: kernel.Words, keep: np.ndarray) -> tuple[memoryview, np.ndarray]:
+    """Kept words of each text on end, joined by blanks, and where each text begins (and the last ends, each with a blank after it)."""
+    start, length = words.start[keep], (words.end - words.start)[keep]
+    place = np.cumsum(length + 1) - length - 1
+    total = int(length.sum() + len(length))
+    joined = np.full(total, 32, np.uint8)
+    shift = np.repeat(start - place, length)
+    inside = np.arange(int(length.sum())) + np.repeat(np.arange(len(length)), length)
+    joined[inside] = words.data[inside + shift]
+    size = np.bincount(words.doc[keep], weights=length + 1, minlength=len(words.texts)).astype(np.int64)
+    return memoryview(joined.tobytes()), np.concatenate([[0], np.cumsum(size)])
 
 
 def removals(documents: DataFrame) -> DataFrame:
@@ -284,8 +294,9 @@ def removals(documents: DataFrame) -> DataFrame:
     return windows.join(copies, ["doc_id", "text_hash"], "full").select("doc_id", "text_hash", F.coalesce("whole", F.lit(False)).alias("whole"), "starts")
 
 
-def deduplicate(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``doc_id, n_words, n_removed, kept_sha256, kept`` of every document, ``kept`` being the kept words joined by blanks."""
+def deduplicate(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", with_text: bool = True) -> DataFrame:
+    """``doc_id, n_words, n_removed, kept_sha256`` of every document, and ``with_text`` ``kept``, the kept words joined by blanks."""
+    names = ["doc_id", "n_words", "n_removed", "kept_sha256"] + ["kept"] * with_text
     spark = documents.sparkSession
     docs = documents.select(F.coalesce(documents[id_column].cast("long"), F.lit(int(LAST_ID))).alias("doc_id"), documents[text_column].alias("text"))
     work = stored(removals(docs), "repeats-removals")
@@ -293,15 +304,14 @@ def deduplicate(documents: DataFrame, *, id_column: str = "doc_id", text_column:
     touched = spark.sparkContext.broadcast(build_bitmap(work.select(F.xxhash64("doc_id").alias("key")), 1 << 24))
     keyed = docs.withColumn("key", F.xxhash64("doc_id"))
 
-    def result(ids, words, rows, gone):
-        bounds = words.firsts()
-        n = np.diff(bounds)[rows]
-        cuts = [_cut(words, k, bounds, g) for k, g in zip(rows.tolist(), gone, strict=True)]
-        missing = ids == LAST_ID
-        return pa.RecordBatch.from_arrays(
-            [pa.array(ids, mask=missing), pa.array(n), pa.array([c[0] for c in cuts], pa.int64()), pa.array([c[1] for c in cuts], pa.string()), pa.array([c[2] for c in cuts], pa.binary()).cast(pa.string())],
-            ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"],
-        )
+    def result(ids, words, gone):
+        raw, bounds = kept_texts(words, np.flatnonzero(~gone))
+        n, removed = words.counts(), np.bincount(words.doc[gone], minlength=len(words.texts))
+        kept = [raw[a : max(a, b - 1)] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+        columns = [pa.array(ids, mask=ids == LAST_ID), pa.array(n), pa.array(removed), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
+        if with_text:
+            columns.append(pa.array([k.tobytes() for k in kept], pa.binary()).cast(pa.string()))
+        return pa.RecordBatch.from_arrays(columns, names)
 
     def untouched(batches):
         for batch in batches:
@@ -310,8 +320,7 @@ def deduplicate(documents: DataFrame, *, id_column: str = "doc_id", text_column:
             part = batch.filter(pa.array(free))
             for texts in kernel.text_slices(part.column(1)):
                 words = kernel.split_words(texts)
-                rows = np.arange(len(texts))
-                yield result(ids[free][texts.first_row : texts.first_row + len(texts)], words, rows, [np.zeros(n, bool) for n in words.counts()])
+                yield result(ids[free][texts.first_row : texts.first_row + len(texts)], words, np.zeros(len(words.start), bool))
 
     def maybe(batches):
         schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("text_hash", pa.int64())])
@@ -327,18 +336,18 @@ def deduplicate(documents: DataFrame, *, id_column: str = "doc_id", text_column:
             starts, whole = batch.column(2), batch.column(3).to_pylist()
             for texts in kernel.text_slices(batch.column(1)):
                 words = kernel.split_words(texts)
-                gone = []
-                for k, n in enumerate(words.counts().tolist()):
-                    row = texts.first_row + k
-                    if whole[row] and n >= WINDOW:
-                        gone.append(np.ones(n, bool))
-                    elif starts[row].is_valid and not whole[row]:
-                        gone.append(kernel.covered(starts[row].values.to_numpy().astype(np.int64), WINDOW, n))
-                    else:
-                        gone.append(np.zeros(n, bool))
-                yield result(ids[texts.first_row : texts.first_row + len(texts)], words, np.arange(len(texts)), gone)
-
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
+                gone = np.zeros(len(words.start), bool)
+                bounds = words.firsts()
+                for k in range(len(texts)):
+                    row, own = texts.first_row + k, slice(int(bounds[k]), int(bounds[k + 1]))
+                    n = own.stop - own.start
+                    if whole[row]:
+                        gone[own] = n >= WINDOW
+                    elif starts[row].is_valid:
+                        gone[own] = kernel.covered(starts[row].values.to_numpy().astype(np.int64), WINDOW, n)
+                yield result(ids[texts.first_row : texts.first_row + len(texts)], words, gone)
+
+    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept string" * with_text
     lost = keyed.mapInArrow(maybe, "doc_id long, text string, text_hash long").join(work, ["doc_id", "text_hash"], "left").select("doc_id", "text", "starts", "whole")
     return keyed.mapInArrow(untouched, schema).unionByName(lost.mapInArrow(cut, schema))
 
@@ -365,11 +374,15 @@ def remove_repeats(documents: DataFrame, *, id_column: str = "doc_id", text_colu
                     continue
                 words = kernel.split_words(texts)
                 bounds = words.firsts()
+                gone = np.zeros(len(words.start), bool)
+                for k in rows:
+                    row, own = texts.first_row + k, slice(int(bounds[k]), int(bounds[k + 1]))
+                    n = own.stop - own.start
+                    gone[own] = n >= WINDOW if whole[row] else kernel.covered(starts[row].values.to_numpy().astype(np.int64), WINDOW, n)
+                raw, places = kept_texts(words, np.flatnonzero(~gone))
                 for k in rows:
-                    row, n = texts.first_row + k, int(bounds[k + 1] - bounds[k])
-                    gone = np.full(n, n >= WINDOW) if whole[row] else kernel.covered(starts[row].values.to_numpy().astype(np.int64), WINDOW, n)
-                    if gone.any():
-                        out[row] = _cut(words, k, bounds, gone)[2].decode("utf-8")
+                    if gone[bounds[k] : bounds[k + 1]].any():
+                        out[texts.first_row + k] = str(raw[places[k] : max(places[k], places[k + 1] - 1)], "utf-8")
             columns = [batch.column(c) for c in range(len(names))]
             columns[at_text] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names)
@@ -381,7 +394,7 @@ def remove_repeats(documents: DataFrame, *, id_column: str = "doc_id", text_colu
 
 
 def op9_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicate(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return deduplicate(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_text=False)
 
 
 ORACLE_SQL = r"""
