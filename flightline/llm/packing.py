@@ -118,6 +118,8 @@ def solve(demand: np.ndarray, capacity: int, *, rounds: int = 40, step: float =
     the best, is used until one of its lengths has been covered by ``step`` more of its demand.
     """
     present = np.flatnonzero(demand)
+    if not len(present):
+        return {}
     weights = np.full(capacity + 1, -1.0)
     weights[present] = present / capacity
     cover = np.zeros(capacity + 1)
