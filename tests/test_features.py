@@ -1,0 +1,51 @@
+"""Causal features: equal to brute force, and unchanged when later samples are cut off."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from flightline.functions import features as ft
+
+
+def telemetry(spark, n=600, start=-3.0, seed=0):
+    rng = np.random.default_rng(seed)
+    names = [c.name for c in ft.CHANNELS]
+    rows = []
+    for k in range(n):
+        values = [None if rng.random() < 0.02 else float(v) for v in rng.normal(100, 20, len(names))]
+        rows.append((1, k, start + k / 50, *values))
+    return spark.createDataFrame(rows, "run long, k long, t double, " + ", ".join(f"{c} double" for c in names))
+
+
+def test_features_do_not_see_the_future(spark):
+    table = telemetry(spark).cache()
+    catalogue = ft.example_catalogue()
+    whole = {r["tick"]: r.asDict() for r in ft.feature_cube(table, catalogue).where("tick <= 12").collect()}
+    cut = {r["tick"]: r.asDict() for r in ft.feature_cube(table.where("k <= 300"), catalogue).collect()}
+    for tick, row in cut.items():
+        for name, value in row.items():
+            assert value == pytest.approx(whole[tick][name], abs=1e-9) if value is not None else whole[tick][name] is None, (tick, name)
+
+
+def test_generic_features_equal_brute_force(spark):
+    table = telemetry(spark)
+    pdf = table.orderBy("k").toPandas()
+    filled = pdf.ffill().bfill()
+    row = ft.feature_cube(table, ft.example_catalogue()).where("tick = 20").first()
+    inside = filled[(filled.t >= 0) & (filled.t < 6.5) & (filled.k <= 500)]["vibration"]
+    assert row["IGN__vibration__mean"] == pytest.approx(inside.mean()) and row["IGN__vibration__std"] == pytest.approx(inside.std(ddof=0)) and row["IGN__vibration__max"] == inside.max()
+    reached = filled[(filled.t >= 0) & (filled.t < 6.5) & (filled.k <= 500) & (filled.chamber_pressure >= 103.5)]
+    assert row["IGN__pressure__t90"] == pytest.approx(reached.t.min())
+
+
+def test_windows_that_have_not_begun_are_null(spark):
+    row = ft.feature_cube(telemetry(spark), ft.example_catalogue()).where("tick = 4").first()
+    assert row["ASC__vibration__mean"] is None and row["IGN__vibration__mean"] is None and row["FLT__deviation__now"] is None and row["CD__bus_voltage__mean"] is not None
+
+
+def test_labels_and_training_ticks(spark):
+    ticks = spark.createDataFrame([(r, k, k / 2) for r in (1, 2) for k in range(40)], "run long, tick long, t_now double")
+    labelled = ft.row_labels(ticks, spark.createDataFrame([(1, "a", 5.0)], "run long, class string, manifest double"), ["a", "b"])
+    assert labelled.agg(F.sum("a"), F.sum("b")).first() == (30, 0)
+    chosen = ft.training_ticks(ticks, [0, 39], 5)
+    assert chosen.groupBy("run").count().where("count between 5 and 7").count() == 2 and chosen.where("tick in (0, 39)").count() == 4
