@@ -194,4 +194,64 @@ def judge(documents: DataFrame, *, id_column: str = "doc_id", text_column: str =
 
 
 def op2_distribution_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    judged = judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return judged.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
+
+
+ORACLE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, list_slice(w, i, i + 2) AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)
+), twice AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM windows) WHERE n > 1
+), rep AS (
+  SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id
+), lines AS (
+  SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY doc_id
+), base AS (
+  SELECT d.doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(lines.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, length(t) AS n_chars
+  FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN lines USING (doc_id)
+), letters AS (
+  SELECT doc_id, lang, c, CASE
+    WHEN unicode(c) >= 448 OR (unicode(c) >= 128 AND unicode(c) < 192) OR unicode(c) < 9 OR unicode(c) BETWEEN 11 AND 12 OR unicode(c) BETWEEN 14 AND 31 OR unicode(c) = 127 THEN 10
+    WHEN unicode(c) >= 192 THEN 9 WHEN c IN ('a', 'e', 'i', 'o', 'u', 'y') THEN 0 WHEN c BETWEEN 'a' AND 'z' THEN 1 WHEN c BETWEEN 'A' AND 'Z' THEN 2 WHEN c BETWEEN '0' AND '9' THEN 3
+    WHEN unicode(c) IN (9, 32) THEN 4 WHEN unicode(c) IN (10, 13) THEN 5 WHEN c IN ('.', ',', ';', ':', '!', '?') THEN 6 WHEN regexp_matches(c, '[#*$%&|<>@^~=+\\_{}\[\]`]') THEN 8 ELSE 7 END AS cell
+  FROM (SELECT doc_id, lang, unnest(regexp_extract_all(t, '(?s).')) AS c FROM d)
+), tok AS (
+  SELECT doc_id, lang, word FROM (SELECT doc_id, lang, trim(translate(unnest(w), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~') AS word FROM d) WHERE word <> ''
+), totals AS (
+  SELECT lang, count(*) AS total FROM tok WHERE lang IS NOT NULL GROUP BY lang
+), refs AS (
+  SELECT lang AS ref, total FROM totals WHERE total >= 0.001 * (SELECT sum(total) FROM totals)
+), pairs AS (
+  SELECT doc_id, ref, total FROM base JOIN refs ON base.lang = refs.ref OR base.lang IS NULL OR base.lang NOT IN (SELECT ref FROM refs)
+), common AS (
+  SELECT ref, word, n / total AS q FROM (SELECT lang, word, count(*) AS n FROM tok GROUP BY 1, 2) x JOIN refs ON x.lang = refs.ref WHERE n >= total * 0.002
+), own AS (
+  SELECT doc_id, word, count(*) AS n FROM tok GROUP BY 1, 2
+), size AS (
+  SELECT doc_id, sum(n) AS n FROM own GROUP BY 1
+), wcells AS (
+  SELECT p.doc_id, p.ref, coalesce(own.n, 0) / greatest(1, coalesce(size.n, 0)) AS p, c.q, size.n AS words FROM pairs p JOIN common c USING (ref) LEFT JOIN own ON own.doc_id = p.doc_id AND own.word = c.word LEFT JOIN size ON size.doc_id = p.doc_id
+), wall AS (
+  SELECT doc_id, ref, p, q FROM wcells UNION ALL SELECT doc_id, ref, CASE WHEN any_value(words) > 0 THEN greatest(0, 1 - sum(p)) ELSE 0 END, 1 - sum(q) FROM wcells GROUP BY 1, 2
+), wdist AS (
+  SELECT doc_id, ref, sqrt(greatest(0, least(1, sum(CASE WHEN p > 1e-12 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2))) AS dist FROM wall GROUP BY 1, 2
+), lref AS (
+  SELECT lang AS ref, cell, count(*) / sum(count(*)) OVER (PARTITION BY lang) AS q FROM letters WHERE lang IN (SELECT ref FROM refs) GROUP BY 1, 2
+), lown AS (
+  SELECT doc_id, cell, count(*) / sum(count(*)) OVER (PARTITION BY doc_id) AS p FROM letters GROUP BY 1, 2
+), lcells AS (
+  SELECT p.doc_id, p.ref, k.cell, coalesce(lown.p, 0) AS p, coalesce(lref.q, 0) AS q FROM pairs p CROSS JOIN range(0, 11) AS k(cell) LEFT JOIN lown ON lown.doc_id = p.doc_id AND lown.cell = k.cell LEFT JOIN lref ON lref.ref = p.ref AND lref.cell = k.cell
+), ldist AS (
+  SELECT doc_id, ref, sqrt(greatest(0, least(1, sum(CASE WHEN p > 0 THEN p * log2(p / ((p + q) / 2)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(q / ((p + q) / 2)) ELSE 0 END) / 2))) AS dist FROM lcells GROUP BY 1, 2
+), best AS (
+  SELECT base.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, (SELECT min(dist) FROM ldist WHERE ldist.doc_id = base.doc_id) AS cd, (SELECT min(dist) FROM wdist WHERE wdist.doc_id = base.doc_id) AS wd FROM base
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT coalesce(cd > 0.25 AND n_chars >= 200, false) AND NOT coalesce(wd > 0.1 + 2.4 / sqrt(greatest(1, n_words)) AND n_words >= 50, false) AS kept,
+       round(cd, 6) AS class_distance, round(wd, 6) AS word_distance
+FROM best
+"""
