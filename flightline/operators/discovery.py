@@ -66,8 +66,9 @@ def sweep(obs: DataFrame, points: int = 50) -> DataFrame:
     t = lambda i: F.col("lo") + (F.col("hi") - F.col("lo")) * i / (points + 1)
     guess = F.floor((F.col("value") - F.col("lo")) / (F.col("hi") - F.col("lo")) * (points + 1)).cast("int")
     # Thresholds strictly below the value, and those at or below it; rounding is settled by comparing with the grid.
-    below = F.aggregate(F.sequence(guess - 1, guess + 1), F.lit(0), lambda acc, i: F.greatest(acc, F.when((i >= 1) & (i <= points) & (F.col("value") > t(i)), i).otherwise(0)))
-    reached = F.aggregate(F.sequence(guess - 1, guess + 1), F.lit(0), lambda acc, i: F.greatest(acc, F.when((i >= 1) & (i <= points) & (F.col("value") >= t(i)), i).otherwise(0)))
+    near = [guess - 1, guess, guess + 1]
+    below = F.greatest(*[F.when((i >= 1) & (i <= points) & (F.col("value") > t(i)), i).otherwise(0) for i in near])
+    reached = F.greatest(*[F.when((i >= 1) & (i <= points) & (F.col("value") >= t(i)), i).otherwise(0) for i in near])
     placed = obs.join(scale.select("class", "feature", "lo", "hi"), ["class", "feature"]).withColumns({"below": below, "reached": reached})
     cells = placed.groupBy("class", "feature", "below", "reached").agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("c"))
     grid = scale.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(points))))
