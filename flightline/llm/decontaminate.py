@@ -210,3 +210,36 @@ def remove_contaminated(documents: DataFrame, benchmark: DataFrame, **options) -
 
 def op1_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+ORACLE_SQL = r"""
+WITH dt AS (
+  SELECT doc_id, list_filter(list_transform(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), lambda x: trim(x, '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~')), lambda x: x <> '') AS w FROM documents
+), it AS (
+  SELECT item_id, list_filter(list_transform(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), lambda x: trim(x, '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~')), lambda x: x <> '') AS w FROM benchmark
+), dp AS (
+  SELECT doc_id, w, unnest(range(0, len(w) - 7)) AS p FROM dt WHERE len(w) >= 8
+), ip AS (
+  SELECT item_id, w, unnest(range(0, len(w) - 7)) AS p FROM it WHERE len(w) >= 8
+), ds AS (
+  SELECT doc_id, p, 0 AS m, concat_ws(' ', w[p + 1], w[p + 2], w[p + 3], w[p + 5], w[p + 7], w[p + 8]) AS seed FROM dp
+  UNION ALL SELECT doc_id, p, 1, concat_ws(' ', w[p + 1], w[p + 2], w[p + 5], w[p + 6], w[p + 7], w[p + 8]) FROM dp
+), se AS (
+  SELECT item_id, p, 0 AS m, concat_ws(' ', w[p + 1], w[p + 2], w[p + 3], w[p + 5], w[p + 7], w[p + 8]) AS seed FROM ip
+  UNION ALL SELECT item_id, p, 1, concat_ws(' ', w[p + 1], w[p + 2], w[p + 5], w[p + 6], w[p + 7], w[p + 8]) FROM ip
+), pairs AS (
+  SELECT DISTINCT ds.doc_id, se.item_id, ds.p - se.p AS diagonal FROM ds JOIN se ON ds.seed = se.seed AND ds.m = se.m
+), laid AS (
+  SELECT doc_id, item_id, diagonal, j, len(iw) AS size, CAST(iw[j + 1] = dw[j + diagonal + 1] AS INT) AS e
+  FROM (SELECT p.*, dt.w AS dw, it.w AS iw, unnest(range(greatest(0, -diagonal), least(len(it.w), len(dt.w) - diagonal))) AS j FROM pairs p JOIN dt USING (doc_id) JOIN it USING (item_id))
+), starts AS (
+  SELECT *, CASE WHEN size >= 13 THEN CAST(count(*) OVER f = 13 AND sum(e) OVER f >= 11 AS INT) ELSE CAST(count(*) OVER a = size AND sum(e) OVER a >= ceil(11 * size / 13) AS INT) END AS good
+  FROM laid WINDOW f AS (PARTITION BY doc_id, item_id, diagonal ORDER BY j ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING), a AS (PARTITION BY doc_id, item_id, diagonal)
+), inside AS (
+  SELECT * FROM (SELECT *, max(good) OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY j ROWS BETWEEN 12 PRECEDING AND CURRENT ROW) AS covered FROM starts) WHERE covered = 1
+), islands AS (
+  SELECT *, j - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY j) AS island FROM inside
+)
+SELECT DISTINCT doc_id, item_id, CAST(min(j) + diagonal AS BIGINT) AS doc_start, CAST(min(j) AS BIGINT) AS item_start, CAST(count(*) AS BIGINT) AS n_tokens, CAST(sum(e) AS BIGINT) AS n_equal
+FROM islands GROUP BY doc_id, item_id, diagonal, island
+"""
