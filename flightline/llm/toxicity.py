@@ -228,7 +228,8 @@ def training_rows(documents: DataFrame, labels: DataFrame, most_rows: int, folds
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("label")).where("label in (0, 1)").where(key % folds != 0)
     # A top-k by hash: each task keeps its lowest, so no exchange holds more than that.
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
-    return some.join(documents.select("doc_id", "text"), "doc_id").select("text", "label")
+    # At most most_rows ids are broadcast, so that the texts need no exchange.
+    return documents.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("text", "label")
 
 
 def learn_insults(rows: DataFrame, *, least_support: int = 12, least_odds: float = 2.5) -> tuple[dict[str, float], dict[bytes, float]]:
