@@ -289,7 +289,8 @@ def removals(documents: DataFrame) -> DataFrame:
     later = F.transform(F.filter(F.arrays_zip("places", "least"), lambda x: x["least"] < F.col("doc_id")), lambda x: x["places"] + F.col("at"))
     windows = met.select("doc_id", "text_hash", later.alias("starts")).where(F.size("starts") > 0).groupBy("doc_id", "text_hash").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     texts = table.where("anchor is null").select("doc_id", "text_hash")
-    first = texts.groupBy("text_hash").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1")
+    # Stored, so that both sides of the join below are plain exchanges and a text with very many copies can be split.
+    first = stored(texts.groupBy("text_hash").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")).where("copies > 1"), "repeats-copies")
     copies = texts.join(first, "text_hash").where("doc_id > first").select("doc_id", "text_hash").distinct().withColumn("whole", F.lit(True))
     return windows.join(copies, ["doc_id", "text_hash"], "full").select("doc_id", "text_hash", F.coalesce("whole", F.lit(False)).alias("whole"), "starts")
 
