@@ -13,7 +13,7 @@ from itertools import chain
 
 import numpy as np
 
-LIMIT = 1_500_000
+LIMIT = 1_000_000
 
 
 class PieceTable:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -120,7 +120,10 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     if not len(start):
         return np.zeros(0, np.uint64)
     running = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE_CODE[data] * _power("up", _BASE, n), out=running[1:])
+    codes = _BYTE_CODE[data]
+    codes *= _power("up", _BASE, n)
+    np.cumsum(codes, out=running[1:])
+    del codes
     h = (running[end] - running[start]) * _power("down", _BASE_INVERSE, n + 1)[start]
     return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 

@@ -7,10 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bloom_cascade, decontaminate, divergence, katz, packing, prefix_counts, repeats, simhash, toxicity, warc
+from .storage import bounded_batches
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def _bounded(query: Query) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        bounded_batches(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+def queries() -> dict[str, Query]:
+    every = {
         "op1_spaced_seeds": decontaminate.op1_spaced_seeds,
         "op2_distribution_divergence": divergence.op2_distribution_divergence,
         "op3_generalised_pigeonhole": simhash.op3_generalised_pigeonhole,
@@ -22,10 +34,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_phrase_automata": repeats.op9_phrase_automata,
         "op10_configuration_packing": packing.op10_configuration_packing,
     }
+    return {name: _bounded(query) for name, query in every.items()}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_spaced_seeds": decontaminate.ORACLE_SQL,
+        "op2_distribution_divergence": divergence.ORACLE_SQL,
         "op4_warc_revisits": warc.ORACLE_SQL,
         "op6_bloom_cascade": bloom_cascade.ORACLE_SQL,
         "op9_phrase_automata": repeats.ORACLE_SQL,

@@ -31,6 +31,8 @@ def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_columns_like(df: DataFrame, *needed: str) -> DataFrame:
-    """Only the columns an operator needs; whatever else a table carries, and under whatever name, stays out."""
-    return df.select(*[df[c] for c in needed])
+def bounded_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of at most ``rows`` rows: texts are long, and JVM and worker each hold a batch whole."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
