@@ -1,7 +1,7 @@
 """Katz backoff scores from Good-Turing discounted n-gram counts (words and pairs of words).
 
-p(w|v) is d(c) * c(v,w) / c(v) for pairs counted ``LEAST_PAIR`` times or more in training, and
-a(v) * p(w) for all others, where a(v) makes p(.|v) add up to one exactly; p(w) is d(c) * c(w) / N
+p(w|v) is d(c) * c(v,w) / c(v) for pairs counted ``least_pair`` times or more in training (once, in
+the registered query), and a(v) * p(w) for all others, where a(v) makes p(.|v) add up to one exactly; p(w) is d(c) * c(w) / N
 for known words, and what the discounts leave is the probability of the one unknown word.  A text
 is w1 ... wn and an end, read after a start.
 
@@ -11,9 +11,9 @@ own.  For the pair (v, w) it adds ``log p(v)`` for its first word and, by the re
 that is asked stands with the pair's first word.
 
 Data flow.  Pairs are packed in blocks of documents: for each bucket (by the first word) one binary
-row with the distinct pairs and which documents have them.  That table is stored bucketed, with the
-counts and the model beside it in the same buckets, so counting, normalising and scoring are joined
-without an exchange of the pairs.  Words that make up more than 1 / (4 * buckets) of the corpus (at
+row with the distinct pairs and which documents have them.  That table is stored bucketed and never
+exchanged: each bucket counts its pairs and asks for the p(w) of its distinct second words, and
+scoring counts again and normalises with the answers, so no row is ever made for a pair.  Words that make up more than 1 / (4 * buckets) of the corpus (at
 most that many, so they may be broadcast) are dealt by the pair instead, which splits the hot ones.
 Second words are told apart by 48 bits of their hash within a pair, first words by 64.
 
@@ -37,7 +37,7 @@ from . import kernel
 from .storage import new_path, stored
 
 START, END = np.uint64(0x5A17_0000_0000_0001), np.uint64(0xE2D0_0000_0000_0001)
-LEAST_PAIR, GOOD_TURING_TO = 2, 5
+GOOD_TURING_TO = 5
 BLOCK_TOKENS = 1 << 20
 LOG10 = np.log(10)
 
@@ -63,6 +63,11 @@ def good_turing(counts_of_counts: dict[int, int], least: int = 1, up_to: int = G
     return d
 
 
+def discounted(c: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """d(c) * c for counts of 1 or more."""
+    return np.where(c > GOOD_TURING_TO, c, c * d[np.minimum(c, GOOD_TURING_TO)])
+
+
 @dataclass
 class WordStats:
     """What training tells of single words: N, V, the discounts, the unknown word's probability, and the heavy words."""
@@ -75,12 +80,13 @@ class WordStats:
     texts: int
     heavy: dict[int, int] = field(default_factory=dict)
 
-    def log_p(self, c: np.ndarray) -> np.ndarray:
-        """Natural logarithm of p(w) from the count of w (0: unknown)."""
+    def p(self, c: np.ndarray) -> np.ndarray:
+        """p(w) from the count of w (0: unknown)."""
         c = np.asarray(c)
-        known = np.maximum(1, c) * self.discount[np.minimum(np.maximum(c, 1), GOOD_TURING_TO)] / self.total
-        known = np.where(c > GOOD_TURING_TO, c / self.total, known)
-        return np.log(np.where(c > 0, known, self.unknown))
+        return np.where(c > 0, discounted(np.maximum(c, 1), self.discount) / self.total, self.unknown)
+
+    def log_p(self, c: np.ndarray) -> np.ndarray:
+        return np.log(self.p(c))
 
     def log_base(self, c: np.ndarray) -> np.ndarray:
         return np.log((np.asarray(c) + 0.5) / (self.tokens + 0.5 * (self.types + 1)))
@@ -251,41 +257,104 @@ def _bucketed(rows: DataFrame, name: str, partitions: int) -> DataFrame:
     return rows.sparkSession.table(table)
 
 
-def pair_counts(pairs: DataFrame) -> DataFrame:
-    """``bucket, v, s, c`` of the pairs counted ``LEAST_PAIR`` times or more in training, and rows with null ``v`` that hold, for c = 1 ... , how many pairs have it (in ``s``)."""
-
-    def count(table: pa.Table) -> pa.Table:
-        blocks = [unpack_block(x.as_py()) for x in table.column("pairs")]
-        v, s = np.concatenate([b.v for b in blocks]), np.concatenate([b.s for b in blocks])
-        c = np.concatenate([np.add.reduceat(b.train[b.doc].astype(np.int64), np.cumsum(b.times) - b.times) for b in blocks])
-        order = np.lexsort((s, v))
-        v, s, c = v[order], s[order], c[order]
-        new = np.ones(len(v), bool)
-        new[1:] = (v[1:] != v[:-1]) | (s[1:] != s[:-1])
-        at = np.flatnonzero(new)
+def training_pairs(blocks: list[Block], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``v, s, c`` of the pairs of one bucket counted ``least`` times or more in training, sorted, and how many pairs are counted 1, 2, ... times."""
+    v, s = np.concatenate([b.v for b in blocks]), np.concatenate([b.s for b in blocks])
+    c = np.concatenate([np.add.reduceat(b.train[b.doc].astype(np.int64), np.cumsum(b.times) - b.times) for b in blocks])
+    v, s, c = v[c > 0], s[c > 0], c[c > 0]
+    order = np.lexsort((s, v))
+    v, s, c = v[order], s[order], c[order]
+    del order
+    new = np.ones(len(v), bool)
+    new[1:] = (v[1:] != v[:-1]) | (s[1:] != s[:-1])
+    at = np.flatnonzero(new)
+    if len(at):
         v, s, c = v[at], s[at], np.add.reduceat(c, at)
-        low = np.bincount(np.minimum(c, GOOD_TURING_TO + 2), minlength=GOOD_TURING_TO + 3)[1 : GOOD_TURING_TO + 2]
-        keep = c >= LEAST_PAIR
-        r = np.arange(1, len(low) + 1)
-        mask = np.append(np.zeros(keep.sum(), bool), np.ones(len(r), bool))
-        return pa.table(
-            {
-                "bucket": pa.array(np.full(len(mask), table.column("bucket")[0].as_py(), np.int32)), "v": pa.array(np.append(v[keep].view(np.int64), r), mask=mask),
-                "s": pa.array(np.append(s[keep], low)), "c": pa.array(np.append(c[keep], r)),
-            }
-        )
+    low = np.bincount(np.minimum(c, GOOD_TURING_TO + 2), minlength=GOOD_TURING_TO + 3)[1 : GOOD_TURING_TO + 2]
+    keep = c >= least
+    return v[keep], s[keep], c[keep], low
+
 
-    return pairs.select("bucket", "pairs").groupBy("bucket").applyInArrow(count, "bucket int, v long, s long, c long")
+def by_part(s: np.ndarray, parts: int) -> np.ndarray:
+    """The distinct second words, in order of their part (``s % parts``)."""
+    s = np.unique(s)
+    return s[np.argsort(s % parts, kind="stable")]
+
+
+def asks(pairs: DataFrame, heavy: np.ndarray, least: int, parts: int) -> DataFrame:
+    """What the buckets' counts tell and ask: ``bucket, part, v, r, n, seconds, of_heavy``.
+
+    With null ``part``: ``n`` pairs of the bucket have count ``r``; with a heavy ``v``, ``n`` of its pairs, or for
+    ``r`` above the discounted counts their total.  Otherwise the distinct second words of the bucket in that part of
+    the words, and for each pair of a heavy word which of them it has.
+    """
+
+    def ask(table: pa.Table) -> pa.Table:
+        v, s, c, low = training_pairs([unpack_block(x.as_py()) for x in table.column("pairs")], least)
+        rows: list[tuple] = [(None, None, r, int(n), None, None) for r, n in enumerate(low, 1)]
+        seconds = by_part(s, parts)
+        at = np.minimum(np.searchsorted(heavy, v), max(0, len(heavy) - 1))
+        own = np.flatnonzero(heavy[at] == v) if len(heavy) else np.zeros(0, np.int64)
+        who, its = at[own], np.minimum(c[own], GOOD_TURING_TO + 1)
+        cells, cell = np.unique(who * (GOOD_TURING_TO + 2) + its, return_inverse=True)
+        sums = np.bincount(cell, weights=np.where(its > GOOD_TURING_TO, c[own], 1), minlength=len(cells)).astype(np.int64)
+        rows += [(None, int(heavy[k // (GOOD_TURING_TO + 2)].view(np.int64)), int(k % (GOOD_TURING_TO + 2)), int(n), None, None) for k, n in zip(cells, sums, strict=True)]
+        place = s[own] % parts
+        order = np.lexsort((s[own], place))
+        who, second_of, place = who[order], s[own][order], place[order]
+        part, first = np.unique(seconds % parts, return_index=True)
+        for p, lo, hi in zip(part.tolist(), first.tolist(), np.append(first, len(seconds))[1:].tolist(), strict=True):
+            a, b = np.searchsorted(place, [p, p + 1])
+            here = seconds[lo:hi]
+            packed = (here >> 32).astype("<u2").tobytes() + (here & 0xFFFFFFFF).astype("<u4").tobytes()
+            rows.append((p, None, None, None, packed, np.searchsorted(here, second_of[a:b]).astype("<u4").tobytes() + who[a:b].astype("<u4").tobytes()))
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        columns = [pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+        return pa.table([pa.array(np.full(len(rows), table.column("bucket")[0].as_py(), np.int32)), *columns], names=["bucket", "part", "v", "r", "n", "seconds", "of_heavy"])
+
+    return pairs.select("bucket", "pairs").groupBy("bucket").applyInArrow(ask, "bucket int, part int, v long, r long, n long, seconds binary, of_heavy binary")
+
+
+def answers(asked: DataFrame, words: DataFrame, stats: WordStats, heavy: np.ndarray, parts: int) -> DataFrame:
+    """``bucket, part, v, p, ps``: p(w) of the second words asked for, in their order, and of each heavy word the sum ``p`` over a part."""
+
+    def answer(asked: pa.Table, known: pa.Table) -> pa.Table:
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.binary())
+        names = ["bucket", "part", "v", "p", "ps"]
+        if not asked.num_rows:
+            return pa.table([pa.array([], k) for k in kinds], names=names)
+        word, which = np.unique(kernel.ints(known.column("s").combine_chunks()), return_inverse=True)
+        p = np.bincount(which, weights=stats.p(kernel.ints(known.column("c").combine_chunks())), minlength=len(word))
+        part, total = asked.column("part")[0].as_py(), np.zeros(len(heavy))
+        rows: list[tuple] = []
+        for bucket, raw, of_heavy in zip(asked.column("bucket").to_pylist(), asked.column("seconds"), asked.column("of_heavy"), strict=True):
+            raw, of_heavy = raw.as_py(), of_heavy.as_py()
+            n, m = len(raw) // 6, len(of_heavy) // 8
+            s = (np.frombuffer(raw, "<u2", n).astype(np.int64) << 32) | np.frombuffer(raw, "<u4", n, 2 * n)
+            own = p[np.searchsorted(word, s)]
+            total += np.bincount(np.frombuffer(of_heavy, "<u4", m, 4 * m), weights=own[np.frombuffer(of_heavy, "<u4", m)], minlength=len(heavy))
+            rows.append((bucket, part, None, None, own.astype("<f8").tobytes()))
+        rows += [(None, part, int(heavy[k].view(np.int64)), float(total[k]), None) for k in np.flatnonzero(total)]
+        return pa.table([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    s = F.shiftrightunsigned("word", 16)
+    by_word = words.select((s % parts).cast("int").alias("part"), s.alias("s"), "c")
+    own = asked.where("part is not null").select("bucket", "part", "seconds", "of_heavy")
+    return own.groupBy("part").cogroup(by_word.groupBy("part")).applyInArrow(answer, "bucket int, part int, v long, p double, ps binary")
 
 
 @dataclass
 class Model:
-    """``words`` (word, c); ``table`` (bucket, v, s, value, c): the gain ``log p(w|v) - log p(w)`` of a pair, or with null ``s`` ``log a(v)`` and the count of a word; those of heavy words; and the numbers."""
+    """``words`` (word, c); ``known`` (bucket, v, c, part, ps): the counts of light words, and the p(w) of each bucket's second words by part; log a(v) and divisor of heavy words; the pairs' discounts; and the numbers."""
 
     stats: WordStats
     words: DataFrame
-    table: DataFrame
+    known: DataFrame
     heavy_alpha: dict[int, float]
+    heavy_total: dict[int, float]
+    discount: np.ndarray
+    least: int
+    buckets: int
 
 
 def _alpha(kept: np.ndarray, likely: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -294,7 +363,7 @@ def _alpha(kept: np.ndarray, likely: np.ndarray, c: np.ndarray) -> tuple[np.ndar
     return np.log(np.maximum(1e-300, 1 - kept / total)) - np.log(np.maximum(1e-300, 1 - likely)), total
 
 
-def train(docs: DataFrame, buckets: int) -> tuple[Model, DataFrame]:
+def train(docs: DataFrame, buckets: int, least: int) -> tuple[Model, DataFrame]:
     """The model of the rows that are not held out, and the packed pairs of all rows."""
     names = bucket_names(docs.sparkSession, buckets)
     words = stored(word_counts(docs), "katz-words")
@@ -303,55 +372,25 @@ def train(docs: DataFrame, buckets: int) -> tuple[Model, DataFrame]:
     heavy_words[int(START.view(np.int64))] = stats.texts
     heavy = np.sort(np.array(list(heavy_words), np.int64).view(np.uint64))
     pairs = pack(docs, heavy, names)
-    counted = stored(pair_counts(pairs), "katz-pairs")
-    low: dict[int, int] = {r["c"]: r["n"] for r in counted.where("v is null").groupBy("c").agg(F.sum("s").alias("n")).collect()}
-    d = good_turing(low, LEAST_PAIR)
-    discount = F.when(F.col("c") > GOOD_TURING_TO, 1.0).otherwise(F.element_at(F.array(*[F.lit(float(x)) for x in d]), F.col("c").cast("int") + 1))
-    mass, unigram = F.lit(float(stats.total)), F.array(*[F.lit(float(x)) for x in stats.discount])
-    p_of = F.when(F.col("c") > GOOD_TURING_TO, F.col("c") / mass).otherwise(F.col("c") * F.element_at(unigram, F.col("c").cast("int") + 1) / mass)
-    by_second = words.select(F.shiftrightunsigned("word", 16).alias("s"), p_of.alias("p")).groupBy("s").agg(F.sum("p").alias("p"))
-    seen = counted.where("v is not null").join(by_second, "s").select("bucket", "v", "s", "p", (F.col("c") * discount).alias("kept"))
-    is_heavy = F.col("v").isin([int(x) for x in heavy.view(np.int64)])
-    seen = stored(seen, "katz-seen")
+    asked = stored(asks(pairs, heavy, least, buckets), "katz-asked")
+    told = asked.where("part is null").groupBy("v", "r").agg(F.sum("n").alias("n")).collect()  # at most 6 rows for each of 4 * buckets + 2
+    low = {r["r"]: r["n"] for r in told if r["v"] is None}
+    d = good_turing(low, least)
+    answered = stored(answers(asked, words, stats, heavy, buckets), "katz-answered")
     # Heavy first words: at most 4 * buckets + 1 rows.
+    kept: dict[int, float] = {}
+    for r in told:
+        if r["v"] is not None:
+            kept[r["v"]] = kept.get(r["v"], 0.0) + r["n"] * (r["r"] * float(d[r["r"]]) if r["r"] <= GOOD_TURING_TO else 1.0)
+    likely = {r["v"]: r["p"] for r in answered.where("v is not null").groupBy("v").agg(F.sum("p").alias("p")).collect()}
     alpha, total_of = {}, {}
-    for r in seen.where(is_heavy).groupBy("v").agg(F.sum("kept").alias("kept"), F.sum("p").alias("p")).collect():
-        c = float(heavy_words[r["v"]])
-        a, t = _alpha(np.array([r["kept"]]), np.array([r["p"]]), np.array([c]))
-        alpha[r["v"]], total_of[r["v"]] = float(a[0]), float(t[0])
+    for v in likely:
+        a, t = _alpha(np.array([kept[v]]), np.array([likely[v]]), np.array([float(heavy_words[v])]))
+        alpha[v], total_of[v] = float(a[0]), float(t[0])
     base = F.element_at(F.array(*[F.lit(int(x)) for x in names]), (F.shiftrightunsigned("word", 33) % buckets).cast("int") + 1)
-    singles = words.where(~F.col("word").isin(list(stats.heavy))).select(base.alias("bucket"), F.col("word").alias("v"), F.lit(None).cast("long").alias("s"), F.lit(None).cast("double").alias("p"), F.col("c").cast("double").alias("kept"))
-
-    def normalise(table: pa.Table) -> pa.Table:
-        """Rows of one bucket: pairs (s not null) and words; gives ``v, s, value, c``: the gain of a pair, or log a(v) of a word."""
-        v = table.column("v").combine_chunks().to_numpy().view(np.uint64)
-        single = table.column("s").combine_chunks().is_null().to_numpy(zero_copy_only=False)
-        s = kernel.ints(table.column("s").combine_chunks())
-        p = table.column("p").combine_chunks().fill_null(0.0).to_numpy()
-        kept = table.column("kept").combine_chunks().to_numpy()
-        own = np.argsort(v[single])
-        word, c = v[single][own], kept[single][own]
-        pv, ps, pp, pk = v[~single], s[~single], p[~single], kept[~single]
-        at = np.minimum(np.searchsorted(word, pv), max(0, len(word) - 1))
-        light = word[at] == pv if len(word) else np.zeros(len(pv), bool)
-        sum_kept = np.bincount(at[light], weights=pk[light], minlength=len(word))
-        sum_p = np.bincount(at[light], weights=pp[light], minlength=len(word))
-        log_alpha, total = _alpha(sum_kept, sum_p, c)
-        divisor = np.array([total_of.get(x, 1.0) for x in pv.view(np.int64).tolist()]) if not light.all() else np.ones(len(pv))
-        if len(word):
-            divisor = np.where(light, total[at], divisor)
-        gain = np.log(pk / divisor) - np.log(pp)
-        n = len(word)
-        return pa.table(
-            {
-                "bucket": pa.array(np.full(n + len(pv), table.column("bucket")[0].as_py(), np.int32)), "v": pa.array(np.append(word, pv).view(np.int64)),
-                "s": pa.array(np.append(np.zeros(n, np.int64), ps), mask=np.append(np.ones(n, bool), np.zeros(len(pv), bool))), "value": pa.array(np.append(log_alpha, gain)),
-                "c": pa.array(np.append(c.astype(np.int64), np.zeros(len(pv), np.int64))),
-            }
-        )
-
-    rows = seen.unionByName(singles).groupBy("bucket").applyInArrow(normalise, "bucket int, v long, s long, value double, c long")
-    return Model(stats, words, _bucketed(rows, "model", buckets), alpha), pairs
+    singles = words.where(~F.col("word").isin(list(stats.heavy))).select(base.alias("bucket"), F.col("word").alias("v"), "c", F.lit(None).cast("int").alias("part"), F.lit(None).cast("binary").alias("ps"))
+    by_bucket = answered.where("v is null").select("bucket", F.lit(None).cast("long").alias("v"), F.lit(None).cast("long").alias("c"), "part", "ps")
+    return Model(stats, words, by_bucket.unionByName(singles), alpha, total_of, d, least, buckets), pairs
 
 
 def score(pairs: DataFrame, model: Model) -> DataFrame:
@@ -362,6 +401,8 @@ def score(pairs: DataFrame, model: Model) -> DataFrame:
     heavy = np.sort(np.array([*heavy_c, start], np.int64).view(np.uint64))
     heavy_counts = np.array([heavy_c.get(int(x), 0) for x in heavy.view(np.int64)], np.int64)
     heavy_alpha = np.array([model.heavy_alpha.get(int(x), 0.0) for x in heavy.view(np.int64)])
+    heavy_total = np.array([model.heavy_total.get(int(x), 1.0) for x in heavy.view(np.int64)])
+    discount, least, parts = model.discount, model.least, model.buckets
     end_count = np.array([stats.texts])
     end_known, end_base, end_log = int(stats.texts > 0), float(stats.log_base(end_count)[0]), float(stats.log_p(end_count)[0])
 
@@ -371,19 +412,35 @@ def score(pairs: DataFrame, model: Model) -> DataFrame:
     def part(asked: pa.Table, known: pa.Table) -> pa.Table:
         if not asked.num_rows:
             return pa.table({"block": pa.array([], pa.int64()), "sums": pa.array([], pa.binary())})
-        v = known.column("v").combine_chunks().to_numpy().view(np.uint64)
-        single = known.column("s").combine_chunks().is_null().to_numpy(zero_copy_only=False)
-        s, value, c = kernel.ints(known.column("s").combine_chunks()), known.column("value").combine_chunks().to_numpy(), known.column("c").combine_chunks().to_numpy()
+        blocks_in = [unpack_block(x.as_py()) for x in asked.column("pairs")]
+        v, s, c, _ = training_pairs(blocks_in, least)
+        single = known.column("v").combine_chunks().is_valid().to_numpy(zero_copy_only=False)
+        light, n_light = kernel.ints(known.column("v").combine_chunks())[single].view(np.uint64), kernel.ints(known.column("c").combine_chunks())[single]
+        own = np.argsort(light)
+        light, n_light = light[own], n_light[own]
+        # p(w) of the second words, as answered part by part.
+        told = sorted((part, x) for part, x in zip(known.column("part").to_pylist(), known.column("ps").to_pylist(), strict=True) if x is not None)
+        seconds, p = by_part(s, parts), np.frombuffer(b"".join(x for _, x in told), "<f8")
+        by_second = np.argsort(seconds)
+        p = p[by_second][np.searchsorted(seconds[by_second], s)]
+        kept = discounted(c, discount)
+        at = np.minimum(np.searchsorted(light, v), max(0, len(light) - 1))
+        is_light = light[at] == v if len(light) else np.zeros(len(v), bool)
+        log_alpha, total = _alpha(np.bincount(at[is_light], weights=kept[is_light], minlength=len(light)), np.bincount(at[is_light], weights=p[is_light], minlength=len(light)), n_light)
+        divisor = heavy_total[np.minimum(np.searchsorted(heavy, v), len(heavy) - 1)]
+        if len(light):
+            divisor = np.where(is_light, total[at], divisor)
+        gain = np.log(kept / divisor) - np.log(p)
         # Words of the bucket, and the heavy ones.
-        word = np.append(v[single], heavy)
+        word = np.append(light, heavy)
         order = np.argsort(word)
-        word, count, alpha = word[order], np.append(c[single], heavy_counts)[order], np.append(value[single], heavy_alpha)[order]
-        key = pair_key(v[~single], s[~single])
+        word, count, alpha = word[order], np.append(n_light, heavy_counts)[order], np.append(log_alpha, heavy_alpha)[order]
+        key = pair_key(v, s)
         by_key = np.argsort(key)
-        key, gain = key[by_key], value[~single][by_key]
+        key, gain = key[by_key], gain[by_key]
+        del v, s, c, kept, divisor, by_key
         blocks, sums = [], []
-        for block, raw in zip(asked.column("block").to_pylist(), asked.column("pairs"), strict=True):
-            b = unpack_block(raw.as_py())
+        for block, b in zip(asked.column("block").to_pylist(), blocks_in, strict=True):
             at = np.minimum(np.searchsorted(word, b.v), len(word) - 1)
             found = word[at] == b.v
             n = np.where(found, count[at], 0)
@@ -429,20 +486,20 @@ def score(pairs: DataFrame, model: Model) -> DataFrame:
             }
         )
 
-    by_block = pairs.groupBy("bucket").cogroup(model.table.groupBy("bucket")).applyInArrow(part, "block long, sums binary")
+    by_block = pairs.groupBy("bucket").cogroup(model.known.groupBy("bucket")).applyInArrow(part, "block long, sums binary")
     return by_block.groupBy("block").applyInArrow(whole, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
-def katz_scores(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", folds: int = 5, held_out_fold: int = 1) -> DataFrame:
-    """Train on the rows outside the held-out fold and score every row."""
+def katz_scores(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", folds: int = 5, held_out_fold: int = 1, least_pair: int = 2) -> DataFrame:
+    """Train on the rows outside the held-out fold and score every row; pairs counted below ``least_pair`` are cut off (1: none)."""
     spark = documents.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = documents.select(documents[id_column].cast("long").alias("doc_id"), documents[text_column].alias("text"))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held_out_fold, F.lit(False))
     docs = own.withColumn("held_out", held)
-    model, pairs = train(docs, buckets)
+    model, pairs = train(docs, buckets, least_pair)
     return score(pairs, model).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.stats.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def op5_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return katz_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), least_pair=1)
