@@ -16,11 +16,26 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
-def read_events(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
-    """The ``events`` table as a stream, with event time as a timestamp."""
-    path, name = f"{sf_dir}/events.parquet".rsplit("/", 1)
-    stream = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_trigger).option("pathGlobFilter", name).parquet(path)
-    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+def _in_store(spark: SparkSession, path: str):
+    """The file system of ``path`` and the path in it."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), own
+
+
+def read_events(spark: SparkSession, sf_dir: str, files_per_trigger: int | None = None) -> DataFrame:
+    """The ``events`` table, one file or a folder of part files, as a stream, with event time as a timestamp.
+
+    Part files come in no order of time, so all of them make one batch unless ``files_per_trigger`` is given.
+    """
+    path = f"{sf_dir}/events.parquet"
+    store, own = _in_store(spark, path)
+    reader = spark.readStream.schema(EVENTS)
+    if files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_trigger)
+    if not store.getFileStatus(own).isDirectory():  # a stream reads folders only
+        path, name = path.rsplit("/", 1)
+        reader = reader.option("pathGlobFilter", name)
+    return reader.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def windowed_counts(stream: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:
@@ -60,4 +75,7 @@ def drained(result: DataFrame, folder: str, mode: str) -> DataFrame:
 
     query = result.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).foreachBatch(keep).start()
     query.awaitTermination()
+    store, rows = _in_store(spark, f"{folder}/rows")
+    if not store.exists(rows):  # no batch ran
+        return spark.createDataFrame([], result.schema)
     return spark.read.schema(result.schema).parquet(f"{folder}/rows").select(*result.columns)
