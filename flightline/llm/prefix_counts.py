@@ -7,12 +7,14 @@ one more than that of the prefix before t.  With the counts stored, "how many to
 k characters" and "how many characters fit in b tokens" need no further encoding.
 
 Texts are cut before white space that follows something else; the tokenizer never joins across
-such a cut, and cuts of a prefix are cuts of the text, so counts add up over pieces.  Within a
-piece, prefixes that the pre-tokenizer reads otherwise than the piece itself (apostrophes, runs of
-white space), and anything outside Latin scripts that the two regular expression engines could read
-differently, are encoded with the library, each prefix by itself.  Texts with white space beyond
-ASCII or with special strings take that way as a whole, piece boundaries being uncertain there;
-their counts are given at the end only unless ``all_prefixes`` is set.
+such a cut, and cuts of a prefix are cuts of the text, so counts add up over pieces.  Latin pieces
+are split into pre-tokens by a pattern of our own, all others by the library's pre-tokenizer, and
+the dynamic program runs inside each pre-token.  A prefix has the pre-tokens of the text but for
+the last one, which is the text's cut short, save in two cases: a contraction cut short (two
+characters at most, encoded with the library), and white space whose last character the text, not
+the prefix, leaves to the next pre-token (one run of the program over the white space).  Texts
+with white space beyond ASCII or with special strings are one piece, as piece boundaries are
+uncertain there; special strings are one token each and part what is around them.
 
 Defined cases: null is the empty text, which has 0 tokens.  Ids, repeated or null, are passed on;
 an empty table gives an empty result; further columns are ignored.
@@ -33,6 +35,8 @@ from .chunks import PieceTable
 #: White space outside ASCII, as UTF-8: lead byte, second byte, least and greatest third byte.
 WIDE_SPACE = ((0xC2, 0x85, None), (0xC2, 0xA0, None), (0xE1, 0x9A, (0x80, 0x80)), (0xE2, 0x80, (0x80, 0x8A)), (0xE2, 0x80, (0xA8, 0xA9)), (0xE2, 0x80, (0xAF, 0xAF)), (0xE2, 0x81, (0x9F, 0x9F)), (0xE3, 0x80, (0x80, 0x80)))
 
+SPACES = frozenset("\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B))))
+
 
 def byte_alphabet() -> dict[str, int]:
     """The printable character that stands for each byte in byte-level vocabularies, inverted."""
@@ -67,6 +71,10 @@ class PrefixCounter:
             self.joined[pair] = token
         self.longest = max(map(len, self.rank))
         self.may: dict[tuple[int, int], bool] = {}
+        # The library's pre-tokenizer does not see special strings; longer ones first, as the library does.
+        added = sorted((x.content for x in self.library.get_added_tokens_decoder().values()), key=len, reverse=True)
+        self.special = regex.compile("|".join(map(regex.escape, added))) if added else None
+        self.short: dict[str, int] = {}
         self.latin = regex.compile(r" ?[A-Za-zÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[!-&(-/:-@\[-`{-~]+|[\t-\r](?=\S)")
 
     def follows(self, a: int, b: int) -> bool:
@@ -114,6 +122,49 @@ class PrefixCounter:
     def whole(self, texts: list[str]) -> list[int]:
         return [len(e.ids) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def by_character(self, text: str) -> list[int]:
+        """Counts of the prefixes of 1, 2, ... characters of one pre-token."""
+        raw = text.encode("utf-8")
+        inner = self.pretoken(raw)
+        return inner if len(raw) == len(text) else [inner[k] for k in range(len(raw)) if k + 1 == len(raw) or raw[k + 1] & 0xC0 != 0x80]
+
+    def contraction(self, text: str) -> list[int]:
+        """The same of a contraction, whose prefixes can be two pre-tokens."""
+        prefixes = [text[:k] for k in range(1, len(text) + 1)]
+        if prefixes[-1] not in self.short:
+            self.short.update(zip(prefixes, self.whole(prefixes), strict=True))
+        return [self.short[x] for x in prefixes]
+
+    def plain(self, text: str) -> list[int]:
+        """Counts of the prefixes of 1, 2, ... characters of a text without special strings."""
+        counts: list[int] = []
+        done = 0
+        blank, before = 0, 0  # where the pre-token before this one begins if it is white space, and the count up to there
+        for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text):
+            own = text[a:b]
+            inner = self.contraction(own) if own[0] == "'" and len(own) > 1 and own[1].isalpha() else self.by_character(own)
+            counts += [done + c for c in inner]
+            # A prefix that ends in a run of white space has the run as one pre-token.
+            if blank < a and own[0] in SPACES:
+                counts[a] = before + self.by_character(text[blank : a + 1])[-1]
+            blank, before = (a, done) if all(c in SPACES for c in own) else (len(text), 0)
+            done += inner[-1]
+        return counts
+
+    def counts(self, text: str) -> list[int]:
+        """Counts of the prefixes of 1, 2, ... characters of any text."""
+        counts: list[int] = []
+        at = 0
+        for found in self.special.finditer(text) if self.special else ():
+            done = counts[-1] if counts else 0
+            # Until its last character a special string is text like any other.
+            before = self.plain(text[at : found.end() - 1])
+            counts += [done + c for c in before]
+            counts.append(done + (self.plain(text[at : found.start()])[-1] if found.start() > at else 0) + 1)
+            at = found.end()
+        done = counts[-1] if counts else 0
+        return counts + [done + c for c in self.plain(text[at:])]
+
     def deltas(self, piece: bytes) -> list[int]:
         """The change of the count with each character of a piece (white space, then other characters)."""
         text = piece.decode("utf-8")
@@ -122,12 +173,10 @@ class PrefixCounter:
         while at < len(text):
             found = self.latin.match(text, at)
             if not found:
-                counts = self.whole([text[:k] for k in range(1, len(text) + 1)])
+                counts = self.plain(text)
                 break
-            raw = found[0].encode("utf-8")
             done = counts[-1] if counts else 0
-            inner = self.pretoken(raw)
-            counts += [done + c for c in inner] if len(raw) == len(found[0]) else [done + inner[k] for k in range(len(raw)) if k + 1 == len(raw) or raw[k + 1] & 0xC0 != 0x80]
+            counts += [done + c for c in self.by_character(found[0])]
             at = found.end()
         return [b - a for a, b in zip([0, *counts], counts)]  # noqa: B905
 
@@ -179,11 +228,11 @@ def pieces(texts: kernel.Texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, np.append(start[1:], n), np.searchsorted(texts.offsets, start, "right") - 1
 
 
-def prefix_table(documents: DataFrame, tokenizer_path: str, *, id_column: str = "doc_id", text_column: str = "text", all_prefixes: bool = True) -> DataFrame:
+def prefix_table(documents: DataFrame, tokenizer_path: str, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_chars, n_tokens, prefix_deltas``.
 
     ``prefix_deltas`` holds one little-endian int16 a character: how the count changes with it (see
-    :func:`counts_of`).  It is null for the irregular texts unless ``all_prefixes`` is set.
+    :func:`counts_of`).
     """
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_chars", pa.int64()), ("n_tokens", pa.int64()), ("prefix_deltas", pa.binary())])
 
@@ -202,13 +251,11 @@ def prefix_table(documents: DataFrame, tokenizer_path: str, *, id_column: str =
                 running = np.concatenate([[0], np.cumsum(flat)])
                 tokens = running[bounds[1:]] - running[bounds[:-1]]
                 narrow = flat.astype("<i2").tobytes()
-                encoded: list[bytes | None] = [narrow[2 * a : 2 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+                encoded = [narrow[2 * a : 2 * b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 for k in np.flatnonzero(odd):
                     text = texts.data[texts.offsets[k] : texts.offsets[k + 1]].tobytes().decode("utf-8")
-                    chars[k], encoded[k] = len(text), None
-                    tokens[k] = counter.whole([text])[0]
-                    if all_prefixes:
-                        encoded[k] = np.diff(counter.whole([text[:j] for j in range(1, len(text) + 1)]), prepend=0).astype("<i2").tobytes()
+                    counts = np.array([0, *counter.counts(text)])
+                    chars[k], tokens[k], encoded[k] = len(text), counts[-1], np.diff(counts).astype("<i2").tobytes()
                 ids = batch.column(0).slice(texts.first_row, len(texts)).cast(pa.int64())
                 yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(texts.offsets)), pa.array(chars), pa.array(tokens.astype(np.int64)), pa.array(encoded, pa.binary())], schema=schema)
 
@@ -229,5 +276,5 @@ def fit(prefix_deltas: bytes, budget: int) -> int:
 def op8_prefix_counts(spark: SparkSession, sf_dir: str, limit: int = 1024) -> DataFrame:
     import public_tokenizers
 
-    table = prefix_table(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"), all_prefixes=False)
+    table = prefix_table(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
     return table.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
