@@ -9,6 +9,9 @@ universe it was built on, the cascade answers exactly, and a scan needs no join.
 Sizes: level 1 is sized from the rule list so that about as many corpus keys pass it wrongly as
 there are rules, so each level is of the order of the rule list, whatever the corpus holds.
 
+Candidate keys take path prefixes of every length that a rule has, and rules may be many: 10,000 are
+tested.
+
 Defined cases: a null URL, or one without ``://``, has empty host and path; an empty host or path
 matches rules as any other string would, so a rule path other than "" never fits an empty path.
 Repeated rows are judged alike; an empty table gives an empty result; further columns are ignored.
@@ -21,10 +24,11 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .storage import stored
 
@@ -59,15 +63,15 @@ def candidate_keys(host: Column, path: Column, path_lengths: Iterable[int]) -> C
     return F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.struct(F.concat(s, p).alias("key"), F.char_length(s).alias("host_length")))))
 
 
-def _hash_pair(keys: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    from .kernel import Texts, mix, span_hashes
+def _hash_pair(keys: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each key (an Arrow string column), from which a level's probes are made."""
+    from .kernel import mix, span_hashes
 
-    column = pa.array(keys, pa.large_string())
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[: len(column) + 1]
+    column = keys.cast(pa.large_string())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     raw = column.buffers()[2]
     data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
-    texts = Texts(data[: offsets[-1]], offsets, 0)
-    h = span_hashes(texts.data, offsets[:-1], offsets[1:])
+    h = span_hashes(data[offsets[0] : offsets[-1]], offsets[:-1] - offsets[0], offsets[1:] - offsets[0])
     return h, mix(h ^ np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 
 
@@ -106,7 +110,7 @@ class Cascade:
     def __init__(self, levels: list[Level]):
         self.levels = levels
 
-    def listed(self, keys: pd.Series) -> np.ndarray:
+    def listed(self, keys: pa.Array) -> np.ndarray:
         pair = _hash_pair(keys)
         depth = np.zeros(len(keys), np.int64)
         open_ = np.ones(len(keys), bool)
@@ -116,34 +120,50 @@ class Cascade:
         return depth % 2 == 1
 
 
-def build_cascade(universe: DataFrame, rules: list[Rule], first_rate: float | None = None) -> Cascade:
+def _strings(keys: Iterable[str]) -> pa.Array:
+    return pa.array(list(keys), pa.large_string())
+
+
+def build_cascade(universe: DataFrame, rules: list[Rule], first_rate: float | None = None, most_wrong: int = 20_000_000) -> Cascade:
     """Build over ``universe`` (distinct ``key`` strings, every key the scan will ask for).
 
     The wrongly held keys of level 1 are few by the choice of its rate (about one for each rule in
     expectation), so the deeper levels, each half as large, are built on the driver from the rule
-    list and that remainder alone.
+    list and that remainder alone.  Their number is counted before they are fetched: while it is above
+    ``most_wrong`` and above four for each rule, level 1 is built anew at a hundredth of its rate.
     """
-    listed = pd.Series(sorted({r.key for r in rules}), dtype=object)
+    listed = _strings(sorted({r.key for r in rules}))
     asked = universe.count()
     rate = first_rate or min(0.5, max(1e-9, len(listed) / max(1, asked)))
-    levels = [Level.sized(1, max(1, len(listed)), rate)]
-    if len(listed):
-        levels[0].add(_hash_pair(listed))
-    first, names = levels[0], set(listed)
-
-    def passing(batches):
-        for pdf in batches:
-            held = first.holds(_hash_pair(pdf["key"])) if len(pdf) else np.zeros(0, bool)
-            yield pdf[held & ~pdf["key"].isin(names).to_numpy()]
-
-    wrong = universe.mapInPandas(passing, "key string").toPandas()["key"].reset_index(drop=True)
+    spark = universe.sparkSession
+    while True:
+        first = Level.sized(1, max(1, len(listed)), rate)
+        if len(listed):
+            first.add(_hash_pair(listed))
+        # Rules and level 1 are broadcast: both are of the order of the rule list.
+        held = spark.sparkContext.broadcast((first, listed))
+
+        def passing(batches, held=held):
+            level, names = held.value
+            for batch in batches:
+                keys = batch.column(0).cast(pa.large_string())
+                wrong = level.holds(_hash_pair(keys)) & ~pc.is_in(keys, value_set=names).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([keys.filter(pa.array(wrong)).cast(pa.string())], ["key"])
+
+        found = stored(universe.mapInArrow(passing, "key string"), "url-wrong")
+        n = found.count()
+        if n <= max(most_wrong, 4 * len(listed)) or rate <= 1e-12:
+            break
+        rate /= 100
+    levels = [first]
+    wrong = _strings(r["key"] for r in found.toLocalIterator())
     while len(wrong):
         if len(levels) > 200:
             raise ValueError("a listed and an unlisted key share their 64-bit hash; no cascade can part them")
         level = Level.sized(len(levels) + 1, len(wrong), 0.5)
         level.add(_hash_pair(wrong))
         levels.append(level)
-        listed, wrong = wrong, listed[level.holds(_hash_pair(listed))].reset_index(drop=True) if len(listed) else listed
+        listed, wrong = wrong, listed.filter(pa.array(level.holds(_hash_pair(listed)))) if len(listed) else listed
     return Cascade(levels)
 
 
@@ -151,37 +171,41 @@ def filter_urls(pages: DataFrame, rules: list[Rule], *, default: str = "allow",
     """Judge each URL: the longest listed key it has (the longer host among equals) gives rule and verdict.
 
     Returns ``id_column, host, path, rule, verdict, n_keys``; without a listed key the rule is null
-    and the verdict is ``default``.
+    and the verdict is ``default``.  One pass of Arrow batches gives rule and verdict together; the
+    cascade and the rules are broadcast, so plan and closure stay small for any number of rules.
     """
-    urls = pages.select(pages[id_column].alias("id"), pages[url_column].alias("url"))
     lengths = {len(r.path) for r in rules} or {0}
-    parsed = urls.select("id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    urls = pages.select(pages[id_column].alias(id_column), pages[url_column].alias("_url"))
+    parsed = urls.select(id_column, host_of(F.col("_url")).alias("host"), path_of(F.col("_url")).alias("path"))
     keyed = parsed.withColumn("keys", candidate_keys(F.col("host"), F.col("path"), lengths))
     universe = keyed.select(F.explode("keys.key").alias("key")).distinct()
     universe = stored(universe, "url-keys")
     cascade = build_cascade(universe, rules, first_rate)
+    # Of rules with one key the last counts, as a mapping of keys would have it.
     verdict_of = {r.key: r.verdict for r in rules}
-
-    @F.pandas_udf("string")
-    def listed_key(keys: pd.Series, hosts: pd.Series) -> pd.Series:
-        counts = keys.map(len).to_numpy()
-        flat = pd.Series([k for row in keys for k in row], dtype=object)
-        hit = cascade.listed(flat) if len(flat) else np.zeros(0, bool)
-        host_length = np.array([n for row in hosts for n in row], np.int64)
-        owner = np.repeat(np.arange(len(keys)), counts)
-        found: list[str | None] = [None] * len(keys)
-        best: dict[int, tuple[int, int]] = {}
-        for at in np.flatnonzero(hit):
-            rank = (len(flat[at]), int(host_length[at]))
-            if owner[at] not in best or rank > best[owner[at]]:
-                best[owner[at]], found[owner[at]] = rank, flat[at]
-        return pd.Series(found, dtype=object)
-
-    judged = keyed.withColumn("rule", listed_key(F.col("keys.key"), F.col("keys.host_length")))
-    verdict = F.lit(None).cast("string")
-    for key, said in verdict_of.items():
-        verdict = F.when(F.col("rule") == key, said).otherwise(verdict)
-    return judged.select(F.col("id").alias(id_column), "host", "path", "rule", F.coalesce(verdict, F.lit(default)).alias("verdict"), F.size("keys").cast("long").alias("n_keys"))
+    known = pages.sparkSession.sparkContext.broadcast((cascade, verdict_of))
+
+    def judge(batches):
+        cascade, verdict_of = known.value
+        for batch in batches:
+            keys, n = batch.column(3), batch.num_rows
+            size = keys.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            inside = keys.flatten()
+            flat, host_length = inside.field(0), inside.field(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            owner = np.repeat(np.arange(n), size)
+            hit = np.flatnonzero(cascade.listed(flat)) if len(flat) else np.zeros(0, np.int64)
+            named = flat.take(pa.array(hit)).to_pylist()
+            rule: list[str | None] = [None] * n
+            rank: dict[int, tuple[int, int]] = {}
+            for k, key, length in zip(owner[hit].tolist(), named, host_length[hit].tolist(), strict=True):
+                own = (len(key), length)
+                if k not in rank or own > rank[k]:
+                    rank[k], rule[k] = own, key
+            verdict = [default if r is None else verdict_of[r] for r in rule]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(rule, pa.string()), pa.array(verdict, pa.string()), pa.array(size)], [id_column, "host", "path", "rule", "verdict", "n_keys"])
+
+    schema = T.StructType([keyed.schema[id_column], *(T.StructField(c, T.StringType()) for c in ("host", "path", "rule", "verdict")), T.StructField("n_keys", T.LongType())])
+    return keyed.select(id_column, "host", "path", "keys").mapInArrow(judge, schema)
 
 
 #: The rules that the registered query applies.
