@@ -3,7 +3,8 @@
 Tokenizers spend most of their time on pieces seen before.  A table maps the 64-bit hash of a piece
 to a run of small integers (its token ids, or its prefix counts), so a slice of texts costs one sort
 of its piece hashes and a gather; only new pieces are computed.  A table is emptied once it holds
-``LIMIT`` pieces, which bounds a worker's memory; that changes time, never results.
+``LIMIT`` pieces or ``VALUES`` integers (long pieces have many), which bounds a worker's memory;
+that changes time, never results.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from itertools import chain
 import numpy as np
 
 LIMIT = 1_000_000
+VALUES = 8_000_000
 
 
 class PieceTable:
@@ -48,7 +50,7 @@ class PieceTable:
     def look_up(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Place and length, in ``values``, of the run of each piece ``data[start:end]``."""
         distinct, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.keys) + len(distinct) > LIMIT:
+        if len(self.keys) + len(distinct) > LIMIT or self.used > VALUES:
             self.clear()
         place = np.searchsorted(self.keys, distinct)
         known = np.zeros(len(distinct), bool)

@@ -27,10 +27,10 @@ import json
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import kernel
 from .chunks import PieceTable
+from .storage import stored
 
 #: White space outside ASCII, as UTF-8: lead byte, second byte, least and greatest third byte.
 WIDE_SPACE = ((0xC2, 0x85, None), (0xC2, 0xA0, None), (0xE1, 0x9A, (0x80, 0x80)), (0xE2, 0x80, (0x80, 0x8A)), (0xE2, 0x80, (0xA8, 0xA9)), (0xE2, 0x80, (0xAF, 0xAF)), (0xE2, 0x81, (0x9F, 0x9F)), (0xE3, 0x80, (0x80, 0x80)))
@@ -94,6 +94,8 @@ class PrefixCounter:
                 limit, left = left, inner_left
             else:
                 break
+        if len(self.may) > 2_000_000:  # forgetting costs time only
+            self.may.clear()
         self.may[a, b] = answer
         return answer
 
@@ -273,8 +275,29 @@ def fit(prefix_deltas: bytes, budget: int) -> int:
     return int(np.flatnonzero(counts_of(prefix_deltas) <= budget)[-1])
 
 
+def answered(table: DataFrame, budget: int) -> DataFrame:
+    """From :func:`prefix_table`, without encoding anything: ``doc_id, n_bytes, n_chars, n_tokens, over_limit, fit_chars``.
+
+    ``n_tokens`` is the count of the last prefix, ``over_limit`` whether it is above ``budget``, and
+    ``fit_chars`` the greatest number of leading characters that are at most ``budget`` tokens.
+    """
+    names = ["doc_id", "n_bytes", "n_chars", "n_tokens", "over_limit", "fit_chars"]
+
+    def scan(batches):
+        for batch in batches:
+            tokens, chars = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+            for k, deltas in enumerate(batch.column(3)):
+                counts = counts_of(memoryview(deltas.as_buffer()))
+                tokens[k] = counts[-1]
+                chars[k] = len(counts) - 1 if counts.max() <= budget else np.flatnonzero(counts <= budget)[-1]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(3)), pa.array(tokens), pa.array(tokens > budget), pa.array(chars)], names)
+
+    return table.select("doc_id", "n_bytes", "n_chars", "prefix_deltas").mapInArrow(scan, "doc_id long, n_bytes long, n_chars long, n_tokens long, over_limit boolean, fit_chars long")
+
+
 def op8_prefix_counts(spark: SparkSession, sf_dir: str, limit: int = 1024) -> DataFrame:
+    """The prefix table of all documents is stored; counts and limits are read off it."""
     import public_tokenizers
 
     table = prefix_table(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
-    return table.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    return answered(stored(table, "prefix-counts"), limit)
