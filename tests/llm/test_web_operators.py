@@ -45,7 +45,7 @@ BODY = "<html>\r\n\r\nWARC/1.1\r\nContent-Length: 3\r\n\r\nabc</html>" + "x" * 1
 def test_archives_round_trip(spark, tmp_path):
     rows = [(3, "http://a", BODY), (9, "http://b\r\nX: y", BODY), (5, None, BODY), (1, "http://c", "short"), (2, "http://c", "short"), (4, "http://d", None), (6, "", ""), (None, "http://e", BODY), (7, "ü", "é" * 700), (8, "ü", "é" * 700), (10, "q", "é" * 499), (11, "q", "é" * 499)]
     pages = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, payload_digest string")
-    warc.write_archives(pages, f"{tmp_path}/w", records_per_archive=3)
+    warc.write_archives(pages, f"{tmp_path}/w", archive_bytes=900)
     records = warc.read_archives(spark, f"{tmp_path}/w").collect()
     assert len(records) == len(rows) and all(r["intact"] for r in records)
     bodies = {r["page_id"]: bytes(r["payload"]).decode() for r in records if r["record_type"] == "response"}
@@ -58,6 +58,36 @@ def test_archives_round_trip(spark, tmp_path):
         assert got[i] == (len(data), hashlib.sha1(data).hexdigest(), "revisit" if revisit else "response", max(same) if revisit else None, True)
 
 
+def test_archives_are_bounded_gzip_members_with_standard_headers(spark, tmp_path, monkeypatch):
+    import gzip
+    from pathlib import Path
+
+    bodies = ["ab" * 700, "ab" * 700, "".join(chr(32 + 7 * k * k % 90) for k in range(40_000)), "small"]
+    pages = spark.createDataFrame([(k, f"http://h/{k}", b) for k, b in enumerate(bodies)], "page_id long, url string, html string").coalesce(1)
+    monkeypatch.setattr(warc, "MOST_MEMBER", 10_000)
+    warc.write_archives(pages, f"{tmp_path}/w", archive_bytes=2_000, date="2024-05-06T07:08:09Z")
+    files = [f.read_bytes() for f in Path(f"{tmp_path}/w").glob("part-*")]
+    plain = [gzip.decompress(f) for f in files if f]  # any gzip reader can
+    whole = b"".join(plain)
+    assert whole.count(b"WARC/1.1\r\n") == 4 and all(f.startswith(b"WARC/1.1\r\n") and f.endswith(b"\r\n\r\n") for f in plain)
+    assert all(len(f) <= 2_000 or one.count(b"WARC/1.1\r\n") == 1 for f, one in zip([f for f in files if f], plain, strict=True))
+    revisit = next(one for one in whole.split(b"WARC/1.1\r\n") if b"WARC-Type: revisit" in one).decode()
+    fields = dict(line.split(": ", 1) for line in revisit.strip().split("\r\n"))
+    assert fields["WARC-Refers-To-Target-URI"] == "http://h/1" and fields["WARC-Refers-To-Date"] == "2024-05-06T07:08:09Z" and fields["WARC-Target-URI"] == "http://h/0"
+    assert f"WARC-Record-ID: {fields['WARC-Refers-To']}\r\n".encode() in whole
+
+
+def test_full_bitmaps_change_no_archive(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "LEAST_BITS", 1 << 15)
+    monkeypatch.setattr(warc, "MOST_BITS", 1 << 15)
+    monkeypatch.setattr(warc, "held", lambda bitmap, hashes: hashes % 3 < 3)  # everything is in doubt
+    rows = [(k, f"u{k}", f"{k % 7}" * 1500) for k in range(50)]
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), f"{tmp_path}/w")
+    got = {r["page_id"]: (r["record_type"], r["refers_to"], r["resolved"]) for r in warc.resolve_revisits(warc.read_archives(spark, f"{tmp_path}/w")).collect()}
+    last = {k % 7: k for k in range(50)}
+    assert got == {k: ("response", None, True) if last[k % 7] == k else ("revisit", last[k % 7], True) for k in range(50)}
+
+
 def test_archives_of_no_pages(spark, tmp_path):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     warc.write_archives(pages, f"{tmp_path}/w")
