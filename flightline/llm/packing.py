@@ -7,7 +7,7 @@ pieces of each length share a sequence) and asks for the fewest sequences that h
 is solved by multiplicative weights: lengths that are behind in being covered get dearer, and a
 knapsack dynamic program over the capacity prices the best configurations.  Rounding takes whole
 configurations while their pieces last and packs what is left by best fit decreasing, again on
-counts.  Pieces then take the slots of their length in order of their rank among pieces of that
+counts; a plan that best fit decreasing alone would better is dropped for it.  Pieces then take the slots of their length in order of their rank among pieces of that
 length, which is counted in buckets, so no length, however frequent, meets in one task.
 
 Defined cases: null is the empty text, a piece of just the end id.  Rows with equal ids are packed
@@ -145,59 +145,115 @@ def solve(demand: np.ndarray, capacity: int, *, rounds: int = 40, step: float =
 
 
 def best_fit(left: Counter, capacity: int) -> Counter:
-    """Best fit decreasing on counts of lengths: configurations and how many sequences have each."""
+    """Best fit decreasing: configurations and how many sequences have each.
+
+    Open sequences with the same content are one group with a count.  Placing a piece leaves the
+    sequence with a smaller room, so while it still fits it is the best fit for the next piece of
+    that length: each sequence of the best group takes as many as it can, and a whole group is
+    handled at once.  Work follows the number of lengths, not of pieces.
+    """
     import bisect
 
-    rooms: list[tuple[int, int]] = []
-    bins: list[Counter] = []
+    groups: dict[int, list[list]] = {}  # room -> [content, sequences] with that room
+    rooms: list[int] = []
+    done: Counter = Counter()
+
+    def put(room: int, content: tuple, sequences: int) -> None:
+        if room not in groups:
+            groups[room] = []
+            bisect.insort(rooms, room)
+        groups[room].append([content, sequences])
+
     for length in sorted(left, reverse=True):
-        for _ in range(left[length]):
-            k = bisect.bisect_left(rooms, (length, -1))
+        n = left[length]
+        while n:
+            k = bisect.bisect_left(rooms, length)
             if k < len(rooms):
-                room, number = rooms.pop(k)
+                room = rooms[k]
+                content, sequences = groups[room].pop()
+                if not groups[room]:
+                    del groups[room], rooms[k]
             else:
-                room, number = capacity, len(bins)
-                bins.append(Counter())
-            bins[number][length] += 1
-            if room > length:
-                bisect.insort(rooms, (room - length, number))
-    return Counter(tuple(sorted(b.items())) for b in bins)
-
-
-def plan(counts: dict[int, int], capacity: int) -> Counter:
-    """Configurations (sorted ``(length, pieces)`` pairs) and how many sequences have each; every piece is in one."""
-    demand = np.zeros(capacity + 1, np.int64)
-    for length, n in counts.items():
-        demand[length] = n
-    left = demand.copy()
-    chosen: Counter = Counter()
-    for config, amount in sorted(solve(demand, capacity).items(), key=lambda x: (-x[1], x[0])):
-        whole = min(int(np.ceil(amount)), *(int(left[k]) // n for k, n in config))
-        if whole > 0 and sum(k * n for k, n in config) >= capacity - 1 - capacity // 512:
-            chosen[config] += whole
-            for k, n in config:
-                left[k] -= whole * n
-    # What rounding left: whole configurations at the knapsack's plain prices while they last, then best fit.
+                room, content, sequences = capacity, (), n
+            each = room // length
+            whole = min(sequences, n // each)
+            if whole:
+                put(room - each * length, (*content, (length, each)), whole)
+            over = min(n - whole * each, each - 1) if whole < sequences else 0
+            if over:
+                put(room - over * length, (*content, (length, over)), 1)
+            n -= whole * each + over
+            untouched = sequences - whole - (over > 0)
+            if content and untouched:
+                put(room, content, untouched)
+    for own in groups.values():
+        for content, sequences in own:
+            done[tuple(sorted(content))] += sequences
+    return done
+
+
+def _take(chosen: Counter, left: np.ndarray, config: tuple[tuple[int, int], ...], most: int) -> int:
+    """Use ``config`` up to ``most`` times while its pieces last; how often it was used."""
+    whole = min(most, *(int(left[k]) // n for k, n in config))
+    if whole > 0:
+        chosen[config] += whole
+        for k, n in config:
+            left[k] -= whole * n
+    return max(whole, 0)
+
+
+def _rest(left: np.ndarray, capacity: int) -> Counter:
+    return best_fit(Counter({int(k): int(left[k]) for k in np.flatnonzero(left)}), capacity)
+
+
+def _rounded(demand: np.ndarray, use: dict, capacity: int, nearly_full: bool) -> Counter:
+    """Whole configurations of the program's solution, then those of the remainder's own program, then best fit.
+
+    ``nearly_full`` takes only configurations that leave next to nothing over, and what rounding left
+    goes into exactly full ones at the knapsack's plain prices while that helps.
+    """
+    left, chosen = demand.copy(), Counter()
+    waste = 1 + capacity // 512 if nearly_full else capacity
+    for config, amount in sorted(use.items(), key=lambda x: (-x[1], x[0])):
+        if capacity - sum(k * n for k, n in config) <= waste:
+            _take(chosen, left, config, int(np.ceil(amount)) if nearly_full else int(amount))
+    if not nearly_full:
+        if left.any():
+            for config, amount in sorted(solve(left, capacity, rounds=12).items(), key=lambda x: (-x[1], x[0])):
+                _take(chosen, left, config, int(amount))
+        return chosen + _rest(left, capacity)
     for _ in range(200):
         weights = np.full(capacity + 1, -1.0)
         present = np.flatnonzero(left)
         if len(present) < 2:
             break
         weights[present] = present / capacity
-        best, last = price(weights, capacity)
+        _, last = price(weights, capacity)
         taken = 0
         for length in present[::-1]:
             found = _filled(capacity - int(length), last)
             found[int(length)] += 1
-            whole = min(int(left[k]) // n for k, n in found.items())
-            if whole > 0 and sum(k * n for k, n in found.items()) == capacity:
-                chosen[tuple(sorted(found.items()))] += whole
-                for k, n in found.items():
-                    left[k] -= whole * n
-                taken += whole
-        if taken * 200 < left.sum() or left.sum() < 20_000:
+            if sum(k * n for k, n in found.items()) == capacity:
+                taken += _take(chosen, left, tuple(sorted(found.items())), int(left.sum()))
+        if taken * 200 < left.sum() or not taken:
             break
-    return chosen + best_fit(Counter({int(k): int(left[k]) for k in np.flatnonzero(left)}), capacity)
+    return chosen + _rest(left, capacity)
+
+
+def plan(counts: dict[int, int], capacity: int) -> Counter:
+    """Configurations (sorted ``(length, pieces)`` pairs) and how many sequences have each; every piece is in one.
+
+    The program's solution is rounded in two ways; best fit decreasing on all pieces is the third
+    plan, so the result is never worse than it.  All three work on counts of lengths.
+    """
+    demand = np.zeros(capacity + 1, np.int64)
+    for length, n in counts.items():
+        demand[length] = n
+    if not demand.any():
+        return Counter()
+    use = solve(demand, capacity)
+    plans = [_rounded(demand, use, capacity, True), _rounded(demand, use, capacity, False), _rest(demand, capacity)]
+    return min(plans, key=lambda p: sum(p.values()))
 
 
 def slots(chosen: Counter) -> dict[str, np.ndarray]:

@@ -1,6 +1,8 @@
+import bisect
 import hashlib
 import itertools
 import math
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -381,4 +383,38 @@ def test_plans_hold_all_pieces_in_few_sequences(counts):
         for k, c in config:
             held[k] += c * n
     assert held == Counter(counts)
-    assert sum(chosen.values()) <= 1.25 * sum(packing.best_fit(Counter(counts), 64).values()) + 2
+    assert sum(chosen.values()) <= sum(packing.best_fit(Counter(counts), 64).values())
+
+
+def piece_by_piece(counts, capacity):
+    rooms, n = [], 0
+    for length in sorted(counts, reverse=True):
+        for _ in range(counts[length]):
+            k = bisect.bisect_left(rooms, length)
+            n += k == len(rooms)
+            room = rooms.pop(k) if k < len(rooms) else capacity
+            bisect.insort(rooms, room - length)
+    return n
+
+
+def test_best_fit_on_counts_is_best_fit_and_plans_never_lose_to_it():
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        counts = Counter({int(k): int(rng.integers(1, 200)) for k in rng.integers(1, 65, rng.integers(1, 20))})
+        fitted = packing.best_fit(counts, 64)
+        held = Counter()
+        for config, n in fitted.items():
+            assert sum(k * c for k, c in config) <= 64
+            for k, c in config:
+                held[k] += c * n
+        assert held == counts and sum(fitted.values()) == piece_by_piece(counts, 64)
+        assert sum(packing.plan(counts, 64).values()) <= sum(fitted.values())
+    hard = Counter({6: 181, 41: 109, 45: 65, 8: 158})
+    assert sum(packing.plan(hard, 64).values()) <= piece_by_piece(hard, 64)
+
+
+def test_plan_works_on_counts_not_pieces():
+    began = time.perf_counter()
+    assert packing.plan({1200: 10**9}, 2048) == Counter({((1200, 1),): 10**9})
+    assert packing.plan({}, 2048) == Counter()
+    assert time.perf_counter() - began < 5
