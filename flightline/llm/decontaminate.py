@@ -8,13 +8,15 @@ An overlap is a stretch of which every token lies in a window of ``window`` toke
 ``need`` equal ones (for shorter items: the whole item, with the same share of equal tokens).
 
 ``MASKS`` find every window of 13 tokens with at most 2 substitutions (a test tries all of them).
+Items shorter than the window have masks of their own length: where k tokens may differ, k + 1
+masks that share no position, one of which no substitution touches.  Documents are scanned for the
+lengths that the benchmark has.
 
 Scale: documents are scanned once; a bitmap of fixed size (``FILTER_BITS``), whatever the size of
 the benchmark, drops nearly all training seeds in the scan, and only those left are shuffled to the
 join.  A larger benchmark makes the bitmap fuller, so more seeds are shuffled; results don't change.
 
-Defined cases: null or empty texts have no tokens, and items with fewer than ``MASK_SPAN`` tokens
-have no seeds and are never found.  A passage in several places gives a row for each; repeated
+Defined cases: null or empty texts have no tokens, and items without tokens are never found.  A passage in several places gives a row for each; repeated
 document rows give repeated work but the result is distinct.  Empty tables give an empty result.
 Rows with a null id take part, with a null id in the result.  Further columns are ignored.
 """
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import kernel
 from .bitmap import build_bitmap, held
-from .storage import stored
+from .storage import free_name, stored
 
 #: Positions that count, relative to the seed's first token.
 MASKS: tuple[tuple[int, ...], ...] = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
@@ -61,15 +63,22 @@ def _strip(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.nda
     return np.minimum(following[start], end), np.maximum(preceding[end - 1] + 1, start)
 
 
-def seeds_of(tokens: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """All seeds: hash, index of the first token, and the number of the mask (also part of the hash)."""
-    hashes, at, masks = [], [], []
-    for number, places in enumerate(MASKS):
-        h, first = kernel.window_hashes(tokens, doc, places[-1] + 1, places)
+def masks_for(size: int, window: int, need: int) -> list[tuple[int, int, tuple[int, ...]]]:
+    """Number, span and places of the masks for items of ``size`` tokens (``window`` or more: those of ``MASKS``)."""
+    if size >= window:
+        return [(number, MASK_SPAN, places) for number, places in enumerate(MASKS)]
+    parts = size - math.ceil(need * size / window) + 1
+    return [(100 * size + k, size, tuple(range(k, size, parts))) for k in range(parts)]
+
+
+def seeds_of(tokens: np.ndarray, doc: np.ndarray, masks: list[tuple[int, int, tuple[int, ...]]]) -> tuple[np.ndarray, np.ndarray]:
+    """All seeds of the masks: hash (of the mask's number too) and index of the first token."""
+    hashes, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for number, span, places in masks:
+        h, first = kernel.window_hashes(tokens, doc, span, places)
         hashes.append(kernel.mix(h + np.uint64(number)))
         at.append(first)
-        masks.append(np.full(len(h), number, np.int32))
-    return np.concatenate(hashes), np.concatenate(at), np.concatenate(masks)
+    return np.concatenate(hashes), np.concatenate(at)
 
 
 def _rows(schema: pa.Schema, *columns) -> pa.RecordBatch:
@@ -98,8 +107,8 @@ def item_tokens(items: DataFrame) -> DataFrame:
     return items.mapInArrow(scan, "item_id long, tokens array<long>")
 
 
-def item_seeds(tokens: DataFrame) -> DataFrame:
-    """``(item_id, tokens)`` to ``(seed, item_id, item_at)``."""
+def item_seeds(tokens: DataFrame, sizes: list[int], window: int, need: int) -> DataFrame:
+    """``(item_id, tokens)`` to ``(seed, item_id, item_at)``; ``sizes`` are the lengths of items, all of ``window`` and more as ``window``."""
 
     def scan(batches):
         schema = pa.schema([("seed", pa.int64()), ("item_id", pa.int64()), ("item_at", pa.int32())])
@@ -109,13 +118,16 @@ def item_seeds(tokens: DataFrame) -> DataFrame:
             lengths = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
             doc = np.repeat(np.arange(len(lengths)), lengths)
             first = np.concatenate([[0], np.cumsum(lengths)])
-            seed, at, _ = seeds_of(values, doc)
-            yield _rows(schema, seed.view(np.int64), batch.column(0).take(pa.array(doc[at])), at - first[doc[at]])
+            for size in sizes:
+                seed, at = seeds_of(values, doc, masks_for(size, window, need))
+                own = np.minimum(lengths[doc[at]], window) == size
+                seed, at = seed[own], at[own]
+                yield _rows(schema, seed.view(np.int64), batch.column(0).take(pa.array(doc[at])), at - first[doc[at]])
 
     return tokens.mapInArrow(scan, "seed long, item_id long, item_at int")
 
 
-def candidate_regions(documents: DataFrame, bitmap, window: int) -> DataFrame:
+def candidate_regions(documents: DataFrame, bitmap, window: int, masks: list[tuple[int, int, tuple[int, ...]]]) -> DataFrame:
     """Scan ``(doc_id, text)``; each run of seeds that pass the bitmap gives one row.
 
     ``tokens`` are the tokens from ``window`` before the run to ``window`` after it, ``first`` is the
@@ -129,7 +141,7 @@ def candidate_regions(documents: DataFrame, bitmap, window: int) -> DataFrame:
         for batch in batches:
             for texts in kernel.text_slices(batch.column(1)):
                 tokens, doc = tokens_of(texts)
-                seed, at, _ = seeds_of(tokens, doc)
+                seed, at = seeds_of(tokens, doc, masks)
                 hit = np.flatnonzero(held(cells, seed.view(np.int64)))
                 if not len(hit):
                     continue
@@ -178,9 +190,12 @@ def contaminated_spans(documents: DataFrame, benchmark: DataFrame, *, id_column:
     spark = documents.sparkSession
     docs = documents.select(documents[id_column].cast("long").alias("doc_id"), documents[text_column].alias("text"))
     items = stored(item_tokens(benchmark.select(benchmark[item_column].cast("long").alias("item_id"), benchmark[item_text_column].alias("text"))), "decontaminate-items")
-    seeds = item_seeds(items).distinct()
+    # At most ``window`` lengths.
+    sizes = sorted(r["size"] for r in items.select(F.least(F.size("tokens"), F.lit(window)).alias("size")).where("size > 0").distinct().collect())
+    masks = [mask for size in sizes for mask in masks_for(size, window, need)]
+    seeds = item_seeds(items, sizes, window, need).distinct()
     bitmap = spark.sparkContext.broadcast(build_bitmap(seeds.select("seed"), FILTER_BITS))
-    regions = stored(candidate_regions(docs, bitmap, window).withColumn("region_id", F.expr("uuid()")), "decontaminate-regions")
+    regions = stored(candidate_regions(docs, bitmap, window, masks).withColumn("region_id", F.expr("uuid()")), "decontaminate-regions")
     hits = regions.select("region_id", F.explode(F.arrays_zip("seeds", "places")).alias("hit")).select("region_id", F.col("hit.seeds").alias("seed"), F.col("hit.places").alias("place"))
     pairs = hits.join(seeds, "seed").groupBy("region_id", "item_id", (F.col("place") - F.col("item_at")).alias("diagonal")).count().drop("count")
     laid = pairs.join(regions.select("region_id", "doc_id", "first", F.col("tokens").alias("region")), "region_id").join(items.select(F.col("item_id").alias("held_id"), F.col("tokens").alias("item")), F.col("item_id").eqNullSafe(F.col("held_id"))).drop("held_id")
@@ -204,8 +219,9 @@ def contaminated_spans(documents: DataFrame, benchmark: DataFrame, *, id_column:
 def remove_contaminated(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without a contaminated span, with their columns."""
     id_column = options.get("id_column", "doc_id")
-    spans = contaminated_spans(documents, benchmark, **options).select(F.col("doc_id").alias("_leaked")).distinct()
-    return documents.join(spans, documents[id_column].cast("long").eqNullSafe(F.col("_leaked")), "left_anti")
+    leaked = free_name(documents, "_leaked")
+    spans = contaminated_spans(documents, benchmark, **options).select(F.col("doc_id").alias(leaked)).distinct()
+    return documents.join(spans, documents[id_column].cast("long").eqNullSafe(F.col(leaked)), "left_anti")
 
 
 def op1_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,22 +233,17 @@ WITH dt AS (
   SELECT doc_id, list_filter(list_transform(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), lambda x: trim(x, '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~')), lambda x: x <> '') AS w FROM documents
 ), it AS (
   SELECT item_id, list_filter(list_transform(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), lambda x: trim(x, '!"#$%&''()*+,-./:;<=>?@[\]^_`{|}~')), lambda x: x <> '') AS w FROM benchmark
-), dp AS (
-  SELECT doc_id, w, unnest(range(0, len(w) - 7)) AS p FROM dt WHERE len(w) >= 8
-), ip AS (
-  SELECT item_id, w, unnest(range(0, len(w) - 7)) AS p FROM it WHERE len(w) >= 8
-), ds AS (
-  SELECT doc_id, p, 0 AS m, concat_ws(' ', w[p + 1], w[p + 2], w[p + 3], w[p + 5], w[p + 7], w[p + 8]) AS seed FROM dp
-  UNION ALL SELECT doc_id, p, 1, concat_ws(' ', w[p + 1], w[p + 2], w[p + 5], w[p + 6], w[p + 7], w[p + 8]) FROM dp
-), se AS (
-  SELECT item_id, p, 0 AS m, concat_ws(' ', w[p + 1], w[p + 2], w[p + 3], w[p + 5], w[p + 7], w[p + 8]) AS seed FROM ip
-  UNION ALL SELECT item_id, p, 1, concat_ws(' ', w[p + 1], w[p + 2], w[p + 5], w[p + 6], w[p + 7], w[p + 8]) FROM ip
+), de AS (
+  SELECT doc_id, unnest(w) AS t, unnest(range(0, len(w))) AS p FROM dt
+), ie AS (
+  SELECT item_id, len(w) AS size, unnest(w) AS t, unnest(range(0, len(w))) AS j FROM it
 ), pairs AS (
-  SELECT DISTINCT ds.doc_id, se.item_id, ds.p - se.p AS diagonal FROM ds JOIN se ON ds.seed = se.seed AND ds.m = se.m
+  SELECT doc_id, item_id, p - j AS diagonal FROM de JOIN ie USING (t) GROUP BY doc_id, item_id, p - j, size HAVING count(*) >= CASE WHEN size >= 13 THEN 11 ELSE ceil(11 * size / 13) END
 ), laid AS (
   SELECT doc_id, item_id, diagonal, j, len(iw) AS size, CAST(iw[j + 1] = dw[j + diagonal + 1] AS INT) AS e
   FROM (SELECT p.*, dt.w AS dw, it.w AS iw, unnest(range(greatest(0, -diagonal), least(len(it.w), len(dt.w) - diagonal))) AS j FROM pairs p JOIN dt USING (doc_id) JOIN it USING (item_id))
 ), starts AS (
+  -- Diagonals with too few equal tokens for any window are left out above; no seeds here.
   SELECT *, CASE WHEN size >= 13 THEN CAST(count(*) OVER f = 13 AND sum(e) OVER f >= 11 AS INT) ELSE CAST(count(*) OVER a = size AND sum(e) OVER a >= ceil(11 * size / 13) AS INT) END AS good
   FROM laid WINDOW f AS (PARTITION BY doc_id, item_id, diagonal ORDER BY j ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING), a AS (PARTITION BY doc_id, item_id, diagonal)
 ), inside AS (

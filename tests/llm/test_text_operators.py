@@ -43,6 +43,57 @@ def test_masks_find_every_window_with_two_substitutions():
         assert any(not any(at + p in bad for p in mask) for mask in decontaminate.MASKS for at in range(13 - mask[-1]))
 
 
+def test_every_allowed_substitution_in_short_items_leaves_a_seed():
+    for size in range(1, 14):
+        most = size - math.ceil(11 * size / 13)
+        masks = decontaminate.masks_for(size, 13, 11)
+        for bad in itertools.combinations(range(size), most):
+            assert any(not any(at + p in bad for p in places) for _, span, places in masks for at in range(size - span + 1)), (size, bad)
+
+
+def spans_of(docs, items, window=13, need=11):
+    """All diagonals, token by token."""
+    tokens = lambda t: [x for x in (w.strip("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~") for w in words(t, lower=True)) if x]
+    found = set()
+    for i, text in docs:
+        d = tokens(text)
+        for j, item in items:
+            t = tokens(item)
+            size = min(window, len(t))
+            least = math.ceil(need * size / window)
+            for diagonal in range(-len(t) + 1, len(d)) if t else ():
+                low, high = max(0, -diagonal), min(len(t), len(d) - diagonal)
+                equal = [t[k] == d[k + diagonal] for k in range(low, high)]
+                inside = [False] * len(equal)
+                for k in range(len(equal) - size + 1):
+                    if sum(equal[k : k + size]) >= least:
+                        inside[k : k + size] = [True] * size
+                for k in range(len(equal)):
+                    if inside[k] and (k == 0 or not inside[k - 1]):
+                        n = next((m for m in range(k, len(equal)) if not inside[m]), len(equal)) - k
+                        found.add((i, j, low + k + diagonal, low + k, n, sum(equal[k : k + n])))
+    return found
+
+
+def test_decontamination_equals_brute_force_for_items_of_every_length(spark):
+    rng = np.random.default_rng(5)
+    vocabulary = [f"v{k}" for k in range(60)]
+    items, docs = [], []
+    for size in [*range(1, 16), 30]:
+        item = [vocabulary[k] for k in rng.integers(0, 60, size)]
+        items.append((size, " ".join(item)))
+        for _ in range(3):
+            text = [vocabulary[k] for k in rng.integers(0, 60, 20)]
+            copy = list(item)
+            for k in rng.integers(0, size, rng.integers(0, 3)):
+                copy[k] = "other"
+            at = int(rng.integers(0, 20))
+            docs.append((len(docs), " ".join([*text[:at], *copy, *text[at:]])))
+    items.append((99, None))
+    got = decontaminate.contaminated_spans(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {tuple(r) for r in got} == spans_of(docs, items) and len(got) == len(spans_of(docs, items))
+
+
 def test_decontamination_tolerates_substitutions_and_leaves_clean_documents(spark):
     w = PASSAGE.split()
     changed = [*w[:4], "CAT", *w[5:9], "and", *w[10:]]
@@ -50,7 +101,7 @@ def test_decontamination_tolerates_substitutions_and_leaves_clean_documents(spar
     docs = documents(spark, texts, extra=False)
     items = spark.createDataFrame([(1, PASSAGE), (2, None), (3, "too short"), (1, PASSAGE)], "item_id long, text string")
     spans = decontaminate.contaminated_spans(docs, items).collect()
-    assert {(r["doc_id"], r["item_id"]) for r in spans} == {(14, 1), (21, 1), (49, 1)}
+    assert {(r["doc_id"], r["item_id"]) for r in spans} == {(14, 1), (21, 1), (49, 1)} and spans
     assert all(r["n_equal"] >= 11 * r["n_tokens"] // 13 for r in spans)
     kept = decontaminate.remove_contaminated(docs, items)
     assert kept.columns == docs.columns and kept.count() == len(texts) - 3
