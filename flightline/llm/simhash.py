@@ -1,49 +1,93 @@
 """SimHash near-duplicates by the generalised pigeonhole principle.
 
-Fingerprints of 64 bits link at ``radius`` or fewer differing bits.  The bits are grouped into
-partitions, correlated ones together, and each fingerprint gets a threshold for each partition,
-with the thresholds adding up to ``radius - partitions + 1`` (-1: not probed).  If two fingerprints
-differed by more than the threshold in every partition, they would differ in more than ``radius``
-bits in all, so probing every partition within its threshold finds every link.  The thresholds are
-allocated for each fingerprint by dynamic programming on the candidates they would bring, which the
-histograms of the partitions' values tell (``partitions * 2**16`` numbers, whatever the corpus).
+The bits of a fingerprint are grouped into partitions, correlated ones together, and each fingerprint
+gets a threshold for each partition, with the thresholds adding up to ``radius - partitions + 1`` (-1:
+not probed).  If two fingerprints differed by more than the threshold in every partition, they would
+differ in more than ``radius`` bits in all, so probing every partition within its threshold finds
+every pair within ``radius``.  The thresholds are allocated for each fingerprint by dynamic programming
+on the candidates they would bring, which the histograms of the partitions' values tell
+(``partitions * 2**width`` numbers, whatever the corpus).
 
 Copies fall together first, as only distinct fingerprints are indexed.  A bucket in which more than
-``LARGE`` fingerprints share a partition's value is split by the value of one more partition: the
-others hold at most ``radius`` differing bits among them, so one of any ``radius + 1`` blocks is
-equal.  Inside a bucket fingerprints are compared in blocks, and what leaves it is a spanning forest
-of its links, never all pairs.  Components grow out of these by alternately linking each node's
-larger and smaller neighbours to the least, written to a table each round.
+``large`` fingerprints share a partition's value is split by one more block of bits: the other bits
+hold at most ``radius`` differing ones, so one of any ``radius + 1`` blocks is equal.  Inside a bucket
+fingerprints are compared in blocks, and what leaves it is the least spanning forest of the pairs
+within ``reach`` by their distance, never all pairs.  Components grow out of these by alternately
+linking each node's larger and smaller neighbours to the least, written to a table each round.
+
+Fingerprints of 64 bits can be told apart at small radii only: two texts that share 80 % of their
+shingles differ in about 10 of 64 bits.  For a similarity of shingle sets there is a wide scheme
+(``WIDE``): 192 bits in 16 partitions, of which two such texts have one within its threshold nine
+times out of ten; pairs met within ``reach`` that lie on a bucket's forest are verified by the exact
+similarity of their sets of shingles.
 
 Defined cases: a null or empty text, or one without words, has fingerprint zero, linked like any
 other; fewer words than a shingle make one shingle of them all.  Repeated rows and ids are rows of
-their own that link like others; a null id counts as larger than any other.  Empty tables give an
-empty result; further columns are ignored.
+their own that link like others; a null id counts as larger than any other.  Where similarity is
+verified, a text that stands under null ids alone links to its copies only, and of several texts
+under one id any may hold a link.  Empty tables give an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from itertools import combinations
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import kernel
-from .storage import stored
+from .bitmap import build_bitmap, held
+from .storage import free_name, stored
+
+
+@dataclass(frozen=True)
+class Scheme:
+    """``bits`` in ``partitions``; pairs within ``radius`` are met for certain, and those met are links up to ``reach`` (the radius unless given)."""
+
+    bits: int = 64
+    partitions: int = 4
+    radius: int = 2
+    reach: int | None = None
+    #: Highest threshold of a partition; partitions * (most + 1) must be above the radius.
+    most: int = 2
+    #: Fingerprints that may share a partition's value before their bucket is split.
+    large: int = 1024
+
+    def __post_init__(self) -> None:
+        if self.bits % 64 or self.bits % self.partitions or self.width > 16 or self.partitions * (self.most + 1) <= self.radius:
+            raise ValueError("bits must be words of 64 in equal partitions of at most 16 bits, with thresholds that add up")
 
-BITS, PARTITIONS, WIDTH, RADIUS = 64, 4, 16, 2
-LARGE = 1024
-BLOCK = 2048
+    @property
+    def width(self) -> int:
+        return self.bits // self.partitions
 
+    @property
+    def farthest(self) -> int:
+        return self.radius if self.reach is None else self.reach
 
-def fingerprints_of(texts: kernel.Texts, shingle: int = 3) -> np.ndarray:
-    """Bit b of a fingerprint is 1 if it is set in over half of the XXH64 hashes (seed 42) of the text's shingles."""
+    def flips(self, errors: int) -> np.ndarray:
+        """All values with ``errors`` bits of a partition set."""
+        return np.array([sum(1 << b for b in bits) for bits in combinations(range(self.width), errors)], np.int64)
+
+
+NARROW = Scheme()
+WIDE = Scheme(bits=192, partitions=16, radius=15, reach=42, most=1, large=16_384)
+BLOCK = 1024
+
+
+def fingerprints_of(texts: kernel.Texts, shingle: int = 3, bits: int = 64) -> np.ndarray:
+    """Shape (texts, bits / 64).  Bit b is 1 if it is set in over half of the hashes of the text's shingles: XXH64 (seed 42), and mixtures of it for further words."""
     from xxhash import xxh64_intdigest
 
     words = kernel.split_words(texts, lower=True)
     n = len(texts)
+    out = np.zeros((n, bits // 64), np.uint64)
     if not len(words.start):
-        return np.zeros(n, np.uint64)
+        return out
     # The words on end with one blank after each, so that a shingle is one span.
     length = words.end - words.start
     start = np.cumsum(length + 1) - length - 1
@@ -58,226 +102,270 @@ def fingerprints_of(texts: kernel.Texts, shingle: int = 3) -> np.ndarray:
     last = np.minimum(begin + shingle, (first + count)[owner]) - 1
     raw = memoryview(joined.tobytes())
     hashes = np.fromiter((xxh64_intdigest(raw[a:b], 42) for a, b in zip(start[begin].tolist(), (start[last] + length[last]).tolist(), strict=True)), np.uint64, len(begin))
-    out = np.zeros(n, np.uint64)
     has = np.flatnonzero(shingles)
     at = (np.cumsum(shingles) - shingles)[has]
-    for b in range(BITS):
-        ones = np.add.reduceat(((hashes >> np.uint64(b)) & np.uint64(1)).astype(np.int32), at)
-        out[has] |= (2 * ones > shingles[has]).astype(np.uint64) << np.uint64(b)
+    for word in range(bits // 64):
+        if word:
+            hashes = kernel.mix(hashes + np.uint64(word))
+        for b in range(64):
+            ones = np.add.reduceat(((hashes >> np.uint64(b)) & np.uint64(1)).astype(np.int32), at)
+            out[has, word] |= (2 * ones > shingles[has]).astype(np.uint64) << np.uint64(b)
     return out
 
 
-def fingerprint(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", shingle: int = 3) -> DataFrame:
-    """``doc_id, fp`` with the 64 bits as a signed long."""
+def nodes_of(fps: np.ndarray) -> np.ndarray:
+    """A long for each fingerprint: itself if it has 64 bits, else a hash."""
+    node = fps[:, 0].copy()
+    for word in range(1, fps.shape[1]):
+        node = kernel.mix(node ^ kernel.mix(fps[:, word] + np.uint64(word)))
+    return node.view(np.int64)
+
+
+def to_arrow(fps: np.ndarray) -> pa.Array:
+    """Fingerprints as binary values, the highest byte of each word first."""
+    size = 8 * fps.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(fps), [None, pa.py_buffer(np.arange(len(fps) + 1, dtype=np.int32) * size), pa.py_buffer(np.ascontiguousarray(fps.astype(">u8")))])
+
+
+def from_arrow(column: pa.Array, bits: int) -> np.ndarray:
+    if not len(column):
+        return np.zeros((0, bits // 64), np.uint64)
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(column.buffers()[2], ">u8", (offsets[-1] - offsets[0]) // 8, offsets[0]).astype(np.uint64).reshape(-1, bits // 64)
+
+
+def fingerprint(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", shingle: int = 3, bits: int = 64) -> DataFrame:
+    """``doc_id, node, fp`` (see :func:`nodes_of` and :func:`to_arrow`)."""
 
     def scan(batches):
         for batch in batches:
             for texts in kernel.text_slices(batch.column(1)):
-                ids = batch.column(0).slice(texts.first_row, len(texts))
-                yield pa.RecordBatch.from_arrays([ids, pa.array(fingerprints_of(texts, shingle).view(np.int64))], ["doc_id", "fp"])
+                fps = fingerprints_of(texts, shingle, bits)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(texts.first_row, len(texts)), pa.array(nodes_of(fps)), to_arrow(fps)], ["doc_id", "node", "fp"])
 
-    return documents.select(documents[id_column].cast("long").alias("doc_id"), documents[text_column].alias("text")).mapInArrow(scan, "doc_id long, fp long")
+    return documents.select(documents[id_column].cast("long").alias("doc_id"), documents[text_column].alias("text")).mapInArrow(scan, "doc_id long, node long, fp binary")
 
 
-def _unpacked(fps: np.ndarray) -> np.ndarray:
-    return ((fps[:, None] >> np.arange(BITS, dtype=np.uint64)) & np.uint64(1)).astype(np.float32)
+def _bit(fps: np.ndarray, b: int) -> np.ndarray:
+    return ((fps[:, b // 64] >> np.uint64(b % 64)) & np.uint64(1)).astype(np.int64)
 
 
-def bit_groups(distinct: DataFrame, partitions: int = PARTITIONS) -> np.ndarray:
+def bit_groups(distinct: DataFrame, scheme: Scheme = NARROW) -> np.ndarray:
     """The bits in order of their partitions: correlated bits together.
 
-    One 64 x 64 table of co-occurrences, summed over all fingerprints, reaches the driver.
+    One table of co-occurrences, bits x bits, summed over all fingerprints, reaches the driver.
     """
+    size = scheme.bits
 
     def together(batches):
-        total = np.zeros((BITS, BITS))
+        total = np.zeros((size, size))
         n = 0
         for batch in batches:
-            bits = _unpacked(kernel.ints(batch.column(0)).view(np.uint64))
+            fps = from_arrow(batch.column(0), size)
+            bits = np.stack([_bit(fps, b) for b in range(size)], axis=1).astype(np.float32)
             total += bits.T @ bits
             n += len(bits)
         if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(BITS * BITS + 1)), pa.array(np.append(total.ravel(), n))], ["cell", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(size * size + 1)), pa.array(np.append(total.ravel(), n))], ["cell", "n"])
 
     sums = distinct.select("fp").mapInArrow(together, "cell long, n double").groupBy("cell").agg(F.sum("n").alias("n")).toPandas().set_index("cell")["n"]
     if not len(sums):
-        return np.arange(BITS)
-    n = sums[BITS * BITS]
-    joint = sums.drop(BITS * BITS).sort_index().to_numpy().reshape(BITS, BITS) / n
+        return np.arange(size)
+    n = sums[size * size]
+    joint = sums.drop(size * size).sort_index().to_numpy().reshape(size, size) / n
     mean = np.diag(joint)
     spread = np.sqrt(np.maximum(1e-12, mean * (1 - mean)))
     tie = np.abs((joint - np.outer(mean, mean)) / np.outer(spread, spread))
     np.fill_diagonal(tie, 0)
-    free, order = list(range(BITS)), []
-    for _ in range(partitions):
+    free, order = list(range(size)), []
+    for _ in range(scheme.partitions):
         sub = tie[np.ix_(free, free)]
         group = [free[int(sub.sum(axis=1).argmax())]]
-        while len(group) < BITS // partitions:
+        while len(group) < scheme.width:
             rest = [b for b in free if b not in group]
-            group.append(max(rest, key=lambda b: (tie[b, group].mean(), -b)))
+            group.append(rest[int(tie[np.ix_(rest, group)].mean(axis=1).argmax())])
         order += group
         free = [b for b in free if b not in group]
     return np.array(order)
 
 
-def parts_of(fps: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """The value of each partition: shape (n, partitions)."""
-    out = np.zeros((len(fps), PARTITIONS), np.int64)
-    for k, bit in enumerate(order):
-        out[:, k // WIDTH] |= ((fps >> np.uint64(bit)) & np.uint64(1)).astype(np.int64) << (k % WIDTH)
+def value_of(fps: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The integer that the named bits make."""
+    out = np.zeros(len(fps), np.int64)
+    for k, bit in enumerate(bits.tolist()):
+        out |= _bit(fps, bit) << k
     return out
 
 
-FLIPS = {0: np.zeros(1, np.int64), 1: 1 << np.arange(WIDTH), 2: np.array([(1 << a) | (1 << b) for a in range(WIDTH) for b in range(a)])}
+def parts_of(fps: np.ndarray, order: np.ndarray, scheme: Scheme = NARROW) -> np.ndarray:
+    """The value of each partition: shape (n, partitions)."""
+    return np.stack([value_of(fps, own) for own in order.reshape(scheme.partitions, scheme.width)], axis=1)
 
 
-def candidate_tables(counts: np.ndarray) -> np.ndarray:
-    """From counts (partitions, 2**WIDTH): fingerprints within 0, 1, 2 bits of each value, shape (partitions, RADIUS + 1, 2**WIDTH)."""
-    values = np.arange(1 << WIDTH)
-    out = np.zeros((PARTITIONS, RADIUS + 1, 1 << WIDTH))
-    for p in range(PARTITIONS):
-        for e in range(RADIUS + 1):
-            out[p, e] = sum(counts[p][values ^ f] for f in FLIPS[e]) + (out[p, e - 1] if e else 0)
+def candidate_tables(counts: np.ndarray, scheme: Scheme = NARROW) -> np.ndarray:
+    """From counts (partitions, 2**width): fingerprints within 0, 1, ... bits of each value, shape (partitions, most + 1, 2**width)."""
+    values = np.arange(1 << scheme.width)
+    out = np.zeros((scheme.partitions, scheme.most + 1, 1 << scheme.width), np.float32)
+    for p in range(scheme.partitions):
+        for e in range(scheme.most + 1):
+            out[p, e] = sum(counts[p][values ^ f] for f in scheme.flips(e)) + (out[p, e - 1] if e else 0)
     return out
 
 
-def allocate(parts: np.ndarray, tables: np.ndarray) -> np.ndarray:
-    """Thresholds (n, partitions) with the least candidates and probes, adding up to RADIUS - PARTITIONS + 1.
+def allocate(parts: np.ndarray, tables: np.ndarray, scheme: Scheme = NARROW) -> np.ndarray:
+    """Thresholds (n, partitions) with the least candidates and probes, adding up to radius - partitions + 1.
 
     Dynamic programming over the partitions; the state is the sum so far of (threshold + 1).
     """
-    n, units = len(parts), RADIUS + 1
-    probes = np.cumsum([len(FLIPS[e]) for e in range(units)])
+    n, units, most = len(parts), scheme.radius + 1, scheme.most + 1
+    probes = np.cumsum([len(scheme.flips(e)) for e in range(most)])
     best = np.full((units + 1, n), np.inf)
     best[0] = 0
-    back = np.zeros((PARTITIONS, units + 1, n), np.int64)
-    for p in range(PARTITIONS):
-        cost = [np.zeros(n)] + [tables[p, e, parts[:, p]] + probes[e] for e in range(units)]
+    back = np.zeros((scheme.partitions, units + 1, n), np.int8)
+    for p in range(scheme.partitions):
+        cost = [np.zeros(n)] + [tables[p, e, parts[:, p]] + probes[e] for e in range(most)]
         new = np.full((units + 1, n), np.inf)
         for total in range(units + 1):
-            for spent in range(total + 1):
+            for spent in range(min(total, most) + 1):
                 trial = best[total - spent] + cost[spent]
                 better = trial < new[total]
                 new[total][better] = trial[better]
                 back[p, total][better] = spent
         best = new
-    out = np.zeros((n, PARTITIONS), np.int64)
+    out = np.zeros((n, scheme.partitions), np.int64)
     total = np.full(n, units)
-    for p in reversed(range(PARTITIONS)):
-        spent = back[p, total, np.arange(n)]
+    for p in reversed(range(scheme.partitions)):
+        spent = back[p, total, np.arange(n)].astype(np.int64)
         out[:, p] = spent - 1
         total -= spent
     return out
 
 
-def _keys(partition: np.ndarray, value: np.ndarray, second: np.ndarray | int = 7, second_value: np.ndarray | int = 0) -> np.ndarray:
-    return ((partition * 8 + second) << (2 * WIDTH)) | (value << WIDTH) | second_value
-
-
-def probes_of(fps: np.ndarray, order: np.ndarray, counts: np.ndarray, tables: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def probes_of(fps: np.ndarray, order: np.ndarray, counts: np.ndarray, tables: np.ndarray, scheme: Scheme = NARROW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows (key, index of the fingerprint, is a query) of the index and of the probes of each fingerprint."""
-    parts = parts_of(fps, order)
-    thresholds = allocate(parts, tables)
+    parts = parts_of(fps, order, scheme)
+    thresholds = allocate(parts, tables, scheme)
+    own_bits = order.reshape(scheme.partitions, scheme.width)
     keys, owners, asks = [], [], []
 
+    def put(key: np.ndarray, who: np.ndarray, query: bool) -> None:
+        keys.append(key)
+        owners.append(who)
+        asks.append(np.full(len(key), query))
+
     def emit(p: int, value: np.ndarray, who: np.ndarray, query: bool) -> None:
-        large = counts[p][value] > LARGE
-        keys.append(_keys(p, value[~large]))
-        owners.append(who[~large])
-        for q in range(PARTITIONS):
-            if q != p and large.any():
-                keys.append(_keys(p, value[large], q, parts[who[large], q]))
-                owners.append(who[large])
-        while len(asks) < len(keys):
-            asks.append(np.full(len(keys[len(asks)]), query))
+        large = counts[p][value] > scheme.large
+        put((p * 64 + 63 << 40) | (value[~large] << 24), who[~large], query)
+        if large.any():
+            rest = np.setdiff1d(order, own_bits[p], assume_unique=True)
+            for block, bits in enumerate(np.array_split(rest, scheme.radius + 1)):
+                put((p * 64 + block << 40) | (value[large] << 24) | value_of(fps[who[large]], bits), who[large], query)
 
     everyone = np.arange(len(fps))
-    for p in range(PARTITIONS):
+    for p in range(scheme.partitions):
         emit(p, parts[:, p], everyone, False)
-        for e in range(RADIUS + 1):
+        for e in range(scheme.most + 1):
             who = np.flatnonzero(thresholds[:, p] >= e)
-            for f in FLIPS[e]:
+            for f in scheme.flips(e):
                 value = parts[who, p] ^ f
                 some = counts[p][value] > (0 if e else 1)  # nobody else there
                 emit(p, value[some], who[some], True)
     return np.concatenate(keys), np.concatenate(owners), np.concatenate(asks)
 
 
-def _forest(fps: np.ndarray, queries: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links within one bucket, as edges of a spanning forest: indices into ``fps``."""
-    parent = np.arange(len(fps))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    left, right = [], []
+def spanning(distance: np.ndarray, a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """Indices of the edges of a least spanning forest, ties by ``a`` and ``b`` (each component takes its least edge out, and again)."""
+    order = np.lexsort((b, a, distance))
+    a, b = a[order], b[order]
+    label, chosen, alive = np.arange(n), [], np.arange(len(order))
+    while True:
+        x, y = label[a[alive]], label[b[alive]]
+        across = x != y
+        alive, x, y = alive[across], x[across], y[across]
+        if not len(alive):
+            break
+        best = np.full(n, len(order))
+        np.minimum.at(best, x, alive)
+        np.minimum.at(best, y, alive)
+        own = np.flatnonzero(best < len(order))
+        chosen.append(best[own])
+        parent = np.arange(n)
+        la, lb = label[a[best[own]]], label[b[best[own]]]
+        parent[own] = np.where(la == own, lb, la)
+        both = own[(parent[parent[own]] == own) & (own < parent[own])]
+        parent[both] = both
+        while (parent != parent[parent]).any():
+            parent = parent[parent]
+        label = parent[label]
+    return order[np.unique(np.concatenate(chosen))] if chosen else np.zeros(0, np.int64)
+
+
+def _forest(fps: np.ndarray, queries: np.ndarray, members: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Least spanning forest of the pairs within ``reach`` in one bucket: distance and indices into ``fps``."""
+    distance, left, right = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     for a in range(0, len(queries), BLOCK):
         q = queries[a : a + BLOCK]
         for b in range(0, len(members), BLOCK):
             m = members[b : b + BLOCK]
-            near = np.bitwise_count(fps[q][:, None] ^ fps[m][None, :]) <= RADIUS
-            for i, j in zip(*np.nonzero(near), strict=True):
-                x, y = root(q[i]), root(m[j])
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-                    left.append(q[i])
-                    right.append(m[j])
-    return np.array(left, np.int64), np.array(right, np.int64)
-
-
-def links(distinct: DataFrame) -> DataFrame:
-    """``a, b`` (a < b): links among distinct fingerprints (column ``fp``) that hold all components together."""
+            d = sum(np.bitwise_count(fps[q, w][:, None] ^ fps[m, w][None, :]).astype(np.int16) for w in range(fps.shape[1]))
+            i, j = np.nonzero((d <= reach) & (d > 0))
+            if len(i):
+                distance, left, right = np.append(distance, d[i, j]), np.append(left, q[i]), np.append(right, m[j])
+                if len(distance) > 1:
+                    keep = spanning(distance, left, right, len(fps))
+                    distance, left, right = distance[keep], left[keep], right[keep]
+    return distance, left, right
+
+
+def links(distinct: DataFrame, scheme: Scheme = NARROW) -> DataFrame:
+    """``a, b`` (a < b): links among distinct fingerprints (columns ``node, fp``) that hold all components together."""
     spark = distinct.sparkSession
-    order = bit_groups(distinct)
+    order = bit_groups(distinct, scheme)
+    cells = 1 << scheme.width
 
     def values(batches):
         for batch in batches:
-            parts = parts_of(kernel.ints(batch.column(0)).view(np.uint64), order)
-            cell, n = np.unique(parts + np.arange(PARTITIONS) * (1 << WIDTH), return_counts=True)
+            parts = parts_of(from_arrow(batch.column(0), scheme.bits), order, scheme)
+            cell, n = np.unique(parts + np.arange(scheme.partitions) * cells, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], ["cell", "n"])
 
-    counts = np.zeros(PARTITIONS << WIDTH)
-    held = distinct.select("fp").mapInArrow(values, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # at most 2**18 rows
-    counts[held["cell"].to_numpy(np.int64)] = held["n"].to_numpy()
-    counts = counts.reshape(PARTITIONS, 1 << WIDTH)
-    known = spark.sparkContext.broadcast((order, counts.astype(np.float32)))
+    counts = np.zeros(scheme.partitions * cells, np.float32)
+    seen = distinct.select("fp").mapInArrow(values, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # at most partitions * 2**width rows
+    counts[seen["cell"].to_numpy(np.int64)] = seen["n"].to_numpy()
+    counts = counts.reshape(scheme.partitions, cells)
+    known = spark.sparkContext.broadcast((order, counts, candidate_tables(counts, scheme)))
 
     def probe(batches):
-        order, counts = known.value
-        tables = candidate_tables(counts)
+        order, counts, tables = known.value
         for batch in batches:
-            fps = kernel.ints(batch.column(0)).view(np.uint64)
-            for a in range(0, len(fps), 4096):
-                keys, owners, asks = probes_of(fps[a : a + 4096], order, counts, tables)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(fps[a : a + 4096][owners].view(np.int64)), pa.array(asks)], ["key", "fp", "query"])
+            fps = from_arrow(batch.column(0), scheme.bits)
+            for a in range(0, len(fps), 1024):
+                part = fps[a : a + 1024]
+                keys, owners, asks = probes_of(part, order, counts, tables, scheme)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), to_arrow(part[owners]), pa.array(asks)], ["key", "fp", "query"])
 
     def verify(batches):
         # Rows come sorted by key; a bucket can go on in the next batch.
-        keys, fps, asks = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
+        keys, fps, asks = np.zeros(0, np.int64), np.zeros((0, scheme.bits // 64), np.uint64), np.zeros(0, bool)
 
         def of(keys, fps, asks):
             # A link to be found needs a query and a member that differ; most buckets have none.
             cut = np.flatnonzero(np.diff(keys)) + 1
-            left, right = [], []
+            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for a, b in zip(np.append(0, cut).tolist(), np.append(cut, len(keys)).tolist(), strict=True):
                 if b - a > 1:
                     ask = asks[a:b]
                     if ask.any() and not ask.all():
-                        own = fps[a:b]
-                        x, y = _forest(own, np.flatnonzero(ask), np.flatnonzero(~ask))
-                        left.append(own[x])
-                        right.append(own[y])
-            x, y = (np.concatenate(v) if v else np.zeros(0, np.uint64) for v in (left, right))
-            x, y = x.view(np.int64), y.view(np.int64)
-            differ = x != y
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)[differ]), pa.array(np.maximum(x, y)[differ])], ["a", "b"])
+                        _, x, y = _forest(fps[a:b], np.flatnonzero(ask), np.flatnonzero(~ask), scheme.farthest)
+                        left.append(a + x)
+                        right.append(a + y)
+            x, y = nodes_of(fps[np.concatenate(left)]), nodes_of(fps[np.concatenate(right)])
+            return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], ["a", "b"])
 
         for batch in batches:
             keys = np.concatenate([keys, kernel.ints(batch.column(0))])
-            fps = np.concatenate([fps, kernel.ints(batch.column(1)).view(np.uint64)])
+            fps = np.concatenate([fps, from_arrow(batch.column(1), scheme.bits)])
             asks = np.concatenate([asks, batch.column(2).to_numpy(zero_copy_only=False)])
             whole = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
             if whole:
@@ -286,18 +374,74 @@ def links(distinct: DataFrame) -> DataFrame:
         if len(keys):
             yield of(keys, fps, asks)
 
-    rows = distinct.select("fp").mapInArrow(probe, "key long, fp long, query boolean")
+    rows = distinct.select("fp").mapInArrow(probe, "key long, fp binary, query boolean")
     return rows.repartition("key").sortWithinPartitions("key").mapInArrow(verify, "a long, b long").distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def shingle_sets(texts: kernel.Texts, shingle: int) -> pa.Array:
+    """The sorted distinct hashes of each text's shingles (of all its words where they are fewer), as binary values of 64-bit integers."""
+    words = kernel.split_words(texts, lower=True)
+    hashes, count = kernel.word_hashes(words), words.counts()
+    h, at = kernel.window_hashes(hashes, words.doc, shingle)
+    owner = words.doc[at]
+    first = words.firsts()
+    few = np.flatnonzero((count > 0) & (count < shingle))
+    short = np.array([kernel.window_hashes(hashes[first[k] : first[k + 1]], words.doc[first[k] : first[k + 1]], int(count[k]))[0][0] for k in few.tolist()], np.uint64)
+    h, owner = np.append(h, short), np.append(owner, few)
+    order = np.lexsort((h, owner))
+    h, owner = h[order], owner[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])
+    h, owner = h[new], owner[new]
+    offsets = np.append(0, 8 * np.cumsum(np.bincount(owner, minlength=len(texts)))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(h))])
+
+
+def verified(edges: DataFrame, distinct: DataFrame, documents: DataFrame, *, id_column: str, text_column: str, shingle: int, least: float) -> DataFrame:
+    """The ``edges`` (``a, b``) whose texts' sets of shingles have a Jaccard similarity of ``least`` or more.
+
+    Of each fingerprint one document is read, that with the least id; only documents that a bitmap of
+    those ids holds leave the scan.
+    """
+    spark = documents.sparkSession
+    nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+    wanted = stored(nodes.join(distinct, "node").where("least is not null").select("node", F.col("least").alias("doc_id")), "near-wanted")
+    n, bits = wanted.count(), 1 << 20
+    while bits < 1 << 28 and bits < 32 * n:
+        bits *= 2
+    cells = spark.sparkContext.broadcast(build_bitmap(wanted.select(F.xxhash64("doc_id").alias("key")), bits))
+
+    def scan(batches):
+        for batch in batches:
+            part = batch.filter(pa.array(held(cells.value, kernel.ints(batch.column(2)))))
+            for texts in kernel.text_slices(part.column(1)):
+                yield pa.RecordBatch.from_arrays([part.column(0).slice(texts.first_row, len(texts)), shingle_sets(texts, shingle)], ["doc_id", "shingles"])
+
+    docs = documents.select(documents[id_column].cast("long").alias("doc_id"), documents[text_column].alias("text")).withColumn("key", F.xxhash64("doc_id"))
+    sets = stored(docs.mapInArrow(scan, "doc_id long, shingles binary").join(wanted, "doc_id").select("node", "shingles"), "near-shingles")
+    both = edges.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("own")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("other")), "b").select("a", "b", "own", "other")
+
+    def compare(batches):
+        for batch in batches:
+            keep = np.zeros(batch.num_rows, bool)
+            for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep[k] = common >= least * (len(x) + len(y) - common) and common > 0
+            part = batch.filter(pa.array(keep))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"])
+
+    return both.mapInArrow(compare, "a long, b long").distinct()
+
+
+def components(edges: DataFrame) -> DataFrame:
     """``node, root``: the least node reachable, for every node of ``edges`` (``a, b`` longs).
 
     Alternating star contraction: each round links every node's larger neighbours, then every node's
     smaller neighbours, to the least of them; it ends when a round changes nothing.
     """
     edges = stored(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct(), "component-edges")
-    for _ in range(most_rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
         large = both.join(least, "a").where("b > a").select(F.col("low").alias("a"), F.col("b")).where("a < b").distinct()
@@ -311,28 +455,58 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         edges = new
         if changed == before:
             break
-    else:
-        raise RuntimeError(f"components are not settled after {most_rounds} rounds")
     return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
 
 
-def near_duplicates(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", shingle: int = 3) -> DataFrame:
-    """``doc_id, fingerprint, component_id, component_size``: one row for each document."""
-    fps = stored(fingerprint(documents, id_column=id_column, text_column=text_column, shingle=shingle), "simhash")
-    distinct = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "simhash-distinct")
-    roots = components(links(distinct))
+def _grouped(documents: DataFrame, id_column: str, text_column: str, shingle: int, scheme: Scheme, least_similarity: float | None) -> tuple[DataFrame, DataFrame]:
+    """``doc_id, node, fp`` of every document, and ``node, root, component_id, component_size`` of every fingerprint."""
+    fps = stored(fingerprint(documents, id_column=id_column, text_column=text_column, shingle=shingle, bits=scheme.bits), "simhash")
+    distinct = stored(fps.groupBy("node", "fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "simhash-distinct")
+    found = links(distinct, scheme)
+    if least_similarity is not None:
+        found = verified(stored(found, "simhash-candidates"), distinct, documents, id_column=id_column, text_column=text_column, shingle=shingle, least=least_similarity)
+    roots = components(found).select(F.col("node").alias("inner"), "root")
     # Components of fingerprints, by their least document.
-    grouped = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", "copies", F.coalesce("root", "fp").alias("root"))
+    grouped = distinct.join(roots, F.col("node") == F.col("inner"), "left").select("node", "least", "copies", F.coalesce("root", "node").alias("root"))
     totals = grouped.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("copies").alias("component_size"))
-    named = grouped.select("fp", "root").join(totals, "root").select("fp", "component_id", "component_size")
-    return fps.join(named, "fp").select(F.col("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_size")
+    return fps, grouped.select("node", "root").join(totals, "root")
 
 
-def keep_one(documents: DataFrame, **options) -> DataFrame:
-    """The document with the least id of each component, with its columns."""
-    id_column = options.get("id_column", "doc_id")
-    later = near_duplicates(documents, **options).where("doc_id > component_id").select(F.col("doc_id").alias("_later")).distinct()
-    return documents.join(later, documents[id_column].cast("long") == F.col("_later"), "left_anti")
+def near_duplicates(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", shingle: int = 3, scheme: Scheme = NARROW, least_similarity: float | None = None) -> DataFrame:
+    """``doc_id, fingerprint, component_id, component_size``: one row for each document."""
+    fps, named = _grouped(documents, id_column, text_column, shingle, scheme, least_similarity)
+    return fps.join(named, "node").select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id", "component_size")
+
+
+def keep_one(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", shingle: int = 3, scheme: Scheme = NARROW, least_similarity: float | None = None) -> DataFrame:
+    """One document of each component, with its columns: that with the least id, null ids last, and of rows that share it any one."""
+    fps, named = _grouped(documents, id_column, text_column, shingle, scheme, least_similarity)
+    known = stored(fps.join(named, "node").select("doc_id", "node", "root", "component_id"), "simhash-components")
+    own = documents[id_column].cast("long")
+    mark = free_name(documents, "_mark")
+    # Ids that stand in one row only are told by the id.
+    shared = stored(known.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias(mark)), "simhash-shared")
+    later = known.where("doc_id > component_id").select(F.col("doc_id").alias(mark)).distinct()
+    kept = documents.join(later, own == F.col(mark), "left_anti")
+    if shared.isEmpty():
+        return kept
+    kept = kept.join(shared, own.eqNullSafe(F.col(mark)), "left_anti")
+    # Rows whose id others have, or that have none, are told by id and fingerprint.
+    rows = documents.join(shared, own.eqNullSafe(F.col(mark)), "left_semi")
+    names, node = documents.columns, free_name(documents, "_node")
+    place = names.index(text_column)
+
+    def scan(batches):
+        for batch in batches:
+            for texts in kernel.text_slices(batch.column(place)):
+                yield pa.RecordBatch.from_arrays([*batch.slice(texts.first_row, len(texts)).columns, pa.array(nodes_of(fingerprints_of(texts, shingle, scheme.bits)))], [*names, node])
+
+    marked = rows.mapInArrow(scan, T.StructType([*documents.schema.fields, T.StructField(node, T.LongType())]))
+    root, low = free_name(documents, "_root"), free_name(documents, "_low")
+    of_node = known.select(F.col("node").alias(mark), F.col("root").alias(root), F.col("component_id").alias(low)).distinct()
+    least = marked.join(of_node, F.col(node) == F.col(mark)).where(marked[id_column].cast("long").eqNullSafe(F.col(low)))
+    one = least.groupBy(root).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in documents.columns])).alias(mark))
+    return kept.unionByName(one.select(f"{mark}.*"))
 
 
 def op3_generalised_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:

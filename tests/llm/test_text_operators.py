@@ -189,36 +189,104 @@ def test_near_duplicates_of_odd_and_empty_tables(spark):
     docs = documents(spark)
     assert simhash.near_duplicates(docs).count() == docs.count()
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
-    assert simhash.keep_one(docs).count() >= len({t for t in ODD_TEXTS if words(t)}) - 4
+    assert simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_one_row_of_each_component_stays_under_null_and_repeated_ids(spark):
+    other = " ".join(f"z{k}" for k in range(30))
+    rows = [(5, PASSAGE, 1), (5, PASSAGE, 2), (9, PASSAGE, 3), (None, PASSAGE, 4), (3, other, 5), (3, PASSAGE[::-1], 6), (8, other, 7), (None, "alone here", 8), (None, "alone here", 9), (None, "", 10), (12, None, 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _mark int")
+    for options in ({}, {"shingle": 5, "scheme": simhash.WIDE, "least_similarity": 0.8}):
+        kept = simhash.keep_one(docs, **options)
+        assert kept.columns == docs.columns
+        got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=repr)
+        assert got == sorted([(5, PASSAGE), (3, other), (3, PASSAGE[::-1]), (None, "alone here"), (12, None)], key=repr)
+
+
+def jaccard(a, b, shingle=5):
+    sets = []
+    for t in (a, b):
+        w = words(t, True)
+        sets.append({tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set())
+    return len(sets[0] & sets[1]) / max(1, len(sets[0] | sets[1]))
+
+
+def test_wide_fingerprints_find_texts_that_share_their_shingles(spark):
+    rng = np.random.default_rng(21)
+    base = [[f"w{k}" for k in rng.integers(0, 3000, 150)] for _ in range(60)]
+    texts = []
+    for k, w in enumerate(base):
+        texts.append(" ".join(w))
+        for changes in (1, 2, 3) if k % 2 else (8, 20):
+            copy = list(w)
+            for at in rng.choice(150, changes, replace=False):
+                copy[at] = "changed"
+            texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, shingle=5, scheme=simhash.WIDE, least_similarity=0.8).collect()}
+    near = [(i, j) for i, j in itertools.combinations(range(len(texts)), 2) if jaccard(texts[i], texts[j]) >= 0.8]
+    linked = sum(found[i] == found[j] for i, j in near)
+    assert len(near) > 80 and linked >= 0.9 * len(near)
+    root = {i: i for i in range(len(texts))}
+    for i, j in near:
+        for k in [k for k in root if root[k] == root[j]]:
+            root[k] = root[i]
+    assert all(root[i] == root[j] for i, j in found.items())  # nothing is linked that exact similarity does not link
+
+
+def test_least_spanning_forests():
+    rng = np.random.default_rng(2)
+    for _ in range(50):
+        n, m = int(rng.integers(2, 30)), int(rng.integers(1, 120))
+        a, b, d = rng.integers(0, n, m), rng.integers(0, n, m), rng.integers(1, 9, m)
+        a, b, d = a[a != b], b[a != b], d[a != b]
+        root = list(range(n))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        total = 0
+        for k in np.argsort(d, kind="stable"):
+            x, y = find(a[k]), find(b[k])
+            if x != y:
+                root[x] = y
+                total += d[k]
+        keep = simhash.spanning(d, a, b, n)
+        assert d[keep].sum() == total and len(keep) == n - len({find(x) for x in range(n)})
+
+
+SCHEMES = [simhash.NARROW, simhash.Scheme(large=0), simhash.Scheme(bits=128, partitions=16, radius=15, most=1), simhash.Scheme(partitions=8, radius=5, most=2, large=1)]
 
 
 @settings(max_examples=25, deadline=None)
-@given(st.lists(st.integers(0, 2**64 - 1), min_size=2, max_size=30), st.integers(0, 2**32))
-def test_probes_meet_every_link(fps, seed):
+@given(st.lists(st.integers(0, 2**64 - 1), min_size=2, max_size=20), st.integers(0, 2**32), st.sampled_from(SCHEMES))
+def test_probes_meet_every_link(fps, seed, scheme):
     rng = np.random.default_rng(seed)
-    near = [f ^ (1 << int(rng.integers(64))) ^ (1 << int(rng.integers(64))) for f in fps]
-    every = np.unique(np.array(fps + near, np.uint64))
-    order = rng.permutation(64)
-    counts = np.zeros((simhash.PARTITIONS, 1 << simhash.WIDTH))
-    parts = simhash.parts_of(every, order)
-    for p in range(simhash.PARTITIONS):
+    wide = rng.integers(0, 2**63, (len(fps), scheme.bits // 64), dtype=np.uint64)
+    wide[:, 0] = fps
+    near = wide.copy()
+    for row in near:
+        for bit in rng.integers(0, scheme.bits, scheme.radius):
+            row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+    every = np.unique(np.concatenate([wide, near]), axis=0)
+    order = rng.permutation(scheme.bits)
+    counts = np.zeros((scheme.partitions, 1 << scheme.width))
+    parts = simhash.parts_of(every, order, scheme)
+    for p in range(scheme.partitions):
         np.add.at(counts[p], parts[:, p], 1)
-    tables = simhash.candidate_tables(counts)
-    thresholds = simhash.allocate(parts, tables)
-    assert (thresholds.sum(axis=1) == simhash.RADIUS - simhash.PARTITIONS + 1).all()
-    for large in (simhash.LARGE, 0):
-        simhash.LARGE, kept = large, simhash.LARGE
-        try:
-            keys, owner, asks = simhash.probes_of(every, order, counts, tables)
-        finally:
-            simhash.LARGE = kept
-        members, queries = defaultdict(set), defaultdict(set)
-        for k, o, a in zip(keys.tolist(), owner.tolist(), asks.tolist(), strict=True):
-            (queries if a else members)[k].add(o)
-        met = {frozenset((a, b)) for k in queries for a in queries[k] for b in members[k]}
-        for a, b in itertools.combinations(range(len(every)), 2):
-            if int(every[a] ^ every[b]).bit_count() <= 2:
-                assert frozenset((a, b)) in met
+    tables = simhash.candidate_tables(counts, scheme)
+    thresholds = simhash.allocate(parts, tables, scheme)
+    assert (thresholds.sum(axis=1) == scheme.radius - scheme.partitions + 1).all() and thresholds.max() <= scheme.most
+    keys, owner, asks = simhash.probes_of(every, order, counts, tables, scheme)
+    members, queries = defaultdict(set), defaultdict(set)
+    for k, o, a in zip(keys.tolist(), owner.tolist(), asks.tolist(), strict=True):
+        (queries if a else members)[k].add(o)
+    met = {frozenset((a, b)) for k in queries for a in queries[k] for b in members[k]}
+    for a, b in itertools.combinations(range(len(every)), 2):
+        if np.bitwise_count(every[a] ^ every[b]).sum() <= scheme.radius:
+            assert frozenset((a, b)) in met
 
 
 def test_components_of_long_chains_and_stars(spark):
