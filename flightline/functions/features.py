@@ -9,11 +9,12 @@ specification, so a run is sorted once. Derived series are computed first, in on
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flightline.functions import filters
 from flightline.functions.timeseries import Series, missing_as_null
 
 RUN = Series(("run",), ("k",))
@@ -29,51 +30,72 @@ class Channel:
 
 @dataclass(frozen=True)
 class Feature:
-    """``how`` is mean, std, min, max, rms, count, share, last, now, crossing or correlation of ``series`` (of ``other`` with it)."""
+    """A statistic of ``series`` over the samples so far inside [start, stop).
+
+    ``how`` is mean, std, min, max, rms, above or below (samples beyond ``level``), last, now (the sample itself from
+    ``start`` on), crossing (time from ``start`` until ``level`` is reached), correlation (with ``other``), last10 (mean of
+    the ten seconds before the tick or ``stop``) or dip (mean of [start, start + 2) minus least of the ten seconds from
+    3 s after ``start``).  It is NULL until the window has ``least`` seconds of samples.
+    """
 
     name: str
     series: str
     how: str
-    window: str
-    least: int = 50
+    start: float
+    stop: float
+    least: float = 1.0
     level: float = 0.0
     other: str | None = None
 
 
 @dataclass(frozen=True)
 class Catalogue:
-    """``windows`` are times [start, stop); ``derived`` maps a series' name to its Column builder, in order of dependence."""
+    """Channels, filters ``(name, channel, low, high)`` in Hz (high None: high-pass), derived series in order of dependence, and features.
+
+    ``rate`` is samples a second, ``origin`` the time of sample 0.  Derived series are built from the rate, as
+    trailing windows are a number of samples.
+    """
 
     channels: tuple[Channel, ...]
     windows: dict[str, tuple[float, float]]
-    derived: dict[str, Callable[[], Column]]
+    derived: dict[str, Callable[[float], Column]]
     engineered: tuple[Feature, ...] = ()
-    rate: int = 50
+    filters: tuple[tuple[str, str, float, float | None], ...] = ()
+    rate: float = 50.0
+    origin: float = -60.0
+    last: float = 150.0
 
     def generic(self) -> list[Feature]:
         """Mean, population standard deviation, least and greatest of each channel in each of its windows."""
-        return [Feature(f"{w}__{c.name}__{how}", c.name, how, w) for c in self.channels for w in c.windows for how in ("mean", "std", "min", "max")]
+        return [Feature(f"{w}__{c.name}__{how}", c.name, how, *self.windows[w]) for w in ("CD", "IGN", "ASC") for c in self.channels if w in c.windows for how in ("mean", "std", "min", "max")]
 
     def features(self) -> list[Feature]:
         return [*self.generic(), *self.engineered]
 
+    def k_of(self, t: float) -> int:
+        """Number of the sample at ``t``, within the record."""
+        return min(max(round((t - self.origin) * self.rate), 0), round((self.last - self.origin) * self.rate))
 
-def trailing_max(series: str, n: int) -> Callable[[], Column]:
-    """Greatest trailing mean so far is the maximum of this series."""
-    return lambda: RUN.trailing_mean(F.col(series), n)
+    def samples(self, seconds: float) -> int:
+        return max(1, round(seconds * self.rate))
 
+    def without_filters(self) -> Catalogue:
+        """What needs no filter: the catalogue less every feature of a filtered series."""
+        behind = {name for name, *_ in self.filters}
+        derived = {name: build for name, build in self.derived.items() if not any(f in name for f in behind)}
+        return replace(self, filters=(), derived=derived, engineered=tuple(f for f in self.engineered if not any(b in f.series for b in behind)))
 
-def ratio(series: str, reference: str) -> Callable[[], Column]:
-    return lambda: F.try_divide(F.col(series), F.col(reference))
 
+def trailing(series: str, seconds: float) -> Callable[[float], Column]:
+    return lambda rate: RUN.trailing_mean(F.col(series), max(1, round(seconds * rate)))
 
-def clipped_ratio(a: str, b: str, floor_a: float, floor_b: float, valid_from: float) -> Callable[[], Column]:
-    """``max(a, floor_a) / max(b, floor_b)``, NULL before ``valid_from``."""
-    return lambda: F.when(F.col("t") >= valid_from, F.greatest(F.col(a), F.lit(floor_a)) / F.greatest(F.col(b), F.lit(floor_b)))
 
+def trailing_rms(series: str, seconds: float) -> Callable[[float], Column]:
+    return lambda rate: RUN.trailing_rms(F.col(series), max(1, round(seconds * rate)))
 
-def lag_difference(series: str, n: int) -> Callable[[], Column]:
-    return lambda: F.abs(F.col(series) - RUN.lagged(F.col(series), n))
+
+def delayed(series: str, seconds: float, rate: float, fill: Column | None = None) -> Column:
+    return RUN.lagged(F.col(series), max(1, round(seconds * rate)), fill)
 
 
 def with_reference(telemetry: DataFrame, profile: DataFrame) -> DataFrame:
@@ -81,32 +103,47 @@ def with_reference(telemetry: DataFrame, profile: DataFrame) -> DataFrame:
     return telemetry.join(F.broadcast(profile), "k", "left")
 
 
-def expression(f: Feature, start: float, stop: float) -> Column:
-    v, t, frame = F.col(f.series), F.col("t"), RUN.so_far()
-    gate = (t >= start) & (t < stop)
+def expression(f: Feature, c: Catalogue) -> Column:
+    v, k, frame = F.col(f.series), F.col("k"), RUN.so_far()
+    gate = (k >= c.k_of(f.start)) & (k < c.k_of(f.stop))
     if f.how == "now":
-        return F.when(t >= start, v)
+        return F.when(F.col("t") >= f.start, v)
     if f.how == "crossing":
-        return RUN.first_crossing(v, f.level, t, gate) - start
+        return RUN.first_crossing(v, f.level, F.col("t"), gate) - f.start
     if f.how == "correlation":
-        return RUN.correlation(v, F.col(f.other), gate, f.least)
-    enough = F.count(F.when(gate, v)).over(frame) >= f.least
+        return RUN.correlation(v, F.col(f.other), gate, c.samples(f.least))
+    if f.how == "last10":
+        end, n = c.k_of(f.stop), c.samples(10.0)
+        sliding = F.when((k <= end) & (F.col("t") >= f.start), F.avg(v).over(RUN.ordered.rowsBetween(-n, -1)))
+        return F.last(sliding, ignorenulls=True).over(frame)
+    if f.how == "dip":
+        before = RUN.gated(F.avg, v, (k >= c.k_of(f.start)) & (k < c.k_of(f.start + 2)), c.samples(1.0))
+        after = RUN.gated(F.min, v, (k >= c.k_of(f.start + 3)) & (k < c.k_of(f.start + 13)), c.samples(0.5))
+        return before - after
+    enough = F.count(F.when(gate, F.lit(1))).over(frame) >= c.samples(f.least)
     inside = F.when(gate, v)
     value = {
         "mean": lambda: F.avg(inside).over(frame), "std": lambda: F.stddev_pop(inside).over(frame), "min": lambda: F.min(inside).over(frame), "max": lambda: F.max(inside).over(frame),
-        "rms": lambda: F.sqrt(F.avg(inside * inside).over(frame)), "count": lambda: F.count_if(gate & (v > f.level)).over(frame).cast("double"),
-        "share": lambda: F.avg(F.when(gate, (v > f.level).cast("double"))).over(frame), "last": lambda: F.last(inside, ignorenulls=True).over(frame),
+        "rms": lambda: F.sqrt(F.avg(inside * inside).over(frame)), "above": lambda: F.count_if(gate & (v > f.level)).over(frame).cast("double"),
+        "below": lambda: F.count_if(gate & (v < f.level)).over(frame).cast("double"), "last": lambda: F.last(inside, ignorenulls=True).over(frame),
     }[f.how]()
     return F.when(enough, value)
 
 
 def feature_cube(telemetry: DataFrame, catalogue: Catalogue, tick: int = 25) -> DataFrame:
-    """``run, tick, t_now`` and one column for each feature, at every ``tick``-th sample."""
+    """``run, tick, t_now`` and one column for each feature, at every ``tick``-th sample.
+
+    The table has the channels and the reference columns that derived series name; leading gaps take
+    the first sample that is there.
+    """
     names = [c.name for c in catalogue.channels]
     filled = telemetry.withColumns({c: RUN.forward_fill(missing_as_null(F.col(c).cast("double"))) for c in names})
+    if catalogue.filters:
+        bands = [(name, channel, low, high) for name, channel, low, high in catalogue.filters]
+        filled = filters.filtered_bands(filled, "run", ["k"], bands, catalogue.rate)
     for name, build in catalogue.derived.items():
-        filled = filled.withColumn(name, build())
-    columns = [expression(f, *catalogue.windows[f.window]).alias(f.name) for f in catalogue.features()]
+        filled = filled.withColumn(name, build(catalogue.rate))
+    columns = [expression(f, catalogue).alias(f.name) for f in catalogue.features()]
     at = filled.select("run", "k", F.col("t").alias("t_now"), *columns).where(F.col("k") % tick == 0)
     return at.select("run", (F.col("k") / tick).cast("long").alias("tick"), "t_now", *[f.name for f in catalogue.features()])
 
@@ -130,37 +167,71 @@ def training_ticks(ticks: DataFrame, gates: list[int], n: int, seed: int = 0) ->
     return ticks.select("run", "tick").withColumn("_place", place).where((F.col("_place") <= n) | F.col("tick").isin(gates)).select("run", "tick").distinct()
 
 
-# The windows, and a catalogue of thirteen channels as an example of use: fixed values.
+# The channels with the windows of their generic statistics, the windows (CD countdown, IGN engine start, ASC
+# boosted ascent, LATE late ascent, FLT flight), the bands in Hz and the levels below.
+CHANNELS = (
+    Channel("PC_CORE", "bar", ("IGN", "ASC")), Channel("N_LOX_TP", "%", ("IGN", "ASC")), Channel("T_TURB_IN", "K", ("IGN", "ASC")), Channel("P_LOX_TANK", "bar", ("CD", "ASC")), Channel("P_LH2_TANK", "bar", ("CD", "ASC")),
+    Channel("PC_SRB_L", "bar", ("ASC",)), Channel("PC_SRB_R", "bar", ("ASC",)), Channel("TVC_PITCH", "deg", ("ASC",)), Channel("TVC_YAW", "deg", ("ASC",)), Channel("ACC_AX", "g", ("ASC",)), Channel("VIB_ENG", "g rms", ("IGN", "ASC")),
+    Channel("BUS_28V", "V", ("CD", "ASC")), Channel("TRAJ_DEV", "km", ("ASC",)),
+)
 WINDOWS = {"CD": (-60.0, -1.0), "IGN": (0.0, 6.5), "ASC": (7.0, 136.0), "LATE": (100.0, 136.0), "FLT": (7.0, 150.0)}
-CHANNELS = tuple(
-    Channel(name, unit, windows)
-    for name, unit, windows in (
-        ("chamber_pressure", "bar", ("IGN", "ASC")), ("pump_speed", "%", ("IGN", "ASC")), ("turbine_temperature", "K", ("IGN", "ASC")), ("vibration", "g", ("IGN", "ASC")), ("oxidizer_pressure", "bar", ("CD", "ASC")),
-        ("fuel_pressure", "bar", ("CD", "ASC")), ("bus_voltage", "V", ("CD", "ASC")), ("booster_a", "kN", ("ASC",)), ("booster_b", "kN", ("ASC",)), ("pitch_deflection", "deg", ("ASC",)),
-        ("yaw_deflection", "deg", ("ASC",)), ("acceleration", "g", ("ASC",)), ("deviation", "km", ("ASC",)),
-    )
+FILTERS = (
+    ("pc_hp", "PC_CORE", 1.5, None), ("n_hp", "N_LOX_TP", 1.5, None), ("lh2_bp", "P_LH2_TANK", 0.15, 0.5), ("pitch_lc", "TVC_PITCH", 0.9, 2.4), ("yaw_lc", "TVC_YAW", 0.9, 2.4), ("pitch_gust", "TVC_PITCH", 0.02, 0.5),
+    ("acc_pogo", "ACC_AX", 10.0, 20.0), ("pc_pogo", "PC_CORE", 10.0, 20.0),
 )
-
-
-def example_catalogue() -> Catalogue:
-    derived = {
-        "temperature_step": lag_difference("turbine_temperature", 10),
-        "temperature_flat": lambda: RUN.unchanged(F.col("turbine_temperature")).cast("double"),
-        "booster_imbalance": lambda: F.abs(F.col("booster_a") - F.col("booster_b")),
-        "imbalance_2s": trailing_max("booster_imbalance", 100),
-        "yaw_3s": trailing_max("yaw_deflection", 150),
-        "vibration_1s": trailing_max("vibration", 50),
-        "oxidizer_10s": trailing_max("oxidizer_pressure", 500),
-        "fuel_10s": trailing_max("fuel_pressure", 500),
-        "deviation_rate": lambda: RUN.rate(F.col("deviation"), 250, 5.0),
-        "pointing": clipped_ratio("deviation", "t", 0.0, 1.0, 30.0),
-    }
+TEMPERATURE_PER_PUMP_PERCENT, READY_BAR, HALF_BAR, NINETY_BAR, NOISE_KM, IMPLIED_FROM, RATE_S, TREND_S = 40.0, 3.30, 57.5, 103.5, 0.019, 30.0, 5.0, 20.0
+
+
+def _plateau(channel: str) -> Callable[[float], Column]:
+    """Mean from 4 s to 6.5 s after ignition, known once that time is over."""
+
+    def build(rate: float) -> Column:
+        first, stop = round(64.0 * rate), round(66.5 * rate)
+        gate = (F.col("k") >= first) & (F.col("k") < stop)
+        return RUN.gated(F.avg, F.col(channel), gate, max(1, stop - first))
+
+    return build
+
+
+def launch_catalogue(rate: float = 50.0) -> Catalogue:
+    """All 137 features.  The table needs the reference columns ``ref_vib``, ``ref_lox``, ``band`` and ``drift`` (the band's growth)."""
+    c = F.col
+    derived: dict[str, Callable[[float], Column]] = {
+        "pc_tm2": trailing("PC_CORE", 2.0), "n_tm2": trailing("N_LOX_TP", 2.0), "t_tm1": trailing("T_TURB_IN", 1.0), "t_tm02": trailing("T_TURB_IN", 0.2),
+        "t_step": lambda r: F.abs(c("t_tm02") - delayed("t_tm02", 0.2, r)), "t_spike": lambda r: c("T_TURB_IN") - c("t_tm1"), "t_flat": lambda r: RUN.unchanged(c("T_TURB_IN")).cast("double"),
+        "pc_ref": _plateau("PC_CORE"), "n_ref": _plateau("N_LOX_TP"), "t_ref": _plateau("T_TURB_IN"),
+        "pc_rise": lambda r: c("pc_tm2") - c("pc_ref"), "n_rise": lambda r: c("n_tm2") - c("n_ref"), "t_rise": lambda r: c("t_tm1") - c("t_ref"),
+        "t_unexplained": lambda r: c("t_rise") - TEMPERATURE_PER_PUMP_PERCENT * c("n_rise"), "t_corroborated": lambda r: F.least(c("t_rise"), TEMPERATURE_PER_PUMP_PERCENT * c("n_rise")),
+        "vib_tm1": trailing("VIB_ENG", 1.0), "vib_excess": lambda r: F.try_divide(c("vib_tm1"), c("ref_vib")), "vib_ratio": lambda r: F.try_divide(c("VIB_ENG"), c("ref_vib")),
+        "imb": lambda r: 100.0 * (c("PC_SRB_L") - c("PC_SRB_R")) / F.greatest((c("PC_SRB_L") + c("PC_SRB_R")) / 2.0, F.lit(20.0)), "imb_abs": lambda r: F.abs("imb"),
+        "imb_abs_tm2": trailing("imb_abs", 2.0), "imb_tm5": trailing("imb", 5.0), "imb_tm3": trailing("imb", 3.0), "yaw_tm3": trailing("TVC_YAW", 3.0), "yaw_tm3_abs": lambda r: F.abs("yaw_tm3"),
+        "lox_deficit": lambda r: c("ref_lox") - c("P_LOX_TANK"), "traj_tm1": trailing("TRAJ_DEV", 1.0), "traj_rate": lambda r: (c("traj_tm1") - delayed("traj_tm1", RATE_S, r)) / RATE_S,
+        "traj_band": lambda r: F.try_divide(c("traj_tm1"), c("band")),
+        "implied": lambda r: F.when(c("t") >= IMPLIED_FROM, F.greatest(c("traj_tm1") - NOISE_KM, F.lit(0.0)) / F.greatest(c("drift"), F.lit(1e-6))),
+        "traj_rise": lambda r: c("implied") - delayed("implied", TREND_S, r, F.lit(None).cast("double")),
+        "pc_hp_rms1": trailing_rms("pc_hp", 1.0), "pc_hp_rms5": trailing_rms("pc_hp", 5.0), "lh2_bp_rms5": trailing_rms("lh2_bp", 5.0), "pitch_lc_rms10": trailing_rms("pitch_lc", 10.0), "yaw_lc_rms10": trailing_rms("yaw_lc", 10.0),
+        "acc_pogo_rms5": trailing_rms("acc_pogo", 5.0), "pc_pogo_rms5": trailing_rms("pc_pogo", 5.0),
+    }
+    f, h = Feature, 0.5
     engineered = (
-        Feature("CD__oxidizer__last10", "oxidizer_10s", "last", "CD"), Feature("CD__fuel__last10", "fuel_10s", "last", "CD"), Feature("CD__oxidizer__ready", "oxidizer_pressure", "crossing", "CD", level=3.3),
-        Feature("IGN__pressure__t50", "chamber_pressure", "crossing", "IGN", level=57.5), Feature("IGN__pressure__t90", "chamber_pressure", "crossing", "IGN", level=103.5), Feature("IGN__vibration__max1", "vibration_1s", "max", "IGN"),
-        Feature("ASC__temperature__step_max", "temperature_step", "max", "ASC"), Feature("ASC__temperature__spikes", "temperature_step", "count", "ASC", level=40.0), Feature("ASC__temperature__flat", "temperature_flat", "mean", "ASC"),
-        Feature("ASC__imbalance__mean", "booster_imbalance", "mean", "ASC"), Feature("ASC__imbalance__max", "imbalance_2s", "max", "ASC"), Feature("ASC__imbalance__now", "booster_imbalance", "last", "ASC"),
-        Feature("ASC__yaw__bias", "yaw_3s", "max", "ASC"), Feature("ASC__pitch_yaw__corr", "pitch_deflection", "correlation", "ASC", least=500, other="yaw_deflection"), Feature("ASC__deviation__rms", "deviation", "rms", "ASC"),
-        Feature("FLT__deviation__now", "deviation", "now", "FLT"), Feature("FLT__deviation__max", "deviation", "max", "FLT"), Feature("FLT__deviation__rate", "deviation_rate", "now", "FLT"), Feature("FLT__pointing__max", "pointing", "max", "FLT"),
+        f("CD__P_LOX_TANK__last10", "P_LOX_TANK", "last10", -30.0, -1.0), f("CD__P_LOX_TANK__ramp_deficit", "lox_deficit", "mean", -57.0, -1.0), f("CD__P_LOX_TANK__t_ready", "P_LOX_TANK", "crossing", -58.0, -1.0, level=READY_BAR),
+        f("CD__P_LH2_TANK__osc_rms", "lh2_bp", "rms", -38.0, -1.0, 5.0), f("CD__P_LH2_TANK__osc_rms_max5", "lh2_bp_rms5", "max", -33.0, -1.0), f("CD__P_LH2_TANK__last10", "P_LH2_TANK", "last10", -30.0, -1.0),
+        f("CD__BUS_28V__transfer_dip", "BUS_28V", "dip", -33.0, -20.0), f("CD__BUS_28V__post_transfer", "BUS_28V", "mean", -25.0, -1.0), f("CD__BUS_28V__min_post", "BUS_28V", "min", -28.0, -1.0),
+        f("IGN__PC_CORE__t50", "PC_CORE", "crossing", 0.0, 6.5, level=HALF_BAR), f("IGN__PC_CORE__t90", "PC_CORE", "crossing", 0.0, 6.5, level=NINETY_BAR), f("IGN__PC_CORE__at2p5", "PC_CORE", "mean", 2.4, 2.6, 0.2),
+        f("IGN__N_LOX_TP__at2p5", "N_LOX_TP", "mean", 2.4, 2.6, 0.2), f("IGN__PC_CORE__rough_max1", "pc_hp_rms1", "max", 3.0, 6.5, h), f("IGN__PC_CORE__dip_count", "pc_hp", "below", 3.0, 6.5, h, level=-2.0),
+        f("IGN__N_LOX_TP__spike_max", "n_hp", "max", 2.5, 6.5, h), f("IGN__N_LOX_TP__spike_count", "n_hp", "above", 2.5, 6.5, h, level=1.0), f("IGN__T_TURB_IN__peak", "T_TURB_IN", "max", 0.0, 3.5),
+        f("IGN__T_TURB_IN__plateau", "T_TURB_IN", "mean", 4.0, 6.5, h), f("IGN__VIB_ENG__max1", "vib_tm1", "max", 1.0, 6.5, h), f("IGN__VIB_ENG__mean_late", "VIB_ENG", "mean", 3.0, 6.5, h), f("IGN__P_LOX_TANK__mean", "P_LOX_TANK", "mean", 0.0, 6.5),
+        f("ASC__PC_CORE__rough", "pc_hp", "rms", 8.0, 136.0), f("ASC__PC_CORE__rough_max5", "pc_hp_rms5", "max", 9.0, 136.0, h), f("ASC__PC_CORE__rise_max", "pc_rise", "max", 9.0, 136.0, h),
+        f("ASC__N_LOX_TP__rise_max", "n_rise", "max", 9.0, 136.0, h), f("ASC__T_TURB_IN__rise_max", "t_rise", "max", 8.0, 136.0, h), f("ASC__T_TURB_IN__step_max", "t_step", "max", 8.0, 136.0, h),
+        f("ASC__T_TURB_IN__spike_count", "t_spike", "above", 8.0, 136.0, h, level=40.0), f("ASC__T_TURB_IN__flat_frac", "t_flat", "mean", 8.0, 136.0), f("XC__T_unexplained_max", "t_unexplained", "max", 9.0, 136.0, h),
+        f("XC__T_corroborated_max", "t_corroborated", "max", 9.0, 136.0, h), f("ASC__SRB__imbalance_mean", "imb_abs", "mean", 8.0, 122.0), f("ASC__SRB__imbalance_max", "imb_abs_tm2", "max", 8.0, 122.0, h),
+        f("ASC__SRB__imbalance_now", "imb_tm5", "last", 8.0, 122.0, h), f("ASC__TVC_YAW__bias_absmax", "yaw_tm3_abs", "max", 9.0, 134.0, h), f("ASC__TVC_YAW__bias_mean", "TVC_YAW", "mean", 9.0, 134.0),
+        f("XC__yaw_imbalance_corr", "yaw_tm3", "correlation", 12.0, 122.0, 10.0, other="imb_tm3"), f("ASC__TVC_PITCH__lc_rms", "pitch_lc", "rms", 10.0, 136.0), f("ASC__TVC_PITCH__lc_rms_max10", "pitch_lc_rms10", "max", 12.0, 136.0, h),
+        f("ASC__TVC_YAW__lc_rms_max10", "yaw_lc_rms10", "max", 12.0, 136.0, h), f("ASC__TVC_PITCH__gust_rms", "pitch_gust", "rms", 10.0, 136.0), f("ASC__ACC_AX__pogo_rms_max5", "acc_pogo_rms5", "max", 10.0, 136.0, h),
+        f("ASC__PC_CORE__pogo_rms_max5", "pc_pogo_rms5", "max", 10.0, 136.0, h), f("LATE__ACC_AX__pogo_rms", "acc_pogo", "rms", 100.0, 136.0), f("ASC__VIB_ENG__excess_max", "vib_excess", "max", 8.0, 136.0, h),
+        f("ASC__VIB_ENG__excess_mean", "vib_ratio", "mean", 8.0, 136.0), f("ASC__N_LOX_TP__spike_count", "n_hp", "above", 8.0, 136.0, h, level=1.0), f("ASC__P_LH2_TANK__osc_rms", "lh2_bp", "rms", 8.0, 136.0),
+        f("FLT__TRAJ_DEV__now", "traj_tm1", "now", 8.0, 150.0), f("FLT__TRAJ_DEV__max", "traj_tm1", "max", 7.0, 150.0, h), f("FLT__TRAJ_DEV__rate_now", "traj_rate", "now", 12.0, 150.0),
+        f("FLT__TRAJ_DEV__rate_max", "traj_rate", "max", 12.0, 150.0, h), f("FLT__TRAJ_DEV__band_max", "traj_band", "max", 8.0, 150.0, h), f("FLT__TRAJ_DEV__band_rise_now", "traj_rise", "now", -60.0, 150.0),
+        f("FLT__TRAJ_DEV__band_rise_max", "traj_rise", "max", 50.0, 150.0, h), f("CTX__t_now", "t", "now", -60.0, 150.0),
     )
-    return Catalogue(CHANNELS, WINDOWS, derived, engineered)
+    return Catalogue(CHANNELS, WINDOWS, derived, engineered, FILTERS, rate)

@@ -8,10 +8,16 @@ from __future__ import annotations
 
 from statistics import NormalDist
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Ranges of scores between 0 and 1 in which running counts are taken.
+SCORE_RANGES = 1024
+
+
 def ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
@@ -42,9 +48,16 @@ def by_score(df: DataFrame, keys: list[str], truth: Column, score: Column) -> Da
     score only.
     """
     tied = df.where(score.isNotNull() & truth.isNotNull()).groupBy(*keys, score.alias("score")).agg(F.sum(F.when(truth == 1, 1).otherwise(0)).cast("double").alias("p"), F.sum(F.when(truth == 1, 0).otherwise(1)).cast("double").alias("n"))
-    down = Window.partitionBy(*keys).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # Running counts are taken inside ranges of scores and shifted by what the ranges above hold, so a
+    # class with very many different scores is not one task.
+    ranged = tied.withColumn("_range", F.floor(F.col("score") * SCORE_RANGES).cast("long"))
+    sums = ranged.groupBy(*keys, "_range").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
+    above = Window.partitionBy(*keys).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy(*keys)
-    return tied.withColumns({"tp": F.sum("p").over(down), "fp": F.sum("n").over(down), "pos": F.sum("p").over(every), "neg": F.sum("n").over(every)})
+    shifts = sums.select(*keys, "_range", *[F.coalesce(F.sum(f"_{c}").over(above), F.lit(0.0)).alias(f"_{c}_above") for c in "pn"], F.sum("_p").over(every).alias("pos"), F.sum("_n").over(every).alias("neg"))
+    down = Window.partitionBy(*keys, "_range").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = ranged.withColumns({"_tp": F.sum("p").over(down), "_fp": F.sum("n").over(down)})
+    return inside.join(shifts, [*keys, "_range"]).select(*keys, "score", "p", "n", (F.col("_tp") + F.col("_p_above")).alias("tp"), (F.col("_fp") + F.col("_n_above")).alias("fp"), "pos", "neg")
 
 
 def auroc(ranked: DataFrame, keys: list[str]) -> DataFrame:
@@ -97,6 +110,65 @@ def averages(per_class: DataFrame, value: str, weight: str, keys: list[str] | No
     return per_class.groupBy(*(keys or [])).agg(F.avg(v).alias("macro"), F.try_divide(F.sum(v * w), F.sum(w)).alias("weighted"))
 
 
+def aggregated(per_class: DataFrame, value: str, keys: list[str] | None = None) -> DataFrame:
+    """Macro, support-weighted and micro average of one ratio of the count battery in one aggregate: ``macro, weighted, micro``.
+
+    ``per_class`` is a battery with its counts; micro is the ratio of the pooled counts.
+    """
+    cells = ("tp", "fp", "fn", "tn")
+    use = F.col(value).isNotNull() & (F.col("support") > 0)
+    v, w = F.when(use, F.col(value)), F.when(use, F.col("support").cast("double"))
+    sums = per_class.groupBy(*(keys or [])).agg(F.avg(v).alias("macro"), F.try_divide(F.sum(v * w), F.sum(w)).alias("weighted"), *[F.sum(c).alias(c) for c in cells])
+    return battery(sums).select(*(keys or []), "macro", "weighted", F.col(value).alias("micro"))
+
+
+def averages_of(records: DataFrame, how: str, metrics: tuple[str, ...], pooled: DataFrame | None = None) -> DataFrame:
+    """One row of averages over classes, ``how`` being macro, weighted or micro; classes whose value is undefined are left out of it.
+
+    Micro takes the count ratios from pooled counts, and ``auroc`` and ``average_precision`` from
+    ``pooled`` (one row with both, of all decisions ranked together), or NULL without it.
+    """
+    if how not in ("macro", "weighted", "micro"):
+        raise ValueError(f"how must be macro, weighted or micro, not {how!r}")
+    scored = F.count("auroc").alias("n_scored")
+    head = [F.lit(how).alias("how"), F.count(F.lit(1)).alias("n_classes"), scored, F.sum("support").alias("support")]
+    if how == "micro":
+        cells = records.agg(*head, *[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")])
+        ratios = battery(cells.withColumnRenamed("support", "_support")).drop("support").withColumnRenamed("_support", "support")
+        ranks = ("auroc", "average_precision")
+        with_ranks = ratios.crossJoin(F.broadcast(pooled.select(*ranks))) if pooled is not None else ratios.withColumns({c: F.lit(None).cast("double") for c in ranks})
+        return with_ranks.select("how", "n_classes", "n_scored", "support", *metrics)
+    weight = F.col("support").cast("double") if how == "weighted" else F.lit(1.0)
+
+    def mean(c: str) -> Column:
+        w = F.when(F.col(c).isNotNull() & (weight > 0), weight)
+        return F.try_divide(F.sum(F.col(c) * w), F.sum(w)).alias(c)
+
+    return records.agg(*head, *[mean(c) for c in metrics])
+
+
+def per_class(df: DataFrame, keys: list[str], truth: Column, score: Column, threshold: Column, max_fpr: float = 0.1) -> DataFrame:
+    """One record for each class: counts, their ratios, and the rank metrics (NULL where undefined)."""
+    ranked = by_score(df, keys, truth, score)
+    found = battery(confusion(df, keys, truth, score, threshold))
+    for table in (auroc(ranked, keys), average_precision(ranked, keys), partial_auroc(ranked, keys, max_fpr)):
+        found = found.join(table, keys, "left")
+    return found
+
+
+#: Numerator and denominator cells of the ratios that have a Wilson interval.
+PROPORTIONS = {"sensitivity": ("tp", ("tp", "fn")), "specificity": ("tn", ("tn", "fp")), "ppv": ("tp", ("tp", "fp")), "npv": ("tn", ("tn", "fn"))}
+
+
+def confidence_interval(counts: DataFrame, keys: list[str], metric: str, confidence: float = 0.95) -> DataFrame:
+    """``low, high, n_positive`` of a proportion from ``tp, fp, fn, tn``; rank metrics have :func:`bootstrap` instead."""
+    if metric not in PROPORTIONS:
+        raise ValueError(f"no interval from counts for {metric!r}; there is one for {', '.join(PROPORTIONS)}")
+    top, parts = PROPORTIONS[metric]
+    low, high = wilson(F.col(top), sum((F.col(c) for c in parts[1:]), F.col(parts[0])), confidence)
+    return counts.select(*keys, F.lit(metric).alias("metric"), low.alias("low"), high.alias("high"), (F.col("tp") + F.col("fn")).cast("long").alias("n_positive"))
+
+
 def micro(counts: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """The count battery of all classes' cells pooled."""
     return battery(counts.groupBy(*(keys or [])).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn", "tn")]))
@@ -117,11 +189,16 @@ def higher_quantile(df: DataFrame, keys: list[str], value: str, q: float) -> Dat
 
     Values are counted before they are ranked, so ties cost one row.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
-    up = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = counts.withColumns({"upto": F.sum("c").over(up), "total": F.sum("c").over(Window.partitionBy(*keys))})
-    place = F.ceil((F.col("total") - 1) * F.lit(q) - 1e-9)
-    return ranked.where(F.col("upto") > place).groupBy(*keys).agg(F.min(value).alias("quantile"), F.first("total").alias("n"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c")).withColumn("_range", F.floor(F.col(value) * SCORE_RANGES).cast("long"))
+    # The range that holds the place is found from the ranges' counts; only its values are ranked.
+    per = Window.partitionBy(*keys)
+    up = per.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = counts.groupBy(*keys, "_range").agg(F.sum("c").alias("_c"))
+    placed = sums.withColumns({"_upto": F.sum("_c").over(up), "total": F.sum("_c").over(per)}).withColumn("_place", F.ceil((F.col("total") - 1) * F.lit(q) - 1e-9))
+    own = placed.where((F.col("_upto") > F.col("_place")) & (F.col("_upto") - F.col("_c") <= F.col("_place"))).select(*keys, "_range", "total", (F.col("_place") - F.col("_upto") + F.col("_c")).alias("_inside"))
+    near = counts.join(F.broadcast(own) if not keys else own, [*keys, "_range"])
+    inside = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return near.withColumn("_upto", F.sum("c").over(inside)).where(F.col("_upto") > F.col("_inside")).groupBy(*keys).agg(F.min(value).alias("quantile"), F.first("total").alias("n"))
 
 
 def budget_threshold(negatives: DataFrame, keys: list[str], peak: str, budget: float, low: float = 0.05, high: float = 0.995) -> DataFrame:
@@ -133,18 +210,38 @@ def bootstrap(df: DataFrame, keys: list[str], per_row: list[Column], statistic,
     """Percentile interval of a statistic of sums, by Poisson weights drawn from hashes of (row, replicate).
 
     ``per_row`` are columns to be summed, named ``s0, s1, ...`` for ``statistic`` (Column from Columns);
-    rows need an ``id``.  Weights depend on the row and the replicate alone, so partitioning doesn't matter.
+    rows need an ``id``.  Weights depend on the row and the replicate alone, so partitioning doesn't
+    matter.  Each batch of rows becomes its sums by one matrix product; no row is ever repeated.
     """
-    rows = df.select(*keys, "id", *[c.cast("double").alias(f"s{k}") for k, c in enumerate(per_row)])
-    u = (F.pmod(F.xxhash64("id", "replicate", F.lit(seed)), F.lit(1 << 30)) + 0.5) / (1 << 30)
-    edges, p, total = [], 2.718281828459045**-1, 0.0
-    for k in range(9):
-        total += p
-        edges.append(total)
-        p /= k + 1
-    weight = sum(((u > e).cast("int") for e in edges[1:]), (u > edges[0]).cast("int"))
-    drawn = rows.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("w", weight)
-    sums = drawn.groupBy(*keys, "replicate").agg(*[F.sum(F.col("w") * F.col(f"s{k}")).alias(f"s{k}") for k in range(len(per_row))])
-    value = sums.withColumn("value", statistic(*[F.col(f"s{k}") for k in range(len(per_row))]))
+    rows = df.select(F.to_json(F.struct(*keys)).alias("_key") if keys else F.lit("").alias("_key"), F.xxhash64("id", F.lit(seed)).alias("_hash"), *[c.cast("double").alias(f"s{k}") for k, c in enumerate(per_row)])
+    names = [f"s{k}" for k in range(len(per_row))]
+
+    def sums(batches):
+        for batch in batches:
+            which = batch.column(0).dictionary_encode()
+            codes, known = which.indices.to_numpy(), which.dictionary.to_pylist()
+            hashes = batch.column(1).to_numpy().view(np.uint64)
+            values = np.stack([np.nan_to_num(batch.column(2 + k).to_numpy(zero_copy_only=False)) for k in range(len(names))], axis=1)
+            for code, key in enumerate(known):
+                own = codes == code
+                totals = poisson_weights(hashes[own], replicates).T @ values[own]
+                yield pa.RecordBatch.from_arrays([pa.array([key] * replicates), pa.array(np.arange(replicates, dtype=np.int32)), *(pa.array(totals[:, k]) for k in range(len(names)))], ["_key", "replicate", *names])
+
+    drawn = rows.mapInArrow(sums, "_key string, replicate int" + "".join(f", {n} double" for n in names)).groupBy("_key", "replicate").agg(*[F.sum(n).alias(n) for n in names])
+    value = drawn.withColumn("value", statistic(*[F.col(n) for n in names]))
     tail = (1 - confidence) / 2
-    return value.groupBy(*keys).agg(F.percentile("value", F.lit(tail)).alias("low"), F.percentile("value", F.lit(1 - tail)).alias("high"), F.avg("value").alias("mean"))
+    found = value.groupBy("_key").agg(F.percentile("value", F.lit(tail)).alias("low"), F.percentile("value", F.lit(1 - tail)).alias("high"), F.avg("value").alias("mean"))
+    if not keys:
+        return found.drop("_key")
+    parsed = found.withColumn("_k", F.from_json("_key", df.select(*keys).schema))
+    return parsed.select(*[F.col(f"_k.{k}").alias(k) for k in keys], "low", "high", "mean")
+
+
+def poisson_weights(hashes: np.ndarray, replicates: int) -> np.ndarray:
+    """Poisson(1) weights, shape (rows, replicates), from a mixture of each row's hash with the replicate's number."""
+    x = hashes[:, None] + np.arange(1, replicates + 1, dtype=np.uint64)[None, :] * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / (1 << 53)
+    edges = np.exp(-1.0) * np.cumsum(1 / np.cumprod(np.append(1.0, np.arange(1.0, 13.0))))
+    return np.searchsorted(edges, u.ravel(), "right").reshape(u.shape).astype(np.float64)

@@ -7,6 +7,7 @@ serve any number of them.  Missing samples are NULL, never NaN.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -122,16 +123,26 @@ def envelope(df: DataFrame, keys: list[str], index: Column, value: Column, size:
     return binned.groupBy(*keys, "bin").agg(F.min(value).alias("low"), F.max(value).alias("high"), F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n")).where(F.col("n") == size).drop("n")
 
 
-def backward_asof(left: DataFrame, right: DataFrame, time: str, reference_time: str, payload: list[str], keys: tuple[str, ...]) -> DataFrame:
-    """Each left row with the last right row at or before it, by a union and one window instead of a range join.
+def backward_asof(left: DataFrame, right: DataFrame, time: str, reference_time: str, payload: list[str], keys: tuple[str, ...], bucket: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Each left row with the last right row at or before it, by a union and windows instead of a range join.
 
-    Each key is a partition, so keys are required: a window over all rows would be a single task.
+    Each key is a partition, so keys are required.  A ``bucket`` of the time (it must not fall as time
+    rises, such as the day) splits a key's rows: the window runs inside buckets, and a bucket begins
+    with the last right row of those before it, which are carried over in a table of one row a bucket.
     """
     if not keys:
         raise ValueError("an as-of join needs at least one key")
-    tagged = left.withColumn("_time", F.col(time)).withColumn("_kind", F.lit(1)).withColumn("_payload", F.lit(None).cast(right.select(F.struct(reference_time, *payload).alias("s")).schema["s"].dataType))
-    known = right.select(*[F.col(k) for k in keys], F.col(reference_time).alias("_time"), F.lit(0).alias("_kind"), F.struct(reference_time, *payload).alias("_payload"))
+    kind = right.select(F.struct(reference_time, *payload).alias("s")).schema["s"].dataType
+    part = (lambda c: bucket(c)) if bucket else (lambda c: F.lit(0))
+    tagged = left.withColumns({"_time": F.col(time), "_kind": F.lit(1), "_payload": F.lit(None).cast(kind)}).withColumn("_bucket", part(F.col("_time")))
+    known = right.select(*[F.col(k) for k in keys], F.col(reference_time).alias("_time"), F.lit(0).alias("_kind"), F.struct(reference_time, *payload).alias("_payload")).withColumn("_bucket", part(F.col("_time")))
     both = tagged.unionByName(known, allowMissingColumns=True)
-    order = Window.partitionBy(*keys).orderBy("_time", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy(*keys, "_bucket").orderBy("_time", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = both.withColumn("_found", F.last("_payload", ignorenulls=True).over(order)).where("_kind = 1")
+    if bucket:
+        lasts = known.groupBy(*keys, "_bucket").agg(F.max_by("_payload", "_time").alias("_last"))
+        every = lasts.unionByName(tagged.select(*keys, "_bucket").distinct(), allowMissingColumns=True).groupBy(*keys, "_bucket").agg(F.first("_last", ignorenulls=True).alias("_last"))
+        earlier = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        carried = every.select(*keys, "_bucket", F.last("_last", ignorenulls=True).over(earlier).alias("_carried"))
+        found = found.join(carried, [*keys, "_bucket"], "left").withColumn("_found", F.coalesce("_found", "_carried"))
     return found.select(*left.columns, F.col(f"_found.{reference_time}").alias(reference_time), *[F.col(f"_found.{p}").alias(p) for p in payload])

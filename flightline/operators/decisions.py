@@ -7,15 +7,18 @@ from pyspark.sql import functions as F
 
 from flightline.functions.timeseries import Series, first_true
 
-# Phases: name and the time from which each holds.
-PHASES = (("countdown", float("-inf")), ("ignition", 0.0), ("ascent", 7.0))
+# When each phase begins, from when an engine start is committed, and the calls.
+IGNITION, COMMIT, FLIGHT = 0.0, 6.5, 7.0
+CALLS = ("GO", "HOLD", "ENGINE_START", "COMMIT", "ABORT", "NOMINAL", "ADVISORY", "WARNING", "CRITICAL")
 
 
 def phase(t: Column) -> Column:
-    out = F.lit(PHASES[0][0])
-    for name, start in PHASES[1:]:
-        out = F.when(t >= start, name).otherwise(out)
-    return out
+    return F.when(t < IGNITION, "countdown").when(t < FLIGHT, "engine_start").otherwise("flight")
+
+
+def alert_level(mode: Column, t: Column, critical: list[str], warning: list[str]) -> Column:
+    """The call that an alert on ``mode`` raises when first confirmed at ``t``."""
+    return F.when(t < IGNITION, "HOLD").when(t < FLIGHT, "ABORT").when(mode.isin(critical), "CRITICAL").when(mode.isin(warning), "WARNING").otherwise("ADVISORY")
 
 
 def decide(scores: DataFrame, series: Series, score: str, threshold: str, group: str | None = None, member: str = "mode", ticks: int = 2) -> DataFrame:
@@ -34,28 +37,69 @@ def decide(scores: DataFrame, series: Series, score: str, threshold: str, group:
     return active.withColumn("latched", series.latched(F.col("active")))
 
 
-def call(p: Column, hold: Column, abort: Column) -> Column:
-    """The call of a tick from its phase and what is latched."""
-    return F.when((p == "countdown") & hold, "HOLD").when(p == "countdown", "GO").when((p == "ignition") & abort, "ABORT").when(p == "ignition", "COMMIT").when(abort, "CRITICAL").when(hold, "CAUTION").otherwise("NOMINAL")
+def call(t: Column, any_on: Column, critical: Column, warning: Column) -> Column:
+    """The call of a tick from what is latched at it: any mode, one of the critical ones, one of the warning ones."""
+    start = F.when(any_on, "ABORT").when(t >= COMMIT, "COMMIT").otherwise("ENGINE_START")
+    flight = F.when(critical, "CRITICAL").when(warning, "WARNING").when(any_on, "ADVISORY").otherwise("NOMINAL")
+    return F.when(t < IGNITION, F.when(any_on, "HOLD").otherwise("GO")).when(t < FLIGHT, start).otherwise(flight)
+
+
+def calls(decided: DataFrame, series: Series, time: str, critical: list[str], warning: list[str], member: str = "mode") -> DataFrame:
+    """From :func:`decide` (a row for each mode): the call of each tick."""
+    on = F.col("latched")
+    keys = [k for k in series.entity if k != member]
+    ticks = decided.groupBy(*keys, *series.order, time).agg(F.bool_or(on).alias("_any"), F.bool_or(on & F.col(member).isin(critical)).alias("_critical"), F.bool_or(on & F.col(member).isin(warning)).alias("_warning"))
+    return ticks.select(*keys, *series.order, time, call(F.col(time), F.col("_any"), F.col("_critical"), F.col("_warning")).alias("call"))
 
 
 def call_changes(calls: DataFrame, series: Series) -> DataFrame:
     return calls.withColumn("_changed", series.changed(F.col("call"))).where("_changed").drop("_changed")
 
 
-def evidence(alerts: DataFrame, features: DataFrame, reference: DataFrame, keys: list[str], k: int = 3) -> DataFrame:
-    """The ``k`` features farthest from their reference for each alert: z from ``mean, std``; hardly varying references are skipped."""
+def evidence(alerts: DataFrame, features: DataFrame, reference: DataFrame, keys: list[str], k: int = 3, by: list[str] | None = None, reference_keys: list[str] | None = None) -> DataFrame:
+    """The ``k`` features farthest from their reference for each alert: z from ``mean, std``; hardly varying references are skipped.
+
+    An alert is told by ``keys`` and ``by``; features are met on ``keys``, references on ``reference_keys`` (the feature).
+    """
     z = (F.col("value") - F.col("mean")) / F.col("std")
-    met = alerts.join(features, keys).join(reference, "feature").where("std >= 1e-6").withColumn("z", z)
-    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(F.abs("z")), "feature"))
+    met = alerts.join(features, keys).join(reference, reference_keys or ["feature"]).where("std >= 1e-6").withColumn("z", z)
+    place = F.row_number().over(Window.partitionBy(*keys, *(by or [])).orderBy(F.desc(F.round(F.abs("z"), 9)), "feature"))
     return met.withColumn("place", place).where(F.col("place") <= k)
 
 
-def limit_trips(samples: DataFrame, series: Series, limits: list[tuple[str, Column, Column]], time: str, persistence: int = 5) -> DataFrame:
-    """First time each fixed limit has been broken ``persistence`` samples on end: ``limits`` are (name, breach, call)."""
-    flags = samples.select(*series.entity, *series.order, F.col(time).alias("_t"), *[series.persisted(breach, persistence).alias(name) for name, breach, _ in limits])
-    trips = flags.groupBy(*series.entity).agg(*[F.min(F.when(F.col(name), F.col("_t"))).alias(name) for name, _, _ in limits])
-    return trips.unpivot(list(series.entity), [name for name, _, _ in limits], "limit", "tripped_at").where("tripped_at is not null")
+def limit_trips(samples: DataFrame, series: Series, limits: list[tuple[str, Column, str]], time: str, persistence: int = 5) -> DataFrame:
+    """First time each fixed limit has been broken ``persistence`` samples on end, with its call: ``limits`` are (name, breach, call)."""
+    names = [f"_{k}" for k in range(len(limits))]
+    flags = samples.select(*series.entity, *series.order, F.col(time).alias("_t"), *[series.persisted(breach, persistence).alias(n) for n, (_, breach, _) in zip(names, limits, strict=True)])
+    trips = flags.groupBy(*series.entity).agg(*[F.min(F.when(F.col(n), F.col("_t"))).alias(n) for n in names])
+    rows = F.array(*[F.struct(F.lit(k).alias("limit_id"), F.lit(name).alias("limit"), F.lit(said).alias("call"), F.col(n).alias("tripped_at")) for k, (n, (name, _, said)) in enumerate(zip(names, limits, strict=True))])
+    return trips.select(*series.entity, F.explode(rows).alias("_trip")).select(*series.entity, "_trip.*").where("tripped_at is not null")
+
+
+def within(breach: Column, time: Column, start: float, stop: float) -> Column:
+    """A limit that holds in [start, stop) only."""
+    return breach & (time >= start) & (time < stop)
+
+
+def flight_limits(t: Column, corridor: Column) -> list[tuple[str, Column, str]]:
+    """The thirteen fixed limits on the channels, with their windows and calls (fixed values); ``corridor`` is the width allowed to the deviation."""
+    c = F.col
+    rows = [
+        ("LOX tank pressure below 3.30 bar", "HOLD", -40.0, 0.0, c("P_LOX_TANK") < 3.30),
+        ("LH2 tank pressure outside 2.15-2.45 bar", "HOLD", -35.0, 0.0, (c("P_LH2_TANK") < 2.15) | (c("P_LH2_TANK") > 2.45)),
+        ("Bus voltage below 27.0 V", "HOLD", -30.0, 0.0, c("BUS_28V") < 27.0),
+        ("Chamber pressure below 100 bar after H0 + 3.5 s", "ABORT", 3.5, 7.0, c("PC_CORE") < 100.0),
+        ("Turbine inlet temperature above 950 K", "ABORT", 0.0, 7.0, c("T_TURB_IN") > 950.0),
+        ("LOX pump speed above 103.5 %", "ABORT", 0.0, 7.0, c("N_LOX_TP") > 103.5),
+        ("Engine-bay vibration above 2 g rms", "ABORT", 0.0, 7.0, c("VIB_ENG") > 2.0),
+        ("Turbine inlet temperature above 950 K", "ALARM", 7.0, 150.0, c("T_TURB_IN") > 950.0),
+        ("Chamber pressure below 105 bar", "ALARM", 7.5, 134.0, c("PC_CORE") < 105.0),
+        ("TVC deflection above 4 deg", "ALARM", 7.0, 150.0, (F.abs(c("TVC_PITCH")) > 4.0) | (F.abs(c("TVC_YAW")) > 4.0)),
+        ("Booster pressure difference above 8 bar", "ALARM", 8.0, 122.0, F.abs(c("PC_SRB_L") - c("PC_SRB_R")) > 8.0),
+        ("Engine-bay vibration above 6 g rms", "ALARM", 7.0, 150.0, c("VIB_ENG") > 6.0),
+        ("Trajectory deviation beyond the flight-safety corridor", "ALARM", 7.0, 150.0, c("TRAJ_DEV") > corridor),
+    ]
+    return [(name, within(breach, t, start, stop), said) for name, said, start, stop, breach in rows]
 
 
 def event_log(*parts: DataFrame, keys: list[str]) -> DataFrame:
@@ -76,8 +120,63 @@ def detection(truth: DataFrame, alerts: DataFrame, keys: list[str], gate: Column
     )
 
 
+def evaluation(truth: DataFrame, alerts: DataFrame, runs: DataFrame, keys: list[str]) -> DataFrame:
+    """:func:`detection` of each class (``truth`` with its ``gate``), and false alerts for 1,000 runs without it; ``runs`` is one row with ``total``."""
+    found = detection(truth, alerts, [*keys, "class"], F.col("gate"))
+    wrong = false_alerts(alerts, truth, [*keys, "class"]).groupBy("class").agg(F.count(F.lit(1)).alias("_wrong"))
+    rate = 1000.0 * F.coalesce("_wrong", F.lit(0)) / F.greatest(F.col("total") - F.col("n"), F.lit(1))
+    return found.join(wrong, "class", "left").crossJoin(F.broadcast(runs)).withColumn("false_per_1000", rate).drop("_wrong", "total")
+
+
 def false_alerts(alerts: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
     return alerts.join(truth.select(*keys), keys, "left_anti")
 
 
-__all__ = ["call", "call_changes", "decide", "detection", "event_log", "evidence", "false_alerts", "first_true", "limit_trips", "phase"]
+def fired_rules(alerts: DataFrame, features: DataFrame, rules: DataFrame, keys: list[str], k: int = 3) -> DataFrame:
+    """The ``k`` best rules of each alert's class that fire at it: by grade, then by sensitivity and specificity together.
+
+    ``features`` are ``keys, feature, value``; rules hold from their ``valid_from`` on.
+    """
+    from flightline.operators.discovery import fires
+
+    met = alerts.join(F.broadcast(rules), "class").join(features, [*keys, "feature"])
+    hit = met.where((F.col("t") >= F.col("valid_from")) & fires(F.col("value"), F.col("operator"), F.col("threshold")))
+    place = F.row_number().over(Window.partitionBy(*keys, "class").orderBy("grade", F.desc(F.col("sensitivity") + F.col("specificity")), "rule_id"))
+    return hit.withColumn("place", place).where(F.col("place") <= k)
+
+
+def caught_before(truth: DataFrame, stops: DataFrame, keys: list[str], gate: float, ignition_gate: float = -1.0) -> DataFrame:
+    """Of the runs with a failure of the group (``truth``: ``keys``), the shares that were stopped in time.
+
+    ``stops`` has ``keys, hold_at, abort_at`` (the calls) and ``limit_hold, limit_abort`` (the limits' first trips).
+    A hold counts before ignition; an abort up to the gate, a limit's up to half a second after it.
+    """
+    met = truth.select(*keys).distinct().join(stops, keys, "left")
+    agent = F.coalesce(F.col("hold_at") <= min(gate, ignition_gate), F.lit(False)) | F.coalesce(F.col("abort_at") <= gate, F.lit(False))
+    limits = F.coalesce(F.col("limit_hold") < 0, F.lit(False))
+    if gate > 0:
+        limits = limits | F.coalesce((F.col("limit_abort") >= 0) & (F.col("limit_abort") < gate + 0.5), F.lit(False))
+    share = lambda c: F.avg(c.cast("double"))
+    return met.agg(F.count(F.lit(1)).alias("n"), share(agent).alias("agent"), share(limits).alias("limits"))
+
+
+def limit_detection(truth: DataFrame, trips: DataFrame, keys: list[str], early: float = 0.5) -> DataFrame:
+    """For each class, the share of its runs (``keys, class, manifest, gate``) in which any limit tripped from ``early`` before the failure shows up to the gate."""
+    met = truth.join(trips.select(*keys, "tripped_at"), keys, "left")
+    hit = F.coalesce((F.col("tripped_at") >= F.col("manifest") - early) & (F.col("tripped_at") <= F.col("gate")), F.lit(False))
+    runs = met.groupBy(*keys, "class").agg(F.bool_or(hit).alias("hit"))
+    return runs.groupBy("class").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("hit").cast("double")).alias("detection"))
+
+
+def contrast(truth: DataFrame, alerts: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
+    """Two classes that are mistaken for each other: for runs of each, the shares that were called the one and the other."""
+    called = alerts.where(F.col("class").isin(a, b)).groupBy(*keys).agg(F.bool_or(F.col("class") == a).alias("as_a"), F.bool_or(F.col("class") == b).alias("as_b"))
+    met = truth.where(F.col("class").isin(a, b)).join(called, keys, "left")
+    share = lambda c: F.avg(F.coalesce(F.col(c), F.lit(False)).cast("double"))
+    return met.groupBy("class").agg(F.count(F.lit(1)).alias("n"), share("as_a").alias(f"called_{a}"), share("as_b").alias(f"called_{b}"))
+
+
+__all__ = [
+    "alert_level", "call", "call_changes", "calls", "caught_before", "contrast", "decide", "detection", "event_log", "evidence", "false_alerts", "fired_rules", "first_true", "flight_limits", "limit_detection", "limit_trips",
+    "phase", "within",
+]

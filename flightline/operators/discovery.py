@@ -9,17 +9,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Grades: least sensitivity-like and specificity-like quality of each, best first.
-GRADES = (("A", 0.90, 0.95), ("B", 0.80, 0.90), ("C", 0.60, 0.80))
+# Fixed values.  Rules: least sensitivity, specificity and number of positives of each grade; exclusive groups: greatest
+# share of violations; equivalent classes: least substitution rate and cosine.  Everything else is a D.
+RULE_GRADES = (("A", 0.80, 0.80, 50), ("B", 0.60, 0.60, 20), ("C", 0.40, 0.40, 10))
+EXCLUSIVE_GRADES = (("A", 0.01), ("B", 0.05), ("C", 0.10))
+EQUIVALENCE_GRADES = (("A", 0.80, 0.95), ("B", 0.60, 0.90), ("C", 0.40, 0.85))
 
 
 def unpivot(wide: DataFrame, row_id: str, features: list[str]) -> DataFrame:
     return wide.select(row_id, *[F.col(f).cast("double") for f in features]).unpivot(row_id, features, "feature", "value").where("value is not null")
 
 
-def observations(features: DataFrame, labels: DataFrame, row_id: str) -> DataFrame:
-    """``class, feature, value, y``: each feature value with each class's label of its row."""
-    return features.join(labels, row_id).select("class", "feature", "value", F.col("y").cast("double").alias("y"))
+def observations(wide: DataFrame, row_id: str, features: list[str], labels: dict[str, Column]) -> DataFrame:
+    """``row_id, class, feature, value, y``: each present feature of a row with each class's label of it.
+
+    Features and labels (0/1 columns by class) stand in one row, so this is one projection without a join.
+    """
+    values = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("value")) for f in features])
+    marks = F.array(*[F.struct(F.lit(c).alias("class"), y.cast("double").alias("y")) for c, y in labels.items()])
+    each = wide.select(row_id, F.explode(values).alias("f"), marks.alias("labels")).where("f.value is not null")
+    return each.select(row_id, "f.feature", "f.value", F.explode("labels").alias("l")).select(row_id, "l.class", "feature", "value", "l.y")
 
 
 def associations(obs: DataFrame, least: int = 10) -> DataFrame:
@@ -69,7 +78,8 @@ def sweep(obs: DataFrame, points: int = 50) -> DataFrame:
     near = [guess - 1, guess, guess + 1]
     below = F.greatest(*[F.when((i >= 1) & (i <= points) & (F.col("value") > t(i)), i).otherwise(0) for i in near])
     reached = F.greatest(*[F.when((i >= 1) & (i <= points) & (F.col("value") >= t(i)), i).otherwise(0) for i in near])
-    placed = obs.join(scale.select("class", "feature", "lo", "hi"), ["class", "feature"]).withColumns({"below": below, "reached": reached})
+    # One row for each class and feature: a catalogue, so it may be broadcast.
+    placed = obs.join(F.broadcast(scale.select("class", "feature", "lo", "hi")), ["class", "feature"]).withColumns({"below": below, "reached": reached})
     cells = placed.groupBy("class", "feature", "below", "reached").agg(F.sum("y").alias("p"), F.count(F.lit(1)).alias("c"))
     grid = scale.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(points))))
     total = lambda flag, c: F.sum(F.when(flag, F.col(c)).otherwise(0))
@@ -82,16 +92,42 @@ def sweep(obs: DataFrame, points: int = 50) -> DataFrame:
     scored = either.withColumn("f1", f1)
     place = F.row_number().over(Window.partitionBy("class", "feature").orderBy(F.desc("f1"), "i", "op_ix"))
     sens, spec = F.col("tp") / F.col("pos"), 1 - F.coalesce(F.try_divide(F.col("hit") - F.col("tp"), F.col("n") - F.col("pos")), F.lit(0.0))
-    return scored.withColumn("place", place).where("place = 1 and f1 > 0").select("class", "feature", "operator", t(F.col("i")).alias("threshold"), sens.alias("sensitivity"), spec.alias("specificity"), "f1")
+    return scored.withColumn("place", place).where("place = 1 and f1 > 0").select("class", "feature", "operator", t(F.col("i")).alias("threshold"), sens.alias("sensitivity"), spec.alias("specificity"), "f1", F.col("pos").cast("long").alias("n_positive"))
 
 
-def grade(sensitivity: Column, specificity: Column) -> Column:
+def _graded(cases: list[tuple[str, Column]]) -> Column:
     out = F.lit("D")
-    for name, least_sens, least_spec in reversed(GRADES):
-        out = F.when((sensitivity >= least_sens) & (specificity >= least_spec), name).otherwise(out)
+    for name, good in reversed(cases):
+        out = F.when(good, name).otherwise(out)
     return out
 
 
+def grade(sensitivity: Column, specificity: Column, n_positive: Column) -> Column:
+    """Grade of a rule; limits are inclusive."""
+    return _graded([(g, (sensitivity >= a) & (specificity >= b) & (n_positive >= n)) for g, a, b, n in RULE_GRADES])
+
+
+def grade_exclusive(violation_rate: Column) -> Column:
+    return _graded([(g, violation_rate <= most) for g, most in EXCLUSIVE_GRADES])
+
+
+def grade_equivalence(substitution_rate: Column, similarity: Column) -> Column:
+    return _graded([(g, (substitution_rate >= a) & (similarity >= b)) for g, a, b in EQUIVALENCE_GRADES])
+
+
+def candidate_rules(obs: DataFrame, top: int = 5, points: int = 50) -> DataFrame:
+    """The best threshold rule on each of a class's ``top`` features by correlation, with a ``candidate_id``.
+
+    Ids count a class's features in order of their correlation, before rules are put in order of F1.
+    """
+    chosen = strongest(associations(obs), top).select("class", "feature", "r", "place")
+    # At most ``top`` rows for each class of the catalogue.
+    own = obs.join(F.broadcast(chosen.select("class", "feature")), ["class", "feature"])
+    found = sweep(own, points).join(chosen, ["class", "feature"])
+    number = F.row_number().over(Window.partitionBy("class").orderBy("place"))
+    return found.withColumn("candidate_id", F.format_string("rule_%s_%d", F.col("class"), number))
+
+
 def fires(value: Column, operator: Column, threshold: Column) -> Column:
     """Whether a rule fires; a missing value never does."""
     return F.coalesce(F.when(operator == ">", value > threshold).when(operator == "<", value < threshold).when(operator == ">=", value >= threshold).when(operator == "<=", value <= threshold), F.lit(False))
@@ -99,7 +135,7 @@ def fires(value: Column, operator: Column, threshold: Column) -> Column:
 
 def validate(rules: DataFrame, obs: DataFrame, overfit: float = 0.05) -> DataFrame:
     """Each rule's F1 on other rows, and whether it fell by more than ``overfit``."""
-    met = obs.join(rules.select("class", "feature", "operator", "threshold", F.col("f1").alias("train_f1")), ["class", "feature"])
+    met = obs.join(F.broadcast(rules.select("class", "feature", "operator", "threshold", F.col("f1").alias("train_f1"))), ["class", "feature"])
     hit = fires(F.col("value"), F.col("operator"), F.col("threshold"))
     n = lambda c: F.sum(c.cast("double"))
     sums = met.groupBy("class", "feature", "train_f1").agg(n(hit & (F.col("y") == 1)).alias("tp"), n(hit).alias("hit"), F.sum("y").alias("pos"))
@@ -135,15 +171,22 @@ def exclusive(pairs: DataFrame, most: float, least: int = 5) -> DataFrame:
     return pairs.where((F.col("n_a") >= least) & (F.col("n_b") >= least)).withColumn("jaccard", overlap).where(F.col("jaccard") <= most)
 
 
-def lift(pairs: DataFrame, total: int, least_lift: float = 2.0, least_both: int = 10, level: float = 0.05) -> DataFrame:
-    """Pairs that occur together more than chance: lift, and the Poisson tail of the count times the number of pairs."""
-    expected = F.col("n_a") * F.col("n_b") / F.lit(float(total))
+def lift(pairs: DataFrame, total: DataFrame | int, least_lift: float = 2.0, least_both: int = 10, level: float = 0.05) -> DataFrame:
+    """Pairs that occur together more than chance: lift, and the Poisson tail of the count times the number of pairs.
+
+    ``total`` is the number of rows, or a table of one row with it.
+    """
+    if isinstance(total, DataFrame):
+        pairs = pairs.crossJoin(F.broadcast(total.toDF("_total")))
+    else:
+        pairs = pairs.withColumn("_total", F.lit(total))
+    expected = F.col("n_a") * F.col("n_b") / F.col("_total").cast("double")
     # P(X >= both) = 1 - sum of the first terms, by the recurrence of the terms.
     first = F.struct(F.exp(-F.col("expected")).alias("term"), F.lit(0.0).alias("below"))
     below = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("n_both").cast("int"))), first, lambda acc, k: F.struct((acc["term"] * F.col("expected") / k).alias("term"), (acc["below"] + acc["term"]).alias("below")), lambda acc: acc["below"])
     n_pairs = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
     scored = pairs.withColumn("expected", expected).withColumn("lift", F.col("n_both") / F.col("expected")).withColumn("p_adjusted", F.least(F.lit(1.0), F.when(F.col("n_both") == 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - below)) * n_pairs))
-    return scored.where((F.col("lift") >= least_lift) & (F.col("n_both") >= least_both) & (F.col("p_adjusted") < level))
+    return scored.where((F.col("lift") >= least_lift) & (F.col("n_both") >= least_both) & (F.col("p_adjusted") < level)).drop("_total")
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -151,9 +194,26 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def greedy_groups(pairs: list[tuple[str, str]]) -> list[set[str]]:
-    """Merge pairs in order into groups all of whose members exclude each other (at most one row for each pair of classes)."""
-    allowed = {frozenset(p) for p in pairs}
+def equivalent(pairs: DataFrame, means: DataFrame, least_rows: int = 20, least_substitution: float = 0.15, least_similarity: float = 0.85) -> DataFrame:
+    """Pairs of classes that stand in for each other: ``a, b, substitution_rate, similarity, grade``.
+
+    The substitution rate is the share of rows with either class that have not both; the similarity is
+    the cosine of the classes' mean features (``means``: ``class, mean`` arrays, a row for each class).
+    """
+    either = F.col("n_a") + F.col("n_b") - F.col("n_both")
+    enough = pairs.where((F.col("n_a") >= least_rows) & (F.col("n_b") >= least_rows)).withColumn("substitution_rate", F.try_divide(either - F.col("n_both"), either))
+    own = lambda name, alias: F.broadcast(means.select(F.col("class").alias(name), F.col("mean").alias(alias)))
+    met = enough.join(own("a", "_x"), "a").join(own("b", "_y"), "b").withColumn("similarity", F.coalesce(cosine(F.col("_x"), F.col("_y")), F.lit(0.0)))
+    kept = met.where((F.col("substitution_rate") >= least_substitution) & (F.col("similarity") >= least_similarity))
+    return kept.select("a", "b", "substitution_rate", "similarity", grade_equivalence(F.col("substitution_rate"), F.col("similarity")).alias("grade"))
+
+
+def greedy_groups(pairs: list[tuple[str, str]], compatible: set[frozenset[str]] | None = None) -> list[set[str]]:
+    """Merge pairs in order into groups all of whose members exclude each other (at most one row for each pair of classes).
+
+    ``compatible`` are all pairs that overlap little enough, if there are others than ``pairs``.
+    """
+    allowed = {frozenset(p) for p in pairs} if compatible is None else compatible
     groups: list[set[str]] = []
     for a, b in pairs:
         home = next((g for g in groups if (a in g or b in g) and all(frozenset((x, y)) in allowed for x in g for y in (a, b) if x != y)), None)
@@ -162,3 +222,25 @@ def greedy_groups(pairs: list[tuple[str, str]]) -> list[set[str]]:
         else:
             home |= {a, b}
     return groups
+
+
+def exclusive_groups(positives: DataFrame, row_id: str, most: float, least: int = 5) -> DataFrame:
+    """``group_name, members, violations, violation_rate, grade``: groups of classes that hardly occur together.
+
+    The greedy merge is over the pairs of the class catalogue; violations (rows with two members or
+    more) are counted over all rows.
+    """
+    pairs = pair_counts(positives, row_id)
+    listed = exclusive(pairs, most, 0).orderBy("a", "b").collect()  # a row for each pair of classes at most
+    enough = [(r["a"], r["b"]) for r in listed if r["n_a"] >= least and r["n_b"] >= least]
+    groups = greedy_groups(enough, {frozenset((r["a"], r["b"])) for r in listed})
+    named = positives.sparkSession.createDataFrame([(k, sorted(g)) for k, g in enumerate(groups)], "number int, members array<string>")
+    own = positives.distinct().join(F.broadcast(named.select("number", F.explode("members").alias("class"))), "class").groupBy("number", row_id).agg(F.count(F.lit(1)).alias("n"))
+    counted = own.groupBy("number").agg(F.count_if(F.col("n") > 1).alias("violations"), (F.count_if(F.col("n") > 1) / F.count(F.lit(1))).alias("violation_rate"))
+    met = named.join(counted, "number")
+    return met.select(F.format_string("exclusive_%d", "number").alias("group_name"), "members", "violations", "violation_rate", grade_exclusive(F.col("violation_rate")).alias("grade"))
+
+
+def exclusion_pairs(groups: DataFrame) -> DataFrame:
+    """Each group's members two by two: ``group_name, a, b`` with ``a < b``."""
+    return groups.select("group_name", F.explode("members").alias("a"), "members").select("group_name", "a", F.explode("members").alias("b")).where("a < b")

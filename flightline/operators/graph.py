@@ -34,6 +34,12 @@ def nodes_of(graph: DataFrame) -> DataFrame:
     return ids.withColumn("type", F.substring_index("id", ":", 1))
 
 
+def type_counts(graph: DataFrame) -> DataFrame:
+    """How many edges and nodes there are of each type: ``kind, type, n``."""
+    of = lambda df, kind: df.groupBy("type").agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "type", "n")
+    return of(graph, "edge").unionByName(of(nodes_of(graph), "node"))
+
+
 def degrees(graph: DataFrame) -> DataFrame:
     ends = graph.select(F.col("src").alias("node")).unionByName(graph.select(F.col("dst").alias("node")))
     return ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))

@@ -38,6 +38,30 @@ def out_of_fold(df: DataFrame, features: list[str], label: str, folds: int, **op
     return reduce(DataFrame.unionByName, parts).drop(*[c for c in columns if c not in df.columns])
 
 
+def fit_all(df: DataFrame, features: list[str], labels: list[str], **options) -> dict[str, PipelineModel]:
+    """One model for each label column, one against the rest; rows may lack features."""
+    filled, columns = with_indicators(df, features)
+    return {label: fit(filled, columns, label, **options) for label in labels}
+
+
+def score_all(models: dict[str, PipelineModel], df: DataFrame, features: list[str], keys: list[str]) -> DataFrame:
+    """``keys`` and each class's probability ``p_<class>``."""
+    filled, _ = with_indicators(df, features)
+    for label, model in models.items():
+        filled = scored(model, filled, f"p_{label}")
+    return filled.select(*keys, *[f"p_{label}" for label in models])
+
+
+def save(models: dict[str, PipelineModel], path: str) -> None:
+    """Models in Spark's own format, a folder for each class."""
+    for label, model in models.items():
+        model.write().overwrite().save(f"{path}/{label}")
+
+
+def load(path: str, labels: list[str]) -> dict[str, PipelineModel]:
+    return {label: PipelineModel.load(f"{path}/{label}") for label in labels}
+
+
 def principal_axes(df: DataFrame, vector: str, k: int = 3) -> DataFrame:
     """Coordinates ``x, y, z`` on the first principal axes.  (A linear stand-in for a neighbour embedding, which Spark lacks.)"""
     dense = df.withColumn("_v", array_to_vector(F.transform(vector, lambda x: x.cast("double"))))

@@ -26,6 +26,11 @@ def deal(df: DataFrame, signature: list[str], row_id: list[str], folds: int, see
     return joined.select(*[ranked[c] for c in df.columns], F.pmod(F.col("_inside") + F.col("_before"), F.lit(folds)).cast("int").alias("fold"))
 
 
+def holdout(df: DataFrame, signature: list[str], row_id: list[str], parts: int, seed: int = 0) -> DataFrame:
+    """Add ``held_out``: one in ``parts`` rows of each label signature."""
+    return deal(df, signature, row_id, parts, seed).withColumn("held_out", F.col("fold") == 0).drop("fold")
+
+
 def holdout_size(n: int, explicit: int | None = None, share: float | None = None, folds: int = 5) -> int:
     """Explicit size, else a share, else 1 / (folds + 1); rounded down, one at least."""
     size = explicit if explicit is not None else int(n * share) if share is not None else n // (folds + 1)

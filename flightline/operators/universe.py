@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def quantized(p: Column, steps: int = 250) -> Column:
@@ -14,7 +19,7 @@ def quantized(p: Column, steps: int = 250) -> Column:
 def quantized_with_missing(value: Column, low: float, high: float, levels: int = 65535) -> Column:
     """1 ... levels over the range (clipped, halves to even), 0 for missing."""
     share = (F.greatest(F.lit(low), F.least(F.lit(high), value)) - low) / (high - low)
-    return F.coalesce(1 + F.bround(share * (levels - 1)).cast("int"), F.lit(0))
+    return F.when(value.isNull(), 0).otherwise(1 + F.bround(share * (levels - 1)).cast("int"))
 
 
 def most_probable(p: Column, least: float = 0.5) -> Column:
@@ -24,35 +29,92 @@ def most_probable(p: Column, least: float = 0.5) -> Column:
 
 
 def dictionary(states: DataFrame, columns: list[str]) -> DataFrame:
-    """Distinct rows with a number (``vector``) and how many states have each.
+    """Distinct rows with a number (``vector``, in their order) and how many states have each.
 
-    Rows are counted first, so numbering sees distinct vectors only.
+    Rows are counted first, so numbering sees distinct vectors only; they are numbered inside each
+    prefix (all columns but the last), and the prefixes' counts give where each begins.
     """
     counts = states.groupBy(*columns).agg(F.count(F.lit(1)).alias("states"))
-    return counts.withColumn("vector", (F.dense_rank().over(Window.orderBy(*columns)) - 1).cast("long"))
+    prefix = columns[:-1]
+    if not prefix:
+        return counts.withColumn("vector", (F.row_number().over(Window.orderBy(*columns)) - 1).cast("long"))
+    sizes = counts.groupBy(*prefix).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy(*prefix).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*prefix, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = counts.withColumn("_inside", F.row_number().over(Window.partitionBy(*prefix).orderBy(columns[-1])) - 1)
+    met = inside.join(starts, [inside[c].eqNullSafe(starts[c]) for c in prefix])
+    return met.select(*[inside[c] for c in columns], "states", (F.col("_inside") + F.col("_start")).cast("long").alias("vector"))
+
 
+def landmarks(vectors: DataFrame, label: str, key: str, quota: int, total: int | None = None) -> DataFrame:
+    """The first ``quota`` vectors of each class; classes with fewer give all.
 
-def landmarks(vectors: DataFrame, label: str, key: str, quota: int) -> DataFrame:
-    """The first ``quota`` vectors of each class; classes with fewer give all."""
+    With a ``total``, what the classes leave open is filled up with the first of the remaining vectors by key.
+    """
     place = F.row_number().over(Window.partitionBy(label).orderBy(key))
-    return vectors.withColumn("_place", place).where(F.col("_place") <= quota).drop("_place")
+    placed_ = vectors.withColumn("_place", place)
+    chosen = placed_.where(F.col("_place") <= quota).drop("_place")
+    if total is None:
+        return chosen
+    missing = total - chosen.count()
+    return chosen.unionByName(placed_.where(F.col("_place") > quota).drop("_place").orderBy(key).limit(max(0, missing)))
 
 
 def nearest(vectors: DataFrame, marks: DataFrame, key: str, vector: str, k: int, most_marks: int = 10_000) -> DataFrame:
-    """The ``k`` landmarks nearest to each vector: ``key, landmark, place, distance``.
+    """The ``k`` landmarks nearest to each vector: ``key, landmark, place, distance``; ties to the lesser landmark.
 
-    Landmarks are a bounded sample by construction; the bound is checked, and each vector carries the
-    list of them through one projection instead of a join.
+    Landmarks are broadcast ``most_marks`` at a time as one matrix; each batch of vectors meets it in
+    a matrix product, of which the best are computed anew exactly.  Where there are more landmarks
+    than that, each lot gives its best and the best of all lots stand.
     """
-    if marks.limit(most_marks + 1).count() > most_marks:
-        raise ValueError(f"more than {most_marks} landmarks")
-    known = [(r[0], [float(x) for x in r[1]]) for r in marks.select(key, vector).collect()]
     spark = vectors.sparkSession
-    held = spark.createDataFrame([(known,)], f"marks array<struct<landmark: long, e: array<double>>>")
-    square = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda s, v: s + v)
-    with_marks = vectors.withColumn("_one", F.lit(1)).join(F.broadcast(held.withColumn("_one", F.lit(1))), "_one")
-    ranked = F.slice(F.array_sort(F.transform("marks", lambda m: F.struct(F.round(square(F.col(vector), m["e"]), 9).alias("d"), m["landmark"].alias("landmark")))), 1, k)
-    return with_marks.select(key, F.posexplode(ranked).alias("at", "m")).select(key, "m.landmark", (F.col("at") + 1).cast("long").alias("place"), F.sqrt("m.d").alias("distance"))
+    own = vectors.select(key, F.transform(vector, lambda x: x.cast("double")).alias("_v"))
+    n = marks.count()
+    lots = max(1, -(-n // most_marks))
+    dealt = marks.select(F.col(key).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("e")).withColumn("_lot", F.pmod(F.xxhash64("id"), F.lit(lots)))
+    parts = []
+    for lot in range(lots):
+        rows = dealt.where(F.col("_lot") == lot).select("id", "e").collect()  # about most_marks rows
+        if not rows:
+            continue
+        held = spark.sparkContext.broadcast((np.array([r["id"] for r in rows]), np.array([r["e"] for r in rows], np.float64)))
+
+        def search(batches, held=held):
+            ids, e = held.value
+            norms = (e * e).sum(axis=1)
+            take = min(k + 8, len(ids))
+            for batch in batches:
+                for first in range(0, batch.num_rows, 512):
+                    part = batch.slice(first, 512)
+                    v = part.column(1).flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                    rough = norms[None, :] - 2 * v @ e.T
+                    some = np.argpartition(rough, take - 1, axis=1)[:, :take]
+                    exact = np.round(((v[:, None, :] - e[some]) ** 2).sum(axis=2), 9)
+                    order = np.lexsort((ids[some], exact), axis=1)[:, :k]
+                    marks_, d = np.take_along_axis(ids[some], order, 1), np.take_along_axis(exact, order, 1)
+                    width = marks_.shape[1]
+                    owner = np.repeat(np.arange(part.num_rows), width)
+                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(owner)), pa.array(marks_.ravel()), pa.array(d.ravel())], [key, "landmark", "_d"])
+
+        schema = T.StructType([own.schema[key], T.StructField("landmark", T.LongType()), T.StructField("_d", T.DoubleType())])
+        parts.append(own.mapInArrow(search, schema))
+    if not parts:
+        return spark.createDataFrame([], T.StructType([own.schema[key], T.StructField("landmark", T.LongType()), T.StructField("place", T.LongType()), T.StructField("distance", T.DoubleType())]))
+    best = F.row_number().over(Window.partitionBy(key).orderBy("_d", "landmark")).cast("long")
+    return reduce(DataFrame.unionByName, parts).withColumn("place", best).where(F.col("place") <= k).select(key, "landmark", "place", F.sqrt("_d").alias("distance"))
+
+
+def start_offsets(states: DataFrame, run: str) -> DataFrame:
+    """For each run, where its states begin when runs stand one after the other: ``run, start, states``.
+
+    Runs are counted first; the running sum is taken in buckets of runs and shifted by what earlier buckets hold.
+    """
+    counts = states.groupBy(run).agg(F.count(F.lit(1)).alias("states")).withColumn("_bucket", F.floor(F.col(run) / 65_536))
+    sums = counts.groupBy("_bucket").agg(F.sum("states").alias("_n"))
+    before = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy("_bucket").orderBy(run).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("_inside", F.coalesce(F.sum("states").over(inside), F.lit(0))).join(starts, "_bucket").select(run, (F.col("_start") + F.col("_inside")).alias("start"), "states")
 
 
 def placed(near: DataFrame, coordinates: DataFrame, key: str) -> DataFrame:

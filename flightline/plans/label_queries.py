@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flightline.functions import metrics
-from flightline.operators import discovery, graph, splitting
+from flightline.operators import discovery, graph, reports, splitting
 from flightline.plans.book import Book, r6, table
 
 BOOK = Book()
@@ -29,7 +29,7 @@ feat AS (
 ), lab AS (
   SELECT w.id, c.class, CAST(w.o_orderstatus = c.class AS DOUBLE) AS y FROM wide w CROSS JOIN classes c
 ), obs AS (
-  SELECT lab.class, long.feature, long.value, lab.y FROM long JOIN lab USING (id)
+  SELECT id, lab.class, long.feature, long.value, lab.y FROM long JOIN lab USING (id)
 )"""
 SCORES = """
 sc AS (
@@ -51,9 +51,7 @@ def wide(spark, sf_dir) -> DataFrame:
 
 def observations(spark, sf_dir) -> DataFrame:
     rows = wide(spark, sf_dir)
-    # The catalogue of classes is fixed, so labels come from an array of it, not from a join.
-    labels = rows.select("id", "o_orderstatus", F.explode(F.array(*[F.lit(c) for c in "FOP"])).alias("class")).select("id", "class", (F.col("o_orderstatus") == F.col("class")).cast("int").alias("y"))
-    return discovery.observations(discovery.unpivot(rows, "id", FEATURES), labels, "id")
+    return discovery.observations(rows, "id", FEATURES, {c: (F.col("o_orderstatus") == c).cast("int") for c in "FOP"})
 
 
 def scores(spark, sf_dir) -> DataFrame:
@@ -71,15 +69,15 @@ def counts(spark, sf_dir) -> DataFrame:
 @BOOK.enter(f"WITH {ORDERS}, m AS (SELECT median(qty_sum) AS m FROM wide) SELECT id, coalesce(qty_sum, m) AS qty_sum FROM wide, m")
 def median_impute(spark, sf_dir):
     rows = wide(spark, sf_dir)
-    median = rows.agg(F.percentile("qty_sum", F.lit(0.5)).alias("m")).first()["m"]  # one number
-    return rows.select("id", F.coalesce("qty_sum", F.lit(median)).alias("qty_sum"))
+    median = rows.agg(F.percentile("qty_sum", F.lit(0.5)).alias("m"))
+    return rows.crossJoin(F.broadcast(median)).select("id", F.coalesce("qty_sum", "m").alias("qty_sum"))  # one number to each row
 
 
 @BOOK.enter(f"WITH {ORDERS}, m AS (SELECT avg(qty_sum) AS a, stddev_pop(qty_sum) AS s FROM wide) SELECT id, round((qty_sum - a) / CASE WHEN s = 0 THEN 1 ELSE s END, 6) AS z FROM wide, m")
 def zscore(spark, sf_dir):
     rows = wide(spark, sf_dir)
-    m = rows.agg(F.avg("qty_sum").alias("a"), F.stddev_pop("qty_sum").alias("s")).first()
-    return rows.select("id", r6((F.col("qty_sum") - F.lit(m["a"])) / F.lit(m["s"] or 1.0)).alias("z"))
+    m = rows.agg(F.avg("qty_sum").alias("a"), F.stddev_pop("qty_sum").alias("s"))
+    return rows.crossJoin(F.broadcast(m)).select("id", r6((F.col("qty_sum") - F.col("a")) / F.when(F.col("s") == 0, 1.0).otherwise(F.col("s"))).alias("z"))
 
 
 ASSOC = f"""{ORDERS}, g AS (
@@ -104,22 +102,29 @@ def cohens_d(spark, sf_dir):
     return discovery.associations(observations(spark, sf_dir)).select("class", "feature", r6(F.col("d")).alias("d"))
 
 
-SWEEP = f"""{ORDERS}, sc AS (
-  SELECT class, feature, min(value) AS lo, max(value) AS hi, sum(y) AS pos, count(*) AS n FROM obs GROUP BY 1, 2 HAVING max(value) - min(value) >= 1e-10 AND sum(y) >= 2
+def sweep_sql(obs: str) -> str:
+    """The sweep over the table ``obs`` as further common table expressions, the last one ``rules``."""
+    return f"""sc AS (
+  SELECT class, feature, min(value) AS lo, max(value) AS hi, sum(y) AS pos, count(*) AS n FROM {obs} GROUP BY 1, 2 HAVING max(value) - min(value) >= 1e-10 AND sum(y) >= 2
 ), grid AS (
   SELECT sc.*, i, lo + (hi - lo) * i / 51 AS thr FROM sc, range(1, 51) AS r(i)
 ), hits AS (
   SELECT g.class, g.feature, g.i, g.thr, g.pos, g.n, sum(CASE WHEN o.value > g.thr THEN o.y ELSE 0 END) AS tp_gt, count(*) FILTER (o.value > g.thr) AS hit_gt, sum(CASE WHEN o.value < g.thr THEN o.y ELSE 0 END) AS tp_lt, count(*) FILTER (o.value < g.thr) AS hit_lt
-  FROM grid g JOIN obs o ON g.class = o.class AND g.feature = o.feature GROUP BY ALL
+  FROM grid g JOIN {obs} o ON g.class = o.class AND g.feature = o.feature GROUP BY ALL
 ), ops AS (
   SELECT class, feature, i, thr, pos, n, 0 AS op_ix, '>' AS operator, tp_gt AS tp, hit_gt AS hit FROM hits UNION ALL SELECT class, feature, i, thr, pos, n, 1, '<', tp_lt, hit_lt FROM hits
 ), best AS (
   SELECT *, 2 * tp / (pos + hit) AS f1, row_number() OVER (PARTITION BY class, feature ORDER BY round(2 * tp / (pos + hit), 12) DESC, i, op_ix) AS place FROM ops
 ), rules AS (
-  SELECT class, feature, operator, thr AS threshold, tp / pos AS sensitivity, 1 - CASE WHEN n > pos THEN (hit - tp) / (n - pos) ELSE 0 END AS specificity, f1 FROM best WHERE place = 1 AND f1 > 0
+  SELECT class, feature, operator, thr AS threshold, tp / pos AS sensitivity, 1 - CASE WHEN n > pos THEN (hit - tp) / (n - pos) ELSE 0 END AS specificity, f1, CAST(pos AS BIGINT) AS n_positive FROM best WHERE place = 1 AND f1 > 0
 )"""
 
 
+SWEEP = f"{ORDERS}, {sweep_sql('obs')}"
+GRADE = """CASE WHEN sensitivity >= 0.80 AND specificity >= 0.80 AND n_positive >= 50 THEN 'A' WHEN sensitivity >= 0.60 AND specificity >= 0.60 AND n_positive >= 20 THEN 'B'
+WHEN sensitivity >= 0.40 AND specificity >= 0.40 AND n_positive >= 10 THEN 'C' ELSE 'D' END"""
+
+
 def rules(spark, sf_dir) -> DataFrame:
     return discovery.sweep(observations(spark, sf_dir))
 
@@ -131,25 +136,37 @@ def threshold_sweep(spark, sf_dir):
 
 @BOOK.enter(
     f"""WITH {SWEEP} SELECT 'R-' || lpad(CAST(row_number() OVER (ORDER BY class, f1 DESC, feature) AS VARCHAR), 2, '0') AS rule_id, class, feature,
-CASE WHEN sensitivity >= 0.9 AND specificity >= 0.95 THEN 'A' WHEN sensitivity >= 0.8 AND specificity >= 0.9 THEN 'B' WHEN sensitivity >= 0.6 AND specificity >= 0.8 THEN 'C' ELSE 'D' END AS grade,
+n_positive, {GRADE} AS grade,
 printf('%s if %s %s %.3f', class, feature, operator, threshold) AS text FROM rules"""
 )
 def rule_grades(spark, sf_dir):
-    graded = rules(spark, sf_dir).withColumn("grade", discovery.grade(F.col("sensitivity"), F.col("specificity")))
-    return discovery.sentence(graded).select("rule_id", "class", "feature", "grade", "text")
+    graded = rules(spark, sf_dir).withColumn("grade", discovery.grade(F.col("sensitivity"), F.col("specificity"), F.col("n_positive")))
+    return discovery.sentence(graded).select("rule_id", "class", "feature", "n_positive", "grade", "text")
 
 
-@BOOK.enter(
-    f"""WITH {SWEEP}, late AS (SELECT obs.* FROM obs), m AS (
+HELD = f"{ORDERS}, work AS (SELECT * FROM obs WHERE id % 5 <> 0), hold AS (SELECT * FROM obs WHERE id % 5 = 0), {sweep_sql('work')}"
+VALID = f"""{HELD}, m AS (
   SELECT r.class, r.feature, r.f1 AS train_f1, sum(CASE WHEN fire AND y = 1 THEN 1.0 ELSE 0 END) AS tp, sum(CASE WHEN fire THEN 1.0 ELSE 0 END) AS hit, sum(y) AS pos
-  FROM (SELECT o.*, r.f1, CASE r.operator WHEN '>' THEN o.value > r.threshold ELSE o.value < r.threshold END AS fire FROM late o JOIN rules r ON o.class = r.class AND o.feature = r.feature AND o.value > 1) r GROUP BY 1, 2, 3)
-SELECT class, feature, round(train_f1, 6) AS train_f1, round(2 * tp / (pos + hit), 6) AS valid_f1, train_f1 - 2 * tp / (pos + hit) > 0.05 AS overfit FROM m"""
-)
-def rule_validation(spark, sf_dir):
-    """Rules held against the observations above 1 only (as a second sample)."""
+  FROM (SELECT o.*, r.f1, CASE r.operator WHEN '>' THEN o.value > r.threshold ELSE o.value < r.threshold END AS fire FROM hold o JOIN rules r ON o.class = r.class AND o.feature = r.feature) r GROUP BY 1, 2, 3
+), valid AS (
+  SELECT class, feature, train_f1, CASE WHEN pos + hit > 0 THEN 2 * tp / (pos + hit) ELSE 0 END AS valid_f1 FROM m
+)"""
+
+
+def validated(spark, sf_dir) -> DataFrame:
+    """Rules swept on four fifths of the orders, held against the last fifth."""
     obs = observations(spark, sf_dir)
-    found = discovery.validate(discovery.sweep(obs), obs.where("value > 1"))
-    return found.select("class", "feature", r6(F.col("train_f1")).alias("train_f1"), r6(F.col("valid_f1")).alias("valid_f1"), "overfit")
+    return discovery.validate(discovery.sweep(obs.where("id % 5 <> 0")), obs.where("id % 5 = 0"))
+
+
+@BOOK.enter(f"WITH {VALID} SELECT class, feature, round(train_f1, 6) AS train_f1, round(valid_f1, 6) AS valid_f1, train_f1 - valid_f1 > 0.05 AS overfit FROM valid")
+def rule_validation(spark, sf_dir):
+    return validated(spark, sf_dir).select("class", "feature", r6(F.col("train_f1")).alias("train_f1"), r6(F.col("valid_f1")).alias("valid_f1"), "overfit")
+
+
+@BOOK.enter(f"WITH {VALID} SELECT CAST(count(*) AS BIGINT) AS n_rules, CAST(count(*) FILTER (train_f1 - valid_f1 > 0.05) AS BIGINT) AS n_overfit, round(avg(valid_f1), 6) AS mean_f1, round(quantile_cont(valid_f1, 0.5), 6) AS median_f1 FROM valid")
+def validation_summary(spark, sf_dir):
+    return reports.validation_summary(validated(spark, sf_dir)).select("n_rules", "n_overfit", r6(F.col("mean_f1")).alias("mean_f1"), r6(F.col("median_f1")).alias("median_f1"))
 
 
 BATTERY = """round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 6) AS sensitivity, round(CASE WHEN tn + fp > 0 THEN tn / (tn + fp) ELSE 0 END, 6) AS specificity,
@@ -202,9 +219,7 @@ def threshold_curve(spark, sf_dir):
 SELECT round(avg(f1), 6) AS macro, round(sum(f1 * support) / sum(support), 6) AS weighted, (SELECT round(2.0 * tp / (2 * tp + fp + fn), 6) FROM t) AS micro FROM f WHERE support > 0"""
 )
 def macro_micro_weighted(spark, sf_dir):
-    cells = counts(spark, sf_dir)
-    pooled = metrics.micro(cells).first()["f1"]
-    return metrics.averages(metrics.battery(cells), "f1", "support").select(r6(F.col("macro")).alias("macro"), r6(F.col("weighted")).alias("weighted"), F.round(F.lit(float(pooled)), 6).alias("micro"))
+    return metrics.aggregated(metrics.battery(counts(spark, sf_dir)), "f1").select(*[r6(F.col(c)).alias(c) for c in ("macro", "weighted", "micro")])
 
 
 @BOOK.enter(
@@ -216,9 +231,10 @@ def wilson_interval(spark, sf_dir):
     return counts(spark, sf_dir).select("class", r6(low).alias("low"), r6(high).alias("high"))
 
 
-PAIRS = """
+MARKS = """
 pos AS (
-  SELECT DISTINCT o.o_custkey AS id, o_orderpriority AS class FROM orders o WHERE o_totalprice > 200000
+  SELECT doc_id AS id, 'lang ' || lang AS class FROM documents WHERE lang IS NOT NULL UNION SELECT doc_id, 'source ' || source FROM documents WHERE source IS NOT NULL UNION SELECT doc_id, 'long' FROM documents WHERE n_chars > 3000
+  UNION SELECT doc_id, 'toxic' FROM labels WHERE toxic = 1 UNION SELECT doc_id, 'good' FROM labels WHERE quality = 1
 ), single AS (
   SELECT class, count(*) AS n FROM pos GROUP BY class
 ), met AS (
@@ -228,20 +244,19 @@ pos AS (
 )"""
 
 
-def pairs(spark, sf_dir) -> DataFrame:
-    positives = table(spark, sf_dir, "orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("class")).distinct()
-    return discovery.pair_counts(positives, "id")
-
-
-@BOOK.enter(f"WITH {PAIRS}, t AS (SELECT count(*) AS n FROM customer) SELECT a, b, n_both, round(n_both / (n_a * n_b / CAST(n AS DOUBLE)), 6) AS lift FROM pairs, t WHERE n_both / (n_a * n_b / CAST(n AS DOUBLE)) >= 1.0 AND n_both >= 10")
+@BOOK.enter(
+    f"""WITH {MARKS}, t AS (SELECT CAST(count(*) AS DOUBLE) AS total FROM documents), x AS (SELECT pairs.*, n_a * n_b / total AS expected, count(*) OVER () AS n_pairs FROM pairs, t), y AS (
+  SELECT *, CASE WHEN n_both = 0 THEN 1 ELSE greatest(0, 1 - list_sum(list_transform(range(0, n_both), lambda k: exp(k * ln(expected) - expected - lgamma(k + 1))))) END AS tail FROM x)
+SELECT a, b, n_both, round(n_both / expected, 6) AS lift, round(least(1, tail * n_pairs), 6) AS p_adjusted FROM y WHERE n_both / expected >= 2.0 AND n_both >= 10 AND tail * n_pairs < 0.05"""
+)
 def cooccurrence_lift(spark, sf_dir):
-    total = table(spark, sf_dir, "customer").count()
-    return discovery.lift(pairs(spark, sf_dir), total, least_lift=1.0, level=2.0).select("a", "b", "n_both", r6(F.col("lift")).alias("lift"))
-
-
-@BOOK.enter(f"WITH {PAIRS} SELECT a, b, round(n_both / CAST(n_a + n_b - n_both AS DOUBLE), 6) AS jaccard FROM pairs WHERE n_a >= 5 AND n_b >= 5 AND n_both / CAST(n_a + n_b - n_both AS DOUBLE) <= 0.5")
-def mutex_jaccard(spark, sf_dir):
-    return discovery.exclusive(pairs(spark, sf_dir), 0.5).select("a", "b", r6(F.col("jaccard")).alias("jaccard"))
+    """Marks that documents have together more often than chance, by the Poisson tail over all pairs."""
+    documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    mark = lambda df, c, where: df.where(where).select(F.col("doc_id").alias("id"), c.alias("class"))
+    parts = [mark(documents, F.concat(F.lit("lang "), "lang"), "lang is not null"), mark(documents, F.concat(F.lit("source "), "source"), "source is not null"), mark(documents, F.lit("long"), "n_chars > 3000"), mark(labels, F.lit("toxic"), "toxic = 1"), mark(labels, F.lit("good"), "quality = 1")]
+    positives = graph.edges(*parts).distinct()
+    total = documents.agg(F.count(F.lit(1)).alias("total"))
+    return discovery.lift(discovery.pair_counts(positives, "id"), total).select("a", "b", "n_both", r6(F.col("lift")).alias("lift"), r6(F.col("p_adjusted")).alias("p_adjusted"))
 
 
 MEANS = "m AS (SELECT label, i, avg(e) AS e FROM (SELECT label, unnest(embedding) AS e, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings) GROUP BY 1, 2)"
@@ -257,6 +272,90 @@ def equivalence_cosine(spark, sf_dir):
     return two.select(F.col("x.label").alias("a"), F.col("y.label").alias("b"), F.round(discovery.cosine(F.col("x.mean"), F.col("y.mean")), 5).alias("cosine"))
 
 
+CUSTOMERS = """
+pos AS (
+  SELECT DISTINCT o_custkey AS id, o_orderpriority || ' ' || o_orderstatus AS class FROM orders WHERE o_totalprice > 420000
+), single AS (
+  SELECT class, count(*) AS n FROM pos GROUP BY class
+), met AS (
+  SELECT a.class AS a, b.class AS b, count(*) AS n_both FROM pos a JOIN pos b ON a.id = b.id AND a.class < b.class GROUP BY 1, 2
+), pairs AS (
+  SELECT x.class AS a, y.class AS b, x.n AS n_a, y.n AS n_b, coalesce(met.n_both, 0) AS n_both FROM single x JOIN single y ON x.class < y.class LEFT JOIN met ON met.a = x.class AND met.b = y.class
+)"""
+
+
+def customer_classes(spark, sf_dir) -> DataFrame:
+    """Customers with a dear order of a priority and status, as (id, class)."""
+    return table(spark, sf_dir, "orders").where("o_totalprice > 420000").select(F.col("o_custkey").alias("id"), F.concat_ws(" ", "o_orderpriority", "o_orderstatus").alias("class")).distinct()
+
+
+@BOOK.enter(f"WITH {CUSTOMERS} SELECT a, b, round(n_both / CAST(n_a + n_b - n_both AS DOUBLE), 6) AS jaccard FROM pairs WHERE n_a >= 5 AND n_b >= 5 AND n_both / CAST(n_a + n_b - n_both AS DOUBLE) <= 0.1")
+def mutex_jaccard(spark, sf_dir):
+    return discovery.exclusive(discovery.pair_counts(customer_classes(spark, sf_dir), "id"), 0.1).select("a", "b", r6(F.col("jaccard")).alias("jaccard"))
+
+
+@BOOK.enter(
+    f"""WITH {CUSTOMERS}, two AS (SELECT a, b FROM pairs WHERE n_a >= 5 AND n_b >= 5 AND n_both / CAST(n_a + n_b - n_both AS DOUBLE) <= 0.05), each AS (
+  SELECT a, b, id, count(*) AS n FROM two JOIN pos ON class IN (a, b) GROUP BY 1, 2, 3), rate AS (SELECT a, b, CAST(count(*) FILTER (n > 1) AS BIGINT) AS violations, count(*) FILTER (n > 1) / CAST(count(*) AS DOUBLE) AS rate FROM each GROUP BY 1, 2)
+SELECT a, b, violations, round(rate, 6) AS violation_rate, CASE WHEN rate <= 0.01 THEN 'A' WHEN rate <= 0.05 THEN 'B' WHEN rate <= 0.10 THEN 'C' ELSE 'D' END AS grade FROM rate"""
+)
+def mutex_grades(spark, sf_dir):
+    """Each two classes that exclude each other, with the customers that have both."""
+    two = discovery.exclusive(discovery.pair_counts(customer_classes(spark, sf_dir), "id"), 0.05)
+    rate = F.col("n_both") / (F.col("n_a") + F.col("n_b") - F.col("n_both"))
+    return two.select("a", "b", F.col("n_both").alias("violations"), r6(rate).alias("violation_rate"), discovery.grade_exclusive(rate).alias("grade"))
+
+
+@BOOK.enter(
+    f"""WITH RECURSIVE {CUSTOMERS}, two AS (SELECT a, b, n_a >= 5 AND n_b >= 5 AS enough, row_number() OVER (ORDER BY n_a >= 5 AND n_b >= 5 DESC, a, b) AS i FROM pairs WHERE n_both / CAST(n_a + n_b - n_both AS DOUBLE) <= 0.05), fit AS (
+  SELECT list(a || '|' || b) AS ok FROM two), last AS (SELECT coalesce(max(i), 0) AS n FROM two WHERE enough), merge AS (
+  SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[][]) AS groups
+  UNION ALL
+  SELECT merge.i + 1, CASE WHEN home = 0 THEN list_append(groups, [two.a, two.b]) ELSE list_transform(groups, lambda g, k: CASE WHEN k = home THEN list_sort(list_distinct(list_concat(g, [two.a, two.b]))) ELSE g END) END
+  FROM merge JOIN two ON two.i = merge.i + 1 AND two.enough CROSS JOIN fit CROSS JOIN LATERAL (SELECT coalesce(list_position(list_transform(groups, lambda g: (list_contains(g, two.a) OR list_contains(g, two.b))
+    AND len(list_filter(g, lambda m: m <> two.a AND NOT list_contains(ok, least(m, two.a) || '|' || greatest(m, two.a)))) = 0 AND len(list_filter(g, lambda m: m <> two.b AND NOT list_contains(ok, least(m, two.b) || '|' || greatest(m, two.b)))) = 0), true), 0) AS home)
+), final AS (SELECT groups FROM merge, last WHERE merge.i = last.n), g AS (SELECT unnest(groups) AS members, unnest(range(0, len(groups))) AS k FROM final), each AS (
+  SELECT k, id, count(*) AS n FROM g JOIN pos ON list_contains(members, class) GROUP BY 1, 2), rate AS (SELECT k, CAST(count(*) FILTER (n > 1) AS BIGINT) AS violations, count(*) FILTER (n > 1) / CAST(count(*) AS DOUBLE) AS rate FROM each GROUP BY 1)
+SELECT 'exclusive_' || k AS group_name, list_sort(members) AS members, violations, round(rate, 6) AS violation_rate, CASE WHEN rate <= 0.01 THEN 'A' WHEN rate <= 0.05 THEN 'B' WHEN rate <= 0.10 THEN 'C' ELSE 'D' END AS grade FROM g JOIN rate USING (k)"""
+)
+def exclusive_groups(spark, sf_dir):
+    """The greedy merge of excluding classes into groups, and each group's violations."""
+    found = discovery.exclusive_groups(customer_classes(spark, sf_dir), "id", 0.05)
+    return found.select("group_name", "members", "violations", r6(F.col("violation_rate")).alias("violation_rate"), "grade")
+
+
+LABELLED = """
+feat AS (
+  SELECT o_custkey AS id, avg(l_quantity) AS f1, avg(l_discount) * 100 AS f2, avg(l_tax) * 100 - 4 AS f3 FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1
+), pos AS (
+  SELECT DISTINCT o_custkey AS id, o_orderpriority AS class FROM orders WHERE o_totalprice > 300000
+), single AS (
+  SELECT class, count(*) AS n FROM pos GROUP BY class
+), met AS (
+  SELECT a.class AS a, b.class AS b, count(*) AS n_both FROM pos a JOIN pos b ON a.id = b.id AND a.class < b.class GROUP BY 1, 2
+), means AS (
+  SELECT class, avg(f1) AS f1, avg(f2) AS f2, avg(f3) AS f3 FROM pos JOIN feat USING (id) GROUP BY 1
+), pairs AS (
+  SELECT x.class AS a, y.class AS b, x.n AS n_a, y.n AS n_b, coalesce(met.n_both, 0) AS n_both FROM single x JOIN single y ON x.class < y.class LEFT JOIN met ON met.a = x.class AND met.b = y.class
+), two AS (
+  SELECT p.a, p.b, n_a, n_b, (n_a + n_b - 2 * n_both) / CAST(n_a + n_b - n_both AS DOUBLE) AS rate, (x.f1 * y.f1 + x.f2 * y.f2 + x.f3 * y.f3) / sqrt(x.f1 * x.f1 + x.f2 * x.f2 + x.f3 * x.f3) / sqrt(y.f1 * y.f1 + y.f2 * y.f2 + y.f3 * y.f3) AS sim
+  FROM pairs p JOIN means x ON x.class = p.a JOIN means y ON y.class = p.b
+)"""
+
+
+@BOOK.enter(f"""WITH {LABELLED} SELECT a, b, round(rate, 6) AS substitution_rate, round(sim, 6) AS similarity, CASE WHEN rate >= 0.8 AND sim >= 0.95 THEN 'A' WHEN rate >= 0.6 AND sim >= 0.9 THEN 'B' WHEN rate >= 0.4 AND sim >= 0.85 THEN 'C' ELSE 'D' END AS grade
+FROM two WHERE n_a >= 20 AND n_b >= 20 AND rate >= 0.15 AND sim >= 0.85""")
+def equivalence_grades(spark, sf_dir):
+    """Priorities that stand in for each other among customers with like items."""
+    orders = table(spark, sf_dir, "orders")
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_quantity", "l_discount", "l_tax")
+    features = orders.select("o_orderkey", F.col("o_custkey").alias("id")).join(items, "o_orderkey").groupBy("id").agg(F.avg("l_quantity").alias("f1"), (F.avg("l_discount") * 100).alias("f2"), (F.avg("l_tax") * 100 - 4).alias("f3"))
+    positives = orders.where("o_totalprice > 300000").select(F.col("o_custkey").alias("id"), F.col("o_orderpriority").alias("class")).distinct()
+    means = positives.join(features, "id").groupBy("class").agg(F.array(F.avg("f1"), F.avg("f2"), F.avg("f3")).alias("mean"))
+    found = discovery.equivalent(discovery.pair_counts(positives, "id"), means)
+    return found.select("a", "b", r6(F.col("substitution_rate")).alias("substitution_rate"), r6(F.col("similarity")).alias("similarity"), "grade")
+
+
 @BOOK.enter("SELECT vec_id, CASE WHEN list_max(embedding) >= 0.2 THEN CAST(list_position(embedding, list_max(embedding)) AS INT) ELSE 0 END AS action FROM embeddings")
 def most_probable_class(spark, sf_dir):
     """Number of the greatest component, the first among equals; 0 if it is too small."""
@@ -286,13 +385,18 @@ def stratified_folds(spark, sf_dir):
     return per.unionByName(whole)
 
 
-@BOOK.enter("SELECT CAST(count(DISTINCT o_custkey) AS BIGINT) AS groups, CAST(count(*) AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS parted FROM orders")
+@BOOK.enter(
+    """WITH g AS (SELECT o_custkey, max((o_orderstatus = 'F')::INT) AS f, max((o_orderpriority = '1-URGENT')::INT) AS urgent, count(*) AS n FROM orders GROUP BY 1)
+SELECT f, urgent, CAST(count(*) AS BIGINT) AS groups, CAST(sum(n) AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS parted, CAST(count(*) // 5 AS BIGINT) AS least, CAST((count(*) + 4) // 5 AS BIGINT) AS most FROM g GROUP BY 1, 2"""
+)
 def group_atomic_split(spark, sf_dir):
-    """Customers whose orders are in more than one fold (none), and what was split."""
+    """For each union of labels: groups, their rows, groups whose rows are in more than one fold (none), and the smallest and largest fold."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderstatus") == "F").cast("int").alias("f"), (F.col("o_orderpriority") == "1-URGENT").cast("int").alias("urgent"))
     folded = splitting.deal_groups(orders, "o_custkey", ["f", "urgent"], 5)
-    per = folded.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("fold").alias("folds"))
-    return per.agg(F.count(F.lit(1)).alias("groups"), F.sum("rows").alias("n_rows"), F.count_if(F.col("folds") > 1).alias("parted"))
+    per = folded.groupBy("o_custkey").agg(F.max("f").alias("f"), F.max("urgent").alias("urgent"), F.count(F.lit(1)).alias("rows"), F.countDistinct("fold").alias("folds"), F.min("fold").alias("fold"))
+    sizes = per.groupBy("f", "urgent", "fold").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("rows"), F.count_if(F.col("folds") > 1).alias("parted"))
+    least = F.when(F.count(F.lit(1)) == 5, F.min("n")).otherwise(0).cast("long")
+    return sizes.groupBy("f", "urgent").agg(F.sum("n").alias("groups"), F.sum("rows").alias("n_rows"), F.sum("parted").alias("parted"), least.alias("least"), F.max("n").alias("most"))
 
 
 @BOOK.enter(

@@ -38,12 +38,13 @@ CALLED = (
     SCORED
     + """, l AS (
   SELECT *, max(CASE WHEN held >= 0.3 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS latched,
+            max(CASE WHEN held >= 0.45 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS raised,
             max(CASE WHEN held >= 0.6 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS severe
   FROM d
 ), c AS (
-  SELECT *, CASE WHEN k < 20 THEN CASE WHEN latched = 1 THEN 'HOLD' ELSE 'GO' END
-                 WHEN k < 40 THEN CASE WHEN severe = 1 THEN 'ABORT' ELSE 'COMMIT' END
-                 WHEN severe = 1 THEN 'CRITICAL' WHEN latched = 1 THEN 'CAUTION' ELSE 'NOMINAL' END AS call
+  SELECT *, (k - 20) / 2.0 AS t, CASE WHEN k < 20 THEN CASE WHEN latched = 1 THEN 'HOLD' ELSE 'GO' END
+                 WHEN k < 34 THEN CASE WHEN latched = 1 THEN 'ABORT' WHEN k >= 33 THEN 'COMMIT' ELSE 'ENGINE_START' END
+                 WHEN severe = 1 THEN 'CRITICAL' WHEN raised = 1 THEN 'WARNING' WHEN latched = 1 THEN 'ADVISORY' ELSE 'NOMINAL' END AS call
   FROM l
 )"""
 )
@@ -65,9 +66,10 @@ def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def called(spark: SparkSession, sf_dir: str) -> DataFrame:
-    latched = scored(spark, sf_dir).withColumns({"latched": SERIES.latched(F.col("held") >= THRESHOLD), "severe": SERIES.latched(F.col("held") >= 2 * THRESHOLD)})
-    phase = F.when(F.col("k") < 20, "countdown").when(F.col("k") < 40, "ignition").otherwise("ascent")
-    return latched.withColumn("call", decisions.call(phase, F.col("latched"), F.col("severe")))
+    """A tick lasts half a second and the twentieth is ignition; three levels of one score stand for the latched modes."""
+    levels = {"latched": THRESHOLD, "raised": 1.5 * THRESHOLD, "severe": 2 * THRESHOLD}
+    latched = scored(spark, sf_dir).withColumns({name: SERIES.latched(F.col("held") >= level) for name, level in levels.items()})
+    return latched.withColumn("t", (F.col("k") - 20) / 2.0).withColumn("call", decisions.call(F.col("t"), F.col("latched"), F.col("severe"), F.col("raised")))
 
 
 @BOOK.enter(f"WITH {SCORED} SELECT user_id, min(CASE WHEN held >= 0.3 THEN k END) AS first_k, min(CASE WHEN held >= 0.3 THEN ts END) AS first_ts FROM d GROUP BY user_id")
@@ -110,21 +112,21 @@ def flat_fraction(spark, sf_dir):
     f"""WITH {BASE}, g AS (SELECT *, CASE WHEN k >= 5 AND k < 45 THEN v END AS x FROM s), a AS (
   SELECT user_id, k, count(x) OVER w AS n, avg(x) OVER w AS m, stddev_pop(x) OVER w AS sd, min(x) OVER w AS lo, max(x) OVER w AS hi
   FROM g WINDOW w AS (PARTITION BY user_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-SELECT user_id, k, CASE WHEN n >= 10 THEN round(m, 6) END AS mean, CASE WHEN n >= 10 THEN round(sd, 6) END AS std, CASE WHEN n >= 10 THEN lo END AS low, CASE WHEN n >= 10 THEN hi END AS high FROM a WHERE k % 5 = 0"""
+SELECT user_id, k, CASE WHEN n >= 10 THEN round(m, 6) END AS mean, CASE WHEN n >= 10 THEN round(sd, 6) END AS std, CASE WHEN n >= 10 THEN lo END AS low, CASE WHEN n >= 10 THEN hi END AS high FROM a"""
 )
 def windowed_stat_gated(spark, sf_dir):
     v, gate = F.col("v"), (F.col("k") >= 5) & (F.col("k") < 45)
     columns = {"mean": r6(SERIES.gated(F.avg, v, gate, 10)), "std": r6(SERIES.gated(F.stddev_pop, v, gate, 10)), "low": SERIES.gated(F.min, v, gate, 10), "high": SERIES.gated(F.max, v, gate, 10)}
-    return samples(spark, sf_dir).withColumns(columns).where("k % 5 = 0").select("user_id", "k", *columns)
+    return samples(spark, sf_dir).withColumns(columns).select("user_id", "k", *columns)
 
 
 @BOOK.enter(
     f"""WITH {BASE}, a AS (SELECT user_id, k, coalesce(min(CASE WHEN k >= 5 AND k < 45 AND h >= 100 THEN k END) OVER w, max(CASE WHEN k >= 5 AND k < 45 THEN k END) OVER w) - 5 AS crossing
-  FROM f WINDOW w AS (PARTITION BY user_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT user_id, k, crossing FROM a WHERE k % 5 = 0"""
+  FROM f WINDOW w AS (PARTITION BY user_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) SELECT user_id, k, crossing FROM a"""
 )
 def censored_crossing_time(spark, sf_dir):
     crossing = SERIES.first_crossing(F.col("h"), 100.0, F.col("k"), (F.col("k") >= 5) & (F.col("k") < 45)) - 5
-    return held(spark, sf_dir).withColumn("crossing", crossing).where("k % 5 = 0").select("user_id", "k", "crossing")
+    return held(spark, sf_dir).withColumn("crossing", crossing).select("user_id", "k", "crossing")
 
 
 @BOOK.enter(
@@ -140,11 +142,11 @@ def plateau_rise(spark, sf_dir):
     f"""WITH {BASE}, x AS (SELECT user_id, k, h, lag(h, 1) OVER (PARTITION BY user_id ORDER BY k) AS g FROM f), y AS (
   SELECT user_id, k, CASE WHEN k >= 3 AND h IS NOT NULL AND g IS NOT NULL THEN h END AS a, CASE WHEN k >= 3 AND h IS NOT NULL AND g IS NOT NULL THEN g END AS b FROM x), z AS (
   SELECT user_id, k, count(a) OVER w AS n, stddev_pop(a) OVER w AS sa, stddev_pop(b) OVER w AS sb, corr(a, b) OVER w AS c FROM y WINDOW w AS (PARTITION BY user_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
-SELECT user_id, k, CASE WHEN n >= 10 THEN CASE WHEN sa < 1e-9 OR sb < 1e-9 THEN 0.0 ELSE round(c, 6) END END AS correlation FROM z WHERE k % 5 = 0"""
+SELECT user_id, k, CASE WHEN n >= 10 THEN CASE WHEN sa < 1e-9 OR sb < 1e-9 THEN 0.0 ELSE round(c, 6) END END AS correlation FROM z"""
 )
 def windowed_corr(spark, sf_dir):
     both = held(spark, sf_dir).withColumn("g", F.lag("h", 1).over(SERIES.ordered))
-    return both.withColumn("correlation", r6(SERIES.correlation(F.col("h"), F.col("g"), F.col("k") >= 3, 10))).where("k % 5 = 0").select("user_id", "k", "correlation")
+    return both.withColumn("correlation", r6(SERIES.correlation(F.col("h"), F.col("g"), F.col("k") >= 3, 10))).select("user_id", "k", "correlation")
 
 
 @BOOK.enter(f"WITH {SCORED} SELECT user_id, k, round(held, 6) AS held FROM d")
@@ -152,9 +154,9 @@ def tick_debounce(spark, sf_dir):
     return scored(spark, sf_dir).select("user_id", "k", r6(F.col("held")).alias("held"))
 
 
-@BOOK.enter(f"WITH {CALLED} SELECT user_id, k, latched = 1 AS latched, severe = 1 AS severe, call FROM c")
+@BOOK.enter(f"WITH {CALLED} SELECT user_id, k, latched = 1 AS latched, raised = 1 AS raised, severe = 1 AS severe, call FROM c")
 def latch_calls(spark, sf_dir):
-    return called(spark, sf_dir).select("user_id", "k", "latched", "severe", "call")
+    return called(spark, sf_dir).select("user_id", "k", "latched", "raised", "severe", "call")
 
 
 @BOOK.enter(f"WITH {CALLED}, x AS (SELECT user_id, k, call, lag(call) OVER (PARTITION BY user_id ORDER BY k) AS before FROM c) SELECT user_id, k, call FROM x WHERE k = 0 OR before IS DISTINCT FROM call")
@@ -195,36 +197,22 @@ SELECT event_id, CASE WHEN sd >= 1e-6 THEN round((value - mean) / sd, 6) END AS
 def asof_reference_zscore(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", "event_type", "ts", "value")
     reference = events.groupBy("event_type", (F.date_trunc("day", "ts") + F.expr("INTERVAL 1 DAY")).cast("timestamp_ntz").alias("ref_ts")).agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"))
-    met = ts.backward_asof(events, reference, "ts", "ref_ts", ["mean", "sd"], ("event_type",))
+    met = ts.backward_asof(events, reference, "ts", "ref_ts", ["mean", "sd"], ("event_type",), bucket=lambda t: F.date_trunc("day", t))
     return met.select("event_id", F.when(F.col("sd") >= 1e-6, r6((F.col("value") - F.col("mean")) / F.col("sd"))).alias("z"))
 
 
 @BOOK.enter(
     f"""WITH {BASE}, x AS (SELECT user_id, k, h > 60 AND k >= 5 AS hot, h < 5 AND k < 60 AS cold FROM f), y AS (
   SELECT user_id, k, sum(hot::INT) OVER w AS n_hot, sum(cold::INT) OVER w AS n_cold FROM x WINDOW w AS (PARTITION BY user_id ORDER BY k ROWS BETWEEN 1 PRECEDING AND CURRENT ROW)), z AS (
-  SELECT user_id, 'over_60' AS "limit", min(CASE WHEN n_hot = 2 THEN k END) AS tripped_at FROM y GROUP BY user_id UNION ALL SELECT user_id, 'under_5', min(CASE WHEN n_cold = 2 THEN k END) FROM y GROUP BY user_id)
+  SELECT user_id, 0 AS limit_id, 'over_60' AS "limit", 'ABORT' AS call, min(CASE WHEN n_hot = 2 THEN k END) AS tripped_at FROM y GROUP BY user_id UNION ALL SELECT user_id, 1, 'under_5', 'HOLD', min(CASE WHEN n_cold = 2 THEN k END) FROM y GROUP BY user_id)
 SELECT * FROM z WHERE tripped_at IS NOT NULL"""
 )
 def redline_trips(spark, sf_dir):
     h, k = F.col("h"), F.col("k")
-    limits = [("over_60", (h > 60) & (k >= 5), F.lit("ABORT")), ("under_5", (h < 5) & (k < 60), F.lit("HOLD"))]
+    limits = [("over_60", (h > 60) & (k >= 5), "ABORT"), ("under_5", (h < 5) & (k < 60), "HOLD")]
     return decisions.limit_trips(held(spark, sf_dir), SERIES, limits, "k", persistence=2)
 
 
-@BOOK.enter(
-    f"""WITH {SCORED}, modes AS (SELECT user_id, k, event_type, held FROM d), r AS (SELECT *, row_number() OVER (PARTITION BY user_id, k // 5 ORDER BY (held >= 0.3) DESC, held DESC, event_type, k) AS place FROM modes)
-SELECT user_id, k // 5 AS slot, event_type, round(held, 6) AS held FROM r WHERE place = 1 AND held >= 0.3"""
-)
-def exclusive_argmax(spark, sf_dir):
-    """In each slot of five ticks only the strongest alert stands, ties to the first kind."""
-    from pyspark.sql import Window
-
-    slot = F.floor(F.col("k") / 5).cast("long")
-    rivals = Window.partitionBy("user_id", "slot").orderBy(F.desc(F.col("held") >= THRESHOLD), F.desc("held"), "event_type", "k")
-    ranked = scored(spark, sf_dir).withColumn("slot", slot).withColumn("place", F.row_number().over(rivals))
-    return ranked.where((F.col("place") == 1) & (F.col("held") >= THRESHOLD)).select("user_id", "slot", "event_type", r6(F.col("held")).alias("held"))
-
-
 @BOOK.enter(
     f"""WITH {SCORED}, a AS (SELECT user_id, min(CASE WHEN held >= 0.3 THEN k END) AS alert_at FROM d GROUP BY user_id), t AS (SELECT user_id, min(CASE WHEN value > 100 THEN k END) AS manifest FROM f GROUP BY user_id)
 SELECT count(*) AS n, round(avg((alert_at IS NOT NULL)::INT), 6) AS detection, round(avg(coalesce(alert_at <= 40, false)::INT), 6) AS in_time, round(quantile_cont(alert_at - manifest, 0.5), 6) AS median_latency FROM t JOIN a USING (user_id) WHERE manifest IS NOT NULL"""

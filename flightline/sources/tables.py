@@ -35,3 +35,24 @@ def write_scores(scores: DataFrame, path: str, partition: str = "mode") -> None:
 def write_telemetry(telemetry: DataFrame, path: str) -> None:
     """Samples of a run stand together and in order, so that filters on run and sample number skip row groups."""
     telemetry.repartition("run").sortWithinPartitions("run", "k").write.parquet(path)
+
+
+def read_scores(spark: SparkSession, path: str, modes: Iterable[str] | None = None) -> DataFrame:
+    """Scores as :func:`write_scores` left them, as doubles; ``modes`` prunes the folders that are read."""
+    scores = spark.read.parquet(path)
+    if modes is not None:
+        scores = scores.where(F.col("mode").isin(list(modes)))
+    return scores.withColumn("p", F.col("p").cast("double"))
+
+
+def write_universe(vectors: DataFrame, states: DataFrame, path: str) -> None:
+    """Distinct vectors with their places (``vector, x, y, z``), and the states that point at them (``run, tick, vector``).
+
+    Both stand in order, so the same tables make the same rows in the same place.
+    """
+    vectors.repartitionByRange("vector").sortWithinPartitions("vector").withColumns({c: F.col(c).cast("float") for c in "xyz"}).write.parquet(f"{path}/vectors")
+    states.repartitionByRange("run", "tick").sortWithinPartitions("run", "tick").write.parquet(f"{path}/states")
+
+
+def read_universe(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/vectors"), spark.read.parquet(f"{path}/states")

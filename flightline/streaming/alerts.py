@@ -38,8 +38,9 @@ def read_events(spark: SparkSession, sf_dir: str, files_per_trigger: int | None
     return reader.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def windowed_counts(stream: DataFrame, width: str = "1 day", late: str = "2 days") -> DataFrame:
-    window = F.window("ts", width)
+def windowed_counts(stream: DataFrame, width: str = "1 day", late: str = "2 days", slide: str | None = None) -> DataFrame:
+    """Counts and sums by event type in tumbling windows, or in sliding ones that begin every ``slide``."""
+    window = F.window("ts", width, slide)
     return stream.withWatermark("ts", late).groupBy(window.alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
 
 
@@ -66,16 +67,23 @@ def alerting(stream: DataFrame, threshold: float = 0.3, scale: float = 200.0) ->
     return stream.groupBy("user_id").applyInPandasWithState(step, "user_id long, first_k long, first_ts timestamp", "seen long, value double, last double, out boolean", "append", GroupStateTimeout.NoTimeout)
 
 
-def drained(result: DataFrame, folder: str, mode: str) -> DataFrame:
-    """Run the stream over what there is and return what it left: the last complete table, or all rows appended."""
+def drained(result: DataFrame, folder: str, mode: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Run the stream over what there is and return what it left: all rows appended, or in ``update`` mode the last of each of ``keys``.
+
+    Both keep only what the watermark leaves open as state; a batch that is run again overwrites its own rows.
+    """
     spark = result.sparkSession
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{folder}/rows" if mode == "complete" else f"{folder}/rows/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
 
     query = result.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).foreachBatch(keep).start()
     query.awaitTermination()
     store, rows = _in_store(spark, f"{folder}/rows")
     if not store.exists(rows):  # no batch ran
         return spark.createDataFrame([], result.schema)
-    return spark.read.schema(result.schema).parquet(f"{folder}/rows").select(*result.columns)
+    rows = spark.read.option("basePath", f"{folder}/rows").parquet(f"{folder}/rows/batch=*")
+    if mode == "update":
+        latest = F.max_by(F.struct(*[c for c in result.columns if c not in keys]), "batch").alias("_row")
+        return rows.groupBy(*keys).agg(latest).select(*keys, "_row.*").select(*result.columns)
+    return rows.select(*result.columns)

@@ -25,7 +25,7 @@ def test_query_equals_sql(spark, sf, tables, name):
     assert rows(df.columns, df.collect()) == rows(expected.columns, expected.fetchall())
 
 
-@pytest.mark.parametrize("name", ["iir_bandpass", "pca_embedding", "bootstrap_ci"])
+@pytest.mark.parametrize("name", ["pca_embedding", "bootstrap_ci"])
 def test_query_runs(spark, sf, name):
     assert registry.queries()[name](spark, sf).count() > 0
 

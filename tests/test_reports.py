@@ -32,7 +32,7 @@ def test_rule_sets_count_a_row_once(spark, rules):
 
 def test_explanations_and_json(spark):
     rows = spark.createDataFrame([(1, "f", 123.4, -2.0, 2), (1, "g", 0.01, 3.0, 1)], "run int, feature string, value double, z double, place int")
-    assert reports.explanation(rows, ["run"]).first()["text"] == "g = 0.0100 (z +3.0); f = 123 (z -2.0)"
+    assert reports.explanation(rows, ["run"]).first()["text"] == "g = 0.010 (z +3.0); f = 123 (z -2.0)"
     odd = spark.createDataFrame([(float("nan"), float("inf"), 1.23456)], "a double, b double, c double")
     assert json.loads(odd.select(reports.clean_json(["a", "b", "c"])).first()[0]) == {"a": None, "b": None, "c": 1.2346}
 
