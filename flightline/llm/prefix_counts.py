@@ -94,7 +94,7 @@ class PrefixCounter:
                 limit, left = left, inner_left
             else:
                 break
-        if len(self.may) > 2_000_000:  # forgetting costs time only
+        if len(self.may) > 500_000:  # forgetting costs time only
             self.may.clear()
         self.may[a, b] = answer
         return answer
@@ -300,4 +300,4 @@ def op8_prefix_counts(spark: SparkSession, sf_dir: str, limit: int = 1024) -> Da
     import public_tokenizers
 
     table = prefix_table(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
-    return answered(stored(table, "prefix-counts"), limit)
+    return answered(stored(table, "prefix-counts", **{"parquet.block.size": str(16 << 20)}), limit)

@@ -17,17 +17,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str, **options) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and return the table read back.
 
-    Lineage ends here, and a lost executor costs nothing that has been written.
+    Lineage ends here, and a lost executor costs nothing that has been written.  ``options`` are the writer's.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    df.write.option("compression", "zstd").options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
