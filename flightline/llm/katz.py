@@ -39,6 +39,10 @@ from .storage import new_path, stored
 START, END = np.uint64(0x5A17_0000_0000_0001), np.uint64(0xE2D0_0000_0000_0001)
 GOOD_TURING_TO = 5
 BLOCK_TOKENS = 1 << 20
+#: Tokens of a bucket, which a worker holds whole; the number of buckets follows the corpus.
+BUCKET_TOKENS = 3 << 19
+#: Files that the bucketed table may have before its rows are dealt out by bucket first.
+MOST_FILES = 200_000
 LOG10 = np.log(10)
 
 
@@ -123,6 +127,11 @@ def word_stats(words: DataFrame, buckets: int) -> WordStats:
     return WordStats(total["n"], total["v"], d, (left if left > 0 else 1.0) / mass, mass, texts, heavy)
 
 
+def bucket_count(spark: SparkSession, tokens: int) -> int:
+    """At least one bucket for each shuffle partition, and as many as keep a bucket near ``BUCKET_TOKENS``."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // BUCKET_TOKENS))
+
+
 def bucket_names(spark: SparkSession, buckets: int) -> np.ndarray:
     """For each bucket an integer that Spark's bucketing puts into a file of its own, so that buckets are tasks, evenly."""
     tried = spark.range(40 * buckets + 400).select(F.col("id").cast("int").alias("name"))
@@ -204,8 +213,8 @@ def unpack_block(raw: bytes) -> Block:
     return Block(np.unpackbits(flags, count=n_docs).astype(bool), begins, ids, missing, np.repeat(v, runs), (high.astype(np.int64) << 32) | low, take("<u4", n_pairs).astype(np.int64), take("<u2", n_places).astype(np.int64))
 
 
-def pack(docs: DataFrame, heavy: np.ndarray, names: np.ndarray) -> DataFrame:
-    """Store the packed pairs of ``(doc_id, text, held_out)`` as a table bucketed by ``bucket``: ``bucket, block, pairs``."""
+def pack(docs: DataFrame, heavy: np.ndarray, names: np.ndarray) -> str:
+    """Store the packed pairs of ``(doc_id, text, held_out)`` as a table bucketed by ``bucket``, ``bucket, block, pairs``, and return its name."""
 
     def scan(batches):
         parts: list[tuple] = []
@@ -250,11 +259,13 @@ def pack(docs: DataFrame, heavy: np.ndarray, names: np.ndarray) -> DataFrame:
     return _bucketed(rows, "pairs", len(names))
 
 
-def _bucketed(rows: DataFrame, name: str, partitions: int) -> DataFrame:
-    """Write as a table in the shared folder, bucketed by ``bucket`` in ``partitions`` files each."""
+def _bucketed(rows: DataFrame, name: str, partitions: int) -> str:
+    """Write as a table in the shared folder, bucketed by ``bucket``, and return its name."""
     table = f"katz_{name}_{uuid.uuid4().hex}"
+    if rows.rdd.getNumPartitions() * partitions > MOST_FILES:
+        rows = rows.repartition(partitions, "bucket")
     rows.write.format("parquet").option("compression", "zstd").option("path", new_path(rows.sparkSession, f"katz-{name}")).bucketBy(partitions, "bucket").saveAsTable(table)
-    return rows.sparkSession.table(table)
+    return table
 
 
 def training_pairs(blocks: list[Block], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -363,15 +374,19 @@ def _alpha(kept: np.ndarray, likely: np.ndarray, c: np.ndarray) -> tuple[np.ndar
     return np.log(np.maximum(1e-300, 1 - kept / total)) - np.log(np.maximum(1e-300, 1 - likely)), total
 
 
-def train(docs: DataFrame, buckets: int, least: int) -> tuple[Model, DataFrame]:
-    """The model of the rows that are not held out, and the packed pairs of all rows."""
-    names = bucket_names(docs.sparkSession, buckets)
+def train(docs: DataFrame, least: int, buckets: int | None = None) -> tuple[Model, str]:
+    """The model of the rows that are not held out, and the table with the packed pairs of all rows."""
+    spark = docs.sparkSession
     words = stored(word_counts(docs), "katz-words")
+    if buckets is None:
+        buckets = bucket_count(spark, words.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
+    names = bucket_names(spark, buckets)
     stats = word_stats(words, buckets)
     heavy_words = dict(stats.heavy)
     heavy_words[int(START.view(np.int64))] = stats.texts
     heavy = np.sort(np.array(list(heavy_words), np.int64).view(np.uint64))
-    pairs = pack(docs, heavy, names)
+    table = pack(docs, heavy, names)
+    pairs = spark.table(table)
     asked = stored(asks(pairs, heavy, least, buckets), "katz-asked")
     told = asked.where("part is null").groupBy("v", "r").agg(F.sum("n").alias("n")).collect()  # at most 6 rows for each of 4 * buckets + 2
     low = {r["r"]: r["n"] for r in told if r["v"] is None}
@@ -390,7 +405,7 @@ def train(docs: DataFrame, buckets: int, least: int) -> tuple[Model, DataFrame]:
     base = F.element_at(F.array(*[F.lit(int(x)) for x in names]), (F.shiftrightunsigned("word", 33) % buckets).cast("int") + 1)
     singles = words.where(~F.col("word").isin(list(stats.heavy))).select(base.alias("bucket"), F.col("word").alias("v"), "c", F.lit(None).cast("int").alias("part"), F.lit(None).cast("binary").alias("ps"))
     by_bucket = answered.where("v is null").select("bucket", F.lit(None).cast("long").alias("v"), F.lit(None).cast("long").alias("c"), "part", "ps")
-    return Model(stats, words, by_bucket.unionByName(singles), alpha, total_of, d, least, buckets), pairs
+    return Model(stats, words, by_bucket.unionByName(singles), alpha, total_of, d, least, buckets), table
 
 
 def score(pairs: DataFrame, model: Model) -> DataFrame:
@@ -490,16 +505,20 @@ def score(pairs: DataFrame, model: Model) -> DataFrame:
     return by_block.groupBy("block").applyInArrow(whole, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
-def katz_scores(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", folds: int = 5, held_out_fold: int = 1, least_pair: int = 2) -> DataFrame:
-    """Train on the rows outside the held-out fold and score every row; pairs counted below ``least_pair`` are cut off (1: none)."""
+def katz_scores(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", folds: int = 5, held_out_fold: int = 1, least_pair: int = 1) -> DataFrame:
+    """Train on the rows outside the held-out fold and score every row; pairs counted below ``least_pair`` are cut off (1: none).
+
+    The scores are stored, and the table of pairs leaves the catalogue again.
+    """
     spark = documents.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     own = documents.select(documents[id_column].cast("long").alias("doc_id"), documents[text_column].alias("text"))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == held_out_fold, F.lit(False))
-    docs = own.withColumn("held_out", held)
-    model, pairs = train(docs, buckets, least_pair)
-    return score(pairs, model).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.stats.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    model, table = train(own.withColumn("held_out", held), least_pair)
+    scores = score(spark.table(table), model).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.stats.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    out = stored(scores, "katz-scores")
+    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    return out
 
 
 def op5_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), least_pair=1)
+    return katz_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"))
