@@ -124,11 +124,12 @@ def tokens_of(texts: kernel.Texts) -> Tokens:
         none = np.zeros(0, np.int64)
         return Tokens(data, none, none, none, none)
     start, end = _strip(data, words.start, words.end)
+    inner = np.where(start < end, end, words.start)  # a word of marks alone is all tail
     end = np.maximum(start, end)
     closing = np.isin(data, np.frombuffer(b".!?;", np.uint8))
     running = np.concatenate([[0], np.cumsum(closing)])
     # The token closes a clause if a mark follows it inside its word, or a line ends before the next word.
-    closes = running[words.end] > running[end]
+    closes = running[words.end] > running[inner]
     lines = np.concatenate([[0], np.cumsum(data == 10)])
     last = np.append(words.start[1:], len(data))
     closes |= lines[last] > lines[words.end]
