@@ -296,7 +296,7 @@ def test_components_of_long_chains_and_stars(spark):
 
 
 # 5 ----------------------------------------------------------------------------------------------
-def katz_of(texts, held_out):
+def katz_of(texts, held_out, least):
     tokens = [[*words(t, True), None] for t in texts]
     one, two = Counter(), Counter()
     for t, out in zip(tokens, held_out, strict=True):
@@ -304,7 +304,7 @@ def katz_of(texts, held_out):
             one.update(t)
             two.update(zip(["<s>", *t[:-1]], t, strict=True))
     n = sum(one.values())
-    d1, d2 = katz.good_turing(dict(Counter(one.values()))), katz.good_turing(dict(Counter(two.values())), 2)
+    d1, d2 = katz.good_turing(dict(Counter(one.values()))), katz.good_turing(dict(Counter(two.values())), least)
     cut = lambda c, d: c * (d[c] if c <= 5 else 1.0)
     left = n - sum(cut(c, d1) for c in one.values())
     mass = n if left > 0 else n + 1
@@ -313,7 +313,7 @@ def katz_of(texts, held_out):
     history, kept, likely = Counter(), Counter(), Counter()
     for (v, w), c in two.items():
         history[v] += c
-        if c >= 2:
+        if c >= least:
             kept[v] += cut(c, d2)
             likely[v] += p(w)
     total = {v: c if c - kept[v] > 1e-9 * c else c + 1 for v, c in history.items()}
@@ -322,23 +322,26 @@ def katz_of(texts, held_out):
         assert kept[v] / total[v] + alpha[v] * (1 - likely[v]) == pytest.approx(1)
     out = []
     for t in tokens:
-        s = sum(math.log10(cut(two[v, w], d2) / total[v] if two.get((v, w), 0) >= 2 else alpha.get(v, 1.0) * p(w)) for v, w in zip(["<s>", *t[:-1]], t, strict=True))
+        s = sum(math.log10(cut(two[v, w], d2) / total[v] if two.get((v, w), 0) >= least else alpha.get(v, 1.0) * p(w)) for v, w in zip(["<s>", *t[:-1]], t, strict=True))
         out.append((len(t), sum(w in one for w in t), n, sum(math.log10((one[w] + 0.5) / (n + 0.5 * (len(one) + 1))) for w in t), s))
     return out
 
 
-def test_katz_scores_equal_brute_force(spark):
+@pytest.mark.parametrize(("least", "bucket_tokens"), [(1, 1 << 20), (2, 1 << 20), (1, 40)])
+def test_katz_scores_equal_brute_force(spark, monkeypatch, least, bucket_tokens):
+    monkeypatch.setattr(katz, "BUCKET_TOKENS", bucket_tokens)
     rng = np.random.default_rng(2)
     texts = [" ".join(rng.choice(["a", "b", "c", "d", "e", "f"], rng.integers(1, 40), p=[0.4, 0.3, 0.1, 0.1, 0.05, 0.05])) for _ in range(60)] + ODD_TEXTS
     docs = documents(spark, texts)
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     held = [i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows]
-    expected = sorted(((i, h, *x) for (i, _), h, x in zip(rows, held, katz_of([t for _, t in rows], held), strict=True)), key=repr)
-    got = collected(katz.katz_scores(docs), "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+    expected = sorted(((i, h, *x) for (i, _), h, x in zip(rows, held, katz_of([t for _, t in rows], held, least), strict=True)), key=repr)
+    got = collected(katz.katz_scores(docs, least_pair=least), "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
     expected = sorted(expected, key=lambda r: repr((r[0], r[2], round(r[6], 6))))
     got = sorted(got, key=lambda r: repr((r[0], r[2], round(r[6], 6))))
     for a, b in zip(expected, got, strict=True):
         assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:])
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("katz_")]
 
 
 def test_katz_without_rows_or_training(spark):
@@ -378,6 +381,72 @@ def test_toxicity_learns_from_the_training_fold_and_holds_on_the_other(spark, sf
     assert ((out.predicted == 1) & (out.toxic == 1)).sum() >= 0.6 * (out.toxic == 1).sum()
 
 
+def sums_of(text, lexicon):
+    """The grammar read off clause by clause, without a machine: per outcome the sum of its clauses' weights, and the clauses."""
+    strip = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+    fold = lambda w: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" or ("À" <= c <= "Þ" and c != "×") else c for c in w)
+    closed = {}
+    for symbol, listed in ((toxicity.THREAT, toxicity.THREATS), (toxicity.TARGET, toxicity.TARGETS), (toxicity.NEGATION, toxicity.NEGATIONS), (toxicity.REPORT, toxicity.REPORTS)):
+        closed |= dict.fromkeys(listed, symbol)
+    insults, stems = lexicon
+
+    def symbol_of(word):
+        own, weight = toxicity.OTHER, 0.0
+        raw = word.encode()
+        for stem, w in stems.items():
+            if raw.startswith(stem):
+                own, weight = toxicity.INSULT, max(weight, w)
+        if word in closed:
+            own, weight = closed[word], max(weight, 1.0)
+        elif word in insults:
+            own, weight = toxicity.INSULT, max(weight, insults[word])
+        return own, weight
+
+    clauses, current = [], []
+    for line in (text or "").split("\n"):
+        for raw in words(line):
+            inner = raw.lstrip(strip).rstrip(strip)
+            tail = raw[len(raw.rstrip(strip)) :]
+            current.append(symbol_of(fold(inner)))
+            if any(c in ".!?;" for c in (tail if inner else raw)):
+                clauses.append(current)
+                current = []
+        if current:
+            clauses.append(current)
+            current = []
+    out = [0.0] * toxicity.OUTCOMES
+    for clause in clauses:
+        reach, insult, threat, target, report, total = 0, 0, 0, 0, 0, 0.0
+        for symbol, weight in clause:
+            standing = 1 if reach else 2
+            if symbol == toxicity.INSULT:
+                insult, total = max(insult, standing), total + weight
+            elif symbol == toxicity.THREAT:
+                threat, total = max(threat, standing), total + weight
+            target |= symbol == toxicity.TARGET
+            report |= symbol == toxicity.REPORT
+            reach = toxicity.NEGATION_REACH if symbol == toxicity.NEGATION else max(0, reach - 1)
+        if insult or threat:
+            offence = 2 if insult and threat else 1 if threat else 0
+            out[((offence * 2 + (max(insult, threat) == 2)) * 2 + target) * 2 + report] += total
+    return [*out, float(len(clauses))]
+
+
+def test_scores_equal_a_reading_of_the_grammar_without_machines(spark, sf):
+    lexicon = {"idiot": 3.0, "scum": 2.0}, {b"moro": 2.5, b"stup": 1.5}
+    made = toxicity.Lexicon.of(*lexicon)
+    rng = np.random.default_rng(17)
+    pool = ["you", "are", "an", "idiot", "idiot.", "not", "scum!", "morons", "stupid;", "kill", "said", "he", "the", "DU", "Étrangler", "never", "...", "a.b", "(moron)", "ok\n", "\n"]
+    texts = [" ".join(rng.choice(pool, rng.integers(0, 60))) for _ in range(200)] + ODD_TEXTS + [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
+    got = np.concatenate([toxicity.outcome_sums(part, made) for part in kernel.text_slices(pa.array(texts, pa.string()))])
+    assert np.allclose(got, np.array([sums_of(t, lexicon) for t in texts]))
+    model = toxicity.Model(made, -1.0, np.linspace(-0.5, 1.0, toxicity.OUTCOMES + 1))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    score = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+    for k, t in enumerate(texts):
+        assert score[k] == pytest.approx(1 / (1 + math.exp(1.0 - float(np.log1p(sums_of(t, lexicon)) @ model.weights))))
+
+
 def test_toxicity_of_odd_tables(spark):
     docs = documents(spark)
     empty = spark.createDataFrame([], "doc_id long, quality int, toxic int")
