@@ -33,6 +33,7 @@ long.  An empty table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -49,8 +50,8 @@ WINDOW, ANCHOR = 13, 6
 SPREAD = WINDOW - ANCHOR + 1
 MOST_BITS = 1 << 28
 SHARD_WINDOWS, SHARD_REGIONS, BUSY_REGIONS = 1_500, 3_000, 3_000
-#: Regions that are put together or streamed at a time.
-CHUNK = 4_096
+#: Words that are put together, and bytes that are taken apart or streamed, at a time (or one region that is longer), and windows cut out at a time.
+CHUNK_WORDS, CHUNK_BYTES, CHUNK_WINDOWS = 100_000, 1 << 19, 1 << 15
 #: Tables of busy anchors and windows are broadcast up to this many rows.
 BROADCAST_ROWS = 1_000_000
 LAST_ID = np.iinfo(np.int64).max
@@ -109,6 +110,15 @@ def recurring_anchors(documents: DataFrame) -> DataFrame:
     return seen.groupBy("anchor").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("anchor")
 
 
+def _lots(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbours whose sizes add up to ``most`` or less, or a single one that is larger."""
+    ends, a = np.cumsum(sizes), 0
+    while a < len(ends):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, "right")))
+        yield a, b
+        a = b
+
+
 def _spelled(words: kernel.Words, pick: np.ndarray, size: np.ndarray) -> pa.Array:
     """Runs of ``size`` of the picked words, each word with a blank after it, as one binary value a run."""
     start, length = words.start[pick], (words.end - words.start)[pick]
@@ -154,13 +164,13 @@ def regions_of(documents: DataFrame, bitmap) -> DataFrame:
                 keep = held(cells, anchor[first].view(np.int64))
                 first, stop = first[keep], stop[keep]
                 bounds = words.firsts()
-                for k in range(0, len(first), CHUNK):
-                    low, size = at[first[k : k + CHUNK]], (stop - first)[k : k + CHUNK] + WINDOW - 1
+                for a, b in _lots(stop - first + WINDOW - 1, CHUNK_WORDS):
+                    low, size = at[first[a:b]], (stop - first)[a:b] + WINDOW - 1
                     inside = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
                     spelled = _spelled(words, inside, size)
                     data, offsets = _data(spelled)
                     doc = words.doc[low]
-                    columns = [pa.array(anchor[first[k : k + CHUNK]].view(np.int64)), pa.array(kernel.span_hashes(data, offsets[:-1], offsets[1:]).view(np.int64)), spelled.cast(pa.string()), pa.array(mine[doc]), pa.array(own[doc]), pa.array((low - bounds[doc]).astype(np.int32))]
+                    columns = [pa.array(anchor[first[a:b]].view(np.int64)), pa.array(kernel.span_hashes(data, offsets[:-1], offsets[1:]).view(np.int64)), spelled.cast(pa.string()), pa.array(mine[doc]), pa.array(own[doc]), pa.array((low - bounds[doc]).astype(np.int32))]
                     yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return documents.mapInArrow(scan, "anchor long, region long, words string, doc_id long, text_hash long, at int")
@@ -172,21 +182,24 @@ def windows_of(regions: DataFrame) -> DataFrame:
 
     def scan(batches):
         for whole in batches:
-            for k in range(0, whole.num_rows, CHUNK):
-                batch = whole.slice(k, CHUNK)
+            _, ends = _data(whole.column("words"))
+            for first, last in _lots(np.diff(ends), CHUNK_BYTES):
+                batch = whole.slice(first, last - first)
                 data, offsets = _data(batch.column("words"))
                 blank = np.flatnonzero(data == 32)
                 start = np.append(0, blank[:-1] + 1)
                 owner = np.searchsorted(offsets, start, "right") - 1
-                at = np.flatnonzero(owner[: len(owner) - WINDOW + 1] == owner[WINDOW - 1 :]) if len(owner) >= WINDOW else np.zeros(0, np.int64)
-                low, high = start[at], blank[at + WINDOW - 1] + 1
-                size = high - low
-                ends = np.cumsum(size)
-                copied = data[np.repeat(low - ends + size, size) + np.arange(int(size.sum()))]
-                words = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.append(0, ends).astype(np.int32)), pa.py_buffer(copied)]).cast(pa.string())
-                place = at - np.searchsorted(owner, owner[at])
-                take = pa.array(owner[at])
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("anchor", "region")), pa.array(place.astype(np.int32)), words, *(batch.column(c).take(take) for c in ("least", "low", "high"))], schema=schema)
+                every = np.flatnonzero(owner[: len(owner) - WINDOW + 1] == owner[WINDOW - 1 :]) if len(owner) >= WINDOW else np.zeros(0, np.int64)
+                begins = np.searchsorted(owner, np.arange(batch.num_rows))
+                for k in range(0, len(every), CHUNK_WINDOWS):
+                    at = every[k : k + CHUNK_WINDOWS]
+                    low, high = start[at], blank[at + WINDOW - 1] + 1
+                    size = high - low
+                    stop = np.cumsum(size)
+                    copied = data[np.repeat(low - stop + size, size) + np.arange(int(size.sum()))]
+                    words = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.append(0, stop).astype(np.int32)), pa.py_buffer(copied)]).cast(pa.string())
+                    place, take = at - begins[owner[at]], pa.array(owner[at])
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c).take(take) for c in ("anchor", "region")), pa.array(place.astype(np.int32)), words, *(batch.column(c).take(take) for c in ("least", "low", "high"))], schema=schema)
 
     return regions.select("anchor", "region", "words", "least", "low", "high").mapInArrow(scan, "anchor long, region long, place int, words string, least long, low long, high long")
 
@@ -289,8 +302,10 @@ def occurrences(regions: DataFrame, passages: DataFrame) -> DataFrame:
                     if shard is None:
                         table = pa.Table.from_batches(compiled).combine_chunks()
                         shard = Shard(table.column("words").chunk(0), kernel.ints(table.column("least").chunk(0)))
-                    for k in range(split, part.num_rows, CHUNK):
-                        yield stream(part.slice(k, min(CHUNK, part.num_rows - k)))
+                    regions_ = part.slice(split)
+                    _, ends = _data(regions_.column("words"))
+                    for first, last in _lots(np.diff(ends), CHUNK_BYTES):
+                        yield stream(regions_.slice(first, last - first))
 
     return rows.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(search, "anchor long, region long, places array<int>, least array<long>")
 
