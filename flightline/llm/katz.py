@@ -40,7 +40,7 @@ START, END = np.uint64(0x5A17_0000_0000_0001), np.uint64(0xE2D0_0000_0000_0001)
 GOOD_TURING_TO = 5
 BLOCK_TOKENS = 1 << 20
 #: Tokens of a bucket, which a worker holds whole; the number of buckets follows the corpus.
-BUCKET_TOKENS = 3 << 19
+BUCKET_TOKENS = 9 << 18
 #: Files that the bucketed table may have before its rows are dealt out by bucket first.
 MOST_FILES = 200_000
 LOG10 = np.log(10)
