@@ -274,48 +274,62 @@ def probes_of(fps: np.ndarray, order: np.ndarray, counts: np.ndarray, tables: np
     return np.concatenate(keys), np.concatenate(owners), np.concatenate(asks)
 
 
-def spanning(distance: np.ndarray, a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """Indices of the edges of a least spanning forest, ties by ``a`` and ``b`` (each component takes its least edge out, and again)."""
-    order = np.lexsort((b, a, distance))
-    a, b = a[order], b[order]
-    label, chosen, alive = np.arange(n), [], np.arange(len(order))
+def _forest(fps: np.ndarray, queries: np.ndarray, members: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Least spanning forest, by distance, of the pairs (query, member) within ``reach`` in one bucket: indices into ``fps``.
+
+    Rows of one fingerprint are one node.  In each round every component takes its nearest pair to
+    another one, ties by the nodes' numbers, so a round halves the components at least and holds one
+    block of distances at a time, however many pairs are near.
+    """
+    far = np.int16(fps.shape[1] * 64 + 1)
+    starts = [(a, b) for a in range(0, len(queries), BLOCK) for b in range(0, len(members), BLOCK)]
+
+    def distances(a: int, b: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        q, m = queries[a : a + BLOCK], members[b : b + BLOCK]
+        d = np.bitwise_count(fps[q, 0][:, None] ^ fps[m, 0][None, :]).astype(np.int16)
+        for w in range(1, fps.shape[1]):
+            d += np.bitwise_count(fps[q, w][:, None] ^ fps[m, w][None, :])
+        d[(d > reach) | (d == 0)] = far
+        return q, m, d
+
+    none = np.zeros(0, np.int64)
+    live = [s for s in starts if (distances(*s)[2] < far).any()]
+    if not live:
+        return none, none
+    known, first, node = np.unique(nodes_of(fps), return_index=True, return_inverse=True)
+    n = np.int64(len(known))
+    label, left, right = np.arange(n), [], []
+    nothing = np.iinfo(np.int64).max
     while True:
-        x, y = label[a[alive]], label[b[alive]]
-        across = x != y
-        alive, x, y = alive[across], x[across], y[across]
-        if not len(alive):
+        best = np.full(n, nothing)  # of each component: distance, lesser node, greater node as one number
+        for start in live:
+            q, m, d = distances(*start)
+            x, y = node[q], node[m]
+            if left:
+                d[label[x][:, None] == label[y][None, :]] = far
+            for near, i, j in ((d.min(axis=1), x, y[d.argmin(axis=1)]), (d.min(axis=0), x[d.argmin(axis=0)], y)):
+                ok = near < far
+                i, j = i[ok], j[ok]
+                key = (near[ok].astype(np.int64) * n + np.minimum(i, j)) * n + np.maximum(i, j)
+                np.minimum.at(best, label[i], key)
+                np.minimum.at(best, label[j], key)
+        own = np.flatnonzero(best < nothing)
+        if not len(own):
             break
-        best = np.full(n, len(order))
-        np.minimum.at(best, x, alive)
-        np.minimum.at(best, y, alive)
-        own = np.flatnonzero(best < len(order))
-        chosen.append(best[own])
-        parent = np.arange(n)
-        la, lb = label[a[best[own]]], label[b[best[own]]]
-        parent[own] = np.where(la == own, lb, la)
-        both = own[(parent[parent[own]] == own) & (own < parent[own])]
-        parent[both] = both
-        while (parent != parent[parent]).any():
-            parent = parent[parent]
-        label = parent[label]
-    return order[np.unique(np.concatenate(chosen))] if chosen else np.zeros(0, np.int64)
-
-
-def _forest(fps: np.ndarray, queries: np.ndarray, members: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Least spanning forest of the pairs within ``reach`` in one bucket: distance and indices into ``fps``."""
-    distance, left, right = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for a in range(0, len(queries), BLOCK):
-        q = queries[a : a + BLOCK]
-        for b in range(0, len(members), BLOCK):
-            m = members[b : b + BLOCK]
-            d = sum(np.bitwise_count(fps[q, w][:, None] ^ fps[m, w][None, :]).astype(np.int16) for w in range(fps.shape[1]))
-            i, j = np.nonzero((d <= reach) & (d > 0))
-            if len(i):
-                distance, left, right = np.append(distance, d[i, j]), np.append(left, q[i]), np.append(right, m[j])
-                if len(distance) > 1:
-                    keep = spanning(distance, left, right, len(fps))
-                    distance, left, right = distance[keep], left[keep], right[keep]
-    return distance, left, right
+        edges = np.unique(best[own])
+        a, b = edges // n % n, edges % n
+        left.append(a)
+        right.append(b)
+        # Components follow their pairs; where two took the same one, the lesser stays.
+        to = np.arange(n)
+        ends = np.stack([label[best[own] // n % n], label[best[own] % n]])
+        to[own] = np.where(ends[0] == own, ends[1], ends[0])
+        both = own[(to[to[own]] == own) & (own < to[own])]
+        to[both] = both
+        while (to != to[to]).any():
+            to = to[to]
+        label = to[label]
+    return first[np.concatenate(left)], first[np.concatenate(right)]
 
 
 def links(distinct: DataFrame, scheme: Scheme = NARROW) -> DataFrame:
@@ -357,7 +371,7 @@ def links(distinct: DataFrame, scheme: Scheme = NARROW) -> DataFrame:
                 if b - a > 1:
                     ask = asks[a:b]
                     if ask.any() and not ask.all():
-                        _, x, y = _forest(fps[a:b], np.flatnonzero(ask), np.flatnonzero(~ask), scheme.farthest)
+                        x, y = _forest(fps[a:b], np.flatnonzero(ask), np.flatnonzero(~ask), scheme.farthest)
                         left.append(a + x)
                         right.append(a + y)
             x, y = nodes_of(fps[np.concatenate(left)]), nodes_of(fps[np.concatenate(right)])

@@ -234,27 +234,34 @@ def test_wide_fingerprints_find_texts_that_share_their_shingles(spark):
     assert all(root[i] == root[j] for i, j in found.items())  # nothing is linked that exact similarity does not link
 
 
-def test_least_spanning_forests():
+def test_least_spanning_forests(monkeypatch):
+    monkeypatch.setattr(simhash, "BLOCK", 7)
     rng = np.random.default_rng(2)
-    for _ in range(50):
-        n, m = int(rng.integers(2, 30)), int(rng.integers(1, 120))
-        a, b, d = rng.integers(0, n, m), rng.integers(0, n, m), rng.integers(1, 9, m)
-        a, b, d = a[a != b], b[a != b], d[a != b]
-        root = list(range(n))
+    for _ in range(60):
+        base = rng.integers(0, 2**63, (int(rng.integers(1, 4)), 2), dtype=np.uint64)
+        fps = base[rng.integers(0, len(base), int(rng.integers(2, 40)))].copy()
+        for row in fps:
+            for bit in rng.integers(0, 128, rng.integers(0, 9)):
+                row[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+        ask = rng.random(len(fps)) < 0.6
+        queries, members = np.flatnonzero(ask), np.flatnonzero(~ask)
+        name = {i: tuple(fps[i].tolist()) for i in range(len(fps))}
+        d = lambda i, j: int(np.bitwise_count(fps[i] ^ fps[j]).sum())  # noqa: B023, E731
+        edges = sorted({(d(i, j), *sorted((name[i], name[j]))) for i in queries for j in members if 0 < d(i, j) <= 12})
+        root = {v: v for v in name.values()}
 
         def find(x):
-            while root[x] != x:
-                x = root[x]
+            while root[x] != x:  # noqa: B023
+                x = root[x]  # noqa: B023
             return x
 
-        total = 0
-        for k in np.argsort(d, kind="stable"):
-            x, y = find(a[k]), find(b[k])
-            if x != y:
-                root[x] = y
-                total += d[k]
-        keep = simhash.spanning(d, a, b, n)
-        assert d[keep].sum() == total and len(keep) == n - len({find(x) for x in range(n)})
+        total = []
+        for weight, x, y in edges:
+            if find(x) != find(y):
+                root[find(x)] = find(y)
+                total.append(weight)
+        x, y = simhash._forest(fps, queries, members, 12)
+        assert sorted(d(i, j) for i, j in zip(x, y, strict=True)) == sorted(total)
 
 
 SCHEMES = [simhash.NARROW, simhash.Scheme(large=0), simhash.Scheme(bits=128, partitions=16, radius=15, most=1), simhash.Scheme(partitions=8, radius=5, most=2, large=1)]
