@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bloom_cascade, decontaminate, divergence, katz, packing, prefix_counts, repeats, simhash, toxicity, warc
+from . import bloom_cascade, decontaminate, divergence, fill_middle, filter_audit, katz, minmax, packing, prefix_counts, repeats, simhash, toxicity, warc
 from .storage import bounded_batches
 
 
@@ -33,6 +33,9 @@ def queries() -> dict[str, Query]:
         "op8_prefix_counts": prefix_counts.op8_prefix_counts,
         "op9_phrase_automata": repeats.op9_phrase_automata,
         "op10_configuration_packing": packing.op10_configuration_packing,
+        "op11_marker_injection": fill_middle.op11_marker_injection,
+        "op12_filter_interactions": filter_audit.op12_filter_interactions,
+        "op13_minmax_hashing": minmax.op13_minmax_hashing,
     }
     return {name: _bounded(query) for name, query in every.items()}
 
@@ -44,4 +47,7 @@ def oracle_sql() -> dict[str, str]:
         "op4_warc_revisits": warc.ORACLE_SQL,
         "op6_bloom_cascade": bloom_cascade.ORACLE_SQL,
         "op9_phrase_automata": repeats.ORACLE_SQL,
+        "op11_marker_injection": fill_middle.ORACLE_SQL,
+        "op12_filter_interactions": filter_audit.ORACLE_SQL,
+        "op13_minmax_hashing": minmax.ORACLE_SQL,
     }
