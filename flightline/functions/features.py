@@ -2,20 +2,27 @@
 
 A telemetry table has a row for each run and sample: ``run, k, t`` and one column for each channel
 (NULL: lost). A feature is an aggregate of a derived series over the samples so far inside a window
-``[start, stop)``; it is NULL until the window has enough samples. All features share one window
-specification, so a run is sorted once. Derived series are computed first, in one projection.
+``[start, stop)``; it is NULL until the window has enough samples.
+
+Some hundreds of windows over one series are one pass: :class:`Running` goes through a run's samples in
+blocks of NumPy arrays and carries running summaries (counts, sums, extrema, last values), the filters'
+states and the last twenty seconds. Batches of a table and micro-batches of a stream go on from the same
+carry, so both give the same rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass, replace
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, replace
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flightline.functions import filters
-from flightline.functions.timeseries import Series, missing_as_null
+from flightline.functions.timeseries import Series
 
 RUN = Series(("run",), ("k",))
 
@@ -50,17 +57,19 @@ class Feature:
 
 @dataclass(frozen=True)
 class Catalogue:
-    """Channels, filters ``(name, channel, low, high)`` in Hz (high None: high-pass), derived series in order of dependence, and features.
+    """Channels, reference columns, filters ``(name, channel, low, high)`` in Hz (high None: high-pass), derived series, and features.
 
-    ``rate`` is samples a second, ``origin`` the time of sample 0.  Derived series are built from the rate, as
-    trailing windows are a number of samples.
+    ``rate`` is samples a second, ``origin`` the time of sample 0.  A derived series is a function of the
+    :class:`Block` that it is computed in; none reaches back more than ``reach`` seconds.
     """
 
     channels: tuple[Channel, ...]
     windows: dict[str, tuple[float, float]]
-    derived: dict[str, Callable[[float], Column]]
+    derived: dict[str, Callable[[Block], np.ndarray]]
     engineered: tuple[Feature, ...] = ()
     filters: tuple[tuple[str, str, float, float | None], ...] = ()
+    references: tuple[str, ...] = ()
+    reach: float = 21.5
     rate: float = 50.0
     origin: float = -60.0
     last: float = 150.0
@@ -86,66 +95,350 @@ class Catalogue:
         return replace(self, filters=(), derived=derived, engineered=tuple(f for f in self.engineered if not any(b in f.series for b in behind)))
 
 
-def trailing(series: str, seconds: float) -> Callable[[float], Column]:
-    return lambda rate: RUN.trailing_mean(F.col(series), max(1, round(seconds * rate)))
+class Block:
+    """A stretch of one run's samples with those before it that its windows reach back to, as NumPy series (NaN: missing).
+
+    Derived series are computed when they are asked for, once.
+    """
+
+    def __init__(self, catalogue: Catalogue, k: np.ndarray, series: dict[str, np.ndarray], plateaus: dict[str, float]):
+        self.catalogue, self.k, self.made, self.plateaus = catalogue, k, series, plateaus
+
+    def __getitem__(self, name: str) -> np.ndarray:
+        if name not in self.made:
+            with np.errstate(divide="ignore", invalid="ignore"):
+                self.made[name] = self.catalogue.derived[name](self)
+        return self.made[name]
+
+    def _mean(self, v: np.ndarray, seconds: float, ahead: int = 0) -> np.ndarray:
+        """Mean of the present ones of the last samples (``ahead`` 1: without the last one), of fewer at the beginning."""
+        n, w = len(v), self.catalogue.samples(seconds)
+        there = ~np.isnan(v)
+        total, count = np.zeros(n + 1), np.zeros(n + 1)
+        np.cumsum(np.where(there, v, 0.0), out=total[1:])
+        np.cumsum(there, out=count[1:])
+        high = np.arange(n) + 1 - ahead
+        low = np.maximum(0, high - w)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return (total[high] - total[low]) / (count[high] - count[low])
+
+    def trailing(self, name: str, seconds: float) -> np.ndarray:
+        return self._mean(self[name], seconds)
+
+    def trailing_before(self, name: str, seconds: float) -> np.ndarray:
+        return self._mean(self[name], seconds, 1)
+
+    def trailing_rms(self, name: str, seconds: float) -> np.ndarray:
+        return np.sqrt(np.maximum(0.0, self._mean(self[name] ** 2, seconds)))
 
+    def delayed(self, name: str, seconds: float, fill: float | None = None) -> np.ndarray:
+        """The samples so long ago; before the first one ``fill``, or else the first."""
+        v, n = self[name], self.catalogue.samples(seconds)
+        head = np.full(min(n, len(v)), v[0] if fill is None else fill)
+        return np.concatenate([head, v[: max(0, len(v) - n)]])
 
-def trailing_rms(series: str, seconds: float) -> Callable[[float], Column]:
-    return lambda rate: RUN.trailing_rms(F.col(series), max(1, round(seconds * rate)))
+    def unchanged(self, name: str) -> np.ndarray:
+        v = self[name]
+        return np.concatenate([[0.0], (v[1:] == v[:-1]).astype(np.float64)])
 
+    def plateau(self, name: str) -> np.ndarray:
+        """Mean over the plateau of a channel, known once it is over."""
+        stop = round((PLATEAU[1] - self.catalogue.origin) * self.catalogue.rate)
+        return np.where(self.k >= stop - 1, self.plateaus[name], np.nan)
 
-def delayed(series: str, seconds: float, rate: float, fill: Column | None = None) -> Column:
-    return RUN.lagged(F.col(series), max(1, round(seconds * rate)), fill)
 
+def ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.where(b == 0, np.nan, a / b)
 
-def with_reference(telemetry: DataFrame, profile: DataFrame) -> DataFrame:
-    """Join the reference curves (``k`` and one column each; a fixed number of samples, so it may be broadcast)."""
-    return telemetry.join(F.broadcast(profile), "k", "left")
 
+@dataclass
+class Carry:
+    """What is known of a run up to a sample: enough to go on with it, however long it is.
+
+    ``tail`` are the last samples (as far back as any window reaches) of the filled channels, the
+    references, the time and the filters' outputs; ``first`` the first value of each channel.  The running
+    summaries are vectors in the order of :class:`Summaries`.
+    """
+
+    held: np.ndarray
+    first: np.ndarray
+    states: list[np.ndarray]
+    tail: np.ndarray
+    tail_k: np.ndarray
+    plateau: np.ndarray
+    add: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    last: np.ndarray
 
-def expression(f: Feature, c: Catalogue) -> Column:
-    v, k, frame = F.col(f.series), F.col("k"), RUN.so_far()
-    gate = (k >= c.k_of(f.start)) & (k < c.k_of(f.stop))
-    if f.how == "now":
-        return F.when(F.col("t") >= f.start, v)
-    if f.how == "crossing":
-        return RUN.first_crossing(v, f.level, F.col("t"), gate) - f.start
-    if f.how == "correlation":
-        return RUN.correlation(v, F.col(f.other), gate, c.samples(f.least))
-    if f.how == "last10":
-        end, n = c.k_of(f.stop), c.samples(10.0)
-        sliding = F.when((k <= end) & (F.col("t") >= f.start), F.avg(v).over(RUN.ordered.rowsBetween(-n, -1)))
-        return F.last(sliding, ignorenulls=True).over(frame)
-    if f.how == "dip":
-        before = RUN.gated(F.avg, v, (k >= c.k_of(f.start)) & (k < c.k_of(f.start + 2)), c.samples(1.0))
-        after = RUN.gated(F.min, v, (k >= c.k_of(f.start + 3)) & (k < c.k_of(f.start + 13)), c.samples(0.5))
-        return before - after
-    enough = F.count(F.when(gate, F.lit(1))).over(frame) >= c.samples(f.least)
-    inside = F.when(gate, v)
-    value = {
-        "mean": lambda: F.avg(inside).over(frame), "std": lambda: F.stddev_pop(inside).over(frame), "min": lambda: F.min(inside).over(frame), "max": lambda: F.max(inside).over(frame),
-        "rms": lambda: F.sqrt(F.avg(inside * inside).over(frame)), "above": lambda: F.count_if(gate & (v > f.level)).over(frame).cast("double"),
-        "below": lambda: F.count_if(gate & (v < f.level)).over(frame).cast("double"), "last": lambda: F.last(inside, ignorenulls=True).over(frame),
-    }[f.how]()
-    return F.when(enough, value)
 
+@dataclass
+class Summaries:
+    """The running summaries that a catalogue's features need: sums, least, greatest and last values over the gated samples so far.
+
+    Each is ``(what, series, other series or level, first sample, stop)``; features that need the same one
+    share it.
+    """
 
-def feature_cube(telemetry: DataFrame, catalogue: Catalogue, tick: int = 25) -> DataFrame:
+    add: list[tuple] = field(default_factory=list)
+    low: list[tuple] = field(default_factory=list)
+    high: list[tuple] = field(default_factory=list)
+    last: list[tuple] = field(default_factory=list)
+
+    def place(self, kind: str, key: tuple) -> int:
+        keys = getattr(self, kind)
+        if key not in keys:
+            keys.append(key)
+        return keys.index(key)
+
+
+class Running:
+    """Features of runs as their samples come: one pass over NumPy blocks, each going on from the one before."""
+
+    def __init__(self, catalogue: Catalogue, tick: int = 25):
+        self.catalogue, self.tick = catalogue, tick
+        self.channels = [c.name for c in catalogue.channels]
+        self.bands = [(name, self.channels.index(channel), filters.butterworth(catalogue.rate, low, high)) for name, channel, low, high in catalogue.filters]
+        self.kept = [*self.channels, *catalogue.references, "t", *(name for name, *_ in self.bands)]
+        self.reach = catalogue.samples(catalogue.reach) + 2
+        self.summaries = Summaries()
+        self.finish = [self._plan(f) for f in catalogue.features()]
+        self.names = [f.name for f in catalogue.features()]
+
+    def start(self) -> Carry:
+        s, n = self.summaries, len(self.channels)
+        return Carry(
+            np.full(n, np.nan), np.full(n, np.nan), [filters.at_rest(sections) for _, _, sections in self.bands], np.zeros((0, len(self.kept))), np.zeros(0, np.int64), np.zeros((len(PLATEAU_CHANNELS), 2)),
+            np.zeros(len(s.add)), np.full(len(s.low), np.inf), np.full(len(s.high), -np.inf), np.full(len(s.last), np.nan),
+        )
+
+    def _plan(self, f: Feature):
+        """A function of the summaries at ticks (and the block there) that gives the feature, NaN where it has no value."""
+        c, s = self.catalogue, self.summaries
+        gate = (c.k_of(f.start), c.k_of(f.stop))
+
+        def sums(what: str, series: str, other=None, own=gate) -> int:
+            return s.place("add", (what, series, other, *own))
+
+        if f.how == "now":
+            return lambda at, block, rows: np.where(block["t"][rows] >= f.start, block[f.series][rows], np.nan)
+        if f.how == "crossing":
+            crossed, end = s.place("low", ("cross", f.series, f.level, *gate)), s.place("high", ("time", "t", None, *gate))
+            return lambda at, block, rows: np.where(np.isinf(at[1][:, crossed]), np.where(np.isinf(at[2][:, end]), np.nan, at[2][:, end]), at[1][:, crossed]) - f.start
+        if f.how == "correlation":
+            n, x, y, xx, yy, xy = (sums(what, f.series, f.other) for what in ("both", "both_x", "both_y", "both_xx", "both_yy", "both_xy"))
+
+            def correlation(at, block, rows):
+                count = at[0][:, n]
+                mx, my = at[0][:, x] / count, at[0][:, y] / count
+                sx, sy = (np.sqrt(np.maximum(0.0, at[0][:, q] / count - m * m)) for q, m in ((xx, mx), (yy, my)))
+                value = np.where((sx < 1e-9) | (sy < 1e-9), 0.0, (at[0][:, xy] / count - mx * my) / (sx * sy))
+                return np.where(count >= c.samples(f.least), value, np.nan)
+
+            return correlation
+        if f.how == "last10":
+            place = s.place("last", ("last10", f.series, f.start, 0, c.k_of(f.stop) + 1))
+            return lambda at, block, rows: at[3][:, place]
+        if f.how == "dip":
+            before, after = (c.k_of(f.start), c.k_of(f.start + 2)), (c.k_of(f.start + 3), c.k_of(f.start + 13))
+            n, count, total = (sums(what, f.series, own=before) for what in ("rows", "count", "sum"))
+            m, low = sums("rows", f.series, own=after), s.place("low", ("min", f.series, None, *after))
+
+            def dip(at, block, rows):
+                value = at[0][:, total] / at[0][:, count] - np.where(np.isinf(at[1][:, low]), np.nan, at[1][:, low]) + self._shift(block, f.series)
+                return np.where((at[0][:, n] >= c.samples(1.0)) & (at[0][:, m] >= c.samples(0.5)), value, np.nan)
+
+            return dip
+        rows_seen = sums("rows", f.series)
+        if f.how in ("mean", "std"):
+            count, total = sums("count", f.series), sums("sum", f.series)
+            square = sums("square", f.series) if f.how == "std" else None
+
+            def value(at, block):
+                mean = at[0][:, total] / at[0][:, count]
+                return mean + self._shift(block, f.series) if square is None else np.sqrt(np.maximum(0.0, at[0][:, square] / at[0][:, count] - mean * mean))
+        elif f.how == "rms":
+            count, total = sums("count", f.series), sums("power", f.series)
+
+            def value(at, block):
+                return np.sqrt(at[0][:, total] / at[0][:, count])
+        elif f.how in ("above", "below"):
+            count = sums(f.how, f.series, f.level)
+
+            def value(at, block):
+                return at[0][:, count]
+        elif f.how == "last":
+            place = s.place("last", ("last", f.series, None, *gate))
+
+            def value(at, block):
+                return at[3][:, place]
+        else:
+            kind, number = ("low", 1) if f.how == "min" else ("high", 2)
+            place = s.place(kind, (f.how, f.series, None, *gate))
+
+            def value(at, block):
+                v = at[number][:, place]
+                return np.where(np.isinf(v), np.nan, v)
+
+        return lambda at, block, rows: np.where(at[0][:, rows_seen] >= c.samples(f.least), value(at, block), np.nan)
+
+    def _shift(self, block: Block, series: str) -> float:
+        """Sums of a channel are taken from its first value on, so that squares keep their digits."""
+        return block.plateaus["_first"].get(series, 0.0)
+
+    def _contribution(self, key: tuple, block: Block, own: slice) -> np.ndarray:
+        what, series, other, *_ = key
+        if what == "time":
+            return block["t"][own]
+        v = block[series][own]
+        if what == "rows":
+            return np.ones(len(v))
+        if what == "count":
+            return ~np.isnan(v)
+        if what in ("sum", "square"):
+            v = np.nan_to_num(v - self._shift(block, series))
+            return v if what == "sum" else v * v
+        if what == "power":
+            return np.nan_to_num(v * v)
+        if what == "above":
+            return v > other
+        if what == "below":
+            return v < other
+        if what.startswith("both"):
+            w = block[other][own]
+            there = ~np.isnan(v) & ~np.isnan(w)
+            x, y = np.where(there, v, 0.0), np.where(there, w, 0.0)
+            return {"both": there, "both_x": x, "both_y": y, "both_xx": x * x, "both_yy": y * y, "both_xy": x * y}[what]
+        if what == "cross":
+            return np.where(v >= other, block["t"][own], np.inf)
+        if what == "last10":
+            return np.where(block["t"][own] >= other, block.trailing_before(series, 10.0)[own], np.nan)
+        if what == "last":
+            return v
+        return np.where(np.isnan(v), np.inf if what == "min" else -np.inf, v)
+
+    def advance(self, carry: Carry, k: np.ndarray, t: np.ndarray, channels: np.ndarray, references: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, Carry]:
+        """Go on with a run by the samples ``k`` (ascending): the ticks' ``k`` and ``t``, their features (ticks, features; NaN: none), and the new carry.
+
+        ``channels`` (samples, channels) may have NaN: the last value is held.  A gap at the run's very
+        beginning stays open; whoever knows the first value that comes fills it in ``channels`` before.
+        """
+        n = len(k)
+        filled = np.concatenate([carry.held[None, :], channels])
+        there = np.where(np.isnan(filled), 0, np.arange(n + 1)[:, None])
+        filled = filled[np.maximum.accumulate(there, axis=0), np.arange(filled.shape[1])][1:]
+        first = carry.first.copy()
+        for j in np.flatnonzero(np.isnan(first)):
+            known = np.flatnonzero(~np.isnan(filled[:, j]))
+            if len(known):
+                first[j] = filled[known[0], j]
+        states, bands = [], []
+        for (_, j, sections), state in zip(self.bands, carry.states, strict=True):
+            # Before its first value a channel stands still for the filter.
+            y, after = filters.run_on(sections, np.nan_to_num(filled[:, j] - first[j])[:, None], state)
+            bands.append(y)
+            states.append(after)
+        fresh = np.concatenate([filled, references, t[:, None], *bands], axis=1)
+        rows = np.concatenate([carry.tail, fresh])
+        every_k = np.concatenate([carry.tail_k, k])
+        before = len(carry.tail_k)
+        low, high = (round((x - self.catalogue.origin) * self.catalogue.rate) for x in PLATEAU)
+        plateau = carry.plateau.copy()
+        inside = (k >= low) & (k < high)
+        means = {}
+        for number, name in enumerate(PLATEAU_CHANNELS):
+            if name in self.channels:
+                v = filled[inside, self.channels.index(name)]
+                plateau[number] += np.nansum(v), np.count_nonzero(inside)
+                means[name] = plateau[number, 0] / plateau[number, 1] if plateau[number, 1] >= max(1, high - low) else np.nan
+        means["_first"] = {name: x for name, x in zip(self.channels, first.tolist(), strict=True) if not np.isnan(x)}
+        block = Block(self.catalogue, every_k, {name: rows[:, j] for j, name in enumerate(self.kept)}, means)
+
+        at_tick = np.flatnonzero(k % self.tick == 0)
+        stops = np.append(at_tick + 1, n)  # the samples that each tick has seen, and all
+        running = []
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for kind, gather in (("add", np.add), ("low", np.minimum), ("high", np.maximum), ("last", None)):
+                keys = getattr(self.summaries, kind)
+                out = np.empty((len(stops), len(keys)))
+                begun = getattr(carry, kind)
+                for place, key in enumerate(keys):
+                    a, b = np.searchsorted(k, key[-2:])
+                    if a == b:
+                        out[:, place] = begun[place]
+                        continue
+                    part = self._contribution(key, block, slice(before + a, before + b))
+                    upto = np.clip(stops - a, 0, b - a)
+                    if gather is None:
+                        seen = np.maximum.accumulate(np.where(np.isnan(part), 0, np.arange(1, len(part) + 1)))
+                        value = np.concatenate([[begun[place]], part])[np.concatenate([[0], seen])]
+                    else:
+                        value = gather.accumulate(np.concatenate([[begun[place]], part.astype(np.float64)]))
+                    out[:, place] = value[upto]
+                running.append(out)
+            at, ends = tuple(r[:-1] for r in running), [r[-1].copy() for r in running]
+            found = np.empty((len(at_tick), len(self.names)))
+            for j, finish in enumerate(self.finish):
+                found[:, j] = finish(at, block, before + at_tick)
+        keep = slice(max(0, len(every_k) - self.reach), None)
+        new = Carry(filled[-1].copy() if n else carry.held, first, states, rows[keep].copy(), every_k[keep].copy(), plateau, *ends)
+        return k[at_tick], t[at_tick], found, new
+
+
+def feature_cube(telemetry: DataFrame, catalogue: Catalogue, tick: int = 25, fill_leading: bool = True) -> DataFrame:
     """``run, tick, t_now`` and one column for each feature, at every ``tick``-th sample.
 
-    The table has the channels and the reference columns that derived series name; leading gaps take
-    the first sample that is there.
+    The table has the channels and the reference columns that derived series name; leading gaps take the
+    first sample that is there, unless ``fill_leading`` is off.  Runs are dealt over tasks and sorted once; a
+    task goes through its runs in Arrow batches with :class:`Running`, so it holds one batch and one carry
+    (a run that begins with a gap, until the gap is over).
     """
-    names = [c.name for c in catalogue.channels]
-    filled = telemetry.withColumns({c: RUN.forward_fill(missing_as_null(F.col(c).cast("double"))) for c in names})
-    if catalogue.filters:
-        bands = [(name, channel, low, high) for name, channel, low, high in catalogue.filters]
-        filled = filters.filtered_bands(filled, "run", ["k"], bands, catalogue.rate)
-    for name, build in catalogue.derived.items():
-        filled = filled.withColumn(name, build(catalogue.rate))
-    columns = [expression(f, catalogue).alias(f.name) for f in catalogue.features()]
-    at = filled.select("run", "k", F.col("t").alias("t_now"), *columns).where(F.col("k") % tick == 0)
-    return at.select("run", (F.col("k") / tick).cast("long").alias("tick"), "t_now", *[f.name for f in catalogue.features()])
+    running = Running(catalogue, tick)
+    channels, references, names = running.channels, list(catalogue.references), running.names
+    wanted = telemetry.select("run", F.col("k").cast("long"), F.col("t").cast("double"), *[F.col(c).cast("double") for c in (*channels, *references)])
+    kind = telemetry.schema["run"].dataType
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        running = Running(catalogue, tick)
+        run = carry = None
+        waiting: list[np.ndarray] = []
+
+        def step(final: bool) -> Iterator[pa.RecordBatch]:
+            nonlocal carry, waiting
+            data = np.concatenate(waiting) if len(waiting) > 1 else waiting[0]
+            values = data[:, 2 : 2 + len(channels)]
+            if fill_leading and np.isnan(carry.held).any():
+                gap = np.isnan(carry.held) & np.isnan(values[0])
+                firsts = [np.flatnonzero(~np.isnan(values[:, j])) if gap[j] else () for j in range(len(channels))]
+                if not final and any(gap[j] and not len(firsts[j]) for j in range(len(channels))):
+                    waiting = [data]
+                    return
+                values = values.copy()
+                for j in np.flatnonzero(gap):
+                    if len(firsts[j]):
+                        values[: firsts[j][0], j] = values[firsts[j][0], j]
+            waiting = []
+            k, t, found, carry = running.advance(carry, data[:, 0].astype(np.int64), data[:, 1], values, data[:, 2 + len(channels) :])
+            if len(k):
+                yield pa.RecordBatch.from_arrays([pa.array([run] * len(k), filters._arrow(kind)), pa.array(k // tick), pa.array(t), *(pa.array(found[:, j], from_pandas=True) for j in range(len(names)))], ["run", "tick", "t_now", *names])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            data = np.stack([batch.column(j).to_numpy(zero_copy_only=False).astype(np.float64) for j in range(1, batch.num_columns)], axis=1)
+            for a, b in filters.runs_of([batch.column(0)]):
+                now = batch.column(0)[a].as_py()
+                if carry is None or now != run:
+                    if waiting:
+                        yield from step(True)
+                    run, carry = now, running.start()
+                waiting.append(data[a:b])
+                yield from step(False)
+        if waiting:
+            yield from step(True)
+
+    schema = T.StructType([T.StructField("run", kind), T.StructField("tick", T.LongType()), T.StructField("t_now", T.DoubleType()), *(T.StructField(n, T.DoubleType()) for n in names)])
+    return wanted.repartition("run").sortWithinPartitions("run", "k").mapInArrow(scan, schema)
 
 
 def row_labels(ticks: DataFrame, manifest: DataFrame, classes: list[str]) -> DataFrame:
@@ -179,38 +472,25 @@ FILTERS = (
     ("pc_hp", "PC_CORE", 1.5, None), ("n_hp", "N_LOX_TP", 1.5, None), ("lh2_bp", "P_LH2_TANK", 0.15, 0.5), ("pitch_lc", "TVC_PITCH", 0.9, 2.4), ("yaw_lc", "TVC_YAW", 0.9, 2.4), ("pitch_gust", "TVC_PITCH", 0.02, 0.5),
     ("acc_pogo", "ACC_AX", 10.0, 20.0), ("pc_pogo", "PC_CORE", 10.0, 20.0),
 )
+#: Seconds after ignition between which engine channels have their plateau, and the channels that rise from it.
+PLATEAU, PLATEAU_CHANNELS = (4.0, 6.5), ("PC_CORE", "N_LOX_TP", "T_TURB_IN")
 TEMPERATURE_PER_PUMP_PERCENT, READY_BAR, HALF_BAR, NINETY_BAR, NOISE_KM, IMPLIED_FROM, RATE_S, TREND_S = 40.0, 3.30, 57.5, 103.5, 0.019, 30.0, 5.0, 20.0
 
 
-def _plateau(channel: str) -> Callable[[float], Column]:
-    """Mean from 4 s to 6.5 s after ignition, known once that time is over."""
-
-    def build(rate: float) -> Column:
-        first, stop = round(64.0 * rate), round(66.5 * rate)
-        gate = (F.col("k") >= first) & (F.col("k") < stop)
-        return RUN.gated(F.avg, F.col(channel), gate, max(1, stop - first))
-
-    return build
-
-
 def launch_catalogue(rate: float = 50.0) -> Catalogue:
     """All 137 features.  The table needs the reference columns ``ref_vib``, ``ref_lox``, ``band`` and ``drift`` (the band's growth)."""
-    c = F.col
-    derived: dict[str, Callable[[float], Column]] = {
-        "pc_tm2": trailing("PC_CORE", 2.0), "n_tm2": trailing("N_LOX_TP", 2.0), "t_tm1": trailing("T_TURB_IN", 1.0), "t_tm02": trailing("T_TURB_IN", 0.2),
-        "t_step": lambda r: F.abs(c("t_tm02") - delayed("t_tm02", 0.2, r)), "t_spike": lambda r: c("T_TURB_IN") - c("t_tm1"), "t_flat": lambda r: RUN.unchanged(c("T_TURB_IN")).cast("double"),
-        "pc_ref": _plateau("PC_CORE"), "n_ref": _plateau("N_LOX_TP"), "t_ref": _plateau("T_TURB_IN"),
-        "pc_rise": lambda r: c("pc_tm2") - c("pc_ref"), "n_rise": lambda r: c("n_tm2") - c("n_ref"), "t_rise": lambda r: c("t_tm1") - c("t_ref"),
-        "t_unexplained": lambda r: c("t_rise") - TEMPERATURE_PER_PUMP_PERCENT * c("n_rise"), "t_corroborated": lambda r: F.least(c("t_rise"), TEMPERATURE_PER_PUMP_PERCENT * c("n_rise")),
-        "vib_tm1": trailing("VIB_ENG", 1.0), "vib_excess": lambda r: F.try_divide(c("vib_tm1"), c("ref_vib")), "vib_ratio": lambda r: F.try_divide(c("VIB_ENG"), c("ref_vib")),
-        "imb": lambda r: 100.0 * (c("PC_SRB_L") - c("PC_SRB_R")) / F.greatest((c("PC_SRB_L") + c("PC_SRB_R")) / 2.0, F.lit(20.0)), "imb_abs": lambda r: F.abs("imb"),
-        "imb_abs_tm2": trailing("imb_abs", 2.0), "imb_tm5": trailing("imb", 5.0), "imb_tm3": trailing("imb", 3.0), "yaw_tm3": trailing("TVC_YAW", 3.0), "yaw_tm3_abs": lambda r: F.abs("yaw_tm3"),
-        "lox_deficit": lambda r: c("ref_lox") - c("P_LOX_TANK"), "traj_tm1": trailing("TRAJ_DEV", 1.0), "traj_rate": lambda r: (c("traj_tm1") - delayed("traj_tm1", RATE_S, r)) / RATE_S,
-        "traj_band": lambda r: F.try_divide(c("traj_tm1"), c("band")),
-        "implied": lambda r: F.when(c("t") >= IMPLIED_FROM, F.greatest(c("traj_tm1") - NOISE_KM, F.lit(0.0)) / F.greatest(c("drift"), F.lit(1e-6))),
-        "traj_rise": lambda r: c("implied") - delayed("implied", TREND_S, r, F.lit(None).cast("double")),
-        "pc_hp_rms1": trailing_rms("pc_hp", 1.0), "pc_hp_rms5": trailing_rms("pc_hp", 5.0), "lh2_bp_rms5": trailing_rms("lh2_bp", 5.0), "pitch_lc_rms10": trailing_rms("pitch_lc", 10.0), "yaw_lc_rms10": trailing_rms("yaw_lc", 10.0),
-        "acc_pogo_rms5": trailing_rms("acc_pogo", 5.0), "pc_pogo_rms5": trailing_rms("pc_pogo", 5.0),
+    derived: dict[str, Callable[[Block], np.ndarray]] = {
+        "pc_tm2": lambda b: b.trailing("PC_CORE", 2.0), "n_tm2": lambda b: b.trailing("N_LOX_TP", 2.0), "t_tm1": lambda b: b.trailing("T_TURB_IN", 1.0), "t_tm02": lambda b: b.trailing("T_TURB_IN", 0.2),
+        "t_step": lambda b: np.abs(b["t_tm02"] - b.delayed("t_tm02", 0.2)), "t_spike": lambda b: b["T_TURB_IN"] - b["t_tm1"], "t_flat": lambda b: b.unchanged("T_TURB_IN"),
+        "pc_rise": lambda b: b["pc_tm2"] - b.plateau("PC_CORE"), "n_rise": lambda b: b["n_tm2"] - b.plateau("N_LOX_TP"), "t_rise": lambda b: b["t_tm1"] - b.plateau("T_TURB_IN"),
+        "t_unexplained": lambda b: b["t_rise"] - TEMPERATURE_PER_PUMP_PERCENT * b["n_rise"], "t_corroborated": lambda b: np.fmin(b["t_rise"], TEMPERATURE_PER_PUMP_PERCENT * b["n_rise"]),
+        "vib_tm1": lambda b: b.trailing("VIB_ENG", 1.0), "vib_excess": lambda b: ratio(b["vib_tm1"], b["ref_vib"]), "vib_ratio": lambda b: ratio(b["VIB_ENG"], b["ref_vib"]),
+        "imb": lambda b: 100.0 * (b["PC_SRB_L"] - b["PC_SRB_R"]) / np.fmax((b["PC_SRB_L"] + b["PC_SRB_R"]) / 2.0, 20.0), "imb_abs": lambda b: np.abs(b["imb"]),
+        "imb_abs_tm2": lambda b: b.trailing("imb_abs", 2.0), "imb_tm5": lambda b: b.trailing("imb", 5.0), "imb_tm3": lambda b: b.trailing("imb", 3.0), "yaw_tm3": lambda b: b.trailing("TVC_YAW", 3.0), "yaw_tm3_abs": lambda b: np.abs(b["yaw_tm3"]),
+        "lox_deficit": lambda b: b["ref_lox"] - b["P_LOX_TANK"], "traj_tm1": lambda b: b.trailing("TRAJ_DEV", 1.0), "traj_rate": lambda b: (b["traj_tm1"] - b.delayed("traj_tm1", RATE_S)) / RATE_S, "traj_band": lambda b: ratio(b["traj_tm1"], b["band"]),
+        "implied": lambda b: np.where(b["t"] >= IMPLIED_FROM, np.fmax(b["traj_tm1"] - NOISE_KM, 0.0) / np.fmax(b["drift"], 1e-6), np.nan), "traj_rise": lambda b: b["implied"] - b.delayed("implied", TREND_S, np.nan),
+        "pc_hp_rms1": lambda b: b.trailing_rms("pc_hp", 1.0), "pc_hp_rms5": lambda b: b.trailing_rms("pc_hp", 5.0), "lh2_bp_rms5": lambda b: b.trailing_rms("lh2_bp", 5.0), "pitch_lc_rms10": lambda b: b.trailing_rms("pitch_lc", 10.0),
+        "yaw_lc_rms10": lambda b: b.trailing_rms("yaw_lc", 10.0), "acc_pogo_rms5": lambda b: b.trailing_rms("acc_pogo", 5.0), "pc_pogo_rms5": lambda b: b.trailing_rms("pc_pogo", 5.0),
     }
     f, h = Feature, 0.5
     engineered = (
@@ -234,4 +514,4 @@ def launch_catalogue(rate: float = 50.0) -> Catalogue:
         f("FLT__TRAJ_DEV__rate_max", "traj_rate", "max", 12.0, 150.0, h), f("FLT__TRAJ_DEV__band_max", "traj_band", "max", 8.0, 150.0, h), f("FLT__TRAJ_DEV__band_rise_now", "traj_rise", "now", -60.0, 150.0),
         f("FLT__TRAJ_DEV__band_rise_max", "traj_rise", "max", 50.0, 150.0, h), f("CTX__t_now", "t", "now", -60.0, 150.0),
     )
-    return Catalogue(CHANNELS, WINDOWS, derived, engineered, FILTERS, rate)
+    return Catalogue(CHANNELS, WINDOWS, derived, engineered, FILTERS, ("ref_vib", "ref_lox", "band", "drift"), rate=rate)

@@ -1,14 +1,22 @@
-"""Butterworth filters of order 2 along a series, as two biquads, by a kernel over whole entities.
+"""Butterworth filters of order 2 along a series, as two biquads, by a scan over blocks of time.
 
-A recurrence over all earlier samples is no window function.  Each entity is filtered in one group
-(a series is as long as its entity), vectorised over columns; entities are spread over the cluster.
+A recurrence over all earlier samples is no window function, but it is linear: what a block of samples
+leaves in the filter is a matrix times what it found there, plus what its own samples alone would leave.
+One pass gives the second part for every block, a prefix over blocks (a few numbers each) gives every
+block its initial state, and a second pass filters.  So one long series is as many tasks as it has blocks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def butterworth(rate: float, low: float | None = None, high: float | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -64,42 +72,171 @@ def _block(b: np.ndarray, a: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray
     return outputs, np.stack([powers[k][0] for k in range(n)]), np.stack([powers[n - 1 - k] @ gain for k in range(n)], axis=1), powers[n]
 
 
-def run_sections(sections: list[tuple[np.ndarray, np.ndarray]], x: np.ndarray, block: int = BLOCK) -> np.ndarray:
-    """Filter the columns of ``x`` (samples, columns) from rest, starting each at its first sample.
+Sections = list[tuple[np.ndarray, np.ndarray]]
+
 
-    Each section is a recurrence of two numbers; whole blocks of samples are matrix products, so what
-    is left to a loop is one step a block, over all columns at once.
+def run_on(sections: Sections, x: np.ndarray, state: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
+    """Filter ``x`` (samples, columns) from ``state`` (sections, 2, columns): outputs and the state after them.
+
+    Whole blocks of samples are matrix products, so what is left to a loop is one step a block, over
+    all columns at once.
     """
-    y = x - x[:1]
-    n, columns = y.shape
-    for b, a in sections:
-        padded = np.zeros((-(-n // block) * block, columns))
-        padded[:n] = y
-        outputs, from_state, inward, carried = _block(b, a, block)
-        state = np.zeros((2, columns))
-        for k in range(0, len(padded), block):
-            part = padded[k : k + block].copy()
-            padded[k : k + block] = outputs @ part + from_state @ state
-            state = inward @ part + carried @ state
-        y = padded[:n]
-    return y
-
-
-def filtered_bands(df: DataFrame, entity: str, order: list[str], bands: list[tuple[str, str, float, float | None]], rate: float) -> DataFrame:
+    n, columns = x.shape
+    state, y = state.copy(), x
+    for number, (b, a) in enumerate(sections):
+        done, out = 0, np.empty((n, columns))
+        while done < n:
+            size = min(block, n - done)
+            outputs, from_state, inward, carried = _matrices(b, a, size)
+            part, held = y[done : done + size], state[number]
+            out[done : done + size] = outputs @ part + from_state @ held
+            state[number] = inward @ part + carried @ held
+            done += size
+        y = out
+    return y, state
+
+
+_known: dict[tuple, tuple] = {}
+
+
+def _matrices(b: np.ndarray, a: np.ndarray, n: int) -> tuple:
+    key = (*b.tolist(), *a.tolist(), n)
+    if key not in _known:
+        if len(_known) > 4096:
+            _known.clear()
+        _known[key] = _block(b, a, n)
+    return _known[key]
+
+
+def at_rest(sections: Sections, columns: int = 1) -> np.ndarray:
+    return np.zeros((len(sections), 2, columns))
+
+
+def run_sections(sections: Sections, x: np.ndarray, block: int = BLOCK) -> np.ndarray:
+    """Filter the columns of ``x`` from rest, starting each at its first sample."""
+    return run_on(sections, x - x[:1], at_rest(sections, x.shape[1]), block)[0]
+
+
+def transfer(sections: Sections, n: int) -> np.ndarray:
+    """What ``n`` samples of nothing make of a state, as a matrix over the states of all sections on end."""
+    size = 2 * len(sections)
+    step = np.zeros((size, size))
+    reaching = np.zeros(size)  # the input of a section, from the states of those before it
+    for k, (b, a) in enumerate(sections):
+        own = slice(2 * k, 2 * k + 2)
+        inward = np.array([b[1] - a[1] * b[0], b[2] - a[2] * b[0]])
+        step[own] = np.outer(inward, reaching)
+        step[own, own] += np.array([[-a[1], 1.0], [-a[2], 0.0]])
+        reaching = b[0] * reaching
+        reaching[2 * k] += 1.0
+    return np.linalg.matrix_power(step, n)
+
+
+def runs_of(columns: list[pa.Array]) -> list[tuple[int, int]]:
+    """Stretches of rows whose values in all ``columns`` are equal."""
+    n = len(columns[0])
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for c in columns:
+        if isinstance(c, pa.DictionaryArray):
+            c = c.cast(c.type.value_type)
+        differs = pc.fill_null(pc.not_equal(c[1:], c[:-1]), True).to_numpy(zero_copy_only=False)
+        both_null = np.logical_and(*(pc.is_null(x).to_numpy(zero_copy_only=False) for x in (c[1:], c[:-1])))
+        new[1:] |= differs & ~both_null
+    start = np.flatnonzero(new)
+    return list(zip(start.tolist(), np.append(start[1:], n).tolist(), strict=True))
+
+
+def filtered_bands(df: DataFrame, entity: str, order: list[str], bands: list[tuple[str, str, float, float | None]], rate: float, block: Column | None = None) -> DataFrame:
     """Add a column for each band ``(name, column, low, high)``; missing samples must have been filled.
 
-    One group for each entity: a series is as long as its entity, and all bands share one pass.
+    ``block`` cuts an entity's series into stretches of time that are filtered in parallel; it must not
+    fall as ``order`` rises (such as ``floor(k / 4096)``).  Without it an entity is one stretch.
     """
     made = [(name, column, butterworth(rate, low, high)) for name, column, low, high in bands]
-
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        return pdf.assign(**{name: run_sections(sections, pdf[[column]].to_numpy(np.float64))[:, 0] for name, column, sections in made})
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.groupBy(entity).applyInPandas(kernel, fields + "".join(f", `{name}` double" for name, *_ in bands))
-
-
-def filtered(df: DataFrame, entity: str, order: list[str], columns: list[str], rate: float, low: float | None = None, high: float | None = None) -> DataFrame:
+    inputs = [column for _, column, _ in made]
+    cut = df.withColumn("_block", F.lit(0).cast("long") if block is None else block.cast("long"))
+    placed = cut.repartition(entity, "_block").sortWithinPartitions(entity, "_block", *order)
+    entity_type = df.schema[entity].dataType
+
+    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each block: samples, first sample of each band's column, and the states that the samples, and ones in their place, leave."""
+        key, held = None, None
+
+        def row():
+            n, first, states = held
+            flat = np.concatenate([s[:, :, c].ravel() for s in states for c in range(2)])
+            return pa.RecordBatch.from_arrays([pa.array([key[0]], _arrow(entity_type)), pa.array([key[1]]), pa.array([n]), pa.array([first.tolist()]), pa.array([flat.tolist()])], ["entity", "block", "n", "first", "states"])
+
+        for batch in batches:
+            for a, b in runs_of([batch.column(0), batch.column(1)]):
+                now = (batch.column(0)[a].as_py(), batch.column(1)[a].as_py())
+                x = np.stack([batch.column(2 + k).to_numpy(zero_copy_only=False)[a:b] for k in range(len(inputs))], axis=1).astype(np.float64)
+                if now != key:
+                    if key is not None:
+                        yield row()
+                    key, held = now, (0, x[0].copy(), [at_rest(s, 2) for _, _, s in made])
+                n, first, states = held
+                # The samples and a column of ones side by side.
+                held = n + len(x), first, [run_on(s, np.stack([x[:, k], np.ones(len(x))], axis=1), state)[1] for k, ((_, _, s), state) in enumerate(zip(made, states, strict=True))]
+        if key is not None:
+            yield row()
+
+    kind = T.StructType([T.StructField("entity", entity_type)]).simpleString()[len("struct<entity:") : -1]
+    ends = placed.select(entity, "_block", *inputs).mapInArrow(left, f"entity {kind}, block long, n long, first array<double>, states array<double>")
+
+    def prefix(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The state in which each block of an entity begins: one row a block."""
+        pdf = pdf.sort_values("block")
+        first = np.asarray(pdf["first"].iloc[0])
+        begin = [np.zeros(2 * len(s)) for _, _, s in made]
+        out = []
+        for n, states in zip(pdf["n"], pdf["states"], strict=True):
+            out.append(np.concatenate(begin).tolist())
+            at = 0
+            for k, (_, _, s) in enumerate(made):
+                size = 2 * len(s)
+                own, ones = np.asarray(states[at : at + size]), np.asarray(states[at + size : at + 2 * size])
+                begin[k] = transfer(s, n) @ begin[k] + own - first[k] * ones
+                at += 2 * size
+        return pd.DataFrame({"_entity": pdf["entity"], "_at": pdf["block"], "_first": [first.tolist()] * len(pdf), "_begin": out})
+
+    begins = ends.groupBy("entity").applyInPandas(prefix, f"_entity {kind}, _at long, _first array<double>, _begin array<double>")
+    known = cut.join(begins, cut[entity].eqNullSafe(begins["_entity"]) & (cut["_block"] == begins["_at"])).drop("_entity", "_at")
+    ready = known.repartition(entity, "_block").sortWithinPartitions(entity, "_block", *order)
+    names = df.columns
+    where = [names.index(column) for column in inputs]
+    own = names.index(entity)
+
+    def outputs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, states = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            made_here = np.empty((batch.num_rows, len(made)))
+            columns = {k: batch.column(k).to_numpy(zero_copy_only=False).astype(np.float64) for k in set(where)}
+            for a, b in runs_of([batch.column(own), batch.column(len(names))]):
+                now = (batch.column(own)[a].as_py(), batch.column(len(names))[a].as_py())
+                if now != key:
+                    key, begin, at, states = now, np.asarray(batch.column(len(names) + 2)[a].as_py()), 0, []
+                    first = batch.column(len(names) + 1)[a].as_py()
+                    for _, _, s in made:
+                        states.append(begin[at : at + 2 * len(s)].reshape(len(s), 2, 1))
+                        at += 2 * len(s)
+                for k, (_, _, s) in enumerate(made):
+                    y, states[k] = run_on(s, columns[where[k]][a:b, None] - first[k], states[k])
+                    made_here[a:b, k] = y[:, 0]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *(pa.array(made_here[:, k]) for k in range(len(made)))], [*names, *(name for name, _, _ in made)])
+
+    return ready.select(*names, "_block", "_first", "_begin").mapInArrow(outputs, T.StructType([*df.schema.fields, *(T.StructField(name, T.DoubleType()) for name, _, _ in made)]))
+
+
+def _arrow(kind: T.DataType) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(kind)
+
+
+def filtered(df: DataFrame, entity: str, order: list[str], columns: list[str], rate: float, low: float | None = None, high: float | None = None, block: Column | None = None) -> DataFrame:
     """Add ``<column>_filtered`` for each column; missing samples must have been filled."""
-    return filtered_bands(df, entity, order, [(f"{c}_filtered", c, low, high) for c in columns], rate)
+    return filtered_bands(df, entity, order, [(f"{c}_filtered", c, low, high) for c in columns], rate, block)

@@ -13,9 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-#: Ranges of scores between 0 and 1 in which running counts are taken.
-SCORE_RANGES = 1024
+from flightline.functions import ranks
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -48,16 +46,8 @@ def by_score(df: DataFrame, keys: list[str], truth: Column, score: Column) -> Da
     score only.
     """
     tied = df.where(score.isNotNull() & truth.isNotNull()).groupBy(*keys, score.alias("score")).agg(F.sum(F.when(truth == 1, 1).otherwise(0)).cast("double").alias("p"), F.sum(F.when(truth == 1, 0).otherwise(1)).cast("double").alias("n"))
-    # Running counts are taken inside ranges of scores and shifted by what the ranges above hold, so a
-    # class with very many different scores is not one task.
-    ranged = tied.withColumn("_range", F.floor(F.col("score") * SCORE_RANGES).cast("long"))
-    sums = ranged.groupBy(*keys, "_range").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n"))
-    above = Window.partitionBy(*keys).orderBy(F.desc("_range")).rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.partitionBy(*keys)
-    shifts = sums.select(*keys, "_range", *[F.coalesce(F.sum(f"_{c}").over(above), F.lit(0.0)).alias(f"_{c}_above") for c in "pn"], F.sum("_p").over(every).alias("pos"), F.sum("_n").over(every).alias("neg"))
-    down = Window.partitionBy(*keys, "_range").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    inside = ranged.withColumns({"_tp": F.sum("p").over(down), "_fp": F.sum("n").over(down)})
-    return inside.join(shifts, [*keys, "_range"]).select(*keys, "score", "p", "n", (F.col("_tp") + F.col("_p_above")).alias("tp"), (F.col("_fp") + F.col("_n_above")).alias("fp"), "pos", "neg")
+    found = ranks.running(tied, keys, ["score"], ["p", "n"], descending=True)
+    return found.select(*keys, "score", "p", "n", F.col("p_upto").alias("tp"), F.col("n_upto").alias("fp"), F.col("p_all").alias("pos"), F.col("n_all").alias("neg"))
 
 
 def auroc(ranked: DataFrame, keys: list[str]) -> DataFrame:
@@ -189,16 +179,10 @@ def higher_quantile(df: DataFrame, keys: list[str], value: str, q: float) -> Dat
 
     Values are counted before they are ranked, so ties cost one row.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c")).withColumn("_range", F.floor(F.col(value) * SCORE_RANGES).cast("long"))
-    # The range that holds the place is found from the ranges' counts; only its values are ranked.
-    per = Window.partitionBy(*keys)
-    up = per.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    sums = counts.groupBy(*keys, "_range").agg(F.sum("c").alias("_c"))
-    placed = sums.withColumns({"_upto": F.sum("_c").over(up), "total": F.sum("_c").over(per)}).withColumn("_place", F.ceil((F.col("total") - 1) * F.lit(q) - 1e-9))
-    own = placed.where((F.col("_upto") > F.col("_place")) & (F.col("_upto") - F.col("_c") <= F.col("_place"))).select(*keys, "_range", "total", (F.col("_place") - F.col("_upto") + F.col("_c")).alias("_inside"))
-    near = counts.join(F.broadcast(own) if not keys else own, [*keys, "_range"])
-    inside = Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return near.withColumn("_upto", F.sum("c").over(inside)).where(F.col("_upto") > F.col("_inside")).groupBy(*keys).agg(F.min(value).alias("quantile"), F.first("total").alias("n"))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("c"))
+    placed = ranks.running(counts, keys, [value], ["c"])
+    place = F.ceil((F.col("c_all") - 1) * F.lit(q) - 1e-9)
+    return placed.where(F.col("c_upto") > place).groupBy(*keys).agg(F.min(value).alias("quantile"), F.first("c_all").alias("n"))
 
 
 def budget_threshold(negatives: DataFrame, keys: list[str], peak: str, budget: float, low: float = 0.05, high: float = 0.995) -> DataFrame:

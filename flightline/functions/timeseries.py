@@ -32,8 +32,8 @@ class Series:
     def so_far(self) -> WindowSpec:
         return self.ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
-    def ahead(self) -> WindowSpec:
-        return self.ordered.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    def whole(self) -> WindowSpec:
+        return self.ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
     def trailing(self, n: int) -> WindowSpec:
         return self.ordered.rowsBetween(-(n - 1), Window.currentRow)
@@ -42,9 +42,13 @@ class Series:
         return (F.row_number().over(self.ordered) - 1).cast("long")
 
     def forward_fill(self, value: Column, fill_leading: bool = True) -> Column:
-        """The last present sample; a leading gap takes the first one that comes, unless strictly causal."""
+        """The last present sample; a leading gap takes the first one that comes, unless strictly causal.
+
+        In a leading gap the first sample that comes is the first of all, and a frame over the whole
+        partition is computed once where one that shrinks would be computed anew for each row.
+        """
         held = F.last(value, ignorenulls=True).over(self.so_far())
-        return F.coalesce(held, F.first(value, ignorenulls=True).over(self.ahead())) if fill_leading else held
+        return F.coalesce(held, F.first(value, ignorenulls=True).over(self.whole())) if fill_leading else held
 
     def lagged(self, value: Column, n: int, fill: Column | None = None) -> Column:
         """The sample ``n`` before; before the first one ``fill``, or else the first sample."""

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from flightline.functions import ranks
+
 
 def quantized(p: Column, steps: int = 250) -> Column:
     """Probability as an integer 0 ... steps, halves to even."""
@@ -31,19 +33,12 @@ def most_probable(p: Column, least: float = 0.5) -> Column:
 def dictionary(states: DataFrame, columns: list[str]) -> DataFrame:
     """Distinct rows with a number (``vector``, in their order) and how many states have each.
 
-    Rows are counted first, so numbering sees distinct vectors only; they are numbered inside each
-    prefix (all columns but the last), and the prefixes' counts give where each begins.
+    Rows are counted first, so numbering sees distinct vectors only; very many of them are numbered in
+    ranges of their order.
     """
-    counts = states.groupBy(*columns).agg(F.count(F.lit(1)).alias("states"))
-    prefix = columns[:-1]
-    if not prefix:
-        return counts.withColumn("vector", (F.row_number().over(Window.orderBy(*columns)) - 1).cast("long"))
-    sizes = counts.groupBy(*prefix).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy(*prefix).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(*prefix, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    inside = counts.withColumn("_inside", F.row_number().over(Window.partitionBy(*prefix).orderBy(columns[-1])) - 1)
-    met = inside.join(starts, [inside[c].eqNullSafe(starts[c]) for c in prefix])
-    return met.select(*[inside[c] for c in columns], "states", (F.col("_inside") + F.col("_start")).cast("long").alias("vector"))
+    counts = states.groupBy(*columns).agg(F.count(F.lit(1)).alias("states")).withColumn("_one", F.lit(1).cast("long"))
+    numbered = ranks.running(counts, [], columns, ["_one"])
+    return numbered.select(*columns, "states", (F.col("_one_upto") - 1).alias("vector"))
 
 
 def landmarks(vectors: DataFrame, label: str, key: str, quota: int, total: int | None = None) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flightline.functions import features as ft
+from flightline.functions import filters
 from flightline.plans import series_queries
 from flightline.plans.book import Book, r6
 
@@ -13,6 +16,12 @@ BOOK = Book()
 #: Samples a second, so that a user's events span the whole record; windows are then a few samples each.
 RATE = 0.3
 CATALOGUE = ft.launch_catalogue(RATE).without_filters()
+#: The features behind a filter, the bands scaled with the rate (so the filters are those of 50 samples a second).
+_WHOLE = ft.launch_catalogue(RATE)
+BEHIND = replace(
+    _WHOLE, windows={}, engineered=tuple(f for f in _WHOLE.engineered if f.name not in {g.name for g in CATALOGUE.engineered}), filters=tuple((name, channel, low * RATE / 50, high and high * RATE / 50) for name, channel, low, high in _WHOLE.filters),
+    channels=tuple(replace(c, windows=()) for c in _WHOLE.channels),
+)
 
 # A channel is a linear map of the value some events before (lost where that event is an error).
 MAPS = {
@@ -93,7 +102,7 @@ def _sql(f: ft.Feature) -> str:
         return f"({part(f.start, f.start + 2, 1.0, 'avg')}) - ({part(f.start + 3, f.start + 13, 0.5, 'min')})"
     value = {
         "mean": f"avg({f.series}) {gate}", "std": f"stddev_pop({f.series}) {gate}", "min": f"min({f.series}) {gate}", "max": f"max({f.series}) {gate}", "rms": f"sqrt(avg({f.series} * {f.series}) {gate})",
-        "above": f"count(*) FILTER (k >= {_k(f.start)} AND k < {_k(f.stop)} AND {f.series} > {f.level}) OVER so::DOUBLE", "last": f"last_value({f.series} IGNORE NULLS) {gate}",
+        "above": f"count(*) FILTER (k >= {_k(f.start)} AND k < {_k(f.stop)} AND {f.series} > {f.level}) OVER so::DOUBLE", "below": f"count(*) FILTER (k >= {_k(f.start)} AND k < {_k(f.stop)} AND {f.series} < {f.level}) OVER so::DOUBLE", "last": f"last_value({f.series} IGNORE NULLS) {gate}",
     }
     if f.how == "last":  # value of the last sample in the window: the greatest k
         value["last"] = f"max_by({f.series}, k) {gate}"
@@ -116,3 +125,40 @@ def feature_cube(spark, sf_dir):
     """The 120 features that need no filter, at every fifth sample."""
     cube = ft.feature_cube(telemetry(spark, sf_dir), CATALOGUE, 5)
     return cube.select("run", "tick", r6(F.col("t_now")).alias("t_now"), *[r6(F.col(f.name)).alias(f.name) for f in CATALOGUE.features()])
+
+
+def _behind() -> str:
+    """The filters sample by sample as one recursive query over all runs, then the features of their outputs."""
+    n = lambda x: f"{float(x)!r}::DOUBLE"
+    made = [(name, channel, filters.butterworth(RATE, low, high)) for name, channel, low, high in BEHIND.filters]
+    states, steps, outputs = [], [], []
+    for name, _, sections in made:
+        x = f"x_{name}"
+        for j, (b, a) in enumerate(sections):
+            p, y = f"{name}_{j}", f"y_{name}_{j}"
+            states += [f"{p}a", f"{p}b"]
+            outputs.append((j, y, f"{n(b[0])} * {x} + {p}a"))
+            steps += [f"{n(b[1])} * {x} - {n(a[1])} * {y} + {p}b AS {p}a", f"{n(b[2])} * {x} - {n(a[2])} * {y} AS {p}b"]
+            x = y
+        steps.append(f"{x} AS {name}")
+    names, inputs = [m[0] for m in made], ", ".join(f"x_{m[0]}" for m in made)
+    one = ", ".join(f"{e} AS {y}" for j, y, e in outputs if j == 0)
+    two = ", ".join(f"{e} AS {y}" for j, y, e in outputs if j == 1)
+    recursion = f"""g AS (SELECT run, k, {', '.join(f'{channel} - first_value({channel}) OVER (PARTITION BY run ORDER BY k) AS x_{name}' for name, channel, _ in made)} FROM filled), r AS (
+  SELECT run, CAST(-1 AS BIGINT) AS k, {', '.join(f'0.0::DOUBLE AS {c}' for c in [*states, *names])} FROM (SELECT DISTINCT run FROM g)
+  UNION ALL
+  SELECT run, k, {', '.join([s for s in steps if not s.endswith(tuple(f' AS {m}' for m in names))] + [s for s in steps if s.endswith(tuple(f' AS {m}' for m in names))])}
+  FROM (SELECT *, {two} FROM (SELECT g.run, g.k, {inputs}, {', '.join(states)}, {one} FROM r JOIN g ON g.run = r.run AND g.k = r.k + 1)))"""
+    seconds = {"pc_hp_rms1": ("pc_hp", 1), "pc_hp_rms5": ("pc_hp", 5), "lh2_bp_rms5": ("lh2_bp", 5), "pitch_lc_rms10": ("pitch_lc", 10), "yaw_lc_rms10": ("yaw_lc", 10), "acc_pogo_rms5": ("acc_pogo", 5), "pc_pogo_rms5": ("pc_pogo", 5)}
+    trails = ", ".join(f"sqrt({_trail(f'{name} * {name}', s)}) AS {out}" for out, (name, s) in seconds.items())
+    so = "WINDOW so AS (PARTITION BY run ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    columns = ", ".join(f"{_sql(f)} AS {f.name}" for f in BEHIND.features())
+    rounded = ", ".join(f"round({f.name}, 6) AS {f.name}" for f in BEHIND.features())
+    return f"WITH RECURSIVE {TELEMETRY}, {recursion}, d AS (SELECT *, {trails} FROM r WHERE k >= 0), e AS (SELECT run, k, {columns} FROM d {so}) SELECT run, CAST(k // 5 AS BIGINT) AS tick, {rounded} FROM e WHERE k % 5 = 0"
+
+
+@BOOK.enter(_behind())
+def feature_cube_behind_filters(spark, sf_dir):
+    """The 17 features behind a filter, at every fifth sample."""
+    cube = ft.feature_cube(telemetry(spark, sf_dir), BEHIND, 5)
+    return cube.select("run", "tick", *[r6(F.col(f.name)).alias(f.name) for f in BEHIND.features()])

@@ -378,7 +378,7 @@ def nearest_landmarks(spark, sf_dir):
 @BOOK.enter("SELECT quality, toxic, CAST(count(*) AS BIGINT) AS n, CAST(count(*) // 5 AS BIGINT) AS least, CAST((count(*) + 4) // 5 AS BIGINT) AS most FROM labels GROUP BY 1, 2 UNION ALL SELECT NULL, NULL, count(*), NULL, NULL FROM labels")
 def stratified_folds(spark, sf_dir):
     """Sizes of each signature's smallest and largest fold, and in all the rows that have one."""
-    folded = splitting.deal(table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), ["quality", "toxic"], ["doc_id"], 5)
+    folded = splitting.folds(table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), ["quality", "toxic"], ["doc_id"], 5)
     sizes = folded.groupBy("quality", "toxic", "fold").count()
     per = sizes.groupBy("quality", "toxic").agg(F.sum("count").alias("n"), (F.when(F.count(F.lit(1)) == 5, F.min("count")).otherwise(0)).cast("long").alias("least"), F.max("count").alias("most"))
     whole = folded.agg(F.count(F.lit(1)).alias("n")).select(F.lit(None).cast("int").alias("quality"), F.lit(None).cast("int").alias("toxic"), "n", F.lit(None).cast("long").alias("least"), F.lit(None).cast("long").alias("most"))
@@ -399,6 +399,53 @@ def group_atomic_split(spark, sf_dir):
     return sizes.groupBy("f", "urgent").agg(F.sum("n").alias("groups"), F.sum("rows").alias("n_rows"), F.sum("parted").alias("parted"), least.alias("least"), F.max("n").alias("most"))
 
 
+#: Twelve labels of an order that hardly depend on each other.
+MANY = {
+    **{f"priority{k}": f"o_orderpriority LIKE '{k}-%'" for k in range(1, 6)}, **{f"status_{c}": f"o_orderstatus = '{c}'" for c in "FOP"}, "dear": "o_totalprice > 250000", "third": "o_custkey % 3 = 0", "even_month": "month(o_orderdate) % 2 = 0", "rare": "o_totalprice > 420000",
+}
+_MANY_SQL = ", ".join(f"({c})::INT AS {name}" for name, c in MANY.items())
+_UNPIVOT = f"UNPIVOT l ON {', '.join(MANY)} INTO NAME label VALUE y"
+
+
+def many_labels(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", *[F.expr(c).cast("int").alias(name) for name, c in MANY.items()])
+
+
+def _shares(split: DataFrame, part: str, wanted) -> DataFrame:
+    """Of each label: positives, and whether each part's number is within 2 % (or one row) of what is wanted."""
+    long = split.unpivot([part], list(MANY), "label", "y")
+    per = long.groupBy("label", part).agg(F.sum("y").alias("n"))
+    every = per.groupBy("label").agg(F.sum("n").alias("n_positive"), F.collect_list(F.struct(F.col(part).cast("int").alias("part"), "n")).alias("parts"))
+    return every.select("label", "n_positive", F.forall("parts", lambda p: F.abs(p["n"] - wanted(p["part"], F.col("n_positive"))) <= F.greatest(F.lit(1.0), 0.02 * wanted(p["part"], F.col("n_positive")))).alias("even"))
+
+
+@BOOK.enter(f"WITH l AS (SELECT {_MANY_SQL} FROM orders) SELECT label, CAST(sum(y) AS BIGINT) AS n_positive, true AS even FROM ({_UNPIVOT}) GROUP BY 1 UNION ALL SELECT 'rows', count(*), true FROM orders")
+def multilabel_folds(spark, sf_dir):
+    """Five folds of orders with twelve labels: each label's share of each fold, and the folds' sizes (within one row), are even."""
+    split = splitting.folds(many_labels(spark, sf_dir), list(MANY), ["o_orderkey"], 5).drop("o_orderkey", "o_custkey")
+    sizes = split.groupBy("fold").count().agg(F.sum("count").alias("n_positive"), (F.max("count") - F.min("count") <= 1).alias("even")).select(F.lit("rows").alias("label"), "n_positive", "even")
+    return _shares(split, "fold", lambda _, n: n / 5).unionByName(sizes)
+
+
+@BOOK.enter(f"WITH l AS (SELECT {_MANY_SQL} FROM orders) SELECT label, CAST(sum(y) AS BIGINT) AS n_positive, true AS even FROM ({_UNPIVOT}) GROUP BY 1 UNION ALL SELECT 'held', CAST(count(*) // 6 AS BIGINT), true FROM orders")
+def multilabel_holdout(spark, sf_dir):
+    """A sixth of the orders, rounded down, with even shares of twelve labels."""
+    orders = many_labels(spark, sf_dir)
+    split = splitting.holdout(orders, list(MANY), ["o_orderkey"]).drop("o_orderkey", "o_custkey")
+    held = split.agg(F.count_if("held_out").alias("n_positive")).select(F.lit("held").alias("label"), "n_positive", F.lit(True).alias("even"))
+    return _shares(split, "held_out", lambda part, n: F.when(part == 1, n / 6).otherwise(n * 5 / 6)).unionByName(held)
+
+
+@BOOK.enter("WITH g AS (SELECT count(DISTINCT o_custkey) AS n FROM orders) SELECT CAST(round_even(CAST(o.n // 6 AS DOUBLE) * g.n / o.n, 0) AS BIGINT) AS held_groups, CAST(g.n AS BIGINT) AS groups, CAST(0 AS BIGINT) AS parted, true AS near_size FROM g, (SELECT count(*) AS n FROM orders) o")
+def group_holdout(spark, sf_dir):
+    """Whole customers that make up about a sixth of the orders: groups held out, all, those in both parts, and whether the rows are within a tenth of the size."""
+    orders = many_labels(spark, sf_dir)
+    size = splitting.holdout_size(orders.count())
+    split = splitting.hold_out_groups(orders, "o_custkey", list(MANY), size)
+    per = split.groupBy("o_custkey").agg(F.count_if("held_out").alias("held"), F.count(F.lit(1)).alias("n"))
+    return per.agg(F.count_if(F.col("held") > 0).alias("held_groups"), F.count(F.lit(1)).alias("groups"), F.count_if((F.col("held") > 0) & (F.col("held") < F.col("n"))).alias("parted"), (F.abs(F.sum("held") - size) <= 0.1 * size).alias("near_size"))
+
+
 @BOOK.enter(
     """WITH e AS (SELECT 'LOCATED_IN' AS type, 'supplier:' || s_suppkey AS src, 'nation:' || s_nationkey AS dst FROM supplier UNION ALL SELECT 'LOCATED_IN', 'customer:' || c_custkey, 'nation:' || c_nationkey FROM customer
 UNION ALL SELECT 'PART_OF', 'nation:' || n_nationkey, 'region:' || n_regionkey FROM nation UNION ALL SELECT DISTINCT 'SUPPLIES', 'supplier:' || l_suppkey, 'part:' || l_partkey FROM lineitem) SELECT type, src, dst FROM e"""

@@ -35,9 +35,9 @@ def _recurrence() -> str:
 
 @BOOK.enter(_recurrence())
 def iir_bandpass(spark, sf_dir):
-    """A user's held values through a band-pass filter (one sample a tick of half a second)."""
+    """A user's held values through a band-pass filter (one sample a tick of half a second), in blocks of 16 samples."""
     rows = series_queries.held(spark, sf_dir).where("h is not null").select("user_id", "k", "h")
-    return filters.filtered(rows, "user_id", ["k"], ["h"], 2.0, 0.15, 0.5).select("user_id", "k", r6(F.col("h_filtered")).alias("h_filtered"))
+    return filters.filtered(rows, "user_id", ["k"], ["h"], 2.0, 0.15, 0.5, F.floor(F.col("k") / 16)).select("user_id", "k", r6(F.col("h_filtered")).alias("h_filtered"))
 
 
 @BOOK.enter()

@@ -181,21 +181,24 @@ def exclusion_pairs(spark, sf_dir):
     return discovery.exclusion_pairs(groups)
 
 
-@BOOK.enter("WITH c AS (SELECT p_brand, count(*) AS n FROM part GROUP BY 1), sz AS (SELECT unnest(range(0, 50)) AS f) SELECT p_brand AS label, CAST(greatest(0, 50 - n) AS BIGINT) AS folds_without FROM c WHERE n < 50")
+@BOOK.enter("WITH c AS (SELECT p_brand, count(*) AS n FROM part GROUP BY 1) SELECT p_brand AS label, CAST(1000 - n AS BIGINT) AS folds_without FROM c WHERE n < 1000")
 def split_audit(spark, sf_dir):
     """Brands with fewer parts than folds: how many folds have none of them."""
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
     brands = [r["p_brand"] for r in parts.select("p_brand").distinct().orderBy("p_brand").collect()]  # the catalogue of brands
     rows = parts.withColumns({b: (F.col("p_brand") == b).cast("int") for b in brands})
-    missing = splitting.audit(splitting.deal(rows, ["p_brand"], ["p_partkey"], 50), brands, 50)
+    missing = splitting.audit(splitting.deal(rows, ["p_brand"], ["p_partkey"], 1000), brands, 1000)
     return missing.groupBy("label").agg(F.count(F.lit(1)).alias("folds_without"))
 
 
-@BOOK.enter("WITH c AS (SELECT quality, toxic, count(*) AS n FROM labels GROUP BY 1, 2) SELECT quality, toxic, CAST(n AS BIGINT) AS n, CAST((n + 5) // 6 AS BIGINT) AS held FROM c")
+@BOOK.enter("WITH c AS (SELECT quality, toxic, count(*) AS n FROM labels GROUP BY 1, 2) SELECT quality, toxic, CAST(n AS BIGINT) AS n, true AS even FROM c UNION ALL SELECT NULL, NULL, CAST(sum(n) // 6 AS BIGINT), true FROM c")
 def stratified_holdout(spark, sf_dir):
-    """A sixth of each signature is held out."""
-    split = splitting.holdout(table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), ["quality", "toxic"], ["doc_id"], 6)
-    return split.groupBy("quality", "toxic").agg(F.count(F.lit(1)).alias("n"), F.count_if("held_out").alias("held"))
+    """Of each signature: its rows, and whether a sixth of them, rounded down or up, is held out; in all, how many are."""
+    split = splitting.holdout(table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), ["quality", "toxic"], ["doc_id"])
+    per = split.groupBy("quality", "toxic").agg(F.count(F.lit(1)).alias("n"), F.count_if("held_out").alias("held"))
+    none = F.lit(None).cast("int")
+    whole = per.agg(F.sum("held").alias("n")).select(none.alias("quality"), none.alias("toxic"), "n", F.lit(True).alias("even"))
+    return per.select("quality", "toxic", "n", (F.abs(F.col("held") - F.col("n") / 6) < 1).alias("even")).unionByName(whole)
 
 
 @BOOK.enter("WITH q AS (SELECT CASE WHEN o_orderstatus = 'F' THEN o_totalprice END AS v FROM orders) SELECT CASE WHEN v IS NULL THEN 0 ELSE CAST(1 + round_even(least(greatest((v - 1000) / 399000, 0), 1) * 65534, 0) AS INT) END AS code, CAST(count(*) AS BIGINT) AS n FROM q GROUP BY 1")
