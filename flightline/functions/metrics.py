@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flightline.functions import ranks
+from flightline.sources.scratch import stored
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -77,6 +78,26 @@ def roc_points(ranked: DataFrame) -> DataFrame:
     return ranked.withColumns({"fpr": F.try_divide(F.col("fp"), F.col("neg")), "tpr": F.try_divide(F.col("tp"), F.col("pos")), "precision": F.col("tp") / (F.col("tp") + F.col("fp"))})
 
 
+def curves(df: DataFrame, keys: list[str], truth: Column, score: Column) -> DataFrame:
+    """``keys, curve, x, y, threshold``: both curves of each key as a chart draws them; nothing for keys with one class only.
+
+    ``roc`` (false-positive rate, sensitivity) begins at (0, 0), whose threshold 'call nothing' is written as
+    1, and leaves out points that lie between two equal steps.  ``pr`` (recall, precision) has every
+    distinct score and ends with recall 0 and precision 1, which no threshold has.
+    """
+    tied = df.where(score.isNotNull() & truth.isNotNull()).groupBy(*keys, score.cast("double").alias("score")).agg(F.sum(F.when(truth == 1, 1).otherwise(0)).cast("double").alias("p"), F.sum(F.when(truth == 1, 0).otherwise(1)).cast("double").alias("n"))
+    placed = stored(ranks.running(tied, keys, ["score"], ["p", "n"], descending=True, following=True).where("p_all > 0 and n_all > 0"), "curve-points")
+    # A point stays if the step to it and the step from it differ; the first and the last always do.
+    first = (F.col("p_upto") == F.col("p")) & (F.col("n_upto") == F.col("n"))
+    bend = first | F.col("p_next").isNull() | (F.col("p_next") != F.col("p")) | (F.col("n_next") != F.col("n"))
+    roc = placed.where(bend).select(*keys, F.lit("roc").alias("curve"), (F.col("n_upto") / F.col("n_all")).alias("x"), (F.col("p_upto") / F.col("p_all")).alias("y"), F.col("score").alias("threshold"))
+    pr = placed.select(*keys, F.lit("pr").alias("curve"), (F.col("p_upto") / F.col("p_all")).alias("x"), (F.col("p_upto") / (F.col("p_upto") + F.col("n_upto"))).alias("y"), F.col("score").alias("threshold"))
+    ends = F.array(F.struct(F.lit("roc").alias("curve"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(1.0).alias("threshold")), F.struct(F.lit("pr").alias("curve"), F.lit(0.0).alias("x"), F.lit(1.0).alias("y"), F.lit(None).cast("double").alias("threshold")))
+    # The step from 'call nothing' to the first score, told by its counts.
+    added = placed.where(first).select(*keys, F.explode(ends).alias("_end")).select(*keys, "_end.*")
+    return roc.unionByName(pr).unionByName(added)
+
+
 def brier(df: DataFrame, keys: list[str], truth: Column, score: Column) -> DataFrame:
     return df.groupBy(*keys).agg(F.avg(F.pow(score - truth, 2)).alias("brier"))
 
@@ -93,6 +114,33 @@ def threshold_sweep(df: DataFrame, keys: list[str], truth: Column, score: Column
     return full.select(*keys, (F.col("cell") / steps).alias("threshold"), tp.alias("tp"), fp.alias("fp"), (F.sum("p").over(every) - tp).alias("fn"), (F.sum("n").over(every) - fp).alias("tn"))
 
 
+def over_time(scores: DataFrame, time: str, class_: str, truth: Column, score: Column, thresholds: DataFrame, least: int = 5, at: list[float] | None = None) -> DataFrame:
+    """Averages over classes at each time: ``time, classes, support, macro_<ratio>, micro_<ratio>, macro_auroc, macro_average_precision``.
+
+    A row of ``scores`` is a run, a time and a class; ``truth`` is 1 where the failure shows by then.  Each
+    class is called at its own threshold (``thresholds``: class, threshold).  Classes with fewer than
+    ``least`` positives at a time don't count there, and times at which none does have no row.  ``at``
+    names the times wanted; all of them come out of the same aggregates.
+    """
+    per = by_time(scores, time, class_, truth, score, thresholds, at).where(F.col("support") >= least)
+    cells = ("tp", "fp", "fn", "tn")
+    macro = [F.avg(r).alias(f"macro_{r}") for r in (*RATIOS, "auroc", "average_precision")]
+    sums = per.groupBy(time).agg(F.count(F.lit(1)).alias("classes"), *macro, *[F.sum(c).alias(c) for c in cells])
+    pooled = battery(sums)
+    return pooled.select(time, "classes", "support", *[F.col(f"macro_{r}") for r in RATIOS], *[F.col(r).alias(f"micro_{r}") for r in RATIOS], "macro_auroc", "macro_average_precision")
+
+
+def by_time(scores: DataFrame, time: str, class_: str, truth: Column, score: Column, thresholds: DataFrame, at: list[float] | None = None) -> DataFrame:
+    """The record of each class at each time, at the class's own threshold (see :func:`per_class`)."""
+    wanted = scores if at is None else scores.where(F.col(time).isin(at))
+    limits = thresholds.select(F.col(class_).alias("_class"), F.col("threshold").alias("_threshold"))
+    met = wanted.join(limits, F.col(class_) == F.col("_class"))
+    return per_class(met, [time, class_], truth, score, F.col("_threshold"))
+
+
+RATIOS = ("sensitivity", "specificity", "ppv", "npv", "f1", "balanced_accuracy", "mcc")
+
+
 def averages(per_class: DataFrame, value: str, weight: str, keys: list[str] | None = None) -> DataFrame:
     """Macro and support-weighted mean over classes; NULL values and classes without weight are left out of both."""
     use = F.col(value).isNotNull() & (F.col(weight) > 0)

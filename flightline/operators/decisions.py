@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from flightline.functions.timeseries import Series, first_true
 
 # When each phase begins, from when an engine start is committed, and the calls.
-IGNITION, COMMIT, FLIGHT = 0.0, 6.5, 7.0
+IGNITION, COMMIT, FLIGHT, IGNITION_GATE = 0.0, 6.5, 7.0, -1.0
 CALLS = ("GO", "HOLD", "ENGINE_START", "COMMIT", "ABORT", "NOMINAL", "ADVISORY", "WARNING", "CRITICAL")
 
 
@@ -111,15 +111,24 @@ def event_log(*parts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def detection(truth: DataFrame, alerts: DataFrame, keys: list[str], gate: Column) -> DataFrame:
-    """For each class: positives, share detected, share in time, median latency; and alerts without a label."""
+    """For each class: positives, share detected, share in time, median latency; where the ``gate`` is NULL any alert is in time."""
     met = truth.join(alerts, keys, "left")
     seen = F.col("alert_at").isNotNull()
     late = F.col("alert_at") - F.col("manifest")
     return met.groupBy("class").agg(
-        F.count(F.lit(1)).alias("n"), F.avg(seen.cast("double")).alias("detection"), F.avg(F.coalesce(seen & (F.col("alert_at") <= gate), F.lit(False)).cast("double")).alias("in_time"), F.percentile(F.when(seen, late), F.lit(0.5)).alias("median_latency")
+        F.count(F.lit(1)).alias("n"), F.avg(seen.cast("double")).alias("detection"), F.avg((seen & (gate.isNull() | F.coalesce(F.col("alert_at") <= gate, F.lit(False)))).cast("double")).alias("in_time"), F.percentile(F.when(seen, late), F.lit(0.5)).alias("median_latency")
     )
 
 
+def gate_of(mode: Column, manifest: Column, before_ignition: list[str], before_commit: list[str], by_manifest: list[str]) -> Column:
+    """The time by which an alert must be out: at the ignition gate, at the commit gate, or NULL for any time.
+
+    Modes ``by_manifest`` have the commit gate only in runs in which they show by then.
+    """
+    commit = mode.isin(before_commit) | (mode.isin(by_manifest) & (manifest <= COMMIT))
+    return F.when(mode.isin(before_ignition), IGNITION_GATE).when(commit, COMMIT)
+
+
 def evaluation(truth: DataFrame, alerts: DataFrame, runs: DataFrame, keys: list[str]) -> DataFrame:
     """:func:`detection` of each class (``truth`` with its ``gate``), and false alerts for 1,000 runs without it; ``runs`` is one row with ``total``."""
     found = detection(truth, alerts, [*keys, "class"], F.col("gate"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flightline.functions import metrics
-from flightline.operators import discovery, graph, reports, splitting
+from flightline.operators import discovery, graph, preparing, reports, splitting
 from flightline.plans.book import Book, r6, table
 
 BOOK = Book()
@@ -66,18 +66,32 @@ def counts(spark, sf_dir) -> DataFrame:
     return metrics.confusion(scores(spark, sf_dir), ["class"], F.col("y"), F.col("p"), F.lit(0.5))
 
 
-@BOOK.enter(f"WITH {ORDERS}, m AS (SELECT median(qty_sum) AS m FROM wide) SELECT id, coalesce(qty_sum, m) AS qty_sum FROM wide, m")
+PREPARED = f"{ORDERS}, work AS (SELECT * FROM wide WHERE id % 5 <> 0), m AS (SELECT median(qty_sum) AS m, median(price_avg) AS mp FROM work), z AS (SELECT avg(coalesce(qty_sum, m)) AS a, stddev_pop(coalesce(qty_sum, m)) AS s, avg(coalesce(price_avg, mp)) AS ap, stddev_pop(coalesce(price_avg, mp)) AS sp FROM work, m)"
+
+
+def holed(spark, sf_dir) -> DataFrame:
+    """Orders with features missing here and there."""
+    gone = F.col("id") % 7 == 3
+    return wide(spark, sf_dir).withColumns({c: F.when(~gone, F.col(c)) for c in ("qty_sum", "price_avg")})
+
+
+_HOLED = PREPARED.replace("f.* EXCLUDE (id) FROM", "CASE WHEN o.o_orderkey % 7 <> 3 THEN qty_sum END AS qty_sum, CASE WHEN o.o_orderkey % 7 <> 3 THEN price_avg END AS price_avg, disc_avg, n_lines FROM")
+
+
+@BOOK.enter(f"WITH {_HOLED} SELECT id, round(coalesce(qty_sum, m), 6) AS qty_sum, round(coalesce(price_avg, mp), 6) AS price_avg FROM wide, m")
 def median_impute(spark, sf_dir):
-    rows = wide(spark, sf_dir)
-    median = rows.agg(F.percentile("qty_sum", F.lit(0.5)).alias("m"))
-    return rows.crossJoin(F.broadcast(median)).select("id", F.coalesce("qty_sum", "m").alias("qty_sum"))  # one number to each row
+    """Medians of four fifths of the orders, filled in in all of them."""
+    rows = holed(spark, sf_dir)
+    fitted = preparing.fit(rows.where("id % 5 <> 0"), ["qty_sum", "price_avg"])
+    return fitted.impute(rows).select("id", r6(F.col("qty_sum")).alias("qty_sum"), r6(F.col("price_avg")).alias("price_avg"))
 
 
-@BOOK.enter(f"WITH {ORDERS}, m AS (SELECT avg(qty_sum) AS a, stddev_pop(qty_sum) AS s FROM wide) SELECT id, round((qty_sum - a) / CASE WHEN s = 0 THEN 1 ELSE s END, 6) AS z FROM wide, m")
+@BOOK.enter(f"WITH {_HOLED} SELECT id, round((coalesce(qty_sum, m) - a) / CASE WHEN s = 0 THEN 1 ELSE s END, 6) AS z, round((coalesce(price_avg, mp) - ap) / CASE WHEN sp = 0 THEN 1 ELSE sp END, 6) AS z_price FROM wide, m, z")
 def zscore(spark, sf_dir):
-    rows = wide(spark, sf_dir)
-    m = rows.agg(F.avg("qty_sum").alias("a"), F.stddev_pop("qty_sum").alias("s"))
-    return rows.crossJoin(F.broadcast(m)).select("id", r6((F.col("qty_sum") - F.col("a")) / F.when(F.col("s") == 0, 1.0).otherwise(F.col("s"))).alias("z"))
+    """Scaled by mean and deviation of four fifths of the orders, after imputing."""
+    rows = holed(spark, sf_dir)
+    fitted = preparing.fit(rows.where("id % 5 <> 0"), ["qty_sum", "price_avg"])
+    return fitted.scale(rows).select("id", r6(F.col("qty_sum")).alias("z"), r6(F.col("price_avg")).alias("z_price"))
 
 
 ASSOC = f"""{ORDERS}, g AS (

@@ -149,3 +149,51 @@ def test_labels_and_training_ticks(spark):
     assert labelled.agg(F.sum("a"), F.sum("b")).first() == (30, 0)
     chosen = ft.training_ticks(ticks, [0, 39], 5)
     assert chosen.groupBy("run").count().where("count between 5 and 7").count() == 2 and chosen.where("tick in (0, 39)").count() == 4
+
+
+@pytest.mark.parametrize("block", [1, 7, 50, 1000, 10**6])
+def test_a_series_in_blocks_is_filtered_as_a_whole(spark, block):
+    """One entity in twenty blocks and more: the same as the recurrence from its first sample on."""
+    rng = np.random.default_rng(2)
+    series = {e: rng.normal(5, 1, n) for e, n in (("long", 1000), ("short", 3), (None, 40))}
+    df = spark.createDataFrame([(e, k, float(v), "x") for e, x in series.items() for k, v in enumerate(x)], "entity string, k long, v double, other string").repartition(5)
+    bands = [("hp", "v", 1.5, None), ("bp", "v", 0.15, 0.5)]
+    got = filters.filtered_bands(df, "entity", ["k"], bands, 50.0, F.floor(F.col("k") / block)).toPandas()
+    assert list(got.columns) == ["entity", "k", "v", "other", "hp", "bp"] and len(got) == 1043
+    for e, x in series.items():
+        own = got[got["entity"].isna() if e is None else got["entity"] == e].sort_values("k")
+        for name, _, low, high in bands:
+            assert np.allclose(own[name], recurrence(filters.butterworth(50.0, low, high), x), atol=1e-9), (e, name)
+
+
+def test_a_run_goes_on_from_any_sample_as_in_one_piece():
+    pdf = record(1)
+    channels = pdf[NAMES].ffill().bfill().to_numpy()
+    references, t = pdf[list(CATALOGUE.references)].to_numpy(), pdf["t"].to_numpy()
+    running = ft.Running(CATALOGUE)
+
+    def features(cuts):
+        carry, out = running.start(), []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            *_, found, carry = running.advance(carry, np.arange(a, b), t[a:b], channels[a:b], references[a:b])
+            out.append(found)
+        return np.concatenate(out)
+
+    whole = features([0, N])
+    for cuts in ([0, 1, 2, 700, 3001, 3200, 3201, 9000, N], [*range(0, N, 137), N]):
+        assert np.allclose(whole, features(cuts), rtol=1e-9, atol=1e-9, equal_nan=True)
+
+
+def test_a_channel_that_begins_late_or_never_comes(spark):
+    """A leading gap takes the first sample that comes, through batches too; a channel that never comes gives no value."""
+    pdf = record(2)
+    pdf.loc[pdf.k < 4500, "BUS_28V"] = np.nan
+    pdf["ACC_AX"] = np.nan
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "700")
+    try:
+        got = {r["tick"]: r for r in ft.feature_cube(spark.createDataFrame(pdf), CATALOGUE).where("tick in (110, 300)").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    first = pdf["BUS_28V"].bfill()[0]
+    assert got[110]["CD__BUS_28V__mean"] == pytest.approx(first) and got[110]["CD__BUS_28V__std"] == pytest.approx(0, abs=1e-9)
+    assert got[300]["ASC__ACC_AX__mean"] is None and got[300]["ASC__PC_CORE__mean"] is not None
