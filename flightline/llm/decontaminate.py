@@ -16,9 +16,12 @@ Scale: documents are scanned once; a bitmap of fixed size (``FILTER_BITS``), wha
 the benchmark, drops nearly all training seeds in the scan, and only those left are shuffled to the
 join.  A larger benchmark makes the bitmap fuller, so more seeds are shuffled; results don't change.
 
-Defined cases: null or empty texts have no tokens, and items without tokens are never found.  A passage in several places gives a row for each; repeated
-document rows give repeated work but the result is distinct.  Empty tables give an empty result.
-Rows with a null id take part, with a null id in the result.  Further columns are ignored.
+Defined cases: null or empty texts have no tokens, and items without tokens are never found.  A passage
+in several places gives a row for each; repeated document rows give repeated work but the result is
+distinct; items of equal tokens (ties) are each named.  Empty tables give an empty result.  Rows with a
+null id take part, with a null id in the result.  Further columns are ignored.  A very long text is a slice
+of its own in the scan; what leaves it are the stretches around seeds, and a stretch is laid over an item
+once, however many places of both meet.
 """
 
 from __future__ import annotations
@@ -31,13 +34,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import kernel
-from .bitmap import build_bitmap, held
-from .storage import free_name, stored
+from .bitmap import build_bitmap, held, without
+from .storage import stored
 
 #: Positions that count, relative to the seed's first token.
 MASKS: tuple[tuple[int, ...], ...] = ((0, 1, 2, 4, 6, 7), (0, 1, 4, 5, 6, 7))
 MASK_SPAN = max(places[-1] for places in MASKS) + 1
 FILTER_BITS = 1 << 24
+#: Stands for a null item id in a set of ids.
+NO_ID = -(2**63)
 PUNCTUATION = np.zeros(256, bool)
 PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
@@ -111,7 +116,7 @@ def item_seeds(tokens: DataFrame, sizes: list[int], window: int, need: int) -> D
     """``(item_id, tokens)`` to ``(seed, item_id, item_at)``; ``sizes`` are the lengths of items, all of ``window`` and more as ``window``."""
 
     def scan(batches):
-        schema = pa.schema([("seed", pa.int64()), ("item_id", pa.int64()), ("item_at", pa.int32())])
+        schema = pa.schema([("seed", pa.int64()), ("item_id", pa.string()), ("item_at", pa.int32())])
         for batch in batches:
             lists = batch.column(1)
             values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
@@ -124,7 +129,7 @@ def item_seeds(tokens: DataFrame, sizes: list[int], window: int, need: int) -> D
                 seed, at = seed[own], at[own]
                 yield _rows(schema, seed.view(np.int64), batch.column(0).take(pa.array(doc[at])), at - first[doc[at]])
 
-    return tokens.mapInArrow(scan, "seed long, item_id long, item_at int")
+    return tokens.mapInArrow(scan, "seed long, item_id string, item_at int")
 
 
 def candidate_regions(documents: DataFrame, bitmap, window: int, masks: list[tuple[int, int, tuple[int, ...]]]) -> DataFrame:
@@ -189,7 +194,10 @@ def contaminated_spans(documents: DataFrame, benchmark: DataFrame, *, id_column:
     """Rows ``doc_id, item_id, doc_start, item_start, n_tokens, n_equal``: the passages of items found in documents, in tokens."""
     spark = documents.sparkSession
     docs = documents.select(documents[id_column].cast("long").alias("doc_id"), documents[text_column].alias("text"))
-    items = stored(item_tokens(benchmark.select(benchmark[item_column].cast("long").alias("item_id"), benchmark[item_text_column].alias("text"))), "decontaminate-items")
+    named = item_tokens(benchmark.select(benchmark[item_column].cast("long").alias("item_id"), benchmark[item_text_column].alias("text")))
+    # Items of equal tokens are looked for once; ``item_id`` numbers the lists of tokens until the end.
+    every = stored(named.where(F.size("tokens") > 0).groupBy("tokens").agg(F.collect_set(F.coalesce("item_id", F.lit(NO_ID))).alias("ids")).withColumn("item_id", F.expr("uuid()")), "decontaminate-items")
+    items = every.select("item_id", "tokens")
     # At most ``window`` lengths.
     sizes = sorted(r["size"] for r in items.select(F.least(F.size("tokens"), F.lit(window)).alias("size")).where("size > 0").distinct().collect())
     masks = [mask for size in sizes for mask in masks_for(size, window, need)]
@@ -197,31 +205,33 @@ def contaminated_spans(documents: DataFrame, benchmark: DataFrame, *, id_column:
     bitmap = spark.sparkContext.broadcast(build_bitmap(seeds.select("seed"), FILTER_BITS))
     regions = stored(candidate_regions(docs, bitmap, window, masks).withColumn("region_id", F.expr("uuid()")), "decontaminate-regions")
     hits = regions.select("region_id", F.explode(F.arrays_zip("seeds", "places")).alias("hit")).select("region_id", F.col("hit.seeds").alias("seed"), F.col("hit.places").alias("place"))
-    pairs = hits.join(seeds, "seed").groupBy("region_id", "item_id", (F.col("place") - F.col("item_at")).alias("diagonal")).count().drop("count")
-    laid = pairs.join(regions.select("region_id", "doc_id", "first", F.col("tokens").alias("region")), "region_id").join(items.select(F.col("item_id").alias("held_id"), F.col("tokens").alias("item")), F.col("item_id").eqNullSafe(F.col("held_id"))).drop("held_id")
+    met = hits.join(seeds, "seed").select("region_id", "item_id", (F.col("place") - F.col("item_at")).alias("diagonal"))
+    # A row for each region and item, however many diagonals they meet on, so that a region goes out once for each item.
+    pairs = met.groupBy("region_id", "item_id").agg(F.collect_set("diagonal").alias("diagonals"))
+    laid = pairs.join(regions.select("region_id", "doc_id", "first", F.col("tokens").alias("region")), "region_id").join(items.select("item_id", F.col("tokens").alias("item")), "item_id")
 
     def verify(batches):
-        schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("doc_start", pa.int64()), ("item_start", pa.int64()), ("n_tokens", pa.int64()), ("n_equal", pa.int64())])
+        schema = pa.schema([("doc_id", pa.int64()), ("item", pa.string()), ("doc_start", pa.int64()), ("item_start", pa.int64()), ("n_tokens", pa.int64()), ("n_equal", pa.int64())])
         for batch in batches:
-            found: list[tuple] = []
-            doc_id, item_id, first, diagonal = (batch.column(c).to_pylist() for c in ("doc_id", "item_id", "first", "diagonal"))
-            region, item = batch.column("region"), batch.column("item")
+            doc_id, item_id, first = (batch.column(c).to_pylist() for c in ("doc_id", "item_id", "first"))
+            region, item, diagonals = batch.column("region"), batch.column("item"), batch.column("diagonals")
             for k in range(batch.num_rows):
-                spans = overlaps(item[k].values.to_numpy(), region[k].values.to_numpy(), diagonal[k], window, need)
-                found += [(doc_id[k], item_id[k], first[k] + at + diagonal[k], at, n, equal) for at, n, equal in spans]
-            if found:
-                yield _rows(schema, *zip(*found, strict=True))
+                own, there = item[k].values.to_numpy(), region[k].values.to_numpy()
+                found = [(doc_id[k], item_id[k], first[k] + at + d, at, n, equal) for d in diagonals[k].as_py() for at, n, equal in overlaps(own, there, d, window, need)]
+                if found:
+                    yield _rows(schema, *zip(*found, strict=True))
 
-    # One passage can lie in two regions that overlap, or be met along several hits of one diagonal.
-    return laid.mapInArrow(verify, "doc_id long, item_id long, doc_start long, item_start long, n_tokens long, n_equal long").distinct()
+    # One passage can lie in two regions that overlap.
+    spans = laid.mapInArrow(verify, "doc_id long, item string, doc_start long, item_start long, n_tokens long, n_equal long").distinct()
+    ids = every.select(F.col("item_id").alias("item"), F.explode("ids").alias("_id")).select("item", F.when(F.col("_id") != NO_ID, F.col("_id")).alias("item_id"))
+    return spans.join(ids, "item").select("doc_id", "item_id", "doc_start", "item_start", "n_tokens", "n_equal")
 
 
 def remove_contaminated(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents without a contaminated span, with their columns."""
     id_column = options.get("id_column", "doc_id")
-    leaked = free_name(documents, "_leaked")
-    spans = contaminated_spans(documents, benchmark, **options).select(F.col("doc_id").alias(leaked)).distinct()
-    return documents.join(spans, documents[id_column].cast("long").eqNullSafe(F.col(leaked)), "left_anti")
+    leaked = stored(contaminated_spans(documents, benchmark, **options).select("doc_id").distinct(), "decontaminate-leaked")
+    return without(documents, id_column, leaked)
 
 
 def op1_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:

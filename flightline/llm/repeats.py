@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernel
-from .bitmap import build_bitmap, held
+from .bitmap import build_bitmap, held, parted
 from .storage import free_name, stored
 
 WINDOW, ANCHOR = 13, 6
@@ -437,10 +437,14 @@ def remove_repeats(documents: DataFrame, *, id_column: str = "doc_id", text_colu
             columns[at_text] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    with_key = documents.mapInArrow(keyed, T.StructType([*documents.schema.fields, T.StructField(own_key, T.LongType())]))
+    # Most documents lose nothing and stay out of the exchange.
+    last = int(LAST_ID)
+    losing = work.select(F.when(F.col(own) != last, F.col(own)).alias("doc_id")).distinct()
+    untouched, touched = parted(documents, id_column, losing)
+    with_key = touched.mapInArrow(keyed, T.StructType([*documents.schema.fields, T.StructField(own_key, T.LongType())]))
     own_id = F.coalesce(with_key[id_column].cast("long"), F.lit(int(LAST_ID)))
     joined = with_key.join(work, (own_id == F.col(own)) & (F.col(own_key) == F.col(key)), "left")
-    return joined.mapInArrow(cut, documents.schema)
+    return untouched.unionByName(joined.mapInArrow(cut, documents.schema))
 
 
 def op9_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:

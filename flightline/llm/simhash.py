@@ -10,16 +10,18 @@ on the candidates they would bring, which the histograms of the partitions' valu
 
 Copies fall together first, as only distinct fingerprints are indexed.  A bucket in which more than
 ``large`` fingerprints share a partition's value is split by one more block of bits: the other bits
-hold at most ``radius`` differing ones, so one of any ``radius + 1`` blocks is equal.  Inside a bucket
+hold at most ``radius`` differing ones, so one of any ``radius + 1`` blocks is equal.  Where links go
+beyond the radius it is cut into parts, and each pair of parts is a bucket: what is met never depends on
+a bucket's size.  Inside a bucket
 fingerprints are compared in blocks, and what leaves it is the least spanning forest of the pairs
 within ``reach`` by their distance, never all pairs.  Components grow out of these by alternately
 linking each node's larger and smaller neighbours to the least, written to a table each round.
 
 Fingerprints of 64 bits can be told apart at small radii only: two texts that share 80 % of their
 shingles differ in about 10 of 64 bits.  For a similarity of shingle sets there is a wide scheme
-(``WIDE``): 192 bits in 16 partitions, of which two such texts have one within its threshold nine
-times out of ten; pairs met within ``reach`` that lie on a bucket's forest are verified by the exact
-similarity of their sets of shingles.
+(``WIDE``): 192 bits in 16 partitions, of which two such texts have one within its threshold in 98 of 100
+cases; pairs met within ``reach`` that lie on a bucket's forest are verified by the exact similarity of
+their sets of shingles, and groups in which some fail are decided pair by pair (:mod:`.overlaps`).
 
 Defined cases: a null or empty text, or one without words, has fingerprint zero, linked like any
 other; fewer words than a shingle make one shingle of them all.  Repeated rows and ids are rows of
@@ -40,7 +42,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import kernel
-from .bitmap import build_bitmap, held
+from .bitmap import bits_for, build_bitmap, held, parted
+from .overlaps import decided, undecided
 from .storage import free_name, stored
 
 
@@ -75,7 +78,7 @@ class Scheme:
 
 
 NARROW = Scheme()
-WIDE = Scheme(bits=192, partitions=16, radius=15, reach=42, most=1, large=16_384)
+WIDE = Scheme(bits=192, partitions=16, radius=17, reach=48, most=1, large=16_384)
 BLOCK = 1024
 
 
@@ -135,16 +138,23 @@ def from_arrow(column: pa.Array, bits: int) -> np.ndarray:
     return np.frombuffer(column.buffers()[2], ">u8", (offsets[-1] - offsets[0]) // 8, offsets[0]).astype(np.uint64).reshape(-1, bits // 64)
 
 
-def fingerprint(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", shingle: int = 3, bits: int = 64) -> DataFrame:
-    """``doc_id, node, fp`` (see :func:`nodes_of` and :func:`to_arrow`)."""
+def text_hashes(texts: kernel.Texts) -> np.ndarray:
+    """A hash of each whole text, as a long."""
+    return kernel.span_hashes(texts.data, texts.offsets[:-1], texts.offsets[1:]).view(np.int64)
+
+
+def fingerprint(documents: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", shingle: int = 3, bits: int = 64, hashed: bool = False) -> DataFrame:
+    """``doc_id, node, fp`` (see :func:`nodes_of` and :func:`to_arrow`), and ``text_hash`` if ``hashed``."""
+    names = ["doc_id", "node", "fp", "text_hash"][: 3 + hashed]
 
     def scan(batches):
         for batch in batches:
             for texts in kernel.text_slices(batch.column(1)):
                 fps = fingerprints_of(texts, shingle, bits)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(texts.first_row, len(texts)), pa.array(nodes_of(fps)), to_arrow(fps)], ["doc_id", "node", "fp"])
+                columns = [batch.column(0).slice(texts.first_row, len(texts)), pa.array(nodes_of(fps)), to_arrow(fps)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(text_hashes(texts))] if hashed else columns, names)
 
-    return documents.select(documents[id_column].cast("long").alias("doc_id"), documents[text_column].alias("text")).mapInArrow(scan, "doc_id long, node long, fp binary")
+    return documents.select(documents[id_column].cast("long").alias("doc_id"), documents[text_column].alias("text")).mapInArrow(scan, "doc_id long, node long, fp binary" + ", text_hash long" * hashed)
 
 
 def _bit(fps: np.ndarray, b: int) -> np.ndarray:
@@ -257,7 +267,16 @@ def probes_of(fps: np.ndarray, order: np.ndarray, counts: np.ndarray, tables: np
     def emit(p: int, value: np.ndarray, who: np.ndarray, query: bool) -> None:
         large = counts[p][value] > scheme.large
         put((p * 64 + 63 << 40) | (value[~large] << 24), who[~large], query)
-        if large.any():
+        if large.any() and scheme.farthest > scheme.radius:
+            # Links go beyond what blocks of bits would find, so every pair of two parts of the bucket is a bucket of its own.
+            value, who = value[large], who[large]
+            parts = np.minimum(np.ceil(counts[p][value] / max(1, scheme.large)).astype(np.int64), 4096)
+            own = (kernel.mix(fps[who, 0]) % parts.astype(np.uint64)).astype(np.int64)
+            which = np.repeat(np.arange(len(who)), parts)
+            other = np.arange(len(which)) - np.repeat(np.cumsum(parts) - parts, parts)
+            member, asking = (other, own[which]) if query else (own[which], other)
+            put((p * 64 + 62 << 40) | (value[which] << 24) | (member << 12) | asking, who[which], query)
+        elif large.any():
             rest = np.setdiff1d(order, own_bits[p], assume_unique=True)
             for block, bits in enumerate(np.array_split(rest, scheme.radius + 1)):
                 put((p * 64 + block << 40) | (value[large] << 24) | value_of(fps[who[large]], bits), who[large], query)
@@ -411,28 +430,24 @@ def shingle_sets(texts: kernel.Texts, shingle: int) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(h))])
 
 
-def verified(edges: DataFrame, distinct: DataFrame, documents: DataFrame, *, id_column: str, text_column: str, shingle: int, least: float) -> DataFrame:
-    """The ``edges`` (``a, b``) whose texts' sets of shingles have a Jaccard similarity of ``least`` or more.
-
-    Of each fingerprint one document is read, that with the least id; only documents that a bitmap of
-    those ids holds leave the scan.
-    """
+def sets_of(nodes: DataFrame, distinct: DataFrame, documents: DataFrame, *, id_column: str, text_column: str, shingle: int) -> DataFrame:
+    """``node, shingles`` of the ``nodes``, each read from one document, that with the least id (its text told by a hash, as ids may be repeated); only documents that a bitmap of those ids holds leave the scan."""
     spark = documents.sparkSession
-    nodes = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
-    wanted = stored(nodes.join(distinct, "node").where("least is not null").select("node", F.col("least").alias("doc_id")), "near-wanted")
-    n, bits = wanted.count(), 1 << 20
-    while bits < 1 << 28 and bits < 32 * n:
-        bits *= 2
-    cells = spark.sparkContext.broadcast(build_bitmap(wanted.select(F.xxhash64("doc_id").alias("key")), bits))
+    wanted = stored(nodes.join(distinct, "node").where("least is not null").select("node", F.col("least").alias("doc_id"), "text_hash"), "near-wanted")
+    cells = spark.sparkContext.broadcast(build_bitmap(wanted.select(F.xxhash64("doc_id").alias("key")), bits_for(wanted.count())))
 
     def scan(batches):
         for batch in batches:
             part = batch.filter(pa.array(held(cells.value, kernel.ints(batch.column(2)))))
             for texts in kernel.text_slices(part.column(1)):
-                yield pa.RecordBatch.from_arrays([part.column(0).slice(texts.first_row, len(texts)), shingle_sets(texts, shingle)], ["doc_id", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0).slice(texts.first_row, len(texts)), pa.array(text_hashes(texts)), shingle_sets(texts, shingle)], ["doc_id", "text_hash", "shingles"])
 
     docs = documents.select(documents[id_column].cast("long").alias("doc_id"), documents[text_column].alias("text")).withColumn("key", F.xxhash64("doc_id"))
-    sets = stored(docs.mapInArrow(scan, "doc_id long, shingles binary").join(wanted, "doc_id").select("node", "shingles"), "near-shingles")
+    return stored(docs.mapInArrow(scan, "doc_id long, text_hash long, shingles binary").join(wanted, ["doc_id", "text_hash"]).select("node", "shingles").dropDuplicates(["node"]), "near-shingles")
+
+
+def verified(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The ``edges`` (``a, b``) whose sets of shingles have a Jaccard similarity of ``percent`` hundredths or more."""
     both = edges.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("own")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("other")), "b").select("a", "b", "own", "other")
 
     def compare(batches):
@@ -441,13 +456,30 @@ def verified(edges: DataFrame, distinct: DataFrame, documents: DataFrame, *, id_
             for k, (x, y) in enumerate(zip(batch.column(2), batch.column(3), strict=True)):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 common = len(np.intersect1d(x, y, assume_unique=True))
-                keep[k] = common >= least * (len(x) + len(y) - common) and common > 0
+                keep[k] = 100 * common >= percent * (len(x) + len(y) - common) and common > 0
             part = batch.filter(pa.array(keep))
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"])
 
     return both.mapInArrow(compare, "a long, b long").distinct()
 
 
+def roots_of_near_sets(met: DataFrame, distinct: DataFrame, documents: DataFrame, *, id_column: str, text_column: str, shingle: int, percent: int) -> DataFrame:
+    """``node, root`` of the links among sets of shingles, from pairs ``met`` (``a, b``) that hold together all that may be near each other.
+
+    The pairs themselves are verified first.  Where a group that they hold together does not become one
+    component by that, all its sets of different components are compared: a pair that no met one
+    stands for is not lost.
+    """
+    nodes = met.select(F.col("a").alias("node")).unionByName(met.select(F.col("b").alias("node"))).distinct()
+    sets = sets_of(nodes, distinct, documents, id_column=id_column, text_column=text_column, shingle=shingle)
+    good = stored(verified(met, sets, percent), "near-links")
+    roots = stored(components(good), "near-roots")
+    groups = components(met).select("node", F.col("root").alias("band"))
+    sizes = sets.select("node", (F.length("shingles") / 8).cast("long").alias("n_shingles"))
+    left = stored(undecided(groups, roots, sizes, 3), "near-undecided")
+    return roots if left.isEmpty() else components(good.unionByName(decided(left, sets, percent, "long")))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, root``: the least node reachable, for every node of ``edges`` (``a, b`` longs).
 
@@ -474,12 +506,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _grouped(documents: DataFrame, id_column: str, text_column: str, shingle: int, scheme: Scheme, least_similarity: float | None) -> tuple[DataFrame, DataFrame]:
     """``doc_id, node, fp`` of every document, and ``node, root, component_id, component_size`` of every fingerprint."""
-    fps = stored(fingerprint(documents, id_column=id_column, text_column=text_column, shingle=shingle, bits=scheme.bits), "simhash")
-    distinct = stored(fps.groupBy("node", "fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "simhash-distinct")
+    verify = least_similarity is not None
+    fps = stored(fingerprint(documents, id_column=id_column, text_column=text_column, shingle=shingle, bits=scheme.bits, hashed=verify), "simhash")
+    told = [F.min_by("text_hash", "doc_id").alias("text_hash")] * verify
+    distinct = stored(fps.groupBy("node", "fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"), *told), "simhash-distinct")
     found = links(distinct, scheme)
-    if least_similarity is not None:
-        found = verified(stored(found, "simhash-candidates"), distinct, documents, id_column=id_column, text_column=text_column, shingle=shingle, least=least_similarity)
-    roots = components(found).select(F.col("node").alias("inner"), "root")
+    if least_similarity is None:
+        near = components(found)
+    else:
+        near = roots_of_near_sets(stored(found, "simhash-candidates"), distinct, documents, id_column=id_column, text_column=text_column, shingle=shingle, percent=round(100 * least_similarity))
+    roots = near.select(F.col("node").alias("inner"), "root")
     # Components of fingerprints, by their least document.
     grouped = distinct.join(roots, F.col("node") == F.col("inner"), "left").select("node", "least", "copies", F.coalesce("root", "node").alias("root"))
     totals = grouped.groupBy("root").agg(F.min("least").alias("component_id"), F.sum("copies").alias("component_size"))
@@ -496,17 +532,19 @@ def keep_one(documents: DataFrame, *, id_column: str = "doc_id", text_column: st
     """One document of each component, with its columns: that with the least id, null ids last, and of rows that share it any one."""
     fps, named = _grouped(documents, id_column, text_column, shingle, scheme, least_similarity)
     known = stored(fps.join(named, "node").select("doc_id", "node", "root", "component_id"), "simhash-components")
-    own = documents[id_column].cast("long")
     mark = free_name(documents, "_mark")
     # Ids that stand in one row only are told by the id.
     shared = stored(known.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias(mark)), "simhash-shared")
-    later = known.where("doc_id > component_id").select(F.col("doc_id").alias(mark)).distinct()
-    kept = documents.join(later, own == F.col(mark), "left_anti")
+    later = stored(known.where("doc_id > component_id").select(F.col("doc_id").alias(mark)).distinct(), "simhash-later")
+    # Only rows that may go, or whose id others have, are exchanged.
+    untouched, touched = parted(documents, id_column, later.unionByName(shared).distinct())
+    own = touched[id_column].cast("long")
+    kept = touched.join(later, own == F.col(mark), "left_anti")
     if shared.isEmpty():
-        return kept
-    kept = kept.join(shared, own.eqNullSafe(F.col(mark)), "left_anti")
+        return untouched.unionByName(kept)
+    kept = untouched.unionByName(kept.join(shared, own.eqNullSafe(F.col(mark)), "left_anti"))
     # Rows whose id others have, or that have none, are told by id and fingerprint.
-    rows = documents.join(shared, own.eqNullSafe(F.col(mark)), "left_semi")
+    rows = touched.join(shared, own.eqNullSafe(F.col(mark)), "left_semi")
     names, node = documents.columns, free_name(documents, "_node")
     place = names.index(text_column)
 
@@ -519,7 +557,9 @@ def keep_one(documents: DataFrame, *, id_column: str = "doc_id", text_column: st
     root, low = free_name(documents, "_root"), free_name(documents, "_low")
     of_node = known.select(F.col("node").alias(mark), F.col("root").alias(root), F.col("component_id").alias(low)).distinct()
     least = marked.join(of_node, F.col(node) == F.col(mark)).where(marked[id_column].cast("long").eqNullSafe(F.col(low)))
-    one = least.groupBy(root).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in documents.columns])).alias(mark))
+    # Of rows that share the id the one whose hash is least: the same one if a task runs again.
+    row = F.struct(*[F.col(f"`{c}`") for c in documents.columns])
+    one = least.groupBy(root).agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias(mark))
     return kept.unionByName(one.select(f"{mark}.*"))
 
 

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from flightline.llm import fill_middle, filter_audit, kernel, minmax
+from flightline.llm import fill_middle, filter_audit, kernel, minmax, overlaps
 
 from .brute import ODD_TEXTS, PASSAGE, documents, words
 
@@ -183,7 +183,7 @@ def checked(spark, rows):
 @pytest.mark.parametrize(("stretch", "block"), [(1000, 1024), (3, 8)])
 def test_min_max_hashing_equals_all_pairs(spark, monkeypatch, stretch, block):
     monkeypatch.setattr(minmax, "STRETCH", stretch)
-    monkeypatch.setattr(minmax, "BLOCK_SETS", block)
+    monkeypatch.setattr(overlaps, "BLOCK_SETS", block)
     texts = [*ODD_TEXTS, *near_texts(stretch), "word and more words " * 15_000]
     rng = np.random.default_rng(1)
     rows = [(int(i), t) for i, t in zip(rng.permutation(len(texts)), texts, strict=True)]
@@ -198,7 +198,7 @@ def test_min_max_hashing_of_nothing(spark):
 
 def test_a_dense_group_without_links_is_decided_exactly(spark, monkeypatch):
     """Copies of one text under the limit of each other share most bands."""
-    monkeypatch.setattr(minmax, "BLOCK_SETS", 64)
+    monkeypatch.setattr(overlaps, "BLOCK_SETS", 64)
     rng = np.random.default_rng(3)
     base = [f"w{k}" for k in range(80)]
     checked(spark, [(k, edited(rng, base, 2)) for k in range(150)])

@@ -1,5 +1,7 @@
 """The pipeline's stages against plain versions of what each must do, on small and on odd documents."""
 
+import dataclasses
+import dataclasses
 import itertools
 import zlib
 from collections import defaultdict
@@ -8,7 +10,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from flightline.llm import packing, toxicity
+from flightline.llm import packing, simhash, toxicity
 
 from .brute import ODD_TEXTS, PASSAGE, words
 from .test_text_operators import repeats_of, spans_of, sums_of
@@ -151,3 +153,28 @@ def test_an_empty_table_goes_through(spark, folder, tmp_path):
 
 def test_run_gives_what_the_stages_give(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+def test_near_copies_at_the_limit_are_linked_whatever_a_bucket_holds(spark):
+    """Pairs that share 80 to 90 % of their shingles, some only through a third text: all are found, in buckets of any size."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for group in range(40):
+        size = int(rng.integers(150, 600))
+        base = [f"w{k}" for k in rng.integers(0, 3000, size)]
+        for _ in range(3):
+            text = list(base)
+            for at in rng.integers(0, size, size // int(rng.integers(90, 140))):
+                text[at] = f"e{rng.integers(0, 10**6)}"
+            rows.append((len(rows), " ".join(text)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for _, t in rows)]
+    pairs = [(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    found = []
+    for large in (16_384, 2):
+        scheme = dataclasses.replace(simhash.WIDE, large=large)
+        root = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, shingle=5, scheme=scheme, least_similarity=0.8).collect()}
+        assert sum(root[i] == root[j] for i, j in pairs) >= 0.95 * len(pairs) and len(pairs) > 60
+        assert all(any(root[k] == root[i] and len(sets[k] & sets[i]) >= 0.8 * len(sets[k] | sets[i]) for k in root if k != i) for i in root if root[i] != i)
+        found.append(root)
+    assert found[0] == found[1]

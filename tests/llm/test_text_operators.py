@@ -108,6 +108,18 @@ def test_decontamination_tolerates_substitutions_and_leaves_clean_documents(spar
     assert decontaminate.contaminated_spans(docs.limit(0), items).count() == 0 and decontaminate.contaminated_spans(docs, items.limit(0)).count() == 0
 
 
+def test_a_long_text_of_equal_words_and_items_of_one_template(spark):
+    """Every place of the text meets every place of the items: a row for each item, and every overlap is there."""
+    head = "please answer the question that follows in one word and say why you think so"
+    items = spark.createDataFrame([(k, f"{head} {k} {'x' * (k % 7)} end{k}") for k in range(300)] + [(1000, "word " * 13), (1001, "word " * 13), (None, "word " * 13)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "word " * 20_000), (2, f"before {head} 7 end7"), (3, f"{head} 299 end299 " * 3), (4, "nothing of it")], "doc_id long, text string")
+    spans = decontaminate.contaminated_spans(docs, items).collect()
+    long = [r for r in spans if r["doc_id"] == 1]
+    assert {r["item_id"] for r in long} == {1000, 1001, None} and len(long) == 3 * 19_988 and all(r["n_tokens"] == r["n_equal"] == 13 for r in long)
+    assert {r["item_id"] for r in spans if r["doc_id"] == 2} == set(range(300)) and not any(r["doc_id"] == 4 for r in spans)
+    assert decontaminate.remove_contaminated(docs, items).select("doc_id").collect()[0][0] == 4
+
+
 # 2 ----------------------------------------------------------------------------------------------
 def base_of(text):
     w = words(text)
