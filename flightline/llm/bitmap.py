@@ -13,6 +13,8 @@ from .storage import free_name
 
 #: Cells of the largest bitmap (32 MB); a fuller one lets more rows through to an exact join.
 MOST_BITS = 1 << 28
+#: Ids that are broadcast as they are (some 30 MB); more of them go through a bitmap.
+BROADCAST_IDS = 1_000_000
 
 
 def build_bitmap(hashes: DataFrame, bits: int) -> np.ndarray:
@@ -51,24 +53,31 @@ def bits_for(n: int) -> int:
 
 
 def parted(rows: DataFrame, id_column: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``rows`` whose id is certainly none of ``ids`` (the one column, longs), and the others, which may be: few, so that only they need a join.
+    """``rows`` whose id is certainly none of ``ids`` (the one column, longs without repetition), and the others, which may be: few, so that only they need a join.
 
-    Null ids take part like any other.  Rows go through unchanged; each part is a scan of its own.
+    Null ids take part like any other.  Rows go through unchanged and stay out of exchanges; each part is
+    a scan of its own.
     """
     (name,) = ids.columns
     spark = rows.sparkSession
+    n = ids.count()
+    if n <= BROADCAST_IDS:
+        mark = free_name(rows, "_id_of")
+        listed = F.broadcast(ids.select(F.col(name).cast("long").alias(mark)))
+        met = F.col(f"`{id_column}`").cast("long").eqNullSafe(F.col(mark))
+        return rows.join(listed, met, "left_anti"), rows.join(listed, met, "left_semi")
     keys = ids.select(F.xxhash64(F.col(name).cast("long")).alias("key"))
-    cells = spark.sparkContext.broadcast(build_bitmap(keys, bits_for(ids.count())))
+    cells = spark.sparkContext.broadcast(build_bitmap(keys, bits_for(n)))
     key = free_name(rows, "_key")
     keyed = rows.withColumn(key, F.xxhash64(F.col(f"`{id_column}`").cast("long")))
-    n = len(rows.columns)
+    width = len(rows.columns)
 
     def part(wanted: bool):
         def scan(batches):
             for batch in batches:
-                mask = pa.array(held(cells.value, kernel.ints(batch.column(n))) == wanted)
+                mask = pa.array(held(cells.value, kernel.ints(batch.column(width))) == wanted)
                 kept = batch.filter(mask)
-                yield pa.RecordBatch.from_arrays(kept.columns[:n], batch.schema.names[:n])
+                yield pa.RecordBatch.from_arrays(kept.columns[:width], batch.schema.names[:width])
 
         return keyed.mapInArrow(scan, T.StructType(rows.schema.fields))
 

@@ -15,6 +15,8 @@ tested.
 Defined cases: a null URL, or one without ``://``, has empty host and path; an empty host or path
 matches rules as any other string would, so a rule path other than "" never fits an empty path.
 Repeated rows are judged alike; an empty table gives an empty result; further columns are ignored.
+A very long URL is hashed whole; only its host and path are kept.  Ties: of fitting rules of one length that
+with the longer host counts, of rules with one key the last.
 """
 
 from __future__ import annotations

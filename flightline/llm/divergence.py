@@ -20,6 +20,8 @@ least distance.  Words here are lower-cased (A-Z) and lose ASCII punctuation at
 Defined cases: a null or empty text has no words and fails the base rule; where no language has a
 reference, distances are null and only the base rule decides.  Repeated rows are judged alike; null
 ids are passed on; an empty table gives an empty result; further columns are ignored.
+A very long text is a slice of its own, so a task holds one such text; there is nothing to tie, as a
+limit that is met exactly is no failure.
 """
 
 from __future__ import annotations

@@ -21,6 +21,7 @@ Defined cases: null is the empty text, whose only token is the end.  Rows with e
 each by itself; a row with a null id trains and is not held out.  Without training rows every
 token is unknown, and the base score is that of no counts.  An empty table gives an empty result;
 further columns are ignored.
+A very long text lies in one block, which is then as long as it; ties do not arise.
 """
 
 from __future__ import annotations

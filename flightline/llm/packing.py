@@ -12,7 +12,8 @@ length, which is counted in buckets, so no length, however frequent, meets in on
 
 Defined cases: null is the empty text, a piece of just the end id.  Rows with equal ids are packed
 each by itself; a null id is passed on.  An empty table gives an empty result.  Further columns are
-ignored.
+ignored.  A very long text is tokenised whole and cut into pieces.  Ties: pieces of equal length are taken in
+any order, as all orders need as many sequences.
 """
 
 from __future__ import annotations

@@ -28,6 +28,8 @@ too, and its passage goes to each of those shards.  Either way the rows made fol
 Defined cases: null is the empty text; a text of fewer than ``window`` words loses nothing.  Rows
 with equal ids are one document each, neither before the other; a null id counts like the largest
 long.  An empty table gives an empty result; further columns are ignored.
+A very long text is a slice of its own in the scans and is cut whole.  Ties: of rows with the least id of a
+window each keeps it.
 """
 
 from __future__ import annotations

@@ -28,6 +28,8 @@ other; fewer words than a shingle make one shingle of them all.  Repeated rows a
 their own that link like others; a null id counts as larger than any other.  Where similarity is
 verified, a text that stands under null ids alone links to its copies only, and of several texts
 under one id any may hold a link.  Empty tables give an empty result; further columns are ignored.
+A very long text is a slice of its own; what leaves the scan is its fingerprint.  Ties: a bit set in exactly
+half of the hashes is 0, and of equally near pairs that with the lesser nodes is taken.
 """
 
 from __future__ import annotations

@@ -16,6 +16,8 @@ Defined cases: a null or empty text, or one with no scoring clause, gets the sco
 Rows with a null id take no part in learning and are scored; repeated rows are scored alike, and of
 repeated labels each counts.  Without labels of both kinds nothing is learned: fixed insults and
 weights are used.  Empty tables give an empty result; further columns are ignored.
+A very long text is read whole, as a slice of its own.  Ties: of rows whose ids have equal hashes the
+lesser ids are learned from.
 """
 
 from __future__ import annotations

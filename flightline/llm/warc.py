@@ -20,6 +20,7 @@ a null id is written as a record without the page's id, is read back as null, an
 nothing could tell it from others.  Repeated rows (same id, same payload) are alike: if theirs is
 the largest id of the group, all are responses, else all are revisits.  Empty tables give empty
 archives and results.  Further columns are ignored.
+A very long payload is held whole by the task that scans it, and by no exchange.
 """
 
 from __future__ import annotations

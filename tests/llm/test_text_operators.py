@@ -625,3 +625,16 @@ def test_plan_works_on_counts_not_pieces():
     assert packing.plan({1200: 10**9}, 2048) == Counter({((1200, 1),): 10**9})
     assert packing.plan({}, 2048) == Counter()
     assert time.perf_counter() - began < 5
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_rows_without_listed_ids_whether_broadcast_or_by_a_bitmap(spark, monkeypatch, most):
+    from flightline.llm import bitmap
+
+    monkeypatch.setattr(bitmap, "BROADCAST_IDS", most)
+    rows = spark.createDataFrame([(k % 50 if k % 11 else None, f"text {k}", k) for k in range(300)], "doc_id long, text string, _id_of int")
+    ids = spark.createDataFrame([(3,), (7,), (None,), (10**12,)], "gone long")
+    kept = bitmap.without(rows, "doc_id", ids)
+    assert kept.columns == rows.columns and sorted(r["_id_of"] for r in kept.collect()) == [k for k in range(300) if k % 11 and k % 50 not in (3, 7)]
+    untouched, touched = bitmap.parted(rows, "doc_id", ids)
+    assert untouched.count() + touched.count() == 300 and touched.where("doc_id is null").count() == 28 and untouched.where("doc_id in (3, 7)").count() == 0
