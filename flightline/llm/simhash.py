@@ -472,14 +472,30 @@ def roots_of_near_sets(met: DataFrame, distinct: DataFrame, documents: DataFrame
     component by that, all its sets of different components are compared: a pair that no met one
     stands for is not lost.
     """
-    nodes = met.select(F.col("a").alias("node")).unionByName(met.select(F.col("b").alias("node"))).distinct()
+    nodes = stored(met.select(F.col("a").alias("node")).unionByName(met.select(F.col("b").alias("node"))).distinct(), "near-nodes")
     sets = sets_of(nodes, distinct, documents, id_column=id_column, text_column=text_column, shingle=shingle)
-    good = stored(verified(met, sets, percent), "near-links")
-    roots = stored(components(good), "near-roots")
-    groups = components(met).select("node", F.col("root").alias("band"))
+    roots = stored(components(stored(verified(met, sets, percent), "near-links")), "near-roots")
+    crossing = stored(_between_components(met, roots), "near-crossing")
+    if crossing.isEmpty():
+        return roots
+    # Only components that a met pair joins to another one are of use from here on.
+    groups = components(crossing).select(F.col("node").alias("root"), F.col("root").alias("band"))
+    every = groups.unionByName(groups.select(F.col("band").alias("root"), "band").distinct())
+    rooted = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
     sizes = sets.select("node", (F.length("shingles") / 8).cast("long").alias("n_shingles"))
-    left = stored(undecided(groups, roots, sizes, 3), "near-undecided")
-    return roots if left.isEmpty() else components(good.unionByName(decided(left, sets, percent, "long")))
+    left = stored(undecided(rooted.join(every, "root").select("band", "node"), roots, sizes, 3), "near-undecided")
+    if left.isEmpty():
+        return roots
+    top = stored(components(_between_components(decided(left, sets, percent, "long"), roots)), "near-top")
+    above = top.select(F.col("node").alias("root"), F.col("root").alias("_top"))
+    return roots.join(above, "root", "left").select("node", F.coalesce("_top", "root").alias("root")).unionByName(top)
+
+
+def _between_components(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """The edges as pairs of different roots."""
+    of = lambda end: roots.select(F.col("node").alias(end), F.col("root").alias(f"_{end}"))
+    met = edges.select("a", "b").join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"))
+    return met.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
