@@ -134,7 +134,7 @@ def by_time(scores: DataFrame, time: str, class_: str, truth: Column, score: Col
     """The record of each class at each time, at the class's own threshold (see :func:`per_class`)."""
     wanted = scores if at is None else scores.where(F.col(time).isin(at))
     limits = thresholds.select(F.col(class_).alias("_class"), F.col("threshold").alias("_threshold"))
-    met = wanted.join(limits, F.col(class_) == F.col("_class"))
+    met = stored(wanted.join(limits, F.col(class_) == F.col("_class")), "scores-at-times")
     return per_class(met, [time, class_], truth, score, F.col("_threshold"))
 
 

@@ -127,6 +127,17 @@ def envelope(df: DataFrame, keys: list[str], index: Column, value: Column, size:
     return binned.groupBy(*keys, "bin").agg(F.min(value).alias("low"), F.max(value).alias("high"), F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n")).where(F.col("n") == size).drop("n")
 
 
+def percentile_band(bins: DataFrame, keys: list[str], value: str, low: float = 0.05, high: float = 0.95) -> DataFrame:
+    """``keys, low, high``: the band between two percentiles across entities at each place (linear between values); a place has a value for each entity at most."""
+    return bins.groupBy(*keys).agg(F.percentile(value, F.lit(low)).alias("low"), F.percentile(value, F.lit(high)).alias("high"))
+
+
+def gravest_so_far(series: Series, flags: list[tuple[Column, int]]) -> Column:
+    """The greatest code whose flag has been true at any sample so far (0: none)."""
+    now = F.greatest(F.lit(0), *[F.when(flag, code).otherwise(0) for flag, code in flags])
+    return F.max(now).over(series.so_far())
+
+
 def backward_asof(left: DataFrame, right: DataFrame, time: str, reference_time: str, payload: list[str], keys: tuple[str, ...], bucket: Callable[[Column], Column] | None = None) -> DataFrame:
     """Each left row with the last right row at or before it, by a union and windows instead of a range join.
 

@@ -67,6 +67,14 @@ def evidence(alerts: DataFrame, features: DataFrame, reference: DataFrame, keys:
     return met.withColumn("place", place).where(F.col("place") <= k)
 
 
+def unusual(features: DataFrame, reference: DataFrame, keys: list[str], k: int = 8, reference_keys: list[str] | None = None) -> DataFrame:
+    """The ``k`` features of each snapshot (``keys``) that lie farthest from their reference, by ``z``; hardly varying references are skipped."""
+    z = (F.col("value") - F.col("mean")) / F.col("std")
+    met = features.join(reference, reference_keys or ["feature"]).where("std >= 1e-6 and value is not null").withColumn("z", z)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(F.round(F.abs("z"), 9)), "feature"))
+    return met.withColumn("place", place).where(F.col("place") <= k)
+
+
 def limit_trips(samples: DataFrame, series: Series, limits: list[tuple[str, Column, str]], time: str, persistence: int = 5) -> DataFrame:
     """First time each fixed limit has been broken ``persistence`` samples on end, with its call: ``limits`` are (name, breach, call)."""
     names = [f"_{k}" for k in range(len(limits))]
@@ -85,19 +93,19 @@ def flight_limits(t: Column, corridor: Column) -> list[tuple[str, Column, str]]:
     """The thirteen fixed limits on the channels, with their windows and calls (fixed values); ``corridor`` is the width allowed to the deviation."""
     c = F.col
     rows = [
-        ("LOX tank pressure below 3.30 bar", "HOLD", -40.0, 0.0, c("P_LOX_TANK") < 3.30),
-        ("LH2 tank pressure outside 2.15-2.45 bar", "HOLD", -35.0, 0.0, (c("P_LH2_TANK") < 2.15) | (c("P_LH2_TANK") > 2.45)),
-        ("Bus voltage below 27.0 V", "HOLD", -30.0, 0.0, c("BUS_28V") < 27.0),
-        ("Chamber pressure below 100 bar after H0 + 3.5 s", "ABORT", 3.5, 7.0, c("PC_CORE") < 100.0),
-        ("Turbine inlet temperature above 950 K", "ABORT", 0.0, 7.0, c("T_TURB_IN") > 950.0),
-        ("LOX pump speed above 103.5 %", "ABORT", 0.0, 7.0, c("N_LOX_TP") > 103.5),
-        ("Engine-bay vibration above 2 g rms", "ABORT", 0.0, 7.0, c("VIB_ENG") > 2.0),
-        ("Turbine inlet temperature above 950 K", "ALARM", 7.0, 150.0, c("T_TURB_IN") > 950.0),
-        ("Chamber pressure below 105 bar", "ALARM", 7.5, 134.0, c("PC_CORE") < 105.0),
-        ("TVC deflection above 4 deg", "ALARM", 7.0, 150.0, (F.abs(c("TVC_PITCH")) > 4.0) | (F.abs(c("TVC_YAW")) > 4.0)),
-        ("Booster pressure difference above 8 bar", "ALARM", 8.0, 122.0, F.abs(c("PC_SRB_L") - c("PC_SRB_R")) > 8.0),
-        ("Engine-bay vibration above 6 g rms", "ALARM", 7.0, 150.0, c("VIB_ENG") > 6.0),
-        ("Trajectory deviation beyond the flight-safety corridor", "ALARM", 7.0, 150.0, c("TRAJ_DEV") > corridor),
+        ("lox_low", "HOLD", -40.0, 0.0, c("P_LOX_TANK") < 3.30),
+        ("lh2_off", "HOLD", -35.0, 0.0, (c("P_LH2_TANK") < 2.15) | (c("P_LH2_TANK") > 2.45)),
+        ("bus_low", "HOLD", -30.0, 0.0, c("BUS_28V") < 27.0),
+        ("chamber_slow", "ABORT", 3.5, 7.0, c("PC_CORE") < 100.0),
+        ("turbine_hot_at_start", "ABORT", 0.0, 7.0, c("T_TURB_IN") > 950.0),
+        ("pump_fast", "ABORT", 0.0, 7.0, c("N_LOX_TP") > 103.5),
+        ("shaking_at_start", "ABORT", 0.0, 7.0, c("VIB_ENG") > 2.0),
+        ("turbine_hot_in_flight", "ALARM", 7.0, 150.0, c("T_TURB_IN") > 950.0),
+        ("chamber_low", "ALARM", 7.5, 134.0, c("PC_CORE") < 105.0),
+        ("nozzle_far", "ALARM", 7.0, 150.0, (F.abs(c("TVC_PITCH")) > 4.0) | (F.abs(c("TVC_YAW")) > 4.0)),
+        ("boosters_apart", "ALARM", 8.0, 122.0, F.abs(c("PC_SRB_L") - c("PC_SRB_R")) > 8.0),
+        ("shaking_in_flight", "ALARM", 7.0, 150.0, c("VIB_ENG") > 6.0),
+        ("off_path", "ALARM", 7.0, 150.0, c("TRAJ_DEV") > corridor),
     ]
     return [(name, within(breach, t, start, stop), said) for name, said, start, stop, breach in rows]
 
@@ -187,5 +195,5 @@ def contrast(truth: DataFrame, alerts: DataFrame, keys: list[str], a: str, b: st
 
 __all__ = [
     "alert_level", "call", "call_changes", "calls", "caught_before", "contrast", "decide", "detection", "event_log", "evidence", "false_alerts", "fired_rules", "first_true", "flight_limits", "limit_detection", "limit_trips",
-    "phase", "within",
+    "phase", "unusual", "within",
 ]

@@ -208,6 +208,19 @@ def equivalent(pairs: DataFrame, means: DataFrame, least_rows: int = 20, least_s
     return kept.select("a", "b", "substitution_rate", "similarity", grade_equivalence(F.col("substitution_rate"), F.col("similarity")).alias("grade"))
 
 
+def class_means(rows: DataFrame, label: str, vector: str) -> DataFrame:
+    """``class, mean``: the mean vector of each class, summed by place."""
+    places = rows.select(F.col(label).alias("class"), F.posexplode(vector).alias("i", "e")).groupBy("class", "i").agg(F.avg("e").alias("e"))
+    return places.groupBy("class").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "e"))), lambda x: x["e"]).alias("mean"))
+
+
+def class_cosines(means: DataFrame) -> DataFrame:
+    """``a, b, cosine`` of each two classes of a catalogue (``class, mean``; a row a class)."""
+    listed = means.agg(F.array_sort(F.collect_list(F.struct("class", "mean"))).alias("all"))
+    two = listed.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y")).where("x.class < y.class")
+    return two.select(F.col("x.class").alias("a"), F.col("y.class").alias("b"), cosine(F.col("x.mean"), F.col("y.mean")).alias("cosine"))
+
+
 def greedy_groups(pairs: list[tuple[str, str]], compatible: set[frozenset[str]] | None = None) -> list[set[str]]:
     """Merge pairs in order into groups all of whose members exclude each other (at most one row for each pair of classes).
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -56,3 +57,69 @@ def dangling(graph: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges an end of which is no node."""
     ends = graph.select("*", F.explode(F.array("src", "dst")).alias("id"))
     return ends.join(nodes.select("id"), "id", "left_anti").select("type", "src", "dst").distinct()
+
+
+# Nodes and edges with properties -----------------------------------------------------------------
+
+
+def properties(values: dict[str, Column]) -> Column:
+    """A map of what is there; a NULL is no property."""
+    pairs = F.array(*[F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in values.items()]) if values else F.array().cast("array<struct<key:string,value:string>>")
+    return F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull()))
+
+
+def property_nodes(df: DataFrame, kind: str, key: str, values: dict[str, Column] | None = None) -> DataFrame:
+    """``id, type, props``: a node for each row with a key."""
+    return df.where(F.col(key).isNotNull()).select(node_id(kind, F.col(key)).alias("id"), F.lit(kind).alias("type"), properties(values or {}).alias("props"))
+
+
+def property_edges(df: DataFrame, kind: str, src: tuple[str, str], dst: tuple[str, str], values: dict[str, Column] | None = None) -> DataFrame:
+    """``type, src, dst, props``: an edge for each row with both keys."""
+    met = df.where(F.col(src[1]).isNotNull() & F.col(dst[1]).isNotNull())
+    return met.select(F.lit(kind).alias("type"), node_id(src[0], F.col(src[1])).alias("src"), node_id(dst[0], F.col(dst[1])).alias("dst"), properties(values or {}).alias("props"))
+
+
+@dataclass(frozen=True)
+class GraphSchema:
+    """What may be in a graph: properties of each node type, and for each edge type its two ends and properties (name: type)."""
+
+    nodes: dict[str, dict[str, str]]
+    edges: dict[str, tuple[str, str, dict[str, str]]]
+
+    def typed(self, rows: DataFrame, kind: str) -> DataFrame:
+        """The nodes or edges of one type with their properties as columns."""
+        values = self.nodes[kind] if kind in self.nodes else self.edges[kind][2]
+        keys = [c for c in rows.columns if c not in ("type", "props")]
+        return rows.where(F.col("type") == kind).select(*keys, *[F.col("props")[name].try_cast(of).alias(name) for name, of in values.items()])
+
+
+def graph_audit(nodes: DataFrame, edges_: DataFrame, schema: GraphSchema) -> DataFrame:
+    """``problem, type, n``: what is wrong with a graph, counted; nothing if nothing is.
+
+    duplicate_node; undeclared_node and undeclared_edge (types); undeclared_property; unreadable_property (its
+    value is none of its declared type); wrong_end (an end of another type); dangling (an end that is no node).
+    """
+    node_types, edge_types = list(schema.nodes), list(schema.edges)
+    node_props = [(kind, name, of) for kind, values in schema.nodes.items() for name, of in values.items()]
+    edge_props = [(kind, name, of) for kind, (_, _, values) in schema.edges.items() for name, of in values.items()]
+
+    def count(rows: DataFrame, problem: str) -> DataFrame:
+        return rows.groupBy("type").agg(F.count(F.lit(1)).alias("n")).select(F.lit(problem).alias("problem"), "type", "n")
+
+    def of_properties(rows: DataFrame, declared: list[tuple[str, str, str]]) -> list[DataFrame]:
+        each = rows.select("type", F.explode("props").alias("name", "value"))
+        known = F.array(*[F.lit(f"{kind}.{name}") for kind, name, _ in declared]).cast("array<string>")
+        unknown = each.where(~F.array_contains(known, F.concat_ws(".", "type", "name")))
+        bad = F.lit(False)
+        for kind, name, of in declared:
+            bad = bad | ((F.col("type") == kind) & (F.col("name") == name) & F.col("value").try_cast(of).isNull())
+        return [count(unknown, "undeclared_property"), count(each.where(bad), "unreadable_property")]
+
+    kind_of = lambda c: F.substring_index(c, ":", 1)
+    right = reduce(lambda a, b: a | b, [(F.col("type") == k) & (kind_of("src") == s) & (kind_of("dst") == d) for k, (s, d, _) in schema.edges.items()], F.lit(False))
+    ends = edges_.select("type", F.explode(F.array("src", "dst")).alias("id"))
+    return edges(
+        nodes.groupBy("id").agg(F.count(F.lit(1)).alias("_n"), F.first("type").alias("type")).where("_n > 1").transform(lambda d: count(d, "duplicate_node")), count(nodes.where(~F.col("type").isin(node_types)), "undeclared_node"),
+        count(edges_.where(~F.col("type").isin(edge_types)), "undeclared_edge"), *of_properties(nodes, node_props), *of_properties(edges_, edge_props),
+        count(edges_.where(F.col("type").isin(edge_types) & ~right), "wrong_end"), count(ends.join(nodes.select("id"), "id", "left_anti"), "dangling"),
+    )

@@ -170,3 +170,9 @@ def clean_json(columns: list[str], decimals: int = 4) -> Column:
     """A row as JSON with NaN and infinities as null and numbers rounded."""
     good = lambda c: F.when(F.isnan(c) | (F.abs(F.col(c)) == float("inf")), F.lit(None)).otherwise(F.round(c, decimals))
     return F.to_json(F.struct(*[good(c).alias(c) for c in columns]), {"ignoreNullFields": "false"})
+
+
+def side_by_side(agent: DataFrame, limits: DataFrame) -> DataFrame:
+    """The agent's figures of each class (:func:`decisions.evaluation`) beside the share that the fixed limits caught."""
+    left = agent.select("class", "n", F.col("detection").alias("agent_detection"), F.col("in_time").alias("agent_in_time"), F.col("median_latency").alias("agent_latency"), F.col("false_per_1000").alias("agent_false_per_1000"))
+    return left.join(limits.select("class", F.col("detection").alias("limit_detection")), "class", "left")

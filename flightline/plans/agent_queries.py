@@ -13,6 +13,9 @@ from flightline.operators import decisions, graph, reports, universe
 from flightline.plans import series_queries
 from flightline.plans.book import Book, r6
 from flightline.plans.series_queries import SERIES
+from flightline.sources import scratch
+from flightline.streaming import alerts as streams
+from flightline.streaming import replays
 
 BOOK = Book()
 RUN_MODE = ts.Series(("user_id", "mode"), ("k",))
@@ -69,11 +72,17 @@ def signals(spark, sf_dir) -> DataFrame:
     return rows.withColumns({"step": F.coalesce(F.abs(h - F.lag("h").over(SERIES.ordered)), F.lit(0.0)), "mean5": SERIES.trailing_mean(h, 5)}).select("user_id", "event_id", "k", "t", "v", "h", "step", "mean5")
 
 
-def decided(spark, sf_dir) -> DataFrame:
+def kept_signals(spark, sf_dir) -> DataFrame:
+    """:func:`signals` in a table, for queries that derive scores, truth and limits from them."""
+    return scratch.stored(signals(spark, sf_dir), "signals")
+
+
+def decided(spark, sf_dir, x: DataFrame | None = None) -> DataFrame:
     p = {"LEVEL": F.col("h") / 200, "MEAN": F.col("mean5") / 120, "STEP": F.col("step") / 150}
     group = {"LEVEL": "heat", "MEAN": "heat", "STEP": None}
     modes = F.array(*[F.struct(F.lit(m).alias("mode"), F.lit(group[m]).cast("string").alias("grp"), F.lit(THRESHOLDS[m]).alias("threshold"), F.least(F.lit(1.0), c).alias("p")) for m, c in p.items()])
-    rows = signals(spark, sf_dir).select("user_id", "k", "t", F.explode(modes).alias("m")).select("user_id", "k", "t", "m.*")
+    x = signals(spark, sf_dir) if x is None else x
+    rows = x.select("user_id", "k", "t", F.explode(modes).alias("m")).select("user_id", "k", "t", "m.*")
     return decisions.decide(rows, RUN_MODE, "p", "threshold", "grp")
 
 
@@ -81,14 +90,15 @@ def calls(spark, sf_dir) -> DataFrame:
     return decisions.calls(decided(spark, sf_dir), RUN_MODE, "t", CRITICAL, WARNING)
 
 
-def alerts(spark, sf_dir) -> DataFrame:
-    return decided(spark, sf_dir).where("active").groupBy("user_id", F.col("mode").alias("class")).agg(F.min("t").alias("alert_at"))
+def alerts(spark, sf_dir, x: DataFrame | None = None) -> DataFrame:
+    return decided(spark, sf_dir, x).where("active").groupBy("user_id", F.col("mode").alias("class")).agg(F.min("t").alias("alert_at"))
 
 
-def truth(spark, sf_dir) -> DataFrame:
+def truth(spark, sf_dir, x: DataFrame | None = None) -> DataFrame:
     """``user_id, class, manifest``: when each failure shows."""
     signs = {"LEVEL": F.col("v") > 100, "MEAN": F.col("mean5") > 70, "STEP": F.col("step") > 200}
-    first = signals(spark, sf_dir).groupBy("user_id").agg(*[F.min(F.when(s, F.col("t"))).alias(c) for c, s in signs.items()])
+    x = signals(spark, sf_dir) if x is None else x
+    first = x.groupBy("user_id").agg(*[F.min(F.when(s, F.col("t"))).alias(c) for c, s in signs.items()])
     return first.unpivot("user_id", list(signs), "class", "manifest").where("manifest is not null")
 
 
@@ -96,10 +106,10 @@ def gate() -> F.Column:
     return F.create_map(*[F.lit(x) for pair in GATES.items() for x in pair])[F.col("class")]
 
 
-def trips(spark, sf_dir) -> DataFrame:
+def trips(spark, sf_dir, x: DataFrame | None = None) -> DataFrame:
     t = F.col("t")
     limits = [("hot before ignition", decisions.within(F.col("h") > 150, t, -8.0, 0.0), "HOLD"), ("hot at the start", decisions.within(F.col("h") > 120, t, 0.0, 7.0), "ABORT"), ("warm in flight", (F.col("mean5") > 60) & (t >= 7), "ALARM")]
-    return decisions.limit_trips(signals(spark, sf_dir), SERIES, limits, "t", 2)
+    return decisions.limit_trips(signals(spark, sf_dir) if x is None else x, SERIES, limits, "t", 2)
 
 
 @BOOK.enter(f"WITH {DECIDED} SELECT user_id, k, mode, round(held, 6) AS held, active, latched FROM dc")
@@ -119,6 +129,20 @@ def call_policy(spark, sf_dir):
     return calls(spark, sf_dir).select("user_id", "k", "t", "call")
 
 
+@BOOK.enter(
+    f"""WITH {DECIDED}, w AS (SELECT user_id, k, list(round(held, 6) ORDER BY mode) AS held, list(active ORDER BY mode) AS active, list(latched ORDER BY mode) AS latched FROM dc GROUP BY 1, 2)
+SELECT w.user_id, w.k, cl.t, held, active, latched, call, call IS DISTINCT FROM lag(call) OVER (PARTITION BY w.user_id ORDER BY w.k) AS changed FROM w JOIN cl ON cl.user_id = w.user_id AND cl.k = w.k"""
+)
+def streaming_calls(spark, sf_dir):
+    """Debounce, exclusion, latches, calls and their changes over a stream of the scores in five stretches of time."""
+    x = signals(spark, sf_dir)
+    p = {"LEVEL": F.col("h") / 200, "MEAN": F.col("mean5") / 120, "STEP": F.col("step") / 150}
+    rows = x.select("user_id", "k", "t", F.timestamp_seconds(replays.EPOCH + F.col("k") / 2).alias("ts"), *[F.least(F.lit(1.0), c).alias(m) for m, c in p.items()])
+    stream = streams.in_stretches(rows, "k", 5, scratch.new_path(spark, "stream-scores"))
+    found = streams.drained(replays.call_stream(stream, THRESHOLDS, [["LEVEL", "MEAN"]], CRITICAL, WARNING, run="user_id", number="k", late="1 day"), scratch.new_path(spark, "stream-calls"), "append")
+    return found.withColumn("held", F.transform("held", lambda v: F.round(v, 6)))
+
+
 @BOOK.enter(f"WITH {DECIDED} SELECT user_id, class, alert_at, CASE WHEN alert_at < 0 THEN 'HOLD' WHEN alert_at < 7 THEN 'ABORT' WHEN class = 'LEVEL' THEN 'CRITICAL' WHEN class = 'MEAN' THEN 'WARNING' ELSE 'ADVISORY' END AS level FROM al")
 def alert_level(spark, sf_dir):
     return alerts(spark, sf_dir).withColumn("level", decisions.alert_level(F.col("class"), F.col("alert_at"), CRITICAL, WARNING))
@@ -141,8 +165,9 @@ SELECT d.class, d.n, round(detection, 6) AS detection, round(in_time, 6) AS in_t
 )
 def agent_evaluation(spark, sf_dir):
     """Per class: detection, in time at its gate, median latency, false alerts for 1,000 runs without it."""
-    runs = signals(spark, sf_dir).agg(F.countDistinct("user_id").alias("total"))
-    found = decisions.evaluation(truth(spark, sf_dir).withColumn("gate", gate()), alerts(spark, sf_dir), runs, ["user_id"])
+    x = kept_signals(spark, sf_dir)
+    runs = x.agg(F.countDistinct("user_id").alias("total"))
+    found = decisions.evaluation(truth(spark, sf_dir, x).withColumn("gate", gate()), alerts(spark, sf_dir, x), runs, ["user_id"])
     return found.select("class", "n", *[r6(F.col(c)).alias(c) for c in ("detection", "in_time", "median_latency", "false_per_1000")])
 
 
@@ -197,8 +222,7 @@ def latched_limit_code(spark, sf_dir):
     t = F.col("t")
     flags = [decisions.within(F.col("h") > 150, t, -8.0, 0.0), decisions.within(F.col("h") > 120, t, 0.0, 7.0), (F.col("mean5") > 60) & (t >= 7)]
     held = signals(spark, sf_dir).withColumns({f"p{n}": SERIES.persisted(c, 2) for n, c in enumerate(flags, 1)})
-    code = F.when(F.col("p3"), 3).when(F.col("p2"), 2).when(F.col("p1"), 1).otherwise(0)
-    return held.withColumn("now", code).select("user_id", "k", F.max("now").over(SERIES.so_far()).alias("code"))
+    return held.select("user_id", "k", ts.gravest_so_far(SERIES, [(F.col(f"p{n}"), n) for n in (1, 2, 3)]).alias("code"))
 
 
 REFERENCE = """, nom AS (SELECT * FROM x WHERE user_id NOT IN (SELECT user_id FROM tr WHERE class = 'STEP')), lf AS (
@@ -374,7 +398,25 @@ def snapshot_metrics(spark, sf_dir):
 def unusual_features(spark, sf_dir):
     """The two most unusual features of each run at fixed snapshots."""
     near = features(spark, sf_dir).where("k in (10, 33, 50)").withColumn("ref_k", (F.floor(F.col("k") / 5) * 5).cast("long"))
-    z = (F.col("value") - F.col("mean")) / F.col("std")
-    met = near.join(reference(spark, sf_dir), ["feature", "ref_k"]).where("std >= 1e-6").withColumn("z", z)
-    place = F.row_number().over(Window.partitionBy("user_id", "k").orderBy(F.desc(F.round(F.abs("z"), 9)), "feature"))
-    return met.withColumn("place", place.cast("long")).where("place <= 2").select("user_id", "k", "feature", "place", r6(F.col("z")).alias("z"))
+    found = decisions.unusual(near, reference(spark, sf_dir), ["user_id", "k"], 2, ["feature", "ref_k"])
+    return found.select("user_id", "k", "feature", F.col("place").cast("long").alias("place"), r6(F.col("z")).alias("z"))
+
+
+@BOOK.enter(f"WITH {DECIDED} SELECT CASE WHEN t < 0 THEN 'countdown' WHEN t < 7 THEN 'engine_start' ELSE 'flight' END AS phase, CAST(count(*) AS BIGINT) AS ticks, CAST(count(DISTINCT user_id) AS BIGINT) AS runs FROM x GROUP BY 1")
+def phase_counts(spark, sf_dir):
+    """Ticks and runs of each phase."""
+    return signals(spark, sf_dir).groupBy(decisions.phase(F.col("t")).alias("phase")).agg(F.count(F.lit(1)).alias("ticks"), F.countDistinct("user_id").alias("runs"))
+
+
+@BOOK.enter(f"WITH {DECIDED}, n AS (SELECT user_id, count(*) AS n, count(*) FILTER (k IN (5, 12)) AS gates FROM x GROUP BY 1) SELECT user_id, CAST(gates AS BIGINT) AS gates, true AS enough FROM n")
+def training_ticks(spark, sf_dir):
+    """The ticks a run is learned from: its gates, and whether as many others as asked for are there, once each."""
+    from flightline.functions import features as ft
+
+    ticks = signals(spark, sf_dir).select(F.col("user_id").alias("run"), F.col("k").alias("tick"))
+    every = ticks.groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    chosen = ft.training_ticks(ticks, [5, 12], 8)
+    own = chosen.groupBy("run").agg(F.count_if(F.col("tick").isin(5, 12)).alias("gates"), F.count(F.lit(1)).alias("taken"), F.countDistinct("tick").alias("different"))
+    met = own.join(every, "run")
+    enough = (F.col("taken") == F.col("different")) & (F.col("taken") >= F.least(F.col("n"), F.lit(8))) & (F.col("taken") <= 8 + F.col("gates"))
+    return met.select(F.col("run").alias("user_id"), "gates", enough.alias("enough"))

@@ -70,19 +70,19 @@ THRESHOLDS = f"""{agent_queries.DECIDED}, pk AS (SELECT user_id, mode AS class,
 ), rc AS (SELECT *, CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END AS f1, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END AS sensitivity FROM cf JOIN au USING (k, class))"""
 
 
-def thresholds(spark, sf_dir) -> DataFrame:
+def thresholds(spark, sf_dir, x: DataFrame | None = None) -> DataFrame:
     """``class, threshold``: what at most a share of the runs without the class pass (their peak debounced score)."""
-    decided = agent_queries.decided(spark, sf_dir).where("user_id % 5 <> 0")
+    decided = agent_queries.decided(spark, sf_dir, x).where("user_id % 5 <> 0")
     peaks = decided.groupBy("user_id", F.col("mode").alias("class")).agg(F.max("held").alias("peak"))
-    quiet = peaks.join(agent_queries.truth(spark, sf_dir), ["user_id", "class"], "left_anti")
+    quiet = peaks.join(agent_queries.truth(spark, sf_dir, x), ["user_id", "class"], "left_anti")
     return metrics.budget_threshold(quiet, ["class"], "peak", BUDGET)
 
 
-def observed(spark, sf_dir) -> DataFrame:
+def observed(spark, sf_dir, x: DataFrame | None = None) -> DataFrame:
     """Scores of the other runs at every tick, with whether the failure shows by then."""
-    scores = agent_queries.decided(spark, sf_dir).where("user_id % 5 = 0").select("user_id", "k", "t", F.col("mode").alias("class"), "p")
+    scores = agent_queries.decided(spark, sf_dir, x).where("user_id % 5 = 0").select("user_id", "k", "t", F.col("mode").alias("class"), "p")
     shown = F.coalesce((F.col("manifest") <= F.col("t")).cast("int"), F.lit(0))
-    return scores.join(agent_queries.truth(spark, sf_dir), ["user_id", "class"], "left").withColumn("y", shown)
+    return scores.join(agent_queries.truth(spark, sf_dir, x), ["user_id", "class"], "left").withColumn("y", shown)
 
 
 @BOOK.enter(f"WITH {THRESHOLDS} SELECT class, round(threshold, 6) AS threshold FROM th")
@@ -93,7 +93,8 @@ def budget_thresholds(spark, sf_dir):
 @BOOK.enter(f"WITH {THRESHOLDS} SELECT k, class, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn, tn::BIGINT AS tn, round(f1, 6) AS f1, round(auroc, 6) AS auroc, round(ap, 6) AS average_precision FROM rc")
 def class_records_over_time(spark, sf_dir):
     """The record of every class at every tick, at its own threshold."""
-    found = metrics.by_time(observed(spark, sf_dir), "k", "class", F.col("y"), F.col("p"), thresholds(spark, sf_dir))
+    x = agent_queries.kept_signals(spark, sf_dir)
+    found = metrics.by_time(observed(spark, sf_dir, x), "k", "class", F.col("y"), F.col("p"), thresholds(spark, sf_dir, x))
     return found.select("k", "class", "tp", "fp", "fn", "tn", *[r6(F.col(c)).alias(c) for c in ("f1", "auroc", "average_precision")])
 
 
@@ -103,7 +104,8 @@ round(2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn)), 6) AS micro_f1 FROM rc WH
 )
 def metrics_over_time(spark, sf_dir):
     """Macro and micro averages at every tick over the classes with five positives or more there."""
-    found = metrics.over_time(observed(spark, sf_dir), "k", "class", F.col("y"), F.col("p"), thresholds(spark, sf_dir))
+    x = agent_queries.kept_signals(spark, sf_dir)
+    found = metrics.over_time(observed(spark, sf_dir, x), "k", "class", F.col("y"), F.col("p"), thresholds(spark, sf_dir, x))
     return found.select("k", "classes", "support", *[r6(F.col(c)).alias(c) for c in ("macro_f1", "macro_sensitivity", "macro_auroc", "micro_f1")])
 
 
@@ -116,11 +118,12 @@ SELECT d.class, CAST(d.n AS BIGINT) AS n, round(detection, 6) AS detection, roun
 )
 def streaming_metrics(spark, sf_dir):
     """Detection, in time at each class's gate (one of them only where it shows by then), latency and false alerts, without exclusion."""
-    held = agent_queries.decided(spark, sf_dir).where("user_id % 5 = 0").withColumnRenamed("mode", "class").drop("threshold")
-    over = held.join(thresholds(spark, sf_dir).select("class", "threshold"), "class").where(F.col("held") >= F.col("threshold"))
+    x = agent_queries.kept_signals(spark, sf_dir)
+    held = agent_queries.decided(spark, sf_dir, x).where("user_id % 5 = 0").withColumnRenamed("mode", "class").drop("threshold")
+    over = held.join(thresholds(spark, sf_dir, x).select("class", "threshold"), "class").where(F.col("held") >= F.col("threshold"))
     first = over.groupBy("user_id", "class").agg(F.min("t").alias("alert_at"))
     runs = held.agg(F.countDistinct("user_id").alias("total"))
-    truth = agent_queries.truth(spark, sf_dir).where("user_id % 5 = 0")
+    truth = agent_queries.truth(spark, sf_dir, x).where("user_id % 5 = 0")
     gated = truth.withColumn("gate", decisions.gate_of(F.col("class"), F.col("manifest"), ["LEVEL"], [], ["MEAN"]))
     found = decisions.evaluation(gated, first, runs, ["user_id"])
     return found.select("class", "n", *[r6(F.col(c)).alias(c) for c in ("detection", "in_time", "median_latency", "false_per_1000")])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
@@ -11,6 +12,8 @@ from flightline.functions import features as ft
 from flightline.functions import filters
 from flightline.plans import series_queries
 from flightline.plans.book import Book, r6
+from flightline.sources import scratch
+from flightline.streaming import alerts, replays
 
 BOOK = Book()
 #: Samples a second, so that a user's events span the whole record; windows are then a few samples each.
@@ -109,8 +112,8 @@ def _sql(f: ft.Feature) -> str:
     return f"CASE WHEN count(*) {gate} >= {least} THEN {value[f.how]} END"
 
 
-def _cube() -> str:
-    parts, source = [TELEMETRY], "filled"
+def _cube(telemetry: str = TELEMETRY) -> str:
+    parts, source = [telemetry], "filled"
     so = "WINDOW so AS (PARTITION BY run ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     for n, level in enumerate(LEVELS):
         parts.append(f"d{n} AS (SELECT *, {', '.join(f'{x} AS {name}' for name, x in level.items())} FROM {source} {so})")
@@ -120,6 +123,19 @@ def _cube() -> str:
     return f"WITH {', '.join(parts)}, e AS (SELECT run, k, t AS t_now, {columns} FROM {source} {so}) SELECT run, CAST(k // 5 AS BIGINT) AS tick, round(t_now, 6) AS t_now, {rounded} FROM e WHERE k % 5 = 0"
 
 
+#: The telemetry of a stream: a leading gap stays open.
+CAUSAL = re.sub(r"coalesce\((last_value\(\w+ IGNORE NULLS\) OVER \(.*?\)), first_value\(\w+ IGNORE NULLS\) OVER \(.*?\)\) AS", r"\1 AS", TELEMETRY)
+
+
+@BOOK.enter(_cube(CAUSAL))
+def streaming_features(spark, sf_dir):
+    """The 120 features over a stream of the telemetry in four files, each a stretch of time, by state instead of windows."""
+    rows = telemetry(spark, sf_dir).withColumn("ts", F.timestamp_seconds(replays.EPOCH + F.col("k") / RATE))
+    stream = alerts.in_stretches(rows, "k", 4, scratch.new_path(spark, "stream-telemetry"))
+    found = alerts.drained(replays.feature_stream(stream, CATALOGUE, tick=5, late="1 day"), scratch.new_path(spark, "stream-features"), "append")
+    return found.select("run", "tick", r6(F.col("t_now")).alias("t_now"), *[r6(F.col(f.name)).alias(f.name) for f in CATALOGUE.features()])
+
+
 @BOOK.enter(_cube())
 def feature_cube(spark, sf_dir):
     """The 120 features that need no filter, at every fifth sample."""

@@ -279,11 +279,8 @@ MEANS = "m AS (SELECT label, i, avg(e) AS e FROM (SELECT label, unnest(embedding
 @BOOK.enter(f"WITH {MEANS}, d AS (SELECT x.label AS a, y.label AS b, sum(x.e * y.e) AS xy, sum(x.e * x.e) AS xx, sum(y.e * y.e) AS yy FROM m x JOIN m y ON x.i = y.i AND x.label < y.label GROUP BY 1, 2) SELECT a, b, round(xy / sqrt(xx) / sqrt(yy), 5) AS cosine FROM d")
 def equivalence_cosine(spark, sf_dir):
     """Cosine of the mean vectors of each two classes: means are summed by place, then one row for each class."""
-    places = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("i", "e")).groupBy("label", "i").agg(F.avg("e").alias("e"))
-    means = places.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "e"))), lambda x: x["e"]).alias("mean"))
-    listed = means.agg(F.array_sort(F.collect_list(F.struct("label", "mean"))).alias("all"))
-    two = listed.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y")).where("x.label < y.label")
-    return two.select(F.col("x.label").alias("a"), F.col("y.label").alias("b"), F.round(discovery.cosine(F.col("x.mean"), F.col("y.mean")), 5).alias("cosine"))
+    means = discovery.class_means(table(spark, sf_dir, "embeddings"), "label", "embedding")
+    return discovery.class_cosines(means).withColumn("cosine", F.round("cosine", 5))
 
 
 CUSTOMERS = """
@@ -373,8 +370,9 @@ def equivalence_grades(spark, sf_dir):
 @BOOK.enter("SELECT vec_id, CASE WHEN list_max(embedding) >= 0.2 THEN CAST(list_position(embedding, list_max(embedding)) AS INT) ELSE 0 END AS action FROM embeddings")
 def most_probable_class(spark, sf_dir):
     """Number of the greatest component, the first among equals; 0 if it is too small."""
-    top = F.array_max("embedding")
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.when(top >= 0.2, F.array_position("embedding", top).cast("int")).otherwise(0).alias("action"))
+    from flightline.operators import universe
+
+    return table(spark, sf_dir, "embeddings").select("vec_id", universe.most_probable(F.col("embedding"), 0.2).alias("action"))
 
 
 @BOOK.enter(
@@ -450,6 +448,14 @@ def multilabel_holdout(spark, sf_dir):
     return _shares(split, "held_out", lambda part, n: F.when(part == 1, n / 6).otherwise(n * 5 / 6)).unionByName(held)
 
 
+@BOOK.enter(f"WITH l AS (SELECT o_orderkey, {_MANY_SQL} FROM orders), p AS (SELECT CASE {' '.join(f'WHEN {c} = 1 THEN {c!r}' for c in reversed(MANY))} ELSE 'none' END AS label FROM l), c AS (SELECT label, count(*) AS n FROM p GROUP BY 1) SELECT CASE WHEN n < 100 THEN 'rare' ELSE label END AS label, CAST(sum(n) AS BIGINT) AS n FROM c GROUP BY 1")
+def primary_labels(spark, sf_dir):
+    """Orders by their first label (here the last of the list leads), labels of fewer than 100 orders taken together."""
+    rows = many_labels(spark, sf_dir)
+    named = rows.select("o_orderkey", splitting.primary_label(list(reversed(MANY))).alias("label"))
+    return splitting.merge_rare(named, "label", 100).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
 @BOOK.enter("WITH g AS (SELECT count(DISTINCT o_custkey) AS n FROM orders) SELECT CAST(round_even(CAST(o.n // 6 AS DOUBLE) * g.n / o.n, 0) AS BIGINT) AS held_groups, CAST(g.n AS BIGINT) AS groups, CAST(0 AS BIGINT) AS parted, true AS near_size FROM g, (SELECT count(*) AS n FROM orders) o")
 def group_holdout(spark, sf_dir):
     """Whole customers that make up about a sixth of the orders: groups held out, all, those in both parts, and whether the rows are within a tenth of the size."""

@@ -119,6 +119,15 @@ def rule_candidates(spark, sf_dir):
     return candidates(spark, sf_dir).select("candidate_id", "class", "feature", "operator", r6(F.col("threshold")).alias("threshold"), r6(F.col("f1")).alias("f1"), "grade")
 
 
+@BOOK.enter(f"WITH {CANDIDATES} SELECT class, feature, operator, round(threshold, 4) AS threshold, round(f1, 4) AS f1, grade, CAST(row_number() OVER (PARTITION BY class ORDER BY f1 DESC, feature) AS INT) AS place FROM cand WHERE grade IN ('A', 'B', 'C')")
+def rules_documents(spark, sf_dir):
+    """The JSON document of each class's rules of grade C or better, read back: rules in its order, rounded."""
+    rule = "feature string, operator string, threshold double, sensitivity double, specificity double, f1 double, grade string"
+    documents = reports.rules_document(candidates(spark, sf_dir), "C").select(F.from_json("document", f"class string, rules array<struct<{rule.replace(' ', ':').replace(',:', ', ')}>>").alias("d"))
+    each = documents.select(F.col("d.class").alias("class"), F.posexplode("d.rules").alias("place", "r"))
+    return each.select("class", "r.feature", "r.operator", "r.threshold", "r.f1", "r.grade", (F.col("place") + 1).alias("place"))
+
+
 @BOOK.enter(f"WITH {CANDIDATES} SELECT class, CASE WHEN grade IN ('A', 'B') THEN 'deploy' WHEN grade = 'C' THEN 'review' ELSE 'drop' END AS bucket, list_sort(list(candidate_id)) AS rules FROM cand GROUP BY 1, 2")
 def hand_off(spark, sf_dir):
     return reports.hand_off(candidates(spark, sf_dir).withColumnRenamed("candidate_id", "rule_id"))
@@ -163,14 +172,14 @@ def feature_families(spark, sf_dir):
 
 
 @BOOK.enter(
-    f"""WITH {label_queries.CUSTOMERS}, gr AS (SELECT 'exclusive' AS kind, a, b FROM pairs WHERE n_a >= 5 AND n_b >= 5 AND n_both / CAST(n_a + n_b - n_both AS DOUBLE) <= 0.02 UNION ALL SELECT 'equivalent', a, b FROM pairs WHERE (n_a + n_b - 2 * n_both) / CAST(n_a + n_b - n_both AS DOUBLE) >= 0.98 AND n_a >= 30 AND n_b >= 30)
+    f"""WITH {label_queries.CUSTOMERS}, gr AS (SELECT 'exclusive' AS kind, a, b FROM pairs WHERE n_a >= 5 AND n_b >= 5 AND n_both / CAST(n_a + n_b - n_both AS DOUBLE) <= 0.02 UNION ALL SELECT 'equivalent', a, b FROM pairs WHERE (n_a + n_b - 2 * n_both) / CAST(n_a + n_b - n_both AS DOUBLE) >= 0.98 AND n_a >= 5 AND n_b >= 5)
 SELECT x.a, x.b FROM gr x JOIN gr y ON x.a = y.a AND x.b = y.b WHERE x.kind = 'exclusive' AND y.kind = 'equivalent'"""
 )
 def contradictory_pairs(spark, sf_dir):
     """Classes that are called exclusive and equivalent at once."""
     pairs = discovery.pair_counts(label_queries.customer_classes(spark, sf_dir), "id")
     either = F.col("n_a") + F.col("n_b") - F.col("n_both")
-    alike = pairs.where((F.col("n_a") >= 30) & (F.col("n_b") >= 30) & ((either - F.col("n_both")) / either >= 0.98))
+    alike = pairs.where((F.col("n_a") >= 5) & (F.col("n_b") >= 5) & ((either - F.col("n_both")) / either >= 0.98))
     return reports.contradictions(discovery.exclusive(pairs, 0.02), alike)
 
 

@@ -186,7 +186,7 @@ def envelope_bins(spark, sf_dir):
 @BOOK.enter(f"WITH {ENVELOPE} SELECT bin, round(quantile_cont(mean, 0.05), 6) AS p05, round(quantile_cont(mean, 0.95), 6) AS p95 FROM e GROUP BY bin")
 def percentile_band(spark, sf_dir):
     bins = ts.envelope(held(spark, sf_dir), ["user_id"], F.col("k"), F.col("h"), 10)
-    return bins.groupBy("bin").agg(r6(F.percentile("mean", F.lit(0.05))).alias("p05"), r6(F.percentile("mean", F.lit(0.95))).alias("p95"))
+    return ts.percentile_band(bins, ["bin"], "mean").select("bin", r6(F.col("low")).alias("p05"), r6(F.col("high")).alias("p95"))
 
 
 @BOOK.enter(
@@ -225,12 +225,12 @@ def latency_summary(spark, sf_dir):
 
 
 @BOOK.enter(
-    f"""WITH {SCORED}, a AS (SELECT user_id, min(CASE WHEN held >= 0.3 THEN k END) AS alert_at FROM d GROUP BY user_id), t AS (SELECT DISTINCT user_id FROM f WHERE value > 100)
+    f"""WITH {SCORED}, a AS (SELECT user_id, min(CASE WHEN held >= 0.3 THEN k END) AS alert_at FROM d GROUP BY user_id), t AS (SELECT DISTINCT user_id FROM f WHERE value > 250)
 SELECT user_id, alert_at FROM a WHERE alert_at IS NOT NULL AND user_id NOT IN (SELECT user_id FROM t)"""
 )
 def false_alerts(spark, sf_dir):
     alerts = ts.first_true(scored(spark, sf_dir), ["user_id"], F.col("held") >= THRESHOLD, F.col("k"), "alert_at").where("alert_at is not null")
-    return decisions.false_alerts(alerts, samples(spark, sf_dir).where("value > 100").select("user_id").distinct(), ["user_id"])
+    return decisions.false_alerts(alerts, samples(spark, sf_dir).where("value > 250").select("user_id").distinct(), ["user_id"])
 
 
 @BOOK.enter(

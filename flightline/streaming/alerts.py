@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from flightline.sources.scratch import stored
+
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -38,6 +40,16 @@ def read_events(spark: SparkSession, sf_dir: str, files_per_trigger: int | None
     return reader.parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def in_stretches(rows: DataFrame, number: str, n: int, folder: str) -> DataFrame:
+    """A table as a stream of ``n`` batches: its rows by stretches of ``number`` (a whole number from 0 on), written one after the other."""
+    spark = rows.sparkSession
+    source = stored(rows, "stream-source")
+    stop = (source.agg(F.max(number)).first()[0] or 0) + 1
+    for k in range(n):  # files are taken in the order in which they were written
+        source.where((F.col(number) * n >= k * stop) & (F.col(number) * n < (k + 1) * stop)).write.parquet(f"{folder}/stretch-{k}")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/stretch-*")
+
+
 def windowed_counts(stream: DataFrame, width: str = "1 day", late: str = "2 days", slide: str | None = None) -> DataFrame:
     """Counts and sums by event type in tumbling windows, or in sliding ones that begin every ``slide``."""
     window = F.window("ts", width, slide)
