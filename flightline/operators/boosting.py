@@ -31,9 +31,9 @@ UNIT = float(1 << 24)
 class Settings:
     """``bin_rows``: rows (those with the least hashes of their ids) whose quantiles are the bins' edges; all rows are learned from."""
 
-    rounds: int = 40
+    rounds: int = 20
     depth: int = 4
-    rate: float = 0.15
+    rate: float = 0.2
     penalty: float = 1.0
     bins: int = 64
     least_rows: int = 20

@@ -119,11 +119,11 @@ def rule_candidates(spark, sf_dir):
     return candidates(spark, sf_dir).select("candidate_id", "class", "feature", "operator", r6(F.col("threshold")).alias("threshold"), r6(F.col("f1")).alias("f1"), "grade")
 
 
-@BOOK.enter(f"WITH {CANDIDATES} SELECT class, feature, operator, round(threshold, 4) AS threshold, round(f1, 4) AS f1, grade, CAST(row_number() OVER (PARTITION BY class ORDER BY f1 DESC, feature) AS INT) AS place FROM cand WHERE grade IN ('A', 'B', 'C')")
+@BOOK.enter(f"WITH {CANDIDATES} SELECT class, feature, operator, round(threshold, 4) AS threshold, round(f1, 4) AS f1, grade, CAST(row_number() OVER (PARTITION BY class ORDER BY f1 DESC, feature) AS INT) AS place FROM cand")
 def rules_documents(spark, sf_dir):
-    """The JSON document of each class's rules of grade C or better, read back: rules in its order, rounded."""
+    """The JSON document of each class's rules, read back: rules in its order, rounded."""
     rule = "feature string, operator string, threshold double, sensitivity double, specificity double, f1 double, grade string"
-    documents = reports.rules_document(candidates(spark, sf_dir), "C").select(F.from_json("document", f"class string, rules array<struct<{rule.replace(' ', ':').replace(',:', ', ')}>>").alias("d"))
+    documents = reports.rules_document(candidates(spark, sf_dir), "D").select(F.from_json("document", f"class string, rules array<struct<{rule.replace(' ', ':').replace(',:', ', ')}>>").alias("d"))
     each = documents.select(F.col("d.class").alias("class"), F.posexplode("d.rules").alias("place", "r"))
     return each.select("class", "r.feature", "r.operator", "r.threshold", "r.f1", "r.grade", (F.col("place") + 1).alias("place"))
 
@@ -172,12 +172,15 @@ def feature_families(spark, sf_dir):
 
 
 @BOOK.enter(
-    f"""WITH {label_queries.CUSTOMERS}, gr AS (SELECT 'exclusive' AS kind, a, b FROM pairs WHERE n_a >= 5 AND n_b >= 5 AND n_both / CAST(n_a + n_b - n_both AS DOUBLE) <= 0.02 UNION ALL SELECT 'equivalent', a, b FROM pairs WHERE (n_a + n_b - 2 * n_both) / CAST(n_a + n_b - n_both AS DOUBLE) >= 0.98 AND n_a >= 5 AND n_b >= 5)
-SELECT x.a, x.b FROM gr x JOIN gr y ON x.a = y.a AND x.b = y.b WHERE x.kind = 'exclusive' AND y.kind = 'equivalent'"""
+    """WITH pos AS (SELECT doc_id AS id, 'lang ' || lang AS class FROM documents WHERE lang IS NOT NULL UNION ALL SELECT doc_id, 'long' FROM documents WHERE n_chars > 3000), single AS (SELECT class, count(*) AS n FROM pos GROUP BY 1), met AS (SELECT x.class AS a, y.class AS b, count(*) AS n FROM pos x JOIN pos y ON x.id = y.id AND x.class < y.class GROUP BY 1, 2),
+pairs AS (SELECT p.class AS a, q.class AS b, p.n AS n_a, q.n AS n_b, coalesce(met.n, 0) AS n_both FROM single p JOIN single q ON p.class < q.class LEFT JOIN met ON met.a = p.class AND met.b = q.class)
+SELECT a, b FROM pairs WHERE n_a >= 5 AND n_b >= 5 AND n_both / CAST(n_a + n_b - n_both AS DOUBLE) <= 0.02 AND (n_a + n_b - 2 * n_both) / CAST(n_a + n_b - n_both AS DOUBLE) >= 0.98"""
 )
 def contradictory_pairs(spark, sf_dir):
-    """Classes that are called exclusive and equivalent at once."""
-    pairs = discovery.pair_counts(label_queries.customer_classes(spark, sf_dir), "id")
+    """Classes that are called exclusive and equivalent at once: languages, where being seldom together is taken for standing in for each other."""
+    documents = table(spark, sf_dir, "documents")
+    mark = lambda c, where: documents.where(where).select(F.col("doc_id").alias("id"), c.alias("class"))
+    pairs = discovery.pair_counts(mark(F.concat(F.lit("lang "), "lang"), "lang is not null").unionByName(mark(F.lit("long"), "n_chars > 3000")), "id")
     either = F.col("n_a") + F.col("n_b") - F.col("n_both")
     alike = pairs.where((F.col("n_a") >= 5) & (F.col("n_b") >= 5) & ((either - F.col("n_both")) / either >= 0.98))
     return reports.contradictions(discovery.exclusive(pairs, 0.02), alike)
@@ -202,12 +205,14 @@ def split_audit(spark, sf_dir):
 
 @BOOK.enter("WITH c AS (SELECT quality, toxic, count(*) AS n FROM labels GROUP BY 1, 2) SELECT quality, toxic, CAST(n AS BIGINT) AS n, true AS even FROM c UNION ALL SELECT NULL, NULL, CAST(sum(n) // 6 AS BIGINT), true FROM c")
 def stratified_holdout(spark, sf_dir):
-    """Of each signature: its rows, and whether a sixth of them, rounded down or up, is held out; in all, how many are."""
+    """Of each signature: its rows, and whether its share of them, within one row, is held out; in all, how many are."""
     split = splitting.holdout(table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic"), ["quality", "toxic"], ["doc_id"])
     per = split.groupBy("quality", "toxic").agg(F.count(F.lit(1)).alias("n"), F.count_if("held_out").alias("held"))
     none = F.lit(None).cast("int")
     whole = per.agg(F.sum("held").alias("n")).select(none.alias("quality"), none.alias("toxic"), "n", F.lit(True).alias("even"))
-    return per.select("quality", "toxic", "n", (F.abs(F.col("held") - F.col("n") / 6) < 1).alias("even")).unionByName(whole)
+    share = per.agg((F.sum("held") / F.sum("n")).alias("share"))
+    even = F.abs(F.col("held") - F.col("n") * F.col("share")) <= 1
+    return per.crossJoin(F.broadcast(share)).select("quality", "toxic", "n", even.alias("even")).unionByName(whole)  # one number to each row
 
 
 @BOOK.enter("WITH q AS (SELECT CASE WHEN o_orderstatus = 'F' THEN o_totalprice END AS v FROM orders) SELECT CASE WHEN v IS NULL THEN 0 ELSE CAST(1 + round_even(least(greatest((v - 1000) / 399000, 0), 1) * 65534, 0) AS INT) END AS code, CAST(count(*) AS BIGINT) AS n FROM q GROUP BY 1")
