@@ -13,13 +13,17 @@ from flightline.llm import decontaminate, packing, repeats, simhash, toxicity
 from flightline.llm.storage import bounded_batches, stored
 
 
+#: Rows that a worker takes at once: stages follow each other in the same workers, which keep what they once needed.
+BATCH_ROWS = 500
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the pattern grammar calls toxic go.
 
     A null or empty text has no clause and scores the intercept; very long texts are read whole, in
     slices; repeated rows are judged alike; rows without an id are judged but not learned from.
     """
-    bounded_batches(spark)
+    bounded_batches(spark, BATCH_ROWS)
     return toxicity.remove_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
@@ -30,7 +34,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     shingles decide).  Null, empty and wordless texts are copies of each other; a text of fewer than
     five words is one shingle.
     """
-    bounded_batches(spark)
+    bounded_batches(spark, BATCH_ROWS)
     return simhash.keep_one(docs, shingle=5, scheme=simhash.WIDE, least_similarity=0.8)
 
 
@@ -40,7 +44,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null texts and texts of fewer than 13 words stay as they are, and so do texts that lose nothing; of
     rows with equal ids neither is before the other, and a null id comes after all others.
     """
-    bounded_batches(spark)
+    bounded_batches(spark, BATCH_ROWS)
     cut = repeats.remove_repeats(docs)
     return cut.withColumn("n_chars", F.char_length("text").cast("long")) if "n_chars" in cut.columns else cut
 
@@ -51,7 +55,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     A text without words has no passage and stays; a contaminated row takes all rows of its id with
     it (those without an id too); items without words are in no document.
     """
-    bounded_batches(spark)
+    bounded_batches(spark, BATCH_ROWS)
     return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -62,7 +66,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     packed by itself, whatever its id.  Every stage of an empty table is empty; further columns, whatever
     their names, are passed on by all stages but this one.
     """
-    bounded_batches(spark)
+    bounded_batches(spark, BATCH_ROWS)
     return packing.pack(docs, packing.default_tokenizer())
 
 
