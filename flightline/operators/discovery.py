@@ -6,6 +6,8 @@ Input is a long table ``(row_id, feature, value)`` (NULLs absent) and labels ``(
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -171,6 +173,13 @@ def exclusive(pairs: DataFrame, most: float, least: int = 5) -> DataFrame:
     return pairs.where((F.col("n_a") >= least) & (F.col("n_b") >= least)).withColumn("jaccard", overlap).where(F.col("jaccard") <= most)
 
 
+def _log_factorial(k: Column) -> Column:
+    """Logarithm of ``k!``: of the number itself up to 20, beyond that by Stirling's series (to a relative 1e-15)."""
+    x = k + 1.0
+    series = (x - 0.5) * F.ln(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * F.pow(x, 3)) + 1 / (1260 * F.pow(x, 5)) - 1 / (1680 * F.pow(x, 7))
+    return F.when(k <= 20, F.ln(F.factorial(F.least(k, F.lit(20))).cast("double"))).otherwise(series)
+
+
 def lift(pairs: DataFrame, total: DataFrame | int, least_lift: float = 2.0, least_both: int = 10, level: float = 0.05) -> DataFrame:
     """Pairs that occur together more than chance: lift, and the Poisson tail of the count times the number of pairs.
 
@@ -181,12 +190,14 @@ def lift(pairs: DataFrame, total: DataFrame | int, least_lift: float = 2.0, leas
     else:
         pairs = pairs.withColumn("_total", F.lit(total))
     expected = F.col("n_a") * F.col("n_b") / F.col("_total").cast("double")
-    # P(X >= both) = 1 - sum of the first terms, by the recurrence of the terms.
-    first = F.struct(F.exp(-F.col("expected")).alias("term"), F.lit(0.0).alias("below"))
-    below = F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.col("n_both").cast("int"))), first, lambda acc, k: F.struct((acc["term"] * F.col("expected") / k).alias("term"), (acc["below"] + acc["term"]).alias("below")), lambda acc: acc["below"])
     n_pairs = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
-    scored = pairs.withColumn("expected", expected).withColumn("lift", F.col("n_both") / F.col("expected")).withColumn("p_adjusted", F.least(F.lit(1.0), F.when(F.col("n_both") == 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - below)) * n_pairs))
-    return scored.where((F.col("lift") >= least_lift) & (F.col("n_both") >= least_both) & (F.col("p_adjusted") < level)).drop("_total")
+    counted = pairs.withColumn("expected", expected).withColumn("lift", F.col("n_both") / F.col("expected")).withColumn("_pairs", n_pairs)
+    met = counted.where((F.col("lift") >= least_lift) & (F.col("n_both") >= least_both))
+    # P(X >= both) = 1 - sum of the first terms, each from its logarithm: the very first one is 0 as a double where hundreds are expected.
+    term = lambda k: F.exp(k * F.ln("expected") - F.col("expected") - _log_factorial(k))
+    below = F.aggregate(F.sequence(F.lit(0), F.greatest(F.lit(1), F.col("n_both").cast("int")) - 1), F.lit(0.0), lambda acc, k: acc + term(k))
+    scored = met.withColumn("p_adjusted", F.least(F.lit(1.0), F.when(F.col("n_both") == 0, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - below)) * F.col("_pairs")))
+    return scored.where(F.col("p_adjusted") < level).drop("_total", "_pairs")
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -1,5 +1,8 @@
 """Hand-made cases: golden micro-examples, ties, missing values, metamorphic properties."""
 
+from functools import reduce
+from operator import add
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -164,3 +167,26 @@ def test_filter_gain_at_its_edges(low, high):
 def test_graph_has_no_dangling_edges(spark):
     e = graph.edges(graph.edge(spark.createDataFrame([(1, 2), (2, None)], "a int, b int"), "X", ("p", "a"), ("q", "b")))
     assert e.count() == 1 and graph.dangling(e, graph.nodes_of(e)).count() == 0
+
+
+def test_trailing_mean_depends_on_its_own_samples_only(spark):
+    values = [float(x) for x in np.random.default_rng(3).integers(0, 60_000, 400) / 100]
+    got = column(series(spark, values).withColumn("x", S.trailing_mean(F.col("v"), 5)), "x")
+    assert got == [reduce(add, values[max(0, k - 4) : k + 1]) / min(5, k + 1) for k in range(400)]
+
+
+def test_rounding_is_that_of_the_sql(spark, tables):
+    from flightline.plans.book import r6
+
+    values = [k / 48_000 for k in range(24_000, 25_000)] + [-0.5183125, 54.0, 1e12 / 3]
+    got = [r["x"] for r in spark.createDataFrame([(v,) for v in values], "v double").select(r6(F.col("v")).alias("x")).collect()]
+    assert got == [tables.execute("SELECT round(?::DOUBLE, 6)", [v]).fetchall()[0][0] for v in values]
+
+
+def test_lift_where_a_thousand_are_expected(spark):
+    pairs = spark.createDataFrame([("a", "b", 2000, 2000, 2000), ("a", "c", 1000, 40, 22)], "a string, b string, n_a long, n_b long, n_both long")
+    got = {r["b"]: r["p_adjusted"] for r in discovery.lift(pairs, 4000).collect()}
+    from math import exp, lgamma, log
+
+    assert got["b"] == pytest.approx(0, abs=1e-9)
+    assert got["c"] == pytest.approx(2 * (1 - sum(exp(k * log(10) - 10 - lgamma(k + 1)) for k in range(22))), abs=1e-12)
