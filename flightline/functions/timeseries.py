@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 
+#: Trailing windows of up to this many samples are summed row by row.
+SHORT = 64
+
+
 def missing_as_null(column: Column) -> Column:
     """NaN becomes NULL; done once where data come in, as NaN compares as the greatest number in Spark."""
     return F.when(F.isnan(column), F.lit(None)).otherwise(column)
@@ -65,8 +69,11 @@ class Series:
     def trailing_mean(self, value: Column, n: int) -> Column:
         """Mean of the last ``n`` present samples' rows, of fewer at the beginning.
 
-        A frame that slides is summed anew for each row, so the sum is a difference of running sums.
+        A frame that slides is summed anew for each row: a short one is, so that its mean depends on its own
+        samples only and comes out on a level it stands at; a long one is a difference of running sums.
         """
+        if n <= SHORT:
+            return F.avg(value).over(self.trailing(n))
         total, count = F.sum(value).over(self.so_far()), F.count(value).over(self.so_far())
         earlier = self.ordered.rowsBetween(Window.unboundedPreceding, -n)
         return F.try_divide(F.coalesce(total, F.lit(0.0)) - F.coalesce(F.sum(value).over(earlier), F.lit(0.0)), count - F.count(value).over(earlier))

@@ -140,7 +140,7 @@ def streaming_calls(spark, sf_dir):
     rows = x.select("user_id", "k", "t", F.timestamp_seconds(replays.EPOCH + F.col("k") / 2).alias("ts"), *[F.least(F.lit(1.0), c).alias(m) for m, c in p.items()])
     stream = streams.in_stretches(rows, "k", 5, scratch.new_path(spark, "stream-scores"))
     found = streams.drained(replays.call_stream(stream, THRESHOLDS, [["LEVEL", "MEAN"]], CRITICAL, WARNING, run="user_id", number="k", late="1 day"), scratch.new_path(spark, "stream-calls"), "append")
-    return found.withColumn("held", F.transform("held", lambda v: F.round(v, 6)))
+    return found.withColumn("held", F.transform("held", r6))
 
 
 @BOOK.enter(f"WITH {DECIDED} SELECT user_id, class, alert_at, CASE WHEN alert_at < 0 THEN 'HOLD' WHEN alert_at < 7 THEN 'ABORT' WHEN class = 'LEVEL' THEN 'CRITICAL' WHEN class = 'MEAN' THEN 'WARNING' ELSE 'ADVISORY' END AS level FROM al")

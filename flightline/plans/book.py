@@ -29,6 +29,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def rounded(column: Column, places: int) -> Column:
+    """Rounded as the product with a power of ten is, which is how SQL engines round doubles: Spark rounds the shortest decimal
+    that reads back as the number, which stands on a half where the double lies just below one."""
+    scale = float(10**places)
+    return F.round(column * scale) / scale
+
+
 def r6(column: Column) -> Column:
     """Rounded for comparison; sums of doubles depend on their order."""
-    return F.round(column, 6)
+    return rounded(column, 6)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from flightline.functions import metrics
 from flightline.operators import discovery, graph, preparing, reports, splitting
-from flightline.plans.book import Book, r6, table
+from flightline.plans.book import Book, r6, rounded, table
 
 BOOK = Book()
 FEATURES = ["qty_sum", "price_avg", "disc_avg", "n_lines"]
@@ -55,7 +55,7 @@ def observations(spark, sf_dir) -> DataFrame:
 
 
 def scores(spark, sf_dir) -> DataFrame:
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("class"), (F.col("o_orderstatus") == "F").cast("int").alias("y"), F.round(F.least(F.lit(1.0), F.col("o_totalprice") / 500000.0), 2).alias("p"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("class"), (F.col("o_orderstatus") == "F").cast("int").alias("y"), rounded(F.least(F.lit(1.0), F.col("o_totalprice") / 500000.0), 2).alias("p"))
 
 
 def ranked(spark, sf_dir) -> DataFrame:
@@ -280,7 +280,7 @@ MEANS = "m AS (SELECT label, i, avg(e) AS e FROM (SELECT label, unnest(embedding
 def equivalence_cosine(spark, sf_dir):
     """Cosine of the mean vectors of each two classes: means are summed by place, then one row for each class."""
     means = discovery.class_means(table(spark, sf_dir, "embeddings"), "label", "embedding")
-    return discovery.class_cosines(means).withColumn("cosine", F.round("cosine", 5))
+    return discovery.class_cosines(means).withColumn("cosine", rounded(F.col("cosine"), 5))
 
 
 CUSTOMERS = """
@@ -384,7 +384,7 @@ def nearest_landmarks(spark, sf_dir):
     from flightline.operators import universe
 
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
-    return universe.nearest(vectors, universe.landmarks(vectors, "label", "vec_id", 2), "vec_id", "embedding", 3).select("vec_id", "landmark", "place", F.round("distance", 5).alias("distance"))
+    return universe.nearest(vectors, universe.landmarks(vectors, "label", "vec_id", 2), "vec_id", "embedding", 3).select("vec_id", "landmark", "place", rounded(F.col("distance"), 5).alias("distance"))
 
 
 @BOOK.enter("SELECT quality, toxic, CAST(count(*) AS BIGINT) AS n, CAST(count(*) // 5 AS BIGINT) AS least, CAST((count(*) + 4) // 5 AS BIGINT) AS most FROM labels GROUP BY 1, 2 UNION ALL SELECT NULL, NULL, count(*), NULL, NULL FROM labels")

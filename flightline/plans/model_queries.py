@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from flightline.functions import filters, metrics
 from flightline.operators import boosting, models, splitting
 from flightline.plans import label_queries, series_queries
-from flightline.plans.book import Book, r6, table
+from flightline.plans.book import Book, r6, rounded, table
 from flightline.streaming import alerts
 
 BOOK = Book()
@@ -75,7 +75,7 @@ def bootstrap_ci(spark, sf_dir):
 def streaming_window_counts(spark, sf_dir):
     counts = alerts.windowed_counts(alerts.read_events(spark, sf_dir))
     done = alerts.drained(counts, _folder(spark, "stream-counts"), "update", ("start", "event_type"))
-    return done.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+    return done.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", rounded(F.col("total"), 4).alias("total"))
 
 
 @BOOK.enter(
@@ -86,7 +86,7 @@ def streaming_sliding_counts(spark, sf_dir):
     """Windows of three days that begin every day."""
     counts = alerts.windowed_counts(alerts.read_events(spark, sf_dir), "3 days", "4 days", "1 day")
     done = alerts.drained(counts, _folder(spark, "stream-sliding"), "update", ("start", "event_type"))
-    return done.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
+    return done.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", rounded(F.col("total"), 4).alias("total"))
 
 
 @BOOK.enter(
