@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flightline.functions import filters
-from flightline.functions.timeseries import Series
+from flightline.functions.timeseries import SHORT, Series
 
 RUN = Series(("run",), ("k",))
 
@@ -114,13 +114,21 @@ class Block:
         """Mean of the present ones of the last samples (``ahead`` 1: without the last one), of fewer at the beginning."""
         n, w = len(v), self.catalogue.samples(seconds)
         there = ~np.isnan(v)
+        values = np.where(there, v, 0.0)
         total, count = np.zeros(n + 1), np.zeros(n + 1)
-        np.cumsum(np.where(there, v, 0.0), out=total[1:])
         np.cumsum(there, out=count[1:])
         high = np.arange(n) + 1 - ahead
         low = np.maximum(0, high - w)
+        if w <= SHORT:
+            # Oldest first, and nothing of what lies before the window.
+            inside = np.zeros(n)
+            for back in range(w - 1 + ahead, ahead - 1, -1):
+                inside[back:] += values[: max(0, n - back)]
+        else:
+            np.cumsum(values, out=total[1:])
+            inside = total[high] - total[low]
         with np.errstate(divide="ignore", invalid="ignore"):
-            return (total[high] - total[low]) / (count[high] - count[low])
+            return inside / (count[high] - count[low])
 
     def trailing(self, name: str, seconds: float) -> np.ndarray:
         return self._mean(self[name], seconds)
@@ -251,12 +259,13 @@ class Running:
             return dip
         rows_seen = sums("rows", f.series)
         if f.how in ("mean", "std"):
-            count, total = sums("count", f.series), sums("sum", f.series)
+            # A mean is that of the values themselves, so that it comes out where theirs does; squares are of differences.
+            count, total = sums("count", f.series), sums("sum" if f.how == "std" else "plain", f.series)
             square = sums("square", f.series) if f.how == "std" else None
 
             def value(at, block):
                 mean = at[0][:, total] / at[0][:, count]
-                return mean + self._shift(block, f.series) if square is None else np.sqrt(np.maximum(0.0, at[0][:, square] / at[0][:, count] - mean * mean))
+                return mean if square is None else np.sqrt(np.maximum(0.0, at[0][:, square] / at[0][:, count] - mean * mean))
         elif f.how == "rms":
             count, total = sums("count", f.series), sums("power", f.series)
 
@@ -298,6 +307,8 @@ class Running:
         if what in ("sum", "square"):
             v = np.nan_to_num(v - self._shift(block, series))
             return v if what == "sum" else v * v
+        if what == "plain":
+            return np.nan_to_num(v)
         if what == "power":
             return np.nan_to_num(v * v)
         if what == "above":
