@@ -57,3 +57,9 @@ def test_stream_over_several_batches_equals_one(spark, sf, tmp_path):
     several = alerts.drained(alerts.alerting(stream), str(tmp_path / "a"), "append").collect()
     whole = alerts.drained(alerts.alerting(alerts.read_events(spark, sf)), str(tmp_path / "b"), "append").collect()
     assert sorted(several) == sorted(whole) and len(whole) > 0
+
+
+def test_rule_sets_exchange_no_rows_by_class_and_feature(spark, rules):
+    obs = spark.range(1000).selectExpr("id", "'a' AS class", "'x' AS feature", "cast(id AS double) AS value", "1.0D AS y")
+    plan = reports.rule_set_f1(rules.where("sensitivity >= 0" if "sensitivity" in rules.columns else "true").distinct(), obs, "id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan
