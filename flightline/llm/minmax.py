@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import kernel
-from .bitmap import build_bitmap, held
+from .bitmap import bits_for, build_bitmap, held, parted
 from .overlaps import decided, undecided
 from .simhash import components, from_arrow, shingle_sets, to_arrow
 from .storage import stored
@@ -184,38 +184,39 @@ def stretches(rows: DataFrame, stretch: int = STRETCH, leaders: int = LEADERS) -
 
 
 def sets_of(documents: DataFrame, distinct: DataFrame, wanted: DataFrame, *, id_column: str, text_column: str, shingle: int) -> DataFrame:
-    """``node, shingles`` of the ``wanted`` nodes, read from the document with each one's least id."""
+    """``node, shingles`` of the ``wanted`` nodes, read from the document with each one's least id, and of the few others that a bitmap lets through.
+
+    Sets are longer than their texts, so they stay where they are read: only those of nodes that are read more than once are exchanged.
+    """
     spark = documents.sparkSession
-    named = stored(distinct.join(wanted, "node").select("node", "least"), "minmax-wanted")
-    n, bits = named.count(), 1 << 20
-    while bits < 1 << 28 and bits < 32 * n:
-        bits *= 2
-    cells = spark.sparkContext.broadcast(build_bitmap(named.select(F.xxhash64("least").alias("key")), bits))
+    named = stored(distinct.join(wanted, "node").select("least"), "minmax-wanted")
+    cells = spark.sparkContext.broadcast(build_bitmap(named.select(F.xxhash64("least").alias("key")), bits_for(named.count())))
 
     def scan(batches):
         for batch in batches:
-            part = batch.filter(pa.array(held(cells.value, kernel.ints(batch.column(2)))))
-            for texts in kernel.text_slices(part.column(1)):
+            part = batch.filter(pa.array(held(cells.value, kernel.ints(batch.column(1)))))
+            for texts in kernel.text_slices(part.column(0)):
                 sets = shingle_sets(texts, shingle)
                 values, first = set_values(sets)
                 some = np.flatnonzero(np.diff(first))
                 if len(some):
                     keys = set_keys(values, np.append(first[:-1][some], first[-1]))
-                    yield pa.RecordBatch.from_arrays([part.column(0).slice(texts.first_row, len(texts)).take(pa.array(some)), to_arrow(keys), sets.take(pa.array(some))], ["doc_id", "found", "shingles"])
+                    yield pa.RecordBatch.from_arrays([to_arrow(keys), sets.take(pa.array(some))], ["node", "shingles"])
 
-    docs = documents.select(documents[id_column].cast("long").alias("doc_id"), documents[text_column].alias("text")).withColumn("key", F.xxhash64("doc_id"))
-    read = docs.mapInArrow(scan, "doc_id long, found binary, shingles binary")
-    own = read.join(named, (F.col("found") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("least")), "inner")
-    return stored(own.select("node", "shingles").dropDuplicates(["node"]), "minmax-sets")
+    docs = documents.select(documents[text_column].alias("text"), F.xxhash64(documents[id_column].cast("long")).alias("key"))
+    read = stored(docs.mapInArrow(scan, "node binary, shingles binary"), "minmax-sets").withColumn("key", F.xxhash64("node"))
+    once, more = parted(read, "key", stored(read.groupBy("key").count().where("count > 1").select("key"), "minmax-repeated"))
+    return once.select("node", "shingles").unionByName(more.select("node", "shingles").dropDuplicates(["node"]))
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs whose sets have ``100 * intersection >= percent * union``."""
+def confirmed(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sets have ``100 * intersection >= percent * union``; ``sizes`` are ``node, n_shingles``."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("own"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("other"))
     # Sizes that are too far apart need no look at the shingles.
-    near = 100 * F.least(F.length("own"), F.length("other")) >= percent * F.greatest(F.length("own"), F.length("other"))
-    both = pairs.join(left, "a").join(right, "b").where(near).select("a", "b", "own", "other")
+    near = 100 * F.least("_a", "_b") >= percent * F.greatest("_a", "_b")
+    sized = pairs.join(sizes.toDF("a", "_a"), "a").join(sizes.toDF("b", "_b"), "b").where(near).select("a", "b")
+    both = stored(sized, "minmax-near").join(left, "a").join(right, "b").select("a", "b", "own", "other")
 
     def compare(batches):
         for batch in batches:
@@ -240,13 +241,15 @@ def near_duplicates(documents: DataFrame, *, id_column: str = "doc_id", text_col
     distinct = stored(drawn.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")), "minmax-distinct")
     rows = banded(distinct, bands)
     pairs = stored(stretches(rows, STRETCH, LEADERS), "minmax-candidates")
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = stored(pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct(), "minmax-nodes")
     sets = sets_of(documents, distinct, wanted, id_column=id_column, text_column=text_column, shingle=shingle)
-    links = stored(confirmed(pairs, sets, percent), "minmax-links")
+    # What shares no band is of no use from here on, and leaves before it is spread over bands.
+    keyed = distinct.withColumn("key", F.xxhash64("node"))
+    near = stored(parted(keyed, "key", wanted.select(F.xxhash64("node").alias("key")).distinct())[1].join(wanted, "node").select("node", "n_shingles", "bands"), "minmax-near")
+    sizes = near.select("node", "n_shingles")
+    links = stored(confirmed(pairs, sets, sizes, percent), "minmax-links")
     roots = stored(components(links), "minmax-roots")
-    # A set of a band that no other has is of no use from here on.
-    shared = rows.join(wanted, "node")
-    left = stored(undecided(shared, roots, distinct.select("node", "n_shingles"), LEADERS + 2), "minmax-undecided")
+    left = stored(undecided(banded(near, bands), roots, sizes, LEADERS + 2), "minmax-undecided")
     if not left.isEmpty():
         roots = components(links.unionByName(decided(left, sets, percent, "binary")))
     grouped = distinct.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))

@@ -226,3 +226,27 @@ def test_all_bands_of_a_pair_at_the_limit_hardly_miss():
 def test_empty_documents_table_keeps_the_columns(spark):
     empty = spark.createDataFrame([], "doc_id long, text string, lang string")
     assert minmax.near_duplicates(empty).columns == ["doc_id", "n_shingles", "component_id", "kept"]
+
+
+def shuffled(spark):
+    """Bytes written to shuffles so far."""
+    context = spark.sparkContext
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)
+    return sum(stages.apply(k).shuffleWriteBytes() for k in range(stages.size()))
+
+
+def test_sets_are_exchanged_only_to_be_compared(spark, monkeypatch):
+    """Pairs of near copies, each exchanged on both sides of the first join and on one more side of the second: three times all sets, with some room for the rest."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for pair in range(40):
+        base = [f"p{pair}w{k}" for k in rng.integers(0, 10**6, 3000)]
+        texts += [edited(rng, base, 2), edited(rng, base, 2)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    began = shuffled(spark)
+    try:
+        checked(spark, list(enumerate(texts)))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert shuffled(spark) - began < 3.3 * len(texts) * 3000 * 8
