@@ -12,8 +12,9 @@ Margins are written to a table every few rounds; in between tasks go through the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,8 @@ from flightline.sources.scratch import stored
 
 MISSING = 255
 UNIT = float(1 << 24)
+#: A row and its Hessian (2**22 units at most) are summed as one number, exact for so many rows together: 2**14 * (2**38 + 2**22) < 2**53.
+ROW, TOGETHER = float(1 << 38), 1 << 14
 
 
 @dataclass(frozen=True)
@@ -52,6 +55,27 @@ class Trees:
 
     def nodes(self, bins: np.ndarray, head: int, level: int) -> np.ndarray:
         """The node of each row at a level, 0 ... 2**level - 1."""
+        return self.router(head, level)(bins)
+
+    def router(self, head: int, level: int) -> Callable[[np.ndarray], np.ndarray]:
+        """:meth:`nodes` of any number of batches.
+
+        Up to level 4 what all inner nodes say of a feature's bin is read at once, a bit for each node, and the bits
+        name the node at the level; deeper trees are gone down.
+        """
+        if level > 4:
+            return lambda bins: self._descended(bins, head, level)
+        missed, tables, arrived = self._missed(head, level), list(self._tables(head, level)), _node_of(level)
+
+        def route(bins: np.ndarray) -> np.ndarray:
+            said = np.full(len(bins), missed, np.uint16)
+            for f, table in tables:
+                said |= table[bins[:, f]]
+            return arrived[said]
+
+        return route
+
+    def _descended(self, bins: np.ndarray, head: int, level: int) -> np.ndarray:
         at = np.zeros(len(bins), np.int64)
         rows = np.arange(len(bins))
         for k in range(level):
@@ -62,6 +86,31 @@ class Trees:
             at = 2 * at + ~goes_left
         return at
 
+    def _missed(self, head: int, level: int) -> int:
+        """Bits of the nodes without a feature, where all rows go left."""
+        return sum(1 << node for node in range((1 << level) - 1) if self.feature[head, node] < 0)
+
+    def _tables(self, head: int, level: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Each feature that nodes ask for, and for each bin the bits of the nodes that send it left."""
+        asked = self.feature[head, : (1 << level) - 1]
+        bins = np.arange(256)
+        for f in np.unique(asked[asked >= 0]):
+            table = np.zeros(256, np.uint16)
+            for node in np.flatnonzero(asked == f):
+                goes_left = np.where(bins == MISSING, self.left[head, node], bins <= self.cut[head, node])
+                table |= goes_left.astype(np.uint16) << np.uint16(node)
+            yield int(f), table
+
+
+@cache
+def _node_of(level: int) -> np.ndarray:
+    """For each pattern of the bits of all inner nodes above ``level``: the node at which a row arrives."""
+    bits = np.arange(1 << ((1 << level) - 1))
+    at = np.zeros(len(bits), np.int64)
+    for k in range(level):
+        at = 2 * at + (1 - (bits >> ((1 << k) - 1 + at) & 1))
+    return at
+
 
 @dataclass
 class Boosted:
@@ -79,11 +128,16 @@ class Boosted:
         out[np.isnan(values)] = MISSING
         return out
 
-    def add(self, margins: np.ndarray, bins: np.ndarray, trees: list[Trees]) -> np.ndarray:
-        for tree in trees:
-            for head in range(len(self.heads)):
-                margins[:, head] += tree.value[head, tree.nodes(bins, head, self.depth)]
-        return margins
+    def adder(self, trees: list[Trees]) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+        """A function of margins (changed in place) and bins that adds what ``trees`` say, for any number of batches."""
+        parts = [(head, tree.value[head], tree.router(head, self.depth)) for tree in trees for head in range(len(self.heads))]
+
+        def add(margins: np.ndarray, bins: np.ndarray) -> np.ndarray:
+            for head, value, route in parts:
+                margins[:, head] += value[route(bins)]
+            return margins
+
+        return add
 
 
 def _matrix(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
@@ -91,7 +145,10 @@ def _matrix(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
 
 
 def _bytes(column: pa.Array, width: int, kind) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), width)
+    """Values of one width, none null, as rows of a matrix over the column's own buffer."""
+    column = column.cast(pa.large_binary())
+    begin = np.frombuffer(column.buffers()[1], np.int64)[column.offset] if len(column) else 0
+    return np.frombuffer(column.buffers()[2] or b"", kind, len(column) * width, begin).reshape(len(column), width)
 
 
 def _binary(rows: np.ndarray) -> pa.Array:
@@ -138,9 +195,10 @@ def _moved_on(table: DataFrame, model: Boosted, trees: list[Trees]) -> DataFrame
     n, width = len(model.heads), len(model.features)
 
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        add = model.adder(trees)
         for batch in batches:
             bins = _bytes(batch.column(0), width, np.uint8)
-            margins = model.add(_bytes(batch.column(2), n, np.float64).copy(), bins, trees)
+            margins = add(_bytes(batch.column(2), n, np.float64).copy(), bins)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _binary(margins)], ["bins", "labels", "margins"])
 
     return table.mapInArrow(move, "bins binary, labels binary, margins binary")
@@ -174,22 +232,29 @@ def _splits(table: DataFrame, model: Boosted, since: list[Trees], tree: Trees, l
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((n, width, 3, nodes * size), np.int64)
+        add, routes = known.adder(since), [tree.router(head, level) for head in range(n)]
         for batch in batches:
             if not batch.num_rows:
                 continue
             bins, labels = _bytes(batch.column(0), width, np.uint8), _bytes(batch.column(1), n, np.uint8)
-            margins = known.add(_bytes(batch.column(2), n, np.float64).copy(), bins, since)
-            cell = np.where(bins == MISSING, s.bins, bins).astype(np.int64)
+            margins = add(_bytes(batch.column(2), n, np.float64).copy(), bins)
+            cell = np.ascontiguousarray(np.where(bins == MISSING, s.bins, bins).T).astype(np.int64)
             for head in range(n):
                 own = np.flatnonzero(labels[:, head] < 2)
                 if not len(own):
                     continue
                 p = 1 / (1 + np.exp(-margins[own, head]))
                 g, h = np.rint((p - labels[own, head]) * UNIT), np.rint(p * (1 - p) * UNIT)
-                at = tree.nodes(bins[own], head, level)[:, None] * size + cell[own]
-                for j in range(width):
-                    for plane, weight in enumerate((g, h, None)):
-                        total[head, j, plane] += np.bincount(at[:, j], weights=weight, minlength=nodes * size).astype(np.int64)
+                at = routes[head](bins[own]) * size
+                for low in range(0, len(own), TOGETHER):
+                    part = slice(low, low + TOGETHER)
+                    gradients, packed = g[part], h[part] + ROW
+                    for j in range(width):
+                        cells = at[part] + cell[j, own[part]]
+                        total[head, j, 0] += np.bincount(cells, weights=gradients, minlength=nodes * size).astype(np.int64)
+                        count, hessians = np.divmod(np.bincount(cells, weights=packed, minlength=nodes * size).astype(np.int64), int(ROW))
+                        total[head, j, 1] += hessians
+                        total[head, j, 2] += count
         heads, of = np.divmod(np.arange(n * width), width)
         yield pa.RecordBatch.from_arrays([pa.array(heads.astype(np.int32)), pa.array(of.astype(np.int32)), _binary(total.reshape(n * width, -1))], ["head", "feature", "sums"])
 
@@ -224,9 +289,10 @@ def scored(rows: DataFrame, model: Boosted, keep: list[str]) -> DataFrame:
     asked = rows.select(*keep, *[F.col(c).cast("double").alias(f"_x{k}") for k, c in enumerate(model.features)])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        add = model.adder(model.trees)
         for batch in batches:
             values = np.stack([batch.column(len(keep) + k).to_numpy(zero_copy_only=False).astype(np.float64) for k in range(len(model.features))], axis=1) if batch.num_rows else np.zeros((0, len(model.features)))
-            margins = model.add(np.tile(model.start, (batch.num_rows, 1)), model.binned(values), model.trees)
+            margins = add(np.tile(model.start, (batch.num_rows, 1)), model.binned(values))
             p = 1 / (1 + np.exp(-margins))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1, dtype=np.int32) * n), pa.array(p.ravel()))], names)
 

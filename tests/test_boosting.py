@@ -1,5 +1,7 @@
 """Histogram boosting with missing values and many heads."""
 
+import time
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -74,3 +76,35 @@ def test_one_split_is_the_best_of_all(spark):
                 if gain > best + 1e-12:
                     best, values = gain, [-g[s].sum() / (h[s].sum() + 1) for s in (left, ~left)]
     assert np.allclose(tree.value[0], values)
+
+
+def descended(tree, bins, head, level):
+    """Down the tree node by node."""
+    at, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
+    for k in range(level):
+        node = (1 << k) - 1 + at
+        f = tree.feature[head, node]
+        b = bins[rows, np.maximum(f, 0)]
+        at = 2 * at + ~((f < 0) | np.where(b == boosting.MISSING, tree.left[head, node], b <= tree.cut[head, node]))
+    return at
+
+
+def test_rows_find_their_nodes_in_a_third_of_the_time_of_a_descent():
+    rng = np.random.default_rng(3)
+    for depth in (3, 4, 5):
+        inner = (1 << depth) - 1
+        tree = boosting.Trees(rng.integers(-1, 6, (2, inner)), rng.integers(0, 64, (2, inner)), rng.random((2, inner)) < 0.5, np.zeros((2, 1 << depth)))
+        bins = rng.integers(0, 64, (200_000, 6)).astype(np.uint8)
+        bins[rng.random(bins.shape) < 0.2] = boosting.MISSING
+        for head in range(2):
+            for level in range(depth + 1):
+                assert (tree.nodes(bins, head, level) == descended(tree, bins, head, level)).all()
+        if depth == 4:
+            least = [min(timed(find) for _ in range(5)) for find in (lambda tree=tree, bins=bins: tree.nodes(bins, 0, 4), lambda tree=tree, bins=bins: descended(tree, bins, 0, 4))]
+            assert least[0] * 3 < least[1], least
+
+
+def timed(call):
+    began = time.perf_counter()
+    call()
+    return time.perf_counter() - began
