@@ -209,14 +209,21 @@ def sets_of(documents: DataFrame, distinct: DataFrame, wanted: DataFrame, *, id_
     return once.select("node", "shingles").unionByName(more.select("node", "shingles").dropDuplicates(["node"]))
 
 
+def only(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``sets`` less most of those that are none of ``nodes``, without an exchange of sets."""
+    wanted = stored(nodes.select(F.xxhash64("node").alias("key")).distinct(), "minmax-only")
+    return parted(sets.withColumn("key", F.xxhash64("node")), "key", wanted)[1].drop("key")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sets have ``100 * intersection >= percent * union``; ``sizes`` are ``node, n_shingles``."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("own"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("other"))
     # Sizes that are too far apart need no look at the shingles.
     near = 100 * F.least("_a", "_b") >= percent * F.greatest("_a", "_b")
     sized = pairs.join(sizes.toDF("a", "_a"), "a").join(sizes.toDF("b", "_b"), "b").where(near).select("a", "b")
-    both = stored(sized, "minmax-near").join(left, "a").join(right, "b").select("a", "b", "own", "other")
+    tried = stored(sized, "minmax-tried")
+    left = only(sets, tried.select(F.col("a").alias("node"))).select(F.col("node").alias("a"), F.col("shingles").alias("own"))
+    right = only(sets, tried.select(F.col("b").alias("node"))).select(F.col("node").alias("b"), F.col("shingles").alias("other"))
+    both = tried.join(left, "a").join(right, "b").select("a", "b", "own", "other")
 
     def compare(batches):
         for batch in batches:
@@ -247,11 +254,17 @@ def near_duplicates(documents: DataFrame, *, id_column: str = "doc_id", text_col
     keyed = distinct.withColumn("key", F.xxhash64("node"))
     near = stored(parted(keyed, "key", wanted.select(F.xxhash64("node").alias("key")).distinct())[1].join(wanted, "node").select("node", "n_shingles", "bands"), "minmax-near")
     sizes = near.select("node", "n_shingles")
-    links = stored(confirmed(pairs, sets, sizes, percent), "minmax-links")
+    # One pair for each set first; then of the others only those that lie between components.
+    first = stored(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "minmax-first")
+    links = stored(confirmed(first, sets, sizes, percent), "minmax-links")
+    roots = stored(components(links), "minmax-roots")
+    root = lambda c: F.coalesce(f"_{c}", c)
+    others = pairs.join(first, ["a", "b"], "left_anti").join(roots.toDF("a", "_a"), "a", "left").join(roots.toDF("b", "_b"), "b", "left").where(root("a") != root("b"))
+    links = links.unionByName(stored(confirmed(others.select("a", "b"), sets, sizes, percent), "minmax-links"))
     roots = stored(components(links), "minmax-roots")
     left = stored(undecided(banded(near, bands), roots, sizes, LEADERS + 2), "minmax-undecided")
     if not left.isEmpty():
-        roots = components(links.unionByName(decided(left, sets, percent, "binary")))
+        roots = components(links.unionByName(decided(left, only(sets, left.select("node")), percent, "binary")))
     grouped = distinct.join(roots, "node", "left").select("node", "least", F.coalesce("root", "node").alias("root"))
     named = grouped.join(grouped.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("node", "component_id")
     alone = F.col("node").isNull()
