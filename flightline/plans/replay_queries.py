@@ -9,6 +9,7 @@ from flightline.functions import timeseries as ts
 from flightline.operators import decisions, graph, replays, reports, universe
 from flightline.plans import agent_queries, feature_queries
 from flightline.plans.book import Book, r6, table
+from flightline.sources import scratch
 
 BOOK = Book()
 RUNS = f"""{agent_queries.DECIDED}{agent_queries.SUMMARY}, runs AS (
@@ -122,29 +123,44 @@ SCHEMA = graph.GraphSchema(
 )
 
 
-def property_graph(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+#: Lines that one task groups, about: its memory does not depend on how well they are packed when they move.
+LINES = 250_000
+
+
+def graph_nodes(spark, sf_dir) -> DataFrame:
     t = lambda name: table(spark, sf_dir, name)
-    node, edge, c = graph.property_nodes, graph.property_edges, F.col
+    node, c = graph.property_nodes, F.col
     brands = t("part").groupBy("p_brand").agg(F.count(F.lit(1)).alias("parts"))
-    nodes = graph.edges(
+    return graph.edges(
         node(t("region"), "region", "r_regionkey", {"name": c("r_name")}), node(t("nation"), "nation", "n_nationkey", {"name": c("n_name")}), node(t("supplier"), "supplier", "s_suppkey", {"balance": c("s_acctbal")}),
         node(t("customer"), "customer", "c_custkey", {"balance": c("c_acctbal"), "segment": c("c_mktsegment")}), node(t("part"), "part", "p_partkey", {"size": c("p_size")}), node(brands, "brand", "p_brand", {"parts": c("parts")}),
         node(t("orders"), "order", "o_orderkey", {"status": c("o_orderstatus"), "total": c("o_totalprice")}),
     )
+
+
+def graph_edges(spark, sf_dir) -> DataFrame:
+    t = lambda name: table(spark, sf_dir, name)
+    edge, c = graph.property_edges, F.col
     lines = t("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity")
-    wide = lines.join(t("orders").select("o_orderkey", "o_custkey"), c("l_orderkey") == c("o_orderkey")).join(t("customer").select("c_custkey", "c_nationkey"), c("o_custkey") == c("c_custkey")).join(t("supplier").select("s_suppkey", "s_nationkey"), c("l_suppkey") == c("s_suppkey"))
+    wide = lines.drop("l_quantity").join(t("orders").select("o_orderkey", "o_custkey"), c("l_orderkey") == c("o_orderkey")).join(t("customer").select("c_custkey", "c_nationkey"), c("o_custkey") == c("c_custkey")).join(t("supplier").select("s_suppkey", "s_nationkey"), c("l_suppkey") == c("s_suppkey"))
     wide = wide.join(t("part").select("p_partkey", "p_brand"), c("l_partkey") == c("p_partkey")).join(t("nation").select(c("n_nationkey").alias("_n"), "n_regionkey"), c("c_nationkey") == c("_n"))
-    pairs = lambda a, b: wide.groupBy(a, b).agg(F.count(F.lit(1)).alias("lines"))
+    # Six kinds of edges are counted from the joined lines, which are joined once.
+    wide = scratch.stored(wide.select("l_orderkey", "l_partkey", "l_suppkey", "o_custkey", "p_brand", "s_nationkey", "c_nationkey", "n_regionkey"), "graph-lines")
+    parts = -(-lines.count() // LINES) or 1
+    dealt = lambda rows, *keys: rows.repartition(parts, *keys)
+    counted = lambda rows, a, b: rows.groupBy(a, b).agg(F.count(F.lit(1)).alias("lines"))
+    # A run of one order or customer is one task's, so its ends are counted there; pairs of few values are counted before they move.
+    pairs = lambda a, b: counted(dealt(wide.select(a, b), *((a,) if a in ("l_orderkey", "o_custkey") else (a, b))), a, b)
+    few = lambda a, b: counted(wide, a, b)
     n = {"lines": c("lines")}
-    edges = graph.edges(
+    return graph.edges(
         edge(t("nation"), "NATION_OF", ("nation", "n_nationkey"), ("region", "n_regionkey")), edge(t("supplier"), "SUPPLIER_IN", ("supplier", "s_suppkey"), ("nation", "s_nationkey")), edge(t("customer"), "CUSTOMER_IN", ("customer", "c_custkey"), ("nation", "c_nationkey")),
         edge(t("orders"), "PLACED_BY", ("order", "o_orderkey"), ("customer", "o_custkey"), {"priority": c("o_orderpriority")}), edge(t("part"), "OF_BRAND", ("part", "p_partkey"), ("brand", "p_brand")),
-        edge(lines.groupBy("l_orderkey", "l_partkey").agg(F.sum("l_quantity").alias("q")), "CONTAINS", ("order", "l_orderkey"), ("part", "l_partkey"), {"quantity": c("q")}),
+        edge(dealt(lines.drop("l_suppkey"), "l_orderkey").groupBy("l_orderkey", "l_partkey").agg(F.sum("l_quantity").alias("q")), "CONTAINS", ("order", "l_orderkey"), ("part", "l_partkey"), {"quantity": c("q")}),
         edge(pairs("l_suppkey", "l_partkey"), "SUPPLIES", ("supplier", "l_suppkey"), ("part", "l_partkey"), n), edge(pairs("l_orderkey", "l_suppkey"), "SHIPPED_BY", ("order", "l_orderkey"), ("supplier", "l_suppkey"), n),
-        edge(pairs("o_custkey", "p_brand"), "BUYS_BRAND", ("customer", "o_custkey"), ("brand", "p_brand"), n), edge(pairs("s_nationkey", "c_nationkey"), "SELLS_TO", ("nation", "s_nationkey"), ("nation", "c_nationkey"), n),
-        edge(pairs("o_custkey", "l_suppkey"), "BUYS_FROM", ("customer", "o_custkey"), ("supplier", "l_suppkey"), n), edge(pairs("p_brand", "n_regionkey"), "BRAND_IN", ("brand", "p_brand"), ("region", "n_regionkey"), n),
+        edge(pairs("o_custkey", "p_brand"), "BUYS_BRAND", ("customer", "o_custkey"), ("brand", "p_brand"), n), edge(few("s_nationkey", "c_nationkey"), "SELLS_TO", ("nation", "s_nationkey"), ("nation", "c_nationkey"), n),
+        edge(pairs("o_custkey", "l_suppkey"), "BUYS_FROM", ("customer", "o_custkey"), ("supplier", "l_suppkey"), n), edge(few("p_brand", "n_regionkey"), "BRAND_IN", ("brand", "p_brand"), ("region", "n_regionkey"), n),
     )
-    return nodes, edges
 
 
 _WIDE = "wide AS (SELECT * FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey JOIN nation ON c_nationkey = n_nationkey)"
@@ -158,7 +174,7 @@ _PAIRS = {"SUPPLIES": "l_suppkey, l_partkey", "SHIPPED_BY": "l_orderkey, l_suppk
 )
 def property_graph_nodes(spark, sf_dir):
     """Nodes of each type, how many properties they have, and the sum of a numeric one, read back by the schema."""
-    nodes, _ = property_graph(spark, sf_dir)
+    nodes = graph_nodes(spark, sf_dir)
     number = {"supplier": "balance", "customer": "balance", "part": "size", "brand": "parts", "order": "total"}
     parts = [SCHEMA.typed(nodes, kind).select(F.lit(kind).alias("type"), (F.col(number[kind]) if kind in number else F.lit(None)).cast("double").alias("x")) for kind in SCHEMA.nodes]
     sums = graph.edges(*parts).groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("x"), 2).alias("total"))
@@ -172,7 +188,7 @@ def property_graph_nodes(spark, sf_dir):
 )
 def property_graph_edges(spark, sf_dir):
     """Edges of each type and the sum of their numeric property."""
-    _, edges = property_graph(spark, sf_dir)
+    edges = graph_edges(spark, sf_dir)
     number = F.coalesce(F.col("props")["lines"], F.col("props")["quantity"]).cast("double")
     return edges.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.sum(number).alias("total"))
 
@@ -180,7 +196,7 @@ def property_graph_edges(spark, sf_dir):
 @BOOK.enter("SELECT 'dangling' AS problem, 'LIKES' AS type, count(*) AS n FROM customer UNION ALL SELECT 'duplicate_node', 'region', count(*) FROM region UNION ALL SELECT 'undeclared_edge', 'LIKES', count(*) FROM customer UNION ALL SELECT 'undeclared_property', 'LIKES', count(*) FROM customer")
 def property_graph_audit(spark, sf_dir):
     """The audit finds what has been broken on purpose: every region twice, and an undeclared edge of every customer to a node that is not there."""
-    nodes, edges = property_graph(spark, sf_dir)
+    nodes, edges = graph_nodes(spark, sf_dir), graph_edges(spark, sf_dir)
     twice = nodes.unionByName(nodes.where("type = 'region'"))
     likes = graph.property_edges(table(spark, sf_dir, "customer").withColumn("no", -F.col("c_custkey") - 1), "LIKES", ("customer", "c_custkey"), ("part", "no"), {"why": F.lit("x")})
     return graph.graph_audit(twice, edges.unionByName(likes), SCHEMA)
