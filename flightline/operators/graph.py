@@ -64,8 +64,8 @@ def dangling(graph: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def properties(values: dict[str, Column]) -> Column:
     """A map of what is there; a NULL is no property."""
-    pairs = F.array(*[F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in values.items()]) if values else F.array().cast("array<struct<key:string,value:string>>")
-    return F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull()))
+    maps = [F.when(v.isNotNull(), F.create_map(F.lit(k), v.cast("string"))).otherwise(F.create_map().cast("map<string,string>")) for k, v in values.items()]
+    return F.map_concat(*maps) if len(maps) > 1 else maps[0] if maps else F.create_map().cast("map<string,string>")
 
 
 def property_nodes(df: DataFrame, kind: str, key: str, values: dict[str, Column] | None = None) -> DataFrame:
@@ -98,28 +98,42 @@ def graph_audit(nodes: DataFrame, edges_: DataFrame, schema: GraphSchema) -> Dat
 
     duplicate_node; undeclared_node and undeclared_edge (types); undeclared_property; unreadable_property (its
     value is none of its declared type); wrong_end (an end of another type); dangling (an end that is no node).
+    Edges are gone through once: what they say (types of their ends, ends, properties) is counted first, and
+    each different thing is judged once.
     """
-    node_types, edge_types = list(schema.nodes), list(schema.edges)
-    node_props = [(kind, name, of) for kind, values in schema.nodes.items() for name, of in values.items()]
-    edge_props = [(kind, name, of) for kind, (_, _, values) in schema.edges.items() for name, of in values.items()]
-
-    def count(rows: DataFrame, problem: str) -> DataFrame:
-        return rows.groupBy("type").agg(F.count(F.lit(1)).alias("n")).select(F.lit(problem).alias("problem"), "type", "n")
-
-    def of_properties(rows: DataFrame, declared: list[tuple[str, str, str]]) -> list[DataFrame]:
-        each = rows.select("type", F.explode("props").alias("name", "value"))
-        known = F.array(*[F.lit(f"{kind}.{name}") for kind, name, _ in declared]).cast("array<string>")
-        unknown = each.where(~F.array_contains(known, F.concat_ws(".", "type", "name")))
-        bad = F.lit(False)
-        for kind, name, of in declared:
-            bad = bad | ((F.col("type") == kind) & (F.col("name") == name) & F.col("value").try_cast(of).isNull())
-        return [count(unknown, "undeclared_property"), count(each.where(bad), "unreadable_property")]
-
+    KINDS, END, PROPERTY = 0, 1, 2
     kind_of = lambda c: F.substring_index(c, ":", 1)
-    right = reduce(lambda a, b: a | b, [(F.col("type") == k) & (kind_of("src") == s) & (kind_of("dst") == d) for k, (s, d, _) in schema.edges.items()], F.lit(False))
-    ends = edges_.select("type", F.explode(F.array("src", "dst")).alias("id"))
+    pair = lambda key, value=F.lit(None): F.struct(key.alias("key"), value.cast("string").alias("value"))
+
+    def counted(rows: DataFrame, ends: bool) -> DataFrame:
+        """``type, _what, _key, _value, _n``: how often each pair is there of the types of ends, of ends (no value) and of properties."""
+        pairs = F.map_entries(F.coalesce("props", F.create_map().cast("map<string,string>")))
+        if ends:
+            pairs = F.concat(F.array(pair(kind_of("src"), kind_of("dst")), pair(F.col("src")), pair(F.col("dst"))), pairs)
+        place = F.col("_place") + F.lit(0 if ends else 3)
+        each = rows.select("type", F.posexplode(pairs).alias("_place", "_pair")).select("type", F.when(place == 0, KINDS).when(place < 3, END).otherwise(PROPERTY).alias("_what"), F.col("_pair.key").alias("_key"), F.col("_pair.value").alias("_value"))
+        return each.groupBy("type", "_what", "_key", "_value").agg(F.count(F.lit(1)).alias("_n"))
+
+    def of_properties(declared: dict[str, dict[str, str]]) -> dict[str, Column]:
+        place = F.concat_ws(".", "type", "_key")
+        names: dict[str, list[str]] = {}
+        for kind, values in declared.items():
+            for name, of in values.items():
+                names.setdefault(of, []).append(f"{kind}.{name}")
+        bad = reduce(lambda a, b: a | b, [place.isin(own) & F.col("_value").try_cast(of).isNull() for of, own in names.items()], F.lit(False))
+        is_property = F.col("_what") == PROPERTY
+        return {"undeclared_property": is_property & ~place.isin([p for own in names.values() for p in own]), "unreadable_property": is_property & bad}
+
+    def count(rows: DataFrame, problems: dict[str, Column]) -> DataFrame:
+        sums = rows.groupBy("type").agg(*[F.sum(F.when(c, F.col("_n")).otherwise(0)).alias(p) for p, c in problems.items()])
+        each = F.array(*[F.struct(F.lit(p).alias("problem"), F.col(p).alias("n")) for p in problems])
+        return sums.select("type", F.explode(each).alias("_p")).select("_p.problem", "type", "_p.n").where("n > 0")
+
+    by_id = nodes.groupBy("id").agg(F.count(F.lit(1)).alias("_n"), F.first("type").alias("type"))
+    met = counted(edges_, ends=True).join(by_id.select(F.col("id").alias("_key"), F.lit(END).alias("_what"), F.lit(True).alias("_there")), ["_key", "_what"], "left")
+    is_kinds, known = F.col("_what") == KINDS, F.col("type").isin(list(schema.edges))
+    right = F.concat("type", F.lit(" "), "_key", F.lit(" "), "_value").isin([f"{k} {s} {d}" for k, (s, d, _) in schema.edges.items()])
     return edges(
-        nodes.groupBy("id").agg(F.count(F.lit(1)).alias("_n"), F.first("type").alias("type")).where("_n > 1").transform(lambda d: count(d, "duplicate_node")), count(nodes.where(~F.col("type").isin(node_types)), "undeclared_node"),
-        count(edges_.where(~F.col("type").isin(edge_types)), "undeclared_edge"), *of_properties(nodes, node_props), *of_properties(edges_, edge_props),
-        count(edges_.where(F.col("type").isin(edge_types) & ~right), "wrong_end"), count(ends.join(nodes.select("id"), "id", "left_anti"), "dangling"),
+        count(by_id.where("_n > 1").withColumn("_n", F.lit(1)), {"duplicate_node": F.lit(True)}), count(nodes.select("type", F.lit(1).alias("_n")), {"undeclared_node": ~F.col("type").isin(list(schema.nodes))}), count(counted(nodes, ends=False), of_properties(schema.nodes)),
+        count(met, {"undeclared_edge": is_kinds & ~known, "wrong_end": is_kinds & known & ~right, "dangling": (F.col("_what") == END) & F.col("_there").isNull(), **of_properties({kind: values for kind, (_, _, values) in schema.edges.items()})}),
     )
