@@ -47,7 +47,10 @@ class _Groups:
         """Scores that are over, and their weights (scores, 2, replicates)."""
         weights = poisson_weights(hashes, self.replicates)
         start = np.flatnonzero(np.append(True, score[1:] != score[:-1]))
-        both = np.stack([np.add.reduceat(weights * (label == v)[:, None], start, axis=0) for v in (1, 0)], axis=1)
+        every = np.add.reduceat(weights, start, axis=0)
+        weights[label != 1] = 0.0
+        positive = np.add.reduceat(weights, start, axis=0)
+        both = np.stack([positive, every - positive], axis=1)
         scores = score[start].tolist()
         if self.open is not None:
             if scores[0] == self.score:
