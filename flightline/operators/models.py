@@ -11,6 +11,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flightline.sources.scratch import stored
+
 #: Stands for a missing feature; trees can split it off, and an indicator column says so as well.
 MISSING = -1.0e9
 
@@ -32,8 +34,8 @@ def scored(model: PipelineModel, df: DataFrame, name: str) -> DataFrame:
 
 
 def out_of_fold(df: DataFrame, features: list[str], label: str, folds: int, **options) -> DataFrame:
-    """``score`` of each row by the model of the other folds (column ``fold``)."""
-    filled, columns = with_indicators(df, features)
+    """``score`` of each row by the model of the other folds (column ``fold``); rows are made once, for all fits and scores."""
+    filled, columns = with_indicators(stored(df, "models-folds"), features)
     parts = [scored(fit(filled.where(F.col("fold") != k), columns, label, **options), filled.where(F.col("fold") == k), "score") for k in range(folds)]
     return reduce(DataFrame.unionByName, parts).drop(*[c for c in columns if c not in df.columns])
 
