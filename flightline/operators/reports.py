@@ -98,17 +98,17 @@ def summary(correlations: DataFrame, rules: DataFrame, most: int = 200) -> DataF
     return correlations.agg(F.count(F.lit(1)).alias("n_correlations")).crossJoin(F.broadcast(listed)).crossJoin(F.broadcast(sizes))
 
 
-def magnitude(value: Column) -> Column:
-    """A number with decimals that suit its size."""
+def magnitude(value: Column, shown: Column | None = None) -> Column:
+    """A number with decimals that suit its size; ``shown`` is the number spelled, if another (the value rounded, say) than the one whose size counts."""
     size = F.abs(value)
-    spelled = lambda n: F.format_string(f"%.{n}f", F.bround(value, n))
+    spelled = lambda n: F.format_string(f"%.{n}f", F.bround(value if shown is None else shown, n))
     digits = F.when(size >= 100, spelled(0)).when(size >= 10, spelled(1)).when(size >= 1, spelled(2)).otherwise(spelled(3))
     return F.coalesce(F.when(F.isnan(value) | (size == float("inf")), "n/a").otherwise(digits), F.lit("n/a"))
 
 
-def explanation(evidence: DataFrame, keys: list[str], with_z: bool = True) -> DataFrame:
-    """One sentence for each alert from its evidence rows (``feature, value, z, place``)."""
-    part = [F.col("feature"), F.lit(" = "), magnitude(F.col("value"))] + [F.format_string(" (z %+.1f)", F.col("z"))] * with_z
+def explanation(evidence: DataFrame, keys: list[str], with_z: bool = True, shown: Column | None = None) -> DataFrame:
+    """One sentence for each alert from its evidence rows (``feature, value, z, place``), with ``shown`` spelled for the value, as :func:`magnitude` does."""
+    part = [F.col("feature"), F.lit(" = "), magnitude(F.col("value"), shown)] + [F.format_string(" (z %+.1f)", F.col("z"))] * with_z
     parts = evidence.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("place", F.concat(*part).alias("part")))).alias("parts"))
     return parts.select(*keys, F.concat_ws("; ", F.transform("parts", lambda p: p["part"])).alias("text"))
 

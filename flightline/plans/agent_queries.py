@@ -271,8 +271,7 @@ FROM ev WHERE place <= 2 GROUP BY 1, 2"""
 )
 def explanations(spark, sf_dir):
     """The evidence of each alert in words; numbers with decimals that suit their size."""
-    rows = evidence(spark, sf_dir).withColumn("value", r6(F.col("value")))
-    return reports.explanation(rows, ["user_id", "class"], with_z=False)
+    return reports.explanation(evidence(spark, sf_dir), ["user_id", "class"], with_z=False, shown=r6(F.col("value")))
 
 
 RULES = [("R-01", "LEVEL", "level", ">", 70.0, "A", 0.9, 0.8, -5.0), ("R-02", "LEVEL", "mean", ">=", 40.0, "B", 0.7, 0.9, 0.0), ("R-03", "MEAN", "mean", ">", 55.0, "B", 0.8, 0.7, -5.0), ("R-04", "STEP", "step", ">", 80.0, "A", 0.9, 0.9, -10.0), ("R-05", "STEP", "level", "<=", 30.0, "C", 0.5, 0.5, -10.0), ("R-06", "MEAN", "level", "<", 60.0, "C", 0.6, 0.5, 2.0)]
