@@ -96,9 +96,9 @@ class Catalogue:
 
 
 class Block:
-    """A stretch of one run's samples with those before it that its windows reach back to, as NumPy series (NaN: missing).
+    """A stretch of samples of runs side by side with those before it that its windows reach back to, as NumPy series (NaN: missing).
 
-    Derived series are computed when they are asked for, once.
+    A series has a row for each sample and a column for each run.  Derived series are computed when they are asked for, once.
     """
 
     def __init__(self, catalogue: Catalogue, k: np.ndarray, series: dict[str, np.ndarray], plateaus: dict[str, float]):
@@ -115,17 +115,17 @@ class Block:
         n, w = len(v), self.catalogue.samples(seconds)
         there = ~np.isnan(v)
         values = np.where(there, v, 0.0)
-        total, count = np.zeros(n + 1), np.zeros(n + 1)
-        np.cumsum(there, out=count[1:])
+        total, count = np.zeros((n + 1, *v.shape[1:])), np.zeros((n + 1, *v.shape[1:]))
+        np.cumsum(there, axis=0, out=count[1:])
         high = np.arange(n) + 1 - ahead
         low = np.maximum(0, high - w)
         if w <= SHORT:
             # Oldest first, and nothing of what lies before the window.
-            inside = np.zeros(n)
+            inside = np.zeros(v.shape)
             for back in range(w - 1 + ahead, ahead - 1, -1):
                 inside[back:] += values[: max(0, n - back)]
         else:
-            np.cumsum(values, out=total[1:])
+            np.cumsum(values, axis=0, out=total[1:])
             inside = total[high] - total[low]
         with np.errstate(divide="ignore", invalid="ignore"):
             return inside / (count[high] - count[low])
@@ -142,17 +142,17 @@ class Block:
     def delayed(self, name: str, seconds: float, fill: float | None = None) -> np.ndarray:
         """The samples so long ago; before the first one ``fill``, or else the first."""
         v, n = self[name], self.catalogue.samples(seconds)
-        head = np.full(min(n, len(v)), v[0] if fill is None else fill)
+        head = np.repeat(v[:1] if fill is None else np.full_like(v[:1], fill), min(n, len(v)), axis=0)
         return np.concatenate([head, v[: max(0, len(v) - n)]])
 
     def unchanged(self, name: str) -> np.ndarray:
         v = self[name]
-        return np.concatenate([[0.0], (v[1:] == v[:-1]).astype(np.float64)])
+        return np.concatenate([np.zeros_like(v[:1]), (v[1:] == v[:-1]).astype(np.float64)])
 
     def plateau(self, name: str) -> np.ndarray:
         """Mean over the plateau of a channel, known once it is over."""
         stop = round((PLATEAU[1] - self.catalogue.origin) * self.catalogue.rate)
-        return np.where(self.k >= stop - 1, self.plateaus[name], np.nan)
+        return np.where((self.k >= stop - 1)[:, None], self.plateaus[name], np.nan)
 
 
 def ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -161,7 +161,7 @@ def ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Carry:
-    """What is known of a run up to a sample: enough to go on with it, however long it is.
+    """What is known of a run up to a sample: enough to go on with it, however long it is (of runs side by side: with an axis of runs at the end of each array).
 
     ``tail`` are the last samples (as far back as any window reaches) of the filled channels, the
     references, the time and the filters' outputs; ``first`` the first value of each channel.  The running
@@ -200,6 +200,10 @@ class Summaries:
         return keys.index(key)
 
 
+#: Runs are taken side by side up to so many samples in all.
+SIDE_BY_SIDE = 65_536
+
+
 class Running:
     """Features of runs as their samples come: one pass over NumPy blocks, each going on from the one before."""
 
@@ -291,7 +295,7 @@ class Running:
 
         return lambda at, block, rows: np.where(at[0][:, rows_seen] >= c.samples(f.least), value(at, block), np.nan)
 
-    def _shift(self, block: Block, series: str) -> float:
+    def _shift(self, block: Block, series: str) -> np.ndarray | float:
         """Sums of a channel are taken from its first value on, so that squares keep their digits."""
         return block.plateaus["_first"].get(series, 0.0)
 
@@ -301,7 +305,7 @@ class Running:
             return block["t"][own]
         v = block[series][own]
         if what == "rows":
-            return np.ones(len(v))
+            return np.ones(v.shape)
         if what == "count":
             return ~np.isnan(v)
         if what in ("sum", "square"):
@@ -334,66 +338,111 @@ class Running:
         ``channels`` (samples, channels) may have NaN: the last value is held.  A gap at the run's very
         beginning stays open; whoever knows the first value that comes fills it in ``channels`` before.
         """
-        n = len(k)
-        filled = np.concatenate([carry.held[None, :], channels])
-        there = np.where(np.isnan(filled), 0, np.arange(n + 1)[:, None])
-        filled = filled[np.maximum.accumulate(there, axis=0), np.arange(filled.shape[1])][1:]
-        first = carry.first.copy()
-        for j in np.flatnonzero(np.isnan(first)):
-            known = np.flatnonzero(~np.isnan(filled[:, j]))
-            if len(known):
-                first[j] = filled[known[0], j]
-        states, bands = [], []
-        for (_, j, sections), state in zip(self.bands, carry.states, strict=True):
+        return self.advance_all([carry], [(k, t, channels, references)])[0]
+
+    def advance_all(self, carries: list[Carry], blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, Carry]]:
+        """:meth:`advance` for many runs, each with its carry and its ``(k, t, channels, references)``; those at the same place go on side by side."""
+        out: list = [None] * len(blocks)
+        for members in self._alike(carries, blocks):
+            for i, done in zip(members, self._side_by_side([carries[i] for i in members], [blocks[i] for i in members]), strict=True):
+                out[i] = done
+        return out
+
+    def _alike(self, carries: list[Carry], blocks: list[tuple]) -> Iterator[list[int]]:
+        """Places of runs that have the same samples before and whose own begin alike, the longest last.
+
+        A shorter one takes part as far as it goes (features look back only), but for filters, whose states are those
+        after the last sample of all.
+        """
+        groups: dict[tuple, list[int]] = {}
+        for i, (carry, (k, *_)) in enumerate(zip(carries, blocks, strict=True)):
+            whole = not self.bands and len(k) and k[-1] - k[0] == len(k) - 1
+            groups.setdefault((carry.tail_k.tobytes(), int(k[0]) if whole else k.tobytes()), []).append(i)
+        for members in groups.values():
+            members.sort(key=lambda i: len(blocks[i][0]))
+            begin = 0
+            for end, i in enumerate(members):
+                n = len(blocks[i][0])
+                if end > begin and (n > 2 * len(blocks[members[begin]][0]) + 32 or (n + self.reach) * (end - begin + 1) > SIDE_BY_SIDE):
+                    yield members[begin:end]
+                    begin = end
+            yield members[begin:]
+
+    def _side_by_side(self, carries: list[Carry], blocks: list[tuple]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, Carry]]:
+        """:meth:`advance` for runs as :meth:`_alike` gives them: arrays are (samples, columns, runs), filled up behind the shorter ones."""
+        lengths = np.array([len(k) for k, *_ in blocks])
+        k, tail_k = blocks[-1][0], carries[0].tail_k
+        n, runs, columns = len(k), len(blocks), np.arange(len(blocks))
+        own = np.arange(n)[:, None] < lengths
+
+        def beside(name: str) -> np.ndarray:
+            return np.stack([getattr(c, name) for c in carries], axis=-1)
+
+        def filled_up(place: int) -> np.ndarray:
+            out = np.full((n, *blocks[-1][place].shape[1:], runs), np.nan)
+            for j, b in enumerate(blocks):
+                out[: lengths[j], ..., j] = b[place]
+            return out
+
+        t, channels, references = filled_up(1), filled_up(2), filled_up(3)
+        held, first, tail, plateau = (beside(name) for name in ("held", "first", "tail", "plateau"))
+        filled = np.concatenate([held[None], channels])
+        there = np.where(np.isnan(filled), 0, np.arange(n + 1)[:, None, None])
+        filled = np.take_along_axis(filled, np.maximum.accumulate(there, axis=0), axis=0)
+        known = ~np.isnan(filled[1:])
+        begun_at = np.take_along_axis(filled[1:], known.argmax(axis=0)[None], axis=0)[0] if n else first
+        first = np.where(np.isnan(first), begun_at, first)
+        states, bands = [[] for _ in blocks], []
+        for number, (_, j, sections) in enumerate(self.bands):
             # Before its first value a channel stands still for the filter.
-            y, after = filters.run_on(sections, np.nan_to_num(filled[:, j] - first[j])[:, None], state)
-            bands.append(y)
-            states.append(after)
-        fresh = np.concatenate([filled, references, t[:, None], *bands], axis=1)
-        rows = np.concatenate([carry.tail, fresh])
-        every_k = np.concatenate([carry.tail_k, k])
-        before = len(carry.tail_k)
+            y, after = filters.run_on(sections, np.nan_to_num(filled[1:, j] - first[j]), np.concatenate([c.states[number] for c in carries], axis=2))
+            bands.append(y[:, None])
+            for i, kept in enumerate(states):
+                kept.append(after[:, :, i : i + 1].copy())
+        rows = np.concatenate([tail, np.concatenate([filled[1:], references, t[:, None], *bands], axis=1)])
+        every_k = np.concatenate([tail_k, k])
+        before = len(tail_k)
         low, high = (round((x - self.catalogue.origin) * self.catalogue.rate) for x in PLATEAU)
-        plateau = carry.plateau.copy()
         inside = (k >= low) & (k < high)
         means = {}
-        for number, name in enumerate(PLATEAU_CHANNELS):
-            if name in self.channels:
-                v = filled[inside, self.channels.index(name)]
-                plateau[number] += np.nansum(v), np.count_nonzero(inside)
-                means[name] = plateau[number, 0] / plateau[number, 1] if plateau[number, 1] >= max(1, high - low) else np.nan
-        means["_first"] = {name: x for name, x in zip(self.channels, first.tolist(), strict=True) if not np.isnan(x)}
+        with np.errstate(divide="ignore", invalid="ignore"):
+            for number, name in enumerate(PLATEAU_CHANNELS):
+                if name in self.channels:
+                    v = np.where(own, filled[1:, self.channels.index(name)], np.nan)[inside]
+                    plateau[number] += np.nansum(v, axis=0), own[inside].sum(axis=0)
+                    means[name] = np.where(plateau[number, 1] >= max(1, high - low), plateau[number, 0] / plateau[number, 1], np.nan)
+        means["_first"] = dict(zip(self.channels, np.where(np.isnan(first), 0.0, first), strict=True))
         block = Block(self.catalogue, every_k, {name: rows[:, j] for j, name in enumerate(self.kept)}, means)
 
         at_tick = np.flatnonzero(k % self.tick == 0)
-        stops = np.append(at_tick + 1, n)  # the samples that each tick has seen, and all
-        running = []
+        running, ends = [], {}
         with np.errstate(divide="ignore", invalid="ignore"):
             for kind, gather in (("add", np.add), ("low", np.minimum), ("high", np.maximum), ("last", None)):
                 keys = getattr(self.summaries, kind)
-                out = np.empty((len(stops), len(keys)))
-                begun = getattr(carry, kind)
+                out, end = np.empty((len(at_tick), len(keys), runs)), np.empty((len(keys), runs))
+                begun = beside(kind)
                 for place, key in enumerate(keys):
                     a, b = np.searchsorted(k, key[-2:])
                     if a == b:
-                        out[:, place] = begun[place]
+                        out[:, place] = end[place] = begun[place]
                         continue
                     part = self._contribution(key, block, slice(before + a, before + b))
-                    upto = np.clip(stops - a, 0, b - a)
                     if gather is None:
-                        seen = np.maximum.accumulate(np.where(np.isnan(part), 0, np.arange(1, len(part) + 1)))
-                        value = np.concatenate([[begun[place]], part])[np.concatenate([[0], seen])]
+                        seen = np.maximum.accumulate(np.where(np.isnan(part), 0, np.arange(1, len(part) + 1)[:, None]), axis=0)
+                        value = np.take_along_axis(np.concatenate([begun[place][None], part]), np.concatenate([np.zeros((1, runs), np.int64), seen]), axis=0)
                     else:
-                        value = gather.accumulate(np.concatenate([[begun[place]], part.astype(np.float64)]))
-                    out[:, place] = value[upto]
+                        value = gather.accumulate(np.concatenate([begun[place][None], part.astype(np.float64)]), axis=0)
+                    # The samples that each tick has seen, and all that a run has.
+                    out[:, place], end[place] = value[np.clip(at_tick + 1 - a, 0, b - a)], value[np.clip(lengths - a, 0, b - a), columns]
                 running.append(out)
-            at, ends = tuple(r[:-1] for r in running), [r[-1].copy() for r in running]
-            found = np.empty((len(at_tick), len(self.names)))
+                ends[kind] = end
+            found = np.empty((len(at_tick), len(self.names), runs))
             for j, finish in enumerate(self.finish):
-                found[:, j] = finish(at, block, before + at_tick)
-        keep = slice(max(0, len(every_k) - self.reach), None)
-        new = Carry(filled[-1].copy() if n else carry.held, first, states, rows[keep].copy(), every_k[keep].copy(), plateau, *ends)
-        return k[at_tick], t[at_tick], found, new
+                found[:, j] = finish(running, block, before + at_tick)
+        for i, length in enumerate(lengths.tolist()):
+            ticks, keep = at_tick[: np.searchsorted(at_tick, length)], slice(max(0, before + length - self.reach), before + length)
+            after = Carry(filled[length, :, i].copy(), first[:, i].copy(), states[i], rows[keep, :, i].copy(), every_k[keep].copy(), plateau[:, :, i].copy(), *(ends[kind][:, i].copy() for kind in ("add", "low", "high", "last")))
+            yield k[ticks], t[ticks, i], found[: len(ticks), :, i], after
 
 
 def feature_cube(telemetry: DataFrame, catalogue: Catalogue, tick: int = 25, fill_leading: bool = True) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from flightline.functions import timeseries as ts
 from flightline.operators import decisions, graph, reports, universe
 from flightline.plans import series_queries
-from flightline.plans.book import Book, r6
+from flightline.plans.book import Book, r6, table
 from flightline.plans.series_queries import SERIES
 from flightline.sources import scratch
 from flightline.streaming import alerts as streams
@@ -139,7 +139,8 @@ def streaming_calls(spark, sf_dir):
     p = {"LEVEL": F.col("h") / 200, "MEAN": F.col("mean5") / 120, "STEP": F.col("step") / 150}
     rows = x.select("user_id", "k", "t", F.timestamp_seconds(replays.EPOCH + F.col("k") / 2).alias("ts"), *[F.least(F.lit(1.0), c).alias(m) for m, c in p.items()])
     stream = streams.in_stretches(rows, "k", 5, scratch.new_path(spark, "stream-scores"))
-    found = streams.drained(replays.call_stream(stream, THRESHOLDS, [["LEVEL", "MEAN"]], CRITICAL, WARNING, run="user_id", number="k", late="1 day"), scratch.new_path(spark, "stream-calls"), "append")
+    groups = replays.groups_of(table(spark, sf_dir, "events"), "user_id")
+    found = streams.drained(replays.call_stream(stream, THRESHOLDS, [["LEVEL", "MEAN"]], CRITICAL, WARNING, run="user_id", number="k", late="1 day", groups=groups), scratch.new_path(spark, "stream-calls"), "append")
     return found.withColumn("held", F.transform("held", r6))
 
 

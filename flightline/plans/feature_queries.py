@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from flightline.functions import features as ft
 from flightline.functions import filters
 from flightline.plans import series_queries
-from flightline.plans.book import Book, r6
+from flightline.plans.book import Book, r6, table
 from flightline.sources import scratch
 from flightline.streaming import alerts, replays
 
@@ -132,7 +132,8 @@ def streaming_features(spark, sf_dir):
     """The 120 features over a stream of the telemetry in four files, each a stretch of time, by state instead of windows."""
     rows = telemetry(spark, sf_dir).withColumn("ts", F.timestamp_seconds(replays.EPOCH + F.col("k") / RATE))
     stream = alerts.in_stretches(rows, "k", 4, scratch.new_path(spark, "stream-telemetry"))
-    found = alerts.drained(replays.feature_stream(stream, CATALOGUE, tick=5, late="1 day"), scratch.new_path(spark, "stream-features"), "append")
+    groups = replays.groups_of(table(spark, sf_dir, "events"), "user_id")
+    found = alerts.drained(replays.feature_stream(stream, CATALOGUE, tick=5, late="1 day", groups=groups), scratch.new_path(spark, "stream-features"), "append")
     return found.select("run", "tick", r6(F.col("t_now")).alias("t_now"), *[r6(F.col(f.name)).alias(f.name) for f in CATALOGUE.features()])
 
 

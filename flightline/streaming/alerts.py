@@ -41,13 +41,16 @@ def read_events(spark: SparkSession, sf_dir: str, files_per_trigger: int | None
 
 
 def in_stretches(rows: DataFrame, number: str, n: int, folder: str) -> DataFrame:
-    """A table as a stream of ``n`` batches: its rows by stretches of ``number`` (a whole number from 0 on), written one after the other."""
+    """A table as a stream of ``n`` batches: its rows by stretches of ``number`` (a whole number from 0 on), written one after the other.
+
+    A batch takes as many files as a stretch can have, one of each task that writes it, so there are no more batches than ``n``.
+    """
     spark = rows.sparkSession
     source = stored(rows, "stream-source")
     stop = (source.agg(F.max(number)).first()[0] or 0) + 1
     for k in range(n):  # files are taken in the order in which they were written
         source.where((F.col(number) * n >= k * stop) & (F.col(number) * n < (k + 1) * stop)).write.parquet(f"{folder}/stretch-{k}")
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/stretch-*")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", source.rdd.getNumPartitions()).parquet(f"{folder}/stretch-*")
 
 
 def windowed_counts(stream: DataFrame, width: str = "1 day", late: str = "2 days", slide: str | None = None) -> DataFrame:

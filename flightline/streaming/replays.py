@@ -5,6 +5,10 @@ out of order within the watermark wait until those before them are there; a numb
 the watermark passes a later one is lost, as a row that a table does not have.  Rows of a number that has
 gone by are dropped.  So over however many micro-batches, and over restarts from the checkpoint, a
 stream gives the rows that the batch operators give (which see no leading gap filled from what comes later).
+
+Runs are dealt by hash into ``groups``, each of which is a key of the stream: its state is that of its runs, and they go
+on side by side in NumPy arrays.  A call costs the same whether it is for one run or for a hundred, so there should be
+some hundred runs in a group (:func:`groups_of`).
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import types as T
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from flightline.functions import features
@@ -23,8 +27,15 @@ from flightline.operators.decisions import COMMIT, FLIGHT, IGNITION
 
 #: A moment to count event times from where samples have none of their own: a watermark begins at 1970, and what is not after it is late.
 EPOCH = 1_000_000_000
-#: One binary value: what :class:`InOrder` and the operator remember of a run.
+#: One binary value: what :class:`InOrder` and the operator remember of each run of a group.
 STATE = "held binary"
+#: Groups at least, and runs in a group where there are more.
+GROUPS, RUNS_IN_A_GROUP = 128, 128
+
+
+def groups_of(rows: DataFrame, run: str) -> int:
+    """Groups for a stream of these runs.  A stream keeps the number with which it began for as long as its checkpoint is gone on from."""
+    return max(GROUPS, rows.agg(F.approx_count_distinct(run)).first()[0] // RUNS_IN_A_GROUP)
 
 
 class InOrder:
@@ -50,38 +61,59 @@ class InOrder:
         return rows[:ready]
 
 
-def ordered_stream(stream: DataFrame, run: str, number: str, time: str, columns: list[str], late: str, output: str, begin: Callable[[], object], step: Callable[[object, np.ndarray], tuple[pd.DataFrame, object]]) -> DataFrame:
-    """Rows of each ``run`` in the order of ``number``, given in blocks to ``step(memory, rows)``, which returns output rows (without the run) and the new memory.
+def ordered_stream(stream: DataFrame, run: str, number: str, time: str, columns: list[str], late: str, output: str, begin: Callable[[], object], step: Callable[[list, list[np.ndarray]], tuple[np.ndarray, pd.DataFrame, list]], groups: int = GROUPS) -> DataFrame:
+    """Rows of each ``run`` in the order of ``number``, given in blocks to ``step(memories, blocks)``, which goes on with many runs at once.
 
-    ``rows`` has the number, the event time and ``columns`` as doubles.
+    Each run of the call has its memory and its block of rows: the number, the event time and ``columns`` as doubles.  The
+    step returns of each output row the place of its run, the rows (without the run), and the new memories.
     """
     width = 2 + len(columns)
+    kind = stream.schema[run].dataType
 
     def go_on(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        order, memory = pickle.loads(state.get[0]) if state.exists else (InOrder(width), begin())
-        came = [np.zeros((0, width))]
+        held: dict[str | None, list] = pickle.loads(state.get[0]) if state.exists else {}
+        names, came = [np.zeros(0, object)], [np.zeros((0, width))]
         for pdf in batches:
             stamp = pdf[time].astype("datetime64[us]").astype("int64").to_numpy() / 1000
+            names.append(pdf["_run"].to_numpy(object))
             came.append(np.column_stack([pdf[number].to_numpy(np.float64), stamp, pdf[columns].to_numpy(np.float64)]))
+        codes, own = pd.factorize(np.concatenate(names), use_na_sentinel=False)
+        order = np.argsort(codes, kind="stable")
+        rows, ends = np.concatenate(came)[order], np.searchsorted(codes[order], np.arange(len(own) + 1))
+        fresh = {None if pd.isna(name) else name: rows[ends[i] : ends[i + 1]] for i, name in enumerate(own)}
         watermark = state.getCurrentWatermarkMs()
-        rows = order.take(np.concatenate(came), watermark)
-        out, memory = step(memory, rows) if len(rows) else (None, memory)
-        state.update((pickle.dumps((order, memory), 5),))
-        if len(order.waiting):
-            state.setTimeoutTimestamp(max(int(watermark) + 1, int(order.waiting[:, 1].min()) + 1))
+        going, blocks = [], []
+        for name in [*fresh, *(n for n, (waiting, _) in held.items() if n not in fresh and len(waiting.waiting))]:
+            if name not in held:
+                held[name] = [InOrder(width), begin()]
+            ready = held[name][0].take(fresh.get(name, rows[:0]), watermark)
+            if len(ready):
+                going.append(name)
+                blocks.append(ready)
+        out = None
+        if going:
+            which, out, memories = step([held[name][1] for name in going], blocks)
+            for name, memory in zip(going, memories, strict=True):
+                held[name][1] = memory
+        state.update((pickle.dumps(held, 5),))
+        waiting = [o.waiting[:, 1].min() for o, _ in held.values() if len(o.waiting)]
+        if waiting:
+            state.setTimeoutTimestamp(max(int(watermark) + 1, int(min(waiting)) + 1))
         if out is not None and len(out):
-            out.insert(0, run, [key[0]] * len(out))
+            out.insert(0, "_run", np.array(going, object)[which])
             yield out
 
-    timed = stream.withWatermark(time, late).select(run, number, time, *columns)
-    kind = T.StructType([timed.schema[run]]).simpleString()[len(f"struct<{run}:") : -1]
-    return timed.groupBy(run).applyInPandasWithState(go_on, f"`{run}` {kind}, {output}", STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    # A run is told by its text: a whole number beside a null would come as a double.
+    timed = stream.withWatermark(time, late).select(F.pmod(F.xxhash64(run), F.lit(groups)).alias("_group"), F.col(run).cast("string").alias("_run"), number, time, *columns)
+    found = timed.groupBy("_group").applyInPandasWithState(go_on, f"_run string, {output}", STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select(F.col("_run").cast(kind).alias(run), *[F.col(c) for c in found.columns if c != "_run"])
 
 
-def feature_stream(telemetry: DataFrame, catalogue: features.Catalogue, time: str = "ts", tick: int = 25, late: str = "10 seconds") -> DataFrame:
+def feature_stream(telemetry: DataFrame, catalogue: features.Catalogue, time: str = "ts", tick: int = 25, late: str = "10 seconds", groups: int = GROUPS) -> DataFrame:
     """``run, tick, t_now`` and the features, at every ``tick``-th sample, of a stream of telemetry with an event time.
 
-    State of a run: the last twenty seconds of samples, the filters' memories, the running summaries.
+    State of a run: the last twenty seconds of samples, the filters' memories, the running summaries.  It is kept by
+    ``groups`` of runs.
     """
     made: list[features.Running] = []
 
@@ -93,20 +125,19 @@ def feature_stream(telemetry: DataFrame, catalogue: features.Catalogue, time: st
     channels, references = [c.name for c in catalogue.channels], list(catalogue.references)
     names = [f.name for f in catalogue.features()]
 
-    def step(carry, rows: np.ndarray):
-        values = rows[:, 3 : 3 + len(channels)]
-        k, t, found, carry = running().advance(carry, rows[:, 0].astype(np.int64), rows[:, 2], values, rows[:, 3 + len(channels) :])
-        out = pd.DataFrame(found, columns=names).astype(object)
-        out = out.where(out.notna(), None)
+    def step(carries: list, blocks: list[np.ndarray]):
+        done = running().advance_all(carries, [(rows[:, 0].astype(np.int64), rows[:, 2], rows[:, 3 : 3 + len(channels)], rows[:, 3 + len(channels) :]) for rows in blocks])
+        k, t, found = (np.concatenate([d[n] for d in done]) for n in range(3))
+        out = pd.DataFrame(found, columns=names)
         out.insert(0, "t_now", t)
         out.insert(0, "tick", k // tick)
-        return out, carry
+        return np.repeat(np.arange(len(done)), [len(d[0]) for d in done]), out, [d[3] for d in done]
 
     output = "tick long, t_now double, " + ", ".join(f"{n} double" for n in names)
-    return ordered_stream(telemetry, "run", "k", time, ["t", *channels, *references], late, output, lambda: running().start(), step)
+    return ordered_stream(telemetry, "run", "k", time, ["t", *channels, *references], late, output, lambda: running().start(), step, groups)
 
 
-def call_stream(scores: DataFrame, modes: dict[str, float], exclusive: list[list[str]], critical: list[str], warning: list[str], run: str = "run", number: str = "tick", at: str = "t", time: str = "ts", late: str = "10 seconds") -> DataFrame:
+def call_stream(scores: DataFrame, modes: dict[str, float], exclusive: list[list[str]], critical: list[str], warning: list[str], run: str = "run", number: str = "tick", at: str = "t", time: str = "ts", late: str = "10 seconds", groups: int = GROUPS) -> DataFrame:
     """``run, tick, t, held, active, latched, call, changed`` of a stream with a column of scores for each of ``modes`` (name: threshold).
 
     ``held``, ``active`` and ``latched`` are arrays in the order of the modes.  Of each ``exclusive`` group
@@ -114,35 +145,41 @@ def call_stream(scores: DataFrame, modes: dict[str, float], exclusive: list[list
     before, what is latched, and the last call.
     """
     names, thresholds = list(modes), np.array(list(modes.values()))
-    groups = [[names.index(m) for m in sorted(group)] for group in exclusive]
+    rivals = [[names.index(m) for m in sorted(group)] for group in exclusive]
     grave, warned = (np.isin(names, own) for own in (critical, warning))
 
-    def call_of(t: float, on: np.ndarray) -> str:
-        if t < IGNITION:
-            return "HOLD" if on.any() else "GO"
-        if t < FLIGHT:
-            return "ABORT" if on.any() else "COMMIT" if t >= COMMIT else "ENGINE_START"
-        return "CRITICAL" if (on & grave).any() else "WARNING" if (on & warned).any() else "ADVISORY" if on.any() else "NOMINAL"
+    def calls_of(t: np.ndarray, on: np.ndarray) -> np.ndarray:
+        some = on.any(axis=1)
+        start = np.where(some, "ABORT", np.where(t >= COMMIT, "COMMIT", "ENGINE_START"))
+        flight = np.where((on & grave).any(axis=1), "CRITICAL", np.where((on & warned).any(axis=1), "WARNING", np.where(some, "ADVISORY", "NOMINAL")))
+        return np.where(t < IGNITION, np.where(some, "HOLD", "GO"), np.where(t < FLIGHT, start, flight)).astype(object)
 
     def begin():
         return np.zeros(len(names)), np.zeros(len(names), bool), None
 
-    def step(memory, rows: np.ndarray):
-        before, latched, last = memory
+    def step(memories: list, blocks: list[np.ndarray]):
+        rows, lengths = np.concatenate(blocks), np.array([len(b) for b in blocks])
+        which, ends = np.repeat(np.arange(len(blocks)), lengths), np.cumsum(lengths)
+        begins = ends - lengths
         p = rows[:, 3:]
-        held = np.fmin(p, np.concatenate([before[None], p[:-1]]))
+        past = np.concatenate([p[:1], p[:-1]])
+        past[begins] = [before for before, _, _ in memories]
+        held = np.fmin(p, past)
         active = held >= thresholds
-        for group in groups:
+        for group in rivals:
             rank = np.where(active[:, group], held[:, group], -1.0)
-            keep = np.zeros((len(rows), len(group)), bool)
-            best = rank.argmax(axis=1)
-            keep[np.arange(len(rows)), best] = active[np.arange(len(rows)), np.array(group)[best]]
-            active[:, group] = keep
-        every = np.logical_or.accumulate(np.concatenate([latched[None], active]), axis=0)[1:]
-        calls = [call_of(t, on) for t, on in zip(rows[:, 2], every, strict=True)]
-        changed = [a != b for a, b in zip(calls, [last, *calls[:-1]], strict=True)]
-        out = pd.DataFrame({number: rows[:, 0].astype(np.int64), at: rows[:, 2], "held": held.tolist(), "active": active.tolist(), "latched": every.tolist(), "call": calls, "changed": changed})
-        return out, (p[-1], every[-1], calls[-1])
+            best, every = np.array(group)[rank.argmax(axis=1)], np.arange(len(rows))
+            keep = np.zeros(active.shape, bool)
+            keep[every, best] = active[every, best]
+            active[:, group] = keep[:, group]
+        # On from a sample at which it is active, or from before: active samples of the run so far, counted through all runs.
+        seen = np.cumsum(active, axis=0)
+        latched = (seen - (seen - active)[begins][which] > 0) | np.array([on for _, on, _ in memories])[which]
+        calls = calls_of(rows[:, 2], latched)
+        earlier = np.concatenate([calls[:1], calls[:-1]])
+        earlier[begins] = [last for _, _, last in memories]
+        out = pd.DataFrame({number: rows[:, 0].astype(np.int64), at: rows[:, 2], "held": list(held), "active": list(active), "latched": list(latched), "call": calls, "changed": calls != earlier})
+        return which, out, [(p[e - 1].copy(), latched[e - 1].copy(), calls[e - 1]) for e in ends]
 
     output = f"`{number}` long, `{at}` double, held array<double>, active array<boolean>, latched array<boolean>, call string, changed boolean"
-    return ordered_stream(scores, run, number, time, [at, *names], late, output, begin, step)
+    return ordered_stream(scores, run, number, time, [at, *names], late, output, begin, step, groups)
