@@ -178,8 +178,11 @@ def call_stream(scores: DataFrame, modes: dict[str, float], exclusive: list[list
         calls = calls_of(rows[:, 2], latched)
         earlier = np.concatenate([calls[:1], calls[:-1]])
         earlier[begins] = [last for _, _, last in memories]
-        out = pd.DataFrame({number: rows[:, 0].astype(np.int64), at: rows[:, 2], "held": list(held), "active": list(active), "latched": list(latched), "call": calls, "changed": calls != earlier})
+        out = pd.DataFrame({number: rows[:, 0].astype(np.int64), at: rows[:, 2], **{f"_{what}_{m}": v[:, m] for what, v in (("held", held), ("active", active), ("latched", latched)) for m in range(len(names))}, "call": calls, "changed": calls != earlier})
         return which, out, [(p[e - 1].copy(), latched[e - 1].copy(), calls[e - 1]) for e in ends]
 
-    output = f"`{number}` long, `{at}` double, held array<double>, active array<boolean>, latched array<boolean>, call string, changed boolean"
-    return ordered_stream(scores, run, number, time, [at, *names], late, output, begin, step, groups)
+    # Arrays are made of plain columns behind the state: a row of them would be three objects in Python.
+    each = [(what, kind, [f"_{what}_{m}" for m in range(len(names))]) for what, kind in (("held", "double"), ("active", "boolean"), ("latched", "boolean"))]
+    output = f"`{number}` long, `{at}` double, {', '.join(f'{c} {kind}' for _, kind, columns in each for c in columns)}, call string, changed boolean"
+    found = ordered_stream(scores, run, number, time, [at, *names], late, output, begin, step, groups)
+    return found.select(run, number, at, *[F.array(*columns).alias(what) for what, _, columns in each], "call", "changed")

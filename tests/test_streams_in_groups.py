@@ -81,3 +81,16 @@ def test_runs_without_a_name_and_with_great_numbers(spark):
         assert [r["held"][0] for r in own] == [0.0] + [0.25 * (i + 1)] * 19
         assert [r["latched"][0] for r in own] == [False] + [i >= 1] * 19
         assert own[0]["call"] == "GO" and own[-1]["call"] == ("ABORT" if i else "ENGINE_START")
+
+
+def test_calls_of_runs_in_one_group_are_those_of_runs_alone(spark):
+    """Runs of different lengths, with rows out of order and some that never come, in one group and in many."""
+    rows = spark.range(40 * 60).select((F.col("id") % 40).cast("string").alias("run"), F.floor(F.col("id") / 40).alias("tick")).where("tick < 20 + cast(run as int) and (tick + cast(run as int)) % 17 > 0")
+    score = lambda n: F.round(F.pmod(F.xxhash64("run", "tick", F.lit(n)), F.lit(1000)) / 1000 * (0.5 + F.col("run").cast("int") / 50), 3)
+    scores = rows.withColumns({"t": F.col("tick") / 2 - 5, "a": score(1), "b": score(2), "c": score(3), "ts": F.timestamp_seconds(replays.EPOCH + F.col("tick")), "turn": F.greatest(F.lit(0), F.col("tick") + F.pmod(F.xxhash64("tick", "run"), F.lit(9)) - 4)})
+    found = []
+    for groups in (1, 2048):
+        stream = alerts.in_stretches(scores, "turn", 4, scratch.new_path(spark, "test-scores"))
+        calls = replays.call_stream(stream, {"a": 0.6, "b": 0.5, "c": 0.7}, [["a", "b"]], ["a"], ["b"], late="5 seconds", groups=groups)
+        found.append(sorted(tuple(r) for r in alerts.drained(calls, scratch.new_path(spark, "test-calls"), "append").collect()))
+    assert found[0] == found[1] and len(found[0]) > 1000 and len({r[6] for r in found[0]}) >= 6
